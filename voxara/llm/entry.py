@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxara.llm import bpe, chat, mpegts, warc
+from voxara.llm import bpe, chat, decontam, mpegts, secrets, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_warc": warc.op2_warc, "op4_mpegts": mpegts.op4_mpegts, "op8_chat": chat.op8_chat, "op9_bpe": bpe.op9_bpe}
+    return {"op2_warc": warc.op2_warc, "op4_mpegts": mpegts.op4_mpegts, "op7_decontam": decontam.op7_decontam, "op8_chat": chat.op8_chat, "op9_bpe": bpe.op9_bpe, "op10_secrets": secrets.op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
