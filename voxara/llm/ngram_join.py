@@ -11,7 +11,7 @@ steps, none of which drops a link:
    Candidates meet in prefixes under A, and must also meet under B and C before the sets are compared.
 4. For each prefix shingle, two leaders (the set whose shingles are the most frequent, and the smallest set) are
    compared with all sets that have it: as many candidates as rows. Then only sets of different classes so far are
-   paired, so groups of copies never give all their pairs.
+   paired, and of these only such as parity bits let pass, so groups of copies never give all their pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from voxara.llm.common import drop_path, read_table, stash, words
 
-SHINGLE, NUM, DEN = 5, 75, 100
+SHINGLE, NUM, DEN, BITS = 5, 75, 100, 512
 #: Shingles that meet in one bucket of step 2, about.
 BUCKET_SHINGLES = 3_000_000
 #: Ids that are broadcast to pick documents out of the table (8 bytes each); beyond, that join shuffles.
@@ -135,13 +135,13 @@ def shared_counts(docs: DataFrame, buckets: int, id_col: str = "doc_id") -> Data
 
 
 def members(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, key, n, tokens in order B, and the prefix under order C."""
+    """id, key, n, tokens in order B, the prefix under order C, and BITS bits: the parity of the number of tokens in each of as many groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                key, n, toks, other = [], [], [], []
+                key, n, toks, other, bits = [], [], [], [], []
                 for cell in part.column(1):
                     s = shingles(cell.as_py())
                     p = len(s) - -(-len(s) * NUM // DEN) + 1
@@ -149,13 +149,23 @@ def members(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     n.append(len(s))
                     toks.append(s.astype(np.int64))
                     other.append(s[np.argsort(s * _OTHER)[:p]].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(toks, pa.list_(pa.int64())), pa.array(other, pa.list_(pa.int64()))], names=["id", "key", "n", "tokens", "other"])
+                    odd = np.bincount((s * _OTHER >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
+                    bits.append(np.packbits(odd.astype(np.uint8)).view("<i8"))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(toks, pa.list_(pa.int64())), pa.array(other, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["id", "key", "n", "tokens", "other", "bits"])
 
-    return _rows(docs, id_col).mapInArrow(run, "id bigint, key bigint, n bigint, tokens array<bigint>, other array<bigint>")
+    return _rows(docs, id_col).mapInArrow(run, "id bigint, key bigint, n bigint, tokens array<bigint>, other array<bigint>, bits array<bigint>")
 
 
-def _similar_size(a: Column, b: Column) -> Column:
-    return F.least(a, b) * DEN >= F.greatest(a, b) * NUM
+def _may_link(na: Column, ma: Column, nb: Column, mb: Column) -> Column:
+    """Of n shingles each set shares at most the m that any other set has, so the smaller m bounds the intersection."""
+    most = F.least(ma, mb)
+    return most * DEN >= (na + nb - most) * NUM
+
+
+def _few_differ(na: Column, a: Column, nb: Column, b: Column) -> Column:
+    """A shingle that one set alone has flips one parity bit, so differing bits bound the symmetric difference from below."""
+    differ = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    return differ * (DEN + NUM) <= (na + nb) * (DEN - NUM)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -214,19 +224,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         by_set = Window.partitionBy("id")
         ranked = common.select("*", F.row_number().over(by_set.orderBy("df", "token")).alias("r"), F.count("*").over(by_set).alias("m"), F.sum("df").over(by_set).alias("weight"))
         # Shingles that no other set has come first in order A, so a set's first common one is its (n - m + 1)-th.
-        prefix, _ = stash(ranked.filter(F.col("n") - F.col("m") + F.col("r") <= F.col("n") - _own_share(F.col("n")) + 1).select("token", "id", "n", (F.col("weight") / F.col("n")).alias("weight")), "prefixes")
-        leaders = prefix.groupBy("token").agg(F.max(F.struct("weight", (-F.col("id")).alias("i"), "n")).alias("x"), F.min(F.struct("n", "id")).alias("y"))
-        lead = leaders.select("token", F.explode(F.array(F.struct((-F.col("x.i")).alias("id"), F.col("x.n").alias("n")), F.struct(F.col("y.id").alias("id"), F.col("y.n").alias("n")))).alias("l")).select("token", F.col("l.id").alias("lead"), F.col("l.n").alias("ln")).distinct()
-        star = prefix.join(lead, "token").filter(F.col("id") != F.col("lead")).filter(_similar_size(F.col("n"), F.col("ln")))
+        prefix, _ = stash(ranked.filter(F.col("n") - F.col("m") + F.col("r") <= F.col("n") - _own_share(F.col("n")) + 1).select("token", "id", "n", "m", (F.col("weight") / F.col("n")).alias("weight")), "prefixes")
+        leaders = prefix.groupBy("token").agg(F.max(F.struct("weight", (-F.col("id")).alias("i"), "n", "m")).alias("x"), F.min(F.struct("n", "id", "m")).alias("y"))
+        lead = leaders.select("token", F.explode(F.array(F.struct((-F.col("x.i")).alias("id"), F.col("x.n").alias("n"), F.col("x.m").alias("m")), F.struct(F.col("y.id").alias("id"), F.col("y.n").alias("n"), F.col("y.m").alias("m")))).alias("l")).select("token", F.col("l.id").alias("lead"), F.col("l.n").alias("ln"), F.col("l.m").alias("lm")).distinct()
+        star = prefix.join(lead, "token").filter(F.col("id") != F.col("lead")).filter(_may_link(F.col("n"), F.col("m"), F.col("ln"), F.col("lm")))
         star, _ = stash(star.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), "star")
         edges, _ = stash(verified(star, sets), "links")
         labels, labels_path = components(sets.select("id"), edges)
         placed = prefix.join(labels, "id")
         mixed = placed.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
-        rest = placed.join(mixed, "token")
-        a = rest.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        b = rest.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        cross = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _similar_size(F.col("na"), F.col("nb"))).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+        rest = placed.join(mixed, "token").join(sets.select("id", "bits"), "id")
+        a = rest.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("label").alias("la"), F.col("bits").alias("ba"))
+        b = rest.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("label").alias("lb"), F.col("bits").alias("bb"))
+        cross = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _may_link(F.col("na"), F.col("ma"), F.col("nb"), F.col("mb")) & _few_differ(F.col("na"), F.col("ba"), F.col("nb"), F.col("bb"))).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
         more, _ = stash(verified(cross, sets), "links")
         if more.isEmpty():
             linked = labels
