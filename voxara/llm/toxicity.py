@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from voxara.llm.common import read_table, words
 
 #: Labelled rows of each class that lexicons and the classifier are trained on, at most: those with the least hash of their id.
-SAMPLE_PER_CLASS = 4_000
+SAMPLE_PER_CLASS = 1_500
 STEMS = (4, 5, 6, 7, 8)
 LEXICONS = 4
 #: Entries of the lexicons and of the classifier at most, and the least share of toxic documents that an entry occurs in.
