@@ -120,5 +120,7 @@ def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     text = F.aggregate("_live", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     joined = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).join(live, ["doc_id", "text_hash"], "left")
-    clean = F.when(F.col("_live").isNotNull(), text).otherwise(F.col("text"))
-    return joined.select(*[clean.alias("text") if c == "text" else F.when(F.col("_live").isNotNull(), F.length(clean).cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    changed = F.col("_live").isNotNull()
+    clean = joined.withColumn("_clean", F.when(changed, text).otherwise(F.col("text")))
+    new = {"text": F.col("_clean"), "n_chars": F.when(changed, F.char_length("_clean").cast("bigint")).otherwise(F.col("n_chars"))}
+    return clean.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
