@@ -31,7 +31,7 @@ from voxara.llm.common import read_table, stash, words
 HEAVY = 300_000
 ALPHA = 1_500.0
 #: Times that the pieces' weights are re-estimated.
-FITS = 2
+FITS = 1
 #: Distinct words that a task counts before it hands its counts on.
 COUNTER_WORDS = 300_000
 #: The end of a document, as a token: no word holds a blank.
@@ -49,46 +49,44 @@ class Lattice:
         #: A character without a piece: as much as this for each of its bytes.
         self.byte = -math.log(256) - 6.0
 
-    def _arcs(self, w: str, i: int) -> Iterator[tuple[int, float]]:
-        table, n = (self.inner if i else self.first), len(w)
-        single = False
-        for j in range(i + 1, n + 1):
-            p = w[i:j]
-            if p not in self.prefixes:
-                break
-            if (s := table.get(p)) is not None:
-                single |= j == i + 1
-                yield j, s
-        if not single:
-            yield i + 1, self.byte * len(w[i].encode("utf-8", "surrogatepass"))
-
     def log_q(self, w: str) -> float:
-        """The natural logarithm of the sum over all segmentations."""
-        n = len(w)
-        alpha = [-math.inf] * (n + 1)
-        alpha[0] = 0.0
-        go, exp, log1p = self.go, math.exp, math.log1p
+        """The natural logarithm of the sum over all segmentations, by the forward recursion over the lattice."""
+        n, first, inner, prefixes = len(w), self.first, self.inner, self.prefixes
+        go, exp, log1p, none = self.go, math.exp, math.log1p, -math.inf
+        alpha = [none] * (n + 1)
+        alpha[0] = -go
+        table = first
         for i in range(n):
-            a = alpha[i]
-            if i:
-                a += go
-            for j, s in self._arcs(w, i):
-                b, c = alpha[j], a + s
-                if b < c:
-                    b, c = c, b
-                alpha[j] = b + log1p(exp(c - b)) if c > -math.inf else b
+            a = alpha[i] + go
+            j = i + 1
+            single = w[i:j] not in table
+            if single:
+                c, b = a + self.byte * len(w[i].encode("utf-8", "surrogatepass")), alpha[j]
+                alpha[j] = c if b == none else c + log1p(exp(b - c)) if b < c else b + log1p(exp(c - b))
+            while j <= n and (p := w[i:j]) in prefixes:
+                if (s := table.get(p)) is not None:
+                    c, b = a + s, alpha[j]
+                    alpha[j] = c if b == none else c + log1p(exp(b - c)) if b < c else b + log1p(exp(c - b))
+                j += 1
+            table = inner
         return alpha[n] + self.stop
 
     def best(self, w: str) -> list[str]:
         """The best segmentation."""
-        n = len(w)
+        n, inner, prefixes = len(w), self.inner, self.prefixes
         alpha, back = [-math.inf] * (n + 1), [0] * (n + 1)
-        alpha[0] = 0.0
+        alpha[0] = -self.go
+        table = self.first
         for i in range(n):
-            a = alpha[i] + (self.go if i else 0.0)
-            for j, s in self._arcs(w, i):
-                if a + s > alpha[j]:
+            a = alpha[i] + self.go
+            j = i + 1
+            if w[i:j] not in table and (c := a + self.byte * len(w[i].encode("utf-8", "surrogatepass"))) > alpha[j]:
+                alpha[j], back[j] = c, i
+            while j <= n and (p := w[i:j]) in prefixes:
+                if (s := table.get(p)) is not None and a + s > alpha[j]:
                     alpha[j], back[j] = a + s, i
+                j += 1
+            table = inner
         out = []
         while n:
             out.append(w[back[n] : n])
