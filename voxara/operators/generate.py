@@ -7,23 +7,25 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from voxara.raster import AXES, Image
+from voxara.raster import AXES, Image, pix
 
-V = F.col("v")
-P = [F.col(a) for a in AXES]
+
+
+def _places() -> list[Column]:
+    return [F.col(a) for a in AXES]
 
 
 def _fill(image: Image, inside: Column, value: float) -> Image:
-    return image.map(F.when(inside, F.lit(float(value))).otherwise(V))
+    return image.map(F.when(inside, F.lit(float(value))).otherwise(pix()))
 
 
 def ramp(image: Image, dimension: int = 0) -> Image:
-    return image.map(P[dimension].cast("double"))
+    return image.map(_places()[dimension].cast("double"))
 
 
 def set_edges(image: Image, value: float = 0.0, radius: int = 1) -> Image:
     edge = F.lit(False)
-    for p, n in zip(P, image.dims, strict=True):
+    for p, n in zip(_places(), image.dims, strict=True):
         if n > 1:
             edge = edge | (p < radius) | (p >= n - radius)
     return _fill(image, edge, value)
@@ -31,13 +33,13 @@ def set_edges(image: Image, value: float = 0.0, radius: int = 1) -> Image:
 
 def box(image: Image, position: tuple, size: tuple, value: float = 1.0) -> Image:
     inside = F.lit(True)
-    for p, a, n in zip(P, position, size, strict=True):
+    for p, a, n in zip(_places(), position, size, strict=True):
         inside = inside & (p >= a) & (p < a + n)
     return _fill(image, inside, value)
 
 
 def _squared(point: tuple) -> Column:
-    return sum(((p - float(c)) * (p - float(c)) for p, c in zip(P, point, strict=True)), F.lit(0.0))
+    return sum(((p - float(c)) * (p - float(c)) for p, c in zip(_places(), point, strict=True)), F.lit(0.0))
 
 
 def sphere(image: Image, position: tuple, radius: float, value: float = 1.0) -> Image:
@@ -50,7 +52,7 @@ def ellipsoid(image: Image, position: tuple, lengths: tuple, value: float = 1.0,
     total = F.lit(0.0)
     for axis, length in zip((first, second, third), lengths, strict=True):
         norm = math.sqrt(sum(a * a for a in axis))
-        along = sum(((p - float(c)) * (a / norm) for p, c, a in zip(P, position, axis, strict=True)), F.lit(0.0))
+        along = sum(((p - float(c)) * (a / norm) for p, c, a in zip(_places(), position, axis, strict=True)), F.lit(0.0))
         total = total + (along / float(length)) * (along / float(length))
     return _fill(image, total < 1, value)
 
@@ -58,12 +60,12 @@ def ellipsoid(image: Image, position: tuple, lengths: tuple, value: float = 1.0,
 def capsule(image: Image, start: tuple, end: tuple, radius: float, value: float = 1.0) -> Image:
     d = [float(b - a) for a, b in zip(start, end, strict=True)]
     long = sum(c * c for c in d) or 1.0
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), sum(((p - float(a)) * c for p, a, c in zip(P, start, d, strict=True)), F.lit(0.0)) / long))
-    gap = sum(((p - float(a) - t * c) * (p - float(a) - t * c) for p, a, c in zip(P, start, d, strict=True)), F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), sum(((p - float(a)) * c for p, a, c in zip(_places(), start, d, strict=True)), F.lit(0.0)) / long))
+    gap = sum(((p - float(a) - t * c) * (p - float(a) - t * c) for p, a, c in zip(_places(), start, d, strict=True)), F.lit(0.0))
     return _fill(image, gap < radius * radius, value)
 
 
 def noise(image: Image, mean: float = 0.0, deviation: float = 1.0, seed: int = 0) -> Image:
     """Gaussian noise that depends on seed and coordinates alone (Box-Muller over hashes), so a repeated task gives the same."""
-    uniform = lambda k: (F.pmod(F.xxhash64(*P, F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return image.map(V + mean + deviation * F.sqrt(-2 * F.ln(uniform(1))) * F.cos(2 * math.pi * uniform(2)))
+    uniform = lambda k: (F.pmod(F.xxhash64(*_places(), F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return image.map(pix() + mean + deviation * F.sqrt(-2 * F.ln(uniform(1))) * F.cos(2 * math.pi * uniform(2)))

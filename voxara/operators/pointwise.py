@@ -8,25 +8,31 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from voxara.raster import AXES, Image, check_same, pixel_round
+from voxara.raster import AXES, Image, check_same, pix, pixel_round
 
-V = F.col("v")
-_NAN, _INF = F.lit(float("nan")), F.lit(float("inf"))
+
+
+def _nan() -> Column:
+    return F.lit(float("nan"))
+
+
+def _inf() -> Column:
+    return F.lit(float("inf"))
 
 
 def _log(v: Column) -> Column:
     """As in IEEE arithmetic: log(0) is minus infinity, a negative number's is NaN."""
-    return F.when(v == 0, -_INF).when(v < 0, _NAN).otherwise(F.ln(v))
+    return F.when(v == 0, -_inf()).when(v < 0, _nan()).otherwise(F.ln(v))
 
 
 def _divide(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a / F.when(b != 0, b)).when(a == 0, _NAN).when(a > 0, _INF).otherwise(-_INF)
+    return F.when(b != 0, a / F.when(b != 0, b)).when(a == 0, _nan()).when(a > 0, _inf()).otherwise(-_inf())
 
 
 #: Commands of one image without arguments.
 UNARY: dict[str, Callable[[Column], Column]] = {
-    "abs": F.abs, "negate": lambda v: -v, "exponentiate": F.exp, "square": lambda v: v * v, "squareroot": lambda v: F.when(v < 0, _NAN).otherwise(F.sqrt(F.greatest(v, F.lit(0.0)))),
-    "log": _log, "log10": lambda v: F.when(v == 0, -_INF).when(v < 0, _NAN).otherwise(F.log10(v)), "sin": F.sin, "cos": F.cos, "tan": F.tan,
+    "abs": F.abs, "negate": lambda v: -v, "exponentiate": F.exp, "square": lambda v: v * v, "squareroot": lambda v: F.when(v < 0, _nan()).otherwise(F.sqrt(F.greatest(v, F.lit(0.0)))),
+    "log": _log, "log10": lambda v: F.when(v == 0, -_inf()).when(v < 0, _nan()).otherwise(F.log10(v)), "sin": F.sin, "cos": F.cos, "tan": F.tan,
     "inv": lambda v: _divide(F.lit(1.0), v), "round": lambda v: F.round(v), "ceil": lambda v: F.ceil(v).cast("double"), "floor": lambda v: F.floor(v).cast("double"),
 }
 #: Commands of an image and a number or a second image.
@@ -37,11 +43,11 @@ BINARY: dict[str, Callable[[Column, Column], Column]] = {
 
 
 def unary(name: str, image: Image) -> Image:
-    return image.map(UNARY[name](V))
+    return image.map(UNARY[name](pix()))
 
 
 def with_number(name: str, image: Image, x: float) -> Image:
-    return image.map(BINARY[name](V, F.lit(float(x))))
+    return image.map(BINARY[name](pix(), F.lit(float(x))))
 
 
 def with_image(name: str, image: Image, other: Image, allow_broadcast: bool = False) -> Image:
@@ -51,63 +57,63 @@ def with_image(name: str, image: Image, other: Image, allow_broadcast: bool = Fa
     side = other.df.select(*[F.col(a).alias(f"_{a}") for a in AXES], F.col("v").alias("w"))
     at = [F.least(F.col(a), F.lit(n - 1)) if allow_broadcast else F.col(a) for a, n in zip(AXES, other.dims, strict=True)]
     joined = image.df.join(side, [c == F.col(f"_{a}") for c, a in zip(at, AXES, strict=True)])
-    v = BINARY[name](V, F.col("w"))
+    v = BINARY[name](pix(), F.col("w"))
     if name == "divide" and image.dtype != "float32" and other.dtype != "float32":
         v = F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast("double")
     return image.with_rows(joined.select(*AXES, pixel_round(v, image.dtype).alias("v")))
 
 
 def threshold_range(image: Image, low: float, high: float) -> Image:
-    return image.map(((V > low) & (V <= high)).cast("double"))
+    return image.map(((pix() > low) & (pix() <= high)).cast("double"))
 
 
 def threshold_periodic(image: Image, start: float, end: float, low: float, high: float) -> Image:
     """1 where the value is in ]low, high] modulo the period."""
     period = end - start
     wrap = lambda x: F.pmod(x - start, F.lit(float(period))) + start
-    a, b, v = wrap(F.lit(float(low))), wrap(F.lit(float(high))), wrap(V)
+    a, b, v = wrap(F.lit(float(low))), wrap(F.lit(float(high))), wrap(pix())
     return image.map(F.when(a <= b, (v > a) & (v <= b)).otherwise((v > a) | (v <= b)).cast("double"))
 
 
 def double_threshold(image: Image, first: float, second: float) -> Image:
-    return image.map(F.when(V < first, 0.0).when(V < second, 1.0).otherwise(2.0))
+    return image.map(F.when(pix() < first, 0.0).when(pix() < second, 1.0).otherwise(2.0))
 
 
 def linmap(image: Image, in_low: float, in_high: float, out_low: float, out_high: float) -> Image:
-    return image.map((V - in_low) / (in_high - in_low) * (out_high - out_low) + out_low)
+    return image.map((pix() - in_low) / (in_high - in_low) * (out_high - out_low) + out_low)
 
 
 def replace_value(image: Image, a: float, b: float) -> Image:
     """NaN can be replaced like any value."""
-    return image.map(F.when(F.isnan(V) if math.isnan(a) else V == a, F.lit(float(b))).otherwise(V))
+    return image.map(F.when(F.isnan(pix()) if math.isnan(a) else pix() == a, F.lit(float(b))).otherwise(pix()))
 
 
 def clamp(image: Image, low: float, high: float) -> Image:
-    return image.map(F.least(F.greatest(V, F.lit(float(low))), F.lit(float(high))))
+    return image.map(F.least(F.greatest(pix(), F.lit(float(low))), F.lit(float(high))))
 
 
 def ensure_finite(image: Image, replacement: float = 0.0) -> Image:
-    return image.map(F.when(F.isnan(V) | (F.abs(V) == _INF), F.lit(float(replacement))).otherwise(V))
+    return image.map(F.when(F.isnan(pix()) | (F.abs(pix()) == _inf()), F.lit(float(replacement))).otherwise(pix()))
 
 
 def convert(image: Image, dtype: str) -> Image:
-    return image.map(V, dtype)
+    return image.map(pix(), dtype)
 
 
 def swap_byte_order(image: Image) -> Image:
     """The bytes of unsigned 8-, 16- and 32-bit pixels in reverse."""
     size = {"uint8": 1, "uint16": 2, "uint32": 4}[image.dtype]
-    n = V.cast("bigint")
+    n = pix().cast("bigint")
     out = sum((F.shiftleft(F.shiftright(n, 8 * i).bitwiseAND(F.lit(255)), 8 * (size - 1 - i)) for i in range(size)), F.lit(0))
     return image.map(out.cast("double"))
 
 
 def evaluate(expression: str, image: Image, *others: Image) -> Image:
     """A formula in SQL over x0 (the image), x1, x2 ... (the others) and the coordinates x, y, z."""
-    df = image.df.select(*AXES, V.alias("x0"))
+    df = image.df.select(*AXES, pix().alias("x0"))
     for n, o in enumerate(others, 1):
         check_same(image, o)
-        df = df.join(o.df.select(*AXES, V.alias(f"x{n}")), list(AXES))
+        df = df.join(o.df.select(*AXES, pix().alias(f"x{n}")), list(AXES))
     return image.with_rows(df.select(*AXES, pixel_round(F.expr(expression).cast("double"), image.dtype).alias("v")))
 
 

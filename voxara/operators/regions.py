@@ -7,9 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxara.raster import AXES, Image
+from voxara.raster import AXES, Image, pix
 
-V = F.col("v")
 #: Neighbours with a larger linear index, by faces (Nearest) or faces, edges and corners (All).
 FORWARD = {
     "Nearest": [(1, 0, 0), (0, 1, 0), (0, 0, 1)],
@@ -54,12 +53,12 @@ def _index(image: Image):
 def label(image: Image, region_color: float = 0.0, connectivity: str = "Nearest") -> Image:
     """Each region of equal nonzero pixels (or of pixels of region_color, if that isn't 0) gets a number from 1 on, in the order of its first pixel; others are 0."""
     spark = image.df.sparkSession
-    inside = V == region_color if region_color else V != 0
+    inside = pix() == region_color if region_color else pix() != 0
     pixels = image.df.filter(inside).select(_index(image).alias("id"), *AXES, "v")
     edges = None
     for o in FORWARD[connectivity]:
         moved = pixels.select(F.col("id").alias("b"), *[(F.col(a) - c).alias(a) for a, c in zip(AXES, o, strict=True)], F.col("v").alias("w"))
-        e = pixels.join(moved, list(AXES)).filter(V == F.col("w")).select(F.col("id").alias("a"), "b")
+        e = pixels.join(moved, list(AXES)).filter(pix() == F.col("w")).select(F.col("id").alias("a"), "b")
         edges = e if edges is None else edges.union(e)
     found = linked_labels(spark, pixels.select("id"), edges)
     roots = found.select("label").distinct()
@@ -81,10 +80,10 @@ def label(image: Image, region_color: float = 0.0, connectivity: str = "Nearest"
 
 def flood_fill(image: Image, start: tuple, fill: float, connectivity: str = "All") -> Image:
     """The region of equal pixels that holds start gets the fill value."""
-    regions = label(image.map((V == image.df.filter((F.col("x") == start[0]) & (F.col("y") == start[1]) & (F.col("z") == start[2])).first().v).cast("double"), "uint8"), 1.0, connectivity)
-    own = regions.df.select(*AXES, V.alias("region"))
+    regions = label(image.map((pix() == image.df.filter((F.col("x") == start[0]) & (F.col("y") == start[1]) & (F.col("z") == start[2])).first().v).cast("double"), "uint8"), 1.0, connectivity)
+    own = regions.df.select(*AXES, pix().alias("region"))
     at = own.filter((F.col("x") == start[0]) & (F.col("y") == start[1]) & (F.col("z") == start[2])).first().region
-    return image.with_rows(image.df.join(own, list(AXES)).select(*AXES, F.when(F.col("region") == at, F.lit(float(fill))).otherwise(V).alias("v")))
+    return image.with_rows(image.df.join(own, list(AXES)).select(*AXES, F.when(F.col("region") == at, F.lit(float(fill))).otherwise(pix()).alias("v")))
 
 
 def analyze_labels(image: Image) -> DataFrame:
@@ -92,12 +91,12 @@ def analyze_labels(image: Image) -> DataFrame:
     out = [F.count("*").alias("volume")]
     for a in AXES:
         out += [F.avg(a).alias(f"c{a}"), F.min(a).alias(f"min{a}"), F.max(a).alias(f"max{a}")]
-    return image.df.filter(V != 0).groupBy(V.cast("bigint").alias("label")).agg(*out)
+    return image.df.filter(pix() != 0).groupBy(pix().cast("bigint").alias("label")).agg(*out)
 
 
 def remove_small(image: Image, least: int, connectivity: str = "All") -> Image:
     """Regions of nonzero pixels with fewer than least pixels become 0."""
-    regions = label(image.map((V != 0).cast("double"), "uint8"), 1.0, connectivity).df.filter(V != 0).select(*AXES, V.alias("region"))
+    regions = label(image.map((pix() != 0).cast("double"), "uint8"), 1.0, connectivity).df.filter(pix() != 0).select(*AXES, pix().alias("region"))
     small = regions.groupBy("region").count().filter(F.col("count") < least).select("region")
     gone = regions.join(small, "region", "left_semi").select(*AXES, F.lit(True).alias("gone"))
-    return image.with_rows(image.df.join(gone, list(AXES), "left").select(*AXES, F.when(F.col("gone"), F.lit(0.0)).otherwise(V).alias("v")))
+    return image.with_rows(image.df.join(gone, list(AXES), "left").select(*AXES, F.when(F.col("gone"), F.lit(0.0)).otherwise(pix()).alias("v")))

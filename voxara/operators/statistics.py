@@ -3,40 +3,46 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxara.raster import AXES, Image, check_same, pixel_round
+from voxara.raster import AXES, Image, check_same, pix, pixel_round
+
+
+
+def _number() -> Column:
+    """The pixel value, null for NaN."""
+    return F.when(~F.isnan(pix()), pix())
+
 
-V = F.col("v")
-_OK = F.when(~F.isnan(V), V)
 #: Statistics over pixels; minima and maxima skip NaN.
-STATISTICS: dict[str, Column] = {
-    "sum": F.sum("v"), "squaresum": F.sum(V * V), "minval": F.min(_OK), "maxval": F.max(_OK), "mean": F.avg("v"), "stddev": F.stddev_samp("v"),
+STATISTICS: dict[str, Callable[[], Column]] = {
+    "sum": lambda: F.sum("v"), "squaresum": lambda: F.sum(pix() * pix()), "minval": lambda: F.min(_number()), "maxval": lambda: F.max(_number()), "mean": lambda: F.avg("v"), "stddev": lambda: F.stddev_samp("v"),
 }
 PROJECTIONS = {"sumproject": "sum", "meanproject": "mean", "minproject": "minval", "maxproject": "maxval"}
 BINNING = {"mean": "mean", "sum": "sum", "min": "minval", "max": "maxval"}
 
 
 def statistic(name: str, image: Image) -> DataFrame:
-    return image.df.agg(STATISTICS[name].alias("v"))
+    return image.df.agg(STATISTICS[name]().alias("v"))
 
 
 def statistics(image: Image) -> DataFrame:
     """All of STATISTICS in one pass."""
-    return image.df.agg(*[c.alias(n) for n, c in STATISTICS.items()])
+    return image.df.agg(*[c().alias(n) for n, c in STATISTICS.items()])
 
 
 def masked_mean(image: Image, ignored: float, square_root: bool = False) -> DataFrame:
-    used = F.when(~(F.isnan(V) if math.isnan(ignored) else V == ignored), V)
+    used = F.when(~(F.isnan(pix()) if math.isnan(ignored) else pix() == ignored), pix())
     return image.df.agg((F.sqrt(F.avg(used * used)) if square_root else F.avg(used)).alias("v"))
 
 
 def project(name: str, image: Image, dimension: int = 2) -> Image:
     """The image without one dimension: the others move up."""
     keep = [i for i in range(3) if i != dimension]
-    out = image.df.groupBy(*[AXES[i] for i in keep]).agg(STATISTICS[PROJECTIONS[name]].alias("v"))
+    out = image.df.groupBy(*[AXES[i] for i in keep]).agg(STATISTICS[PROJECTIONS[name]]().alias("v"))
     a, b = (F.col(AXES[i]) for i in keep)
     return image.with_rows(out.select(a.alias("x"), b.alias("y"), F.lit(0).alias("z"), "v"), (image.dims[keep[0]], image.dims[keep[1]], 1), "float32" if name in ("sumproject", "meanproject") else image.dtype)
 
@@ -47,7 +53,7 @@ def project_values(name: str, image: Image, values: Image, dimension: int = 2) -
     keep = [i for i in range(3) if i != dimension]
     both = image.df.join(values.df.select(*AXES, F.col("v").alias("w")), list(AXES))
     place = F.col(AXES[dimension])
-    best = F.min(F.struct("v", place.alias("p"), "w")) if name == "minproject" else F.min(F.struct((-V).alias("v"), place.alias("p"), "w"))
+    best = F.min(F.struct("v", place.alias("p"), "w")) if name == "minproject" else F.min(F.struct((-pix()).alias("v"), place.alias("p"), "w"))
     out = both.groupBy(*[AXES[i] for i in keep]).agg(best.alias("b"))
     a, b = (F.col(AXES[i]) for i in keep)
     return values.with_rows(out.select(a.alias("x"), b.alias("y"), F.lit(0).alias("z"), F.col("b.w").alias("v")), (image.dims[keep[0]], image.dims[keep[1]], 1))
@@ -65,7 +71,7 @@ def histogram(image: Image, low: float, high: float, bins: int, weight: Image |
     if weight:
         check_same(image, weight)
         df, n = df.join(weight.df.select(*AXES, F.col("v").alias("w")), list(AXES)), F.sum("w")
-    counts = df.groupBy(bin_of(V, low, high, bins).alias("bin")).agg(n.alias("n"))
+    counts = df.groupBy(bin_of(pix(), low, high, bins).alias("bin")).agg(n.alias("n"))
     every = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
     return every.join(counts, "bin", "left").select("bin", (F.lit(float(low)) + F.col("bin") * ((high - low) / bins)).alias("bin_start"), F.coalesce("n", F.lit(0.0)).alias("n"))
 
@@ -76,25 +82,25 @@ def histogram2(a: Image, low_a: float, high_a: float, bins_a: int, b: Image, low
     df, n = a.df.join(b.df.select(*AXES, F.col("v").alias("v2")), list(AXES)), F.count("*").cast("double")
     if weight:
         df, n = df.join(weight.df.select(*AXES, F.col("v").alias("w")), list(AXES)), F.sum("w")
-    return df.groupBy(bin_of(V, low_a, high_a, bins_a).alias("bin_a"), bin_of(F.col("v2"), low_b, high_b, bins_b).alias("bin_b")).agg(n.alias("n"))
+    return df.groupBy(bin_of(pix(), low_a, high_a, bins_a).alias("bin_a"), bin_of(F.col("v2"), low_b, high_b, bins_b).alias("bin_b")).agg(n.alias("n"))
 
 
 def bin_image(image: Image, factor: tuple[int, int, int], kind: str = "mean") -> Image:
     dims = tuple(max(1, n // f) for n, f in zip(image.dims, factor, strict=True))
     places = [(F.col(a) / F.lit(f)).cast("bigint").alias(a) for a, f in zip(AXES, factor, strict=True)]
     inside = [F.col(a) < d for a, d in zip(AXES, dims, strict=True)]
-    out = image.df.select(*places, "v").filter(inside[0] & inside[1] & inside[2]).groupBy(*AXES).agg(STATISTICS[BINNING[kind]].alias("v"))
-    return image.with_rows(out.select(*AXES, pixel_round(V, image.dtype).alias("v")), dims)
+    out = image.df.select(*places, "v").filter(inside[0] & inside[1] & inside[2]).groupBy(*AXES).agg(STATISTICS[BINNING[kind]]().alias("v"))
+    return image.with_rows(out.select(*AXES, pixel_round(pix(), image.dtype).alias("v")), dims)
 
 
 def masked_bin(image: Image, factor: int, bad: float = 0.0, undefined: float = 0.0) -> Image:
     """Means over pixels that aren't bad; undefined where all are."""
-    good = image.df.select(*AXES, F.when(V != bad, V).alias("v"))
+    good = image.df.select(*AXES, F.when(pix() != bad, pix()).alias("v"))
     places = [(F.col(a) / F.lit(factor)).cast("bigint").alias(a) for a in AXES]
     dims = tuple(max(1, n // factor) for n in image.dims)
     inside = [F.col(a) < d for a, d in zip(AXES, dims, strict=True)]
     out = good.select(*places, "v").filter(inside[0] & inside[1] & inside[2]).groupBy(*AXES).agg(F.coalesce(F.avg("v"), F.lit(float(undefined))).alias("v"))
-    return image.with_rows(out.select(*AXES, pixel_round(V, image.dtype).alias("v")), dims)
+    return image.with_rows(out.select(*AXES, pixel_round(pix(), image.dtype).alias("v")), dims)
 
 
 def normalize_z(image: Image, target: float = math.nan) -> Image:
@@ -102,7 +108,7 @@ def normalize_z(image: Image, target: float = math.nan) -> Image:
     means = image.df.groupBy("z").agg(F.avg("v").alias("m"), F.count("*").alias("k"))
     whole = F.lit(float(target)) if not math.isnan(target) else F.col("whole")
     shifts = means if not math.isnan(target) else means.crossJoin(means.agg((F.sum(F.col("m") * F.col("k")) / F.sum("k")).alias("whole")))
-    return image.with_rows(image.df.join(shifts.select("z", (whole - F.col("m")).alias("shift")), "z").select(*AXES, pixel_round(V + F.col("shift"), image.dtype).alias("v")))
+    return image.with_rows(image.df.join(shifts.select("z", (whole - F.col("m")).alias("shift")), "z").select(*AXES, pixel_round(pix() + F.col("shift"), image.dtype).alias("v")))
 
 
 def otsu(hist: DataFrame) -> float:

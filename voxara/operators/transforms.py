@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 
 from voxara.raster import AXES, Image
 
-X, Y, Z, V = (F.col(c) for c in (*AXES, "v"))
-
 
 def crop(image: Image, position: tuple, size: tuple) -> Image:
     df = image.df
@@ -22,20 +20,20 @@ def flip(image: Image, dimension: int) -> Image:
 
 def rotate_cw(image: Image) -> Image:
     w, h, d = image.dims
-    return image.with_rows(image.df.select((h - 1 - Y).alias("x"), X.alias("y"), "z", "v"), (h, w, d))
+    return image.with_rows(image.df.select((h - 1 - F.col("y")).alias("x"), F.col("x").alias("y"), "z", "v"), (h, w, d))
 
 
 def rotate_ccw(image: Image) -> Image:
     w, h, d = image.dims
-    return image.with_rows(image.df.select(Y.alias("x"), (w - 1 - X).alias("y"), "z", "v"), (h, w, d))
+    return image.with_rows(image.df.select(F.col("y").alias("x"), (w - 1 - F.col("x")).alias("y"), "z", "v"), (h, w, d))
 
 
 def reslice(image: Image, direction: str) -> Image:
     """The face named by direction becomes the first slice."""
     w, h, d = image.dims
     out = {
-        "top": ((X, Z, Y), (w, d, h)), "bottom": ((X, d - 1 - Z, h - 1 - Y), (w, d, h)),
-        "left": ((Z, Y, X), (d, h, w)), "right": ((d - 1 - Z, Y, w - 1 - X), (d, h, w)),
+        "top": ((F.col("x"), F.col("z"), F.col("y")), (w, d, h)), "bottom": ((F.col("x"), d - 1 - F.col("z"), h - 1 - F.col("y")), (w, d, h)),
+        "left": ((F.col("z"), F.col("y"), F.col("x")), (d, h, w)), "right": ((d - 1 - F.col("z"), F.col("y"), w - 1 - F.col("x")), (d, h, w)),
     }[direction.lower()]
     return image.with_rows(image.df.select(*[c.alias(a) for c, a in zip(out[0], AXES, strict=True)], "v"), out[1])
 
@@ -62,6 +60,6 @@ def copy_into(source: Image, target: Image, location: tuple) -> Image:
 
 def montage(image: Image, columns: int, rows: int, first: int = 0, step: int = 1) -> Image:
     w, h, _ = image.dims
-    k = ((Z - first) / step).cast("bigint")
-    used = image.df.filter((Z >= first) & ((Z - first) % step == 0) & (k < columns * rows))
-    return image.with_rows(used.select((X + k % columns * w).alias("x"), (Y + (k / columns).cast("bigint") * h).alias("y"), F.lit(0).alias("z"), "v"), (w * columns, h * rows, 1))
+    k = ((F.col("z") - first) / step).cast("bigint")
+    used = image.df.filter((F.col("z") >= first) & ((F.col("z") - first) % step == 0) & (k < columns * rows))
+    return image.with_rows(used.select((F.col("x") + k % columns * w).alias("x"), (F.col("y") + (k / columns).cast("bigint") * h).alias("y"), F.lit(0).alias("z"), "v"), (w * columns, h * rows, 1))

@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxara.operators import generate, neighbourhood, pointwise, regions, statistics, transforms
-from voxara.raster import AXES, Image, new_image, pixel_round
+from voxara.raster import AXES, Image, new_image, pix, pixel_round
 
-V = F.col("v")
 Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 EMB = "emb AS (SELECT (k % 8)::BIGINT AS x, (k // 8)::BIGINT AS y, vec_id AS z, embedding[k + 1]::DOUBLE AS v FROM embeddings, range(64) t(k))"
 U8 = EMB + ", u8 AS (SELECT x, y, z, least(greatest(round((v + 0.5) * 255), 0), 255) AS v FROM emb)"
@@ -29,7 +28,7 @@ def emb(spark: SparkSession, sf_dir: str) -> Image:
 
 def u8(spark: SparkSession, sf_dir: str) -> Image:
     image = emb(spark, sf_dir)
-    return image.with_rows(image.df.select(*AXES, pixel_round((V + 0.5) * 255, "uint8").alias("v")), dtype="uint8")
+    return image.with_rows(image.df.select(*AXES, pixel_round((pix() + 0.5) * 255, "uint8").alias("v")), dtype="uint8")
 
 
 def _of(base: Callable, f: Callable[[Image], Image | DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -85,7 +84,7 @@ def table() -> dict[str, Query]:
     out["px_swapbyteorder"] = _of(u8, lambda im: pointwise.swap_byte_order(pointwise.convert(im, "uint16"))), _pixel("v * 256")
     out["px_eval"] = _of(u8, lambda im: pointwise.evaluate("x0 / 2 + x1 / 4 + z % 3", im, transforms.flip(im, 0))), f"WITH {U8}, {second} SELECT x, y, z, ({_sat('v / 2 + w / 4 + z % 3')})::DOUBLE AS v FROM u8 JOIN b USING (x, y, z)"
     out["px_complex"] = (
-        _of(emb, lambda im: pointwise.complex_unary("normalize", im.df.select(*AXES, V.alias("re"), (V * V + 1).alias("im")))),
+        _of(emb, lambda im: pointwise.complex_unary("normalize", im.df.select(*AXES, pix().alias("re"), (pix() * pix() + 1).alias("im")))),
         f"WITH {EMB} SELECT x, y, z, v / sqrt(v * v + (v * v + 1) * (v * v + 1)) AS re, (v * v + 1) / sqrt(v * v + (v * v + 1) * (v * v + 1)) AS im FROM emb",
     )
 

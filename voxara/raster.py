@@ -26,6 +26,11 @@ def pixel_round(v: Column, dtype: str) -> Column:
     return F.when(F.isnan(v), F.lit(0.0)).otherwise(F.least(F.greatest(F.round(v), F.lit(float(bounds[0]))), F.lit(float(bounds[1]))))
 
 
+def pix() -> Column:
+    """The pixel value."""
+    return F.col("v")
+
+
 @dataclass(frozen=True)
 class Image:
     df: DataFrame
