@@ -128,20 +128,20 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     typed.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-SEGMENT = "origin string, number bigint, total bigint, type string, refers_to string, url string, digest string, block binary"
+SEGMENT = "origin string, number bigint, total bigint, type string, refers_to string, url string, digest string, segmented boolean, block binary"
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the WARC files under path; origin is the record a continuation belongs to, or its own id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("origin", pa.string()), ("number", pa.int64()), ("total", pa.int64()), ("type", pa.string()), ("refers_to", pa.string()), ("url", pa.string()), ("digest", pa.string()), ("block", pa.binary())])
+        schema = pa.schema([("origin", pa.string()), ("number", pa.int64()), ("total", pa.int64()), ("type", pa.string()), ("refers_to", pa.string()), ("url", pa.string()), ("digest", pa.string()), ("segmented", pa.bool_()), ("block", pa.binary())])
         for batch in batches:
             for cell in batch.column(0):
                 rows: list[tuple] = []
                 for head, block in parse(cell.as_buffer().to_pybytes()):
                     number, total = head.get("warc-segment-number", ""), head.get("warc-segment-total-length", "")
-                    rows.append((head.get("warc-segment-origin-id") or head.get("warc-record-id", ""), int(number) if number.isdigit() else 1, int(total) if total.isdigit() else None, head.get("warc-type", ""), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-payload-digest"), block))
+                    rows.append((head.get("warc-segment-origin-id") or head.get("warc-record-id", ""), int(number) if number.isdigit() else 1, int(total) if total.isdigit() else None, head.get("warc-type", ""), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-payload-digest"), bool(number) or head.get("warc-type") == "continuation", block))
                     if len(rows) == 1000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                         rows = []
@@ -159,10 +159,12 @@ def reassemble(segments: DataFrame) -> DataFrame:
     payload_bytes and payload_digest are those of the payload it stands for. A record of one segment passes as it is.
     """
     parts = F.sort_array(F.collect_list(F.struct("number", "block")))
-    whole = segments.groupBy("origin").agg(
+    whole = segments.filter("segmented").groupBy("origin").agg(
         F.max(F.when(F.col("type") != "continuation", F.col("type"))).alias("type"), F.max("refers_to").alias("refers_to"), F.max("url").alias("url"), F.max("digest").alias("digest"), F.max("total").alias("total"),
         F.count("*").alias("n"), F.max("number").alias("last"), parts.alias("parts"),
     )
+    # A record of one segment has nothing to wait for, so its block isn't shuffled.
+    alone = segments.filter("not segmented").select("origin", "type", "refers_to", "url", "digest", "total", F.lit(1).cast("bigint").alias("n"), F.col("number").alias("last"), F.array(F.struct("number", "block")).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["record_id", "record_type", "refers_to", "url", "payload", "payload_bytes", "payload_digest", "complete"]
@@ -188,7 +190,7 @@ def reassemble(segments: DataFrame) -> DataFrame:
                         rows.append((origin, type_, refers, url, None, None, stated, False))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return whole.select("origin", "type", "refers_to", "url", "digest", "total", "n", "last", "parts").mapInArrow(run, "record_id string, record_type string, refers_to string, url string, payload binary, payload_bytes bigint, payload_digest string, complete boolean")
+    return whole.select(*alone.columns).union(alone).mapInArrow(run, "record_id string, record_type string, refers_to string, url string, payload binary, payload_bytes bigint, payload_digest string, complete boolean")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
