@@ -69,3 +69,8 @@ def noise(image: Image, mean: float = 0.0, deviation: float = 1.0, seed: int = 0
     """Gaussian noise that depends on seed and coordinates alone (Box-Muller over hashes), so a repeated task gives the same."""
     uniform = lambda k: (F.pmod(F.xxhash64(*_places(), F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return image.map(pix() + mean + deviation * F.sqrt(-2 * F.ln(uniform(1))) * F.cos(2 * math.pi * uniform(2)))
+
+
+def ramp3(image: Image) -> Image:
+    """The sum of a pixel's coordinates."""
+    return image.map(sum(_places(), F.lit(0)).cast("double"))

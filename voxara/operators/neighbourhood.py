@@ -131,3 +131,68 @@ def gradient_magnitude(image: Image, sigma: float = 1.0) -> Image:
 def high_pass(image: Image, sigma: tuple, shift: float = 0.0) -> Image:
     low = gaussian(image, sigma, dtype="float32").df.select(*AXES, F.col("v").alias("g"))
     return image.with_rows(image.df.join(low, list(AXES)).select(*AXES, pixel_round(F.col("v") - F.col("g") + shift, image.dtype).alias("v")))
+
+
+def vawe(image: Image, radius: tuple, noise: float, kind: str = "Ellipsoidal", boundary: str = "Nearest") -> Image:
+    """Variance-weighted mean: flat neighbourhoods get their mean, those with more variance than the noise keep their pixel."""
+    radius = tuple(r if n > 1 else 0 for r, n in zip(radius, image.dims, strict=True))
+    places = offsets(radius, kind)
+
+    def kernel(block: np.ndarray) -> np.ndarray:
+        stack = np.stack([_shifted(block, radius, o) for o in places])
+        mean, local, own, g = stack.mean(0), stack.var(0, ddof=1), _shifted(block, radius, (0, 0, 0)), noise * noise
+        m = np.where(g <= local, g / np.where(local > 0, local, 1.0), 1.0)
+        return own - m * (own - mean)
+
+    return blockwise(image, kernel, radius, boundary)
+
+
+def bilateral(image: Image, spatial: tuple[float, float, float], radiometric: float, boundary: str = "Nearest") -> Image:
+    """Means weighted by Gaussians of distance and of difference in value, over three spatial sigmas."""
+    radius = tuple(int(np.ceil(3 * s)) if n > 1 else 0 for s, n in zip(spatial, image.dims, strict=True))
+    places = offsets(radius, "Rectangular")
+
+    def kernel(block: np.ndarray) -> np.ndarray:
+        own = _shifted(block, radius, (0, 0, 0))
+        total, weights = np.zeros(own.shape), np.zeros(own.shape)
+        for o in places:
+            there = _shifted(block, radius, o)
+            far = sum((c / s) ** 2 for c, s in zip(o, spatial, strict=True) if c)
+            w = np.exp(-0.5 * far - 0.5 * ((there - own) / radiometric) ** 2)
+            total += w * there
+            weights += w
+        return total / weights
+
+    return blockwise(image, kernel, radius, boundary)
+
+
+def gradient(image: Image, sigma: float = 1.0) -> list[Image]:
+    """The derivatives along each used axis."""
+    return [derivative(image, (sigma,) * 3, i) for i in range(3) if image.dims[i] > 1]
+
+
+def local_threshold(image: Image, radius: tuple = (1, 1, 1), method: str = "Mean", argument: float | None = None, boundary: str = "Nearest") -> Image:
+    """1 where a pixel is above its rectangular neighbourhood's threshold: Mean, MidGrey, Median, Niblack or Bernsen."""
+    if method not in ("Mean", "MidGrey", "Median", "Niblack", "Bernsen"):
+        raise ValueError(f"No local threshold method {method}")
+    radius = tuple(r if n > 1 else 0 for r, n in zip(radius, image.dims, strict=True))
+    places = offsets(radius, "Rectangular")
+
+    def kernel(block: np.ndarray) -> np.ndarray:
+        stack = np.stack([_shifted(block, radius, o) for o in places])
+        x = argument if argument is not None else 1.0 if method == "Niblack" else 0.0
+        if method in ("Mean", "Median"):
+            cut = (stack.mean(0) if method == "Mean" else np.median(stack, 0)) - x
+        elif method == "Niblack":
+            cut = stack.mean(0) + x * stack.std(0, ddof=1)
+        else:
+            low, high = stack.min(0), stack.max(0)
+            cut = (low + high) / 2
+            if method == "MidGrey":
+                cut = cut - x
+            else:
+                least, centre = (argument if argument is not None else 127.5), 127.5
+                cut = np.where(high - low < least, np.where(cut >= centre, low, high), cut)
+        return (_shifted(block, radius, (0, 0, 0)) > cut).astype(float)
+
+    return blockwise(image, kernel, radius, boundary)

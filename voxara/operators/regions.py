@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,3 +103,87 @@ def remove_small(image: Image, least: int, connectivity: str = "All") -> Image:
     small = regions.groupBy("region").count().filter(F.col("count") < least).select("region")
     gone = regions.join(small, "region", "left_semi").select(*AXES, F.lit(True).alias("gone"))
     return image.with_rows(image.df.join(gone, list(AXES), "left").select(*AXES, F.when(F.col("gone"), F.lit(0.0)).otherwise(pix()).alias("v")))
+
+
+def grow(image: Image, source: float, target: float, connectivity: str = "Nearest") -> Image:
+    """Pixels of target that a path over target pixels joins to a pixel of source become source."""
+    regions = label(image.map(pix().isin(float(source), float(target)).cast("double"), "uint8"), 1.0, connectivity).df.filter(pix() != 0).select(*AXES, pix().alias("region"))
+    joined = image.df.join(regions, list(AXES), "left")
+    seeds = joined.filter((pix() == source) & F.col("region").isNotNull()).select("region").distinct().withColumn("seed", F.lit(True))
+    return image.with_rows(joined.join(seeds, "region", "left").select(*AXES, F.when(F.col("seed"), F.lit(float(source))).otherwise(pix()).alias("v")))
+
+
+def dual_threshold(image: Image, lower: float, upper: float, connectivity: str = "Nearest") -> Image:
+    """1 at pixels of at least upper, and at those of at least lower that are joined to one."""
+    classes = image.map(F.when(pix() < lower, 0.0).when(pix() < upper, 1.0).otherwise(2.0), "uint8")
+    return grow(classes, 2, 1, connectivity).map((pix() > 1).cast("double"), image.dtype)
+
+
+def local_maxima(image: Image, connectivity: str = "All") -> Image:
+    """A number from 1 on at each region of equal nonzero pixels without a larger neighbour, 0 elsewhere."""
+    named = label(image, connectivity=connectivity).df.filter(pix() != 0).select(*AXES, pix().alias("region"))
+    pixels = image.df.join(named, list(AXES)).select(*AXES, "v", "region")
+    steps = [p for o in FORWARD[connectivity] for p in (o, tuple(-c for c in o))]
+    around = F.explode(F.array(*[F.struct(*[(F.col(a) + c).alias(a) for a, c in zip(AXES, o, strict=True)]) for o in steps]))
+    shifted = pixels.select(around.alias("p"), F.col("v").alias("own"), "region").groupBy("p", "region").agg(F.first("own").alias("own"))
+    neighbours = shifted.select("region", "own", *[F.col(f"p.{a}").alias(a) for a in AXES]).join(image.df, list(AXES))
+    lower = neighbours.filter(pix() > F.col("own")).select("region").distinct()
+    kept = pixels.join(lower, "region", "left_anti").select(*AXES, F.col("region"))
+    # A region of its own number: label again what is left, so that numbers have no gaps.
+    mask = image.df.join(kept, list(AXES), "left").select(*AXES, F.coalesce("region", F.lit(0.0)).alias("v"))
+    return label(image.with_rows(mask, dtype="uint64"), connectivity=connectivity)
+
+
+#: Analysers of particles that are aggregates alone; pca is added from moments.
+ANALYZERS = ("coordinates", "isonedge", "volume", "bounds", "pca")
+
+
+def analyze(image: Image, analyzers: tuple[str, ...] = ("coordinates", "volume")) -> DataFrame:
+    """One row for each label. Partial aggregates are sums and extremes, so a label of any size takes a fixed state.
+
+    coordinates: X, Y, Z of the first pixel in the order z, y, x. isonedge: 1 if a pixel lies on the image's border.
+    pca: centre, root eigenvalues l1 >= l2 >= l3 of the covariance, meridional eccentricity e, and the first axis as phi1, theta1.
+    """
+    if unknown := [a for a in analyzers if a.lower() not in ANALYZERS]:
+        raise ValueError(f"No analyser {unknown[0]}; there are {', '.join(ANALYZERS)}")
+    names, out = [a.lower() for a in analyzers], []
+    if "coordinates" in names:
+        out.append(F.min(F.struct("z", "y", "x")).alias("_first"))
+    if "isonedge" in names:
+        edge = F.lit(False)
+        for a, n in zip(AXES, image.dims, strict=True):
+            edge = edge | (F.col(a) <= 0) | (F.col(a) >= n - 1)
+        out.append(F.max(edge.cast("int")).alias("isonedge"))
+    if "volume" in names:
+        out.append(F.count("*").alias("volume"))
+    if "bounds" in names:
+        out += [f(a).alias(f"{n}{a}") for a in AXES for n, f in (("min", F.min), ("max", F.max))]
+    if "pca" in names:
+        out += [F.avg(a).alias(f"c{a}") for a in AXES] + [F.covar_pop(a, b).alias(f"_{a}{b}") for i, a in enumerate(AXES) for b in AXES[i:]]
+    found = image.df.filter(pix() != 0).groupBy(pix().cast("bigint").alias("label")).agg(*out)
+    if "coordinates" in names:
+        found = found.select("*", *[F.col(f"_first.{a}").alias(a) for a in AXES]).drop("_first")
+    if "pca" not in names:
+        return found
+    kept = [c for c in found.columns if not c.startswith("_")]
+    added = ["e", "l1", "l2", "l3", "phi1", "theta1"]
+
+    def eigen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            m = np.stack([f[[f"_{min(a, b)}{max(a, b)}" for b in AXES]].to_numpy() for a in AXES], 1)
+            values, vectors = np.linalg.eigh(m)
+            values, axis = np.maximum(values[:, ::-1], 0), vectors[:, :, -1]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                e = np.where(values[:, 0] > 1e-6, np.sqrt(1 - (values[:, 2] / values[:, 0]) ** 2), 0.0)
+            rest = [e, *np.sqrt(values).T, np.arctan2(axis[:, 1], axis[:, 0]), np.arccos(np.clip(axis[:, 2], -1, 1))]
+            yield f[kept].assign(**dict(zip(added, rest, strict=True)))
+
+    schema = ", ".join([f"{n} {t}" for n, t in found.select(*kept).dtypes] + [f"{n} double" for n in added])
+    return found.mapInPandas(eigen, schema)
+
+
+def analyze_particles(image: Image, analyzers: tuple[str, ...] = ("coordinates", "volume"), connectivity: str = "All", least: int = 0) -> DataFrame:
+    """Measurements of the connected regions of nonzero pixels that have at least least pixels."""
+    names = tuple(dict.fromkeys((*analyzers, "volume")))
+    out = analyze(label(image.map((pix() != 0).cast("double"), "uint8"), 1.0, connectivity), names).filter(F.col("volume") >= least)
+    return out if "volume" in [a.lower() for a in analyzers] else out.drop("volume")

@@ -121,15 +121,11 @@ def otsu(hist: DataFrame) -> float:
         m += r.n * r.bin_start
         if 0 < w < total:
             between = w * (total - w) * (m / w - (mass - m) / (total - w)) ** 2
-            if between > best:
+            if between >= best:  # of equal bins the last
                 best, at = between, r.bin_start
     return at
 
 
-def mean_threshold(hist: DataFrame) -> float:
-    return hist.agg(F.sum(F.col("bin_start") * F.col("n")) / F.sum("n")).first()[0]
-
-
 def isodata(hist: DataFrame) -> float:
     """The value halfway between the means below and above it."""
     rows = sorted(hist.select("bin_start", "n").collect())
@@ -144,8 +140,74 @@ def isodata(hist: DataFrame) -> float:
     return t
 
 
-METHODS = {"Otsu": otsu, "Mean": mean_threshold, "IsoData": isodata}
+def _counts(hist: DataFrame) -> tuple[list[float], list[float]]:
+    rows = sorted(hist.select("bin_start", "n").collect())
+    return [r.bin_start for r in rows], [r.n for r in rows]
+
+
+def median_bin(hist: DataFrame) -> float:
+    """The first bin at which half of the pixels are reached."""
+    starts, n = _counts(hist)
+    half, seen = sum(n) / 2, 0.0
+    for start, k in zip(starts, n, strict=True):
+        seen += k
+        if seen >= half:
+            return start
+    return starts[-1]
+
+
+def max_entropy(hist: DataFrame) -> float:
+    """Kapur, Sahoo and Wong: the largest sum of the entropies below and above."""
+    starts, n = _counts(hist)
+    total = sum(n) or 1.0
+    p = [k / total for k in n]
+    h = [-q * math.log(q) if q > 0 else 0.0 for q in p]
+    whole, best, at, mass, part = sum(h), -math.inf, starts[0], 0.0, 0.0
+    for start, q, e in zip(starts, p, h, strict=True):
+        mass, part = mass + q, part + e
+        if 1e-12 < mass < 1 - 1e-12 and (score := math.log(mass * (1 - mass)) + part / mass + (whole - part) / (1 - mass)) > best:
+            best, at = score, start
+    return at
+
+
+def triangle(hist: DataFrame) -> float:
+    """Zack, Rogers and Latt: the bin farthest below the line from the peak to the farther end."""
+    starts, n = _counts(hist)
+    used = [i for i, k in enumerate(n) if k > 0]
+    if not used:
+        return starts[0]
+    peak = max(used, key=lambda i: n[i])
+    end = used[0] if peak - used[0] > used[-1] - peak else used[-1]
+    if peak == end:
+        return starts[peak]
+    line = lambda i: n[peak] + (n[end] - n[peak]) * (i - peak) / (end - peak)
+    return starts[max(range(min(peak, end), max(peak, end) + 1), key=lambda i: line(i) - n[i])]
+
+
+METHODS = {"Otsu": otsu, "IsoData": isodata, "Median": median_bin, "MaxEntropy": max_entropy, "Triangle": triangle}
+
+
+def moment_threshold(method: str, mean: Column, deviation: Column, low: Column, high: Column, arguments: tuple[float | None, ...] = ()) -> Column:
+    """The methods that need mean, deviation, minimum and maximum alone, for a whole image or a neighbourhood."""
+    given = lambda i, default: arguments[i] if len(arguments) > i and arguments[i] is not None else default
+    if method == "Mean":
+        return mean - given(0, 0.0)
+    if method == "MidGrey":
+        return (low + high) / 2 - given(0, 0.0)
+    if method == "Niblack":
+        return mean + given(0, 1.0) * deviation - given(1, 0.0)
+    if method == "Phansalkar":
+        return mean * (1 + given(2, 2.0) * F.exp(-given(3, 10.0) * mean) + given(0, 0.25) * (deviation / given(1, 0.5) - 1))
+    if method == "Sauvola":
+        return mean * (1 + given(0, 1.0) * (deviation / given(1, 1.0) - 1))
+    raise ValueError(f"No threshold method {method}")
+
+
+MOMENT_METHODS = ("Mean", "MidGrey", "Niblack", "Phansalkar", "Sauvola")
 
 
-def auto_threshold_value(image: Image, method: str = "Otsu", low: float = 0.0, high: float = 256.0, bins: int = 256) -> float:
+def auto_threshold_value(image: Image, method: str = "Otsu", low: float = 0.0, high: float = 256.0, bins: int = 256, arguments: tuple[float | None, ...] = ()) -> float:
+    """The threshold of a histogram method, or of one that needs moments alone; those take one pass without a histogram."""
+    if method in MOMENT_METHODS:
+        return image.df.agg(moment_threshold(method, *(STATISTICS[s]() for s in ("mean", "stddev", "minval", "maxval")), arguments)).first()[0]
     return METHODS[method](histogram(image, low, high, bins))

@@ -1,10 +1,14 @@
-"""Geometry: filters and projections over the coordinates, which need no shuffle."""
+"""Geometry: filters and projections over the coordinates, which need no shuffle, and interpolated resampling."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxara.raster import AXES, Image
+from voxara.raster import AXES, Image, new_image, pixel_round
 
 
 def crop(image: Image, position: tuple, size: tuple) -> Image:
@@ -63,3 +67,75 @@ def montage(image: Image, columns: int, rows: int, first: int = 0, step: int = 1
     k = ((F.col("z") - first) / step).cast("bigint")
     used = image.df.filter((F.col("z") >= first) & ((F.col("z") - first) % step == 0) & (k < columns * rows))
     return image.with_rows(used.select((F.col("x") + k % columns * w).alias("x"), (F.col("y") + (k / columns).cast("bigint") * h).alias("y"), F.lit(0).alias("z"), "v"), (w * columns, h * rows, 1))
+
+
+def resample(image: Image, dims: tuple[int, int, int], source: Callable[[Column, Column, Column], tuple[Column, Column, Column]], interpolation: str = "Linear", boundary: str = "Zero") -> Image:
+    """An image of size dims whose pixel at (x, y, z) is interpolated at source(x, y, z) of the input.
+
+    Nearest or Linear; beyond the input pixels are 0 (Zero) or the nearest ones (Nearest). Corners of weight 0 aren't
+    joined, so whole-pixel positions read one pixel each.
+    """
+    if interpolation not in ("Nearest", "Linear"):
+        raise ValueError(f"Interpolation {interpolation} isn't supported")
+    places = source(*(F.col(a).cast("double") for a in AXES))
+    grid = new_image(image.df.sparkSession, dims).df.select(*AXES, *[p.alias(f"s{a}") for a, p in zip(AXES, places, strict=True)])
+    for a, n in zip(AXES, image.dims, strict=True):
+        s = F.col(f"s{a}")
+        if interpolation == "Nearest" or n == 1:
+            corners = F.array(F.struct(F.floor(s + 0.5).alias("at"), F.lit(1.0).alias("w")))
+        else:
+            t = s - F.floor(s)
+            corners = F.filter(F.array(F.struct(F.floor(s).alias("at"), (1 - t).alias("w")), F.struct((F.floor(s) + 1).alias("at"), t.alias("w"))), lambda c: c["w"] > 0)
+        grid = grid.withColumn(f"c{a}", F.explode(corners))
+    clip = lambda c, n: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1)) if boundary == "Nearest" else c
+    corners = grid.select(*AXES, *[clip(F.col(f"c{a}.at"), n).alias(f"i{a}") for a, n in zip(AXES, image.dims, strict=True)], (F.col("cx.w") * F.col("cy.w") * F.col("cz.w")).alias("w"))
+    values = image.df.select(*[F.col(a).alias(f"i{a}") for a in AXES], "v")
+    sums = corners.join(values, [f"i{a}" for a in AXES], "left").groupBy(*AXES).agg(F.sum(F.col("w") * F.coalesce("v", F.lit(0.0))).alias("v"))
+    return image.with_rows(sums.select(*AXES, pixel_round(F.col("v"), image.dtype).alias("v")), tuple(dims))
+
+
+def shift(image: Image, by: tuple[float, float, float], interpolation: str = "Linear", boundary: str = "Zero") -> Image:
+    """Translation by any amount."""
+    return resample(image, image.dims, lambda *p: tuple(c - float(s) for c, s in zip(p, by, strict=True)), interpolation, boundary)
+
+
+def rotate(image: Image, angle: float, axis: tuple = (0, 0, 1), dims: tuple | None = None, input_center: tuple | None = None, output_center: tuple | None = None, interpolation: str = "Linear", boundary: str = "Zero") -> Image:
+    """Rotation by angle (radians) around axis: out = R (in - input_center) + output_center; the centres are by default those of the images."""
+    dims = tuple(dims or image.dims)
+    a = input_center or tuple(n / 2 for n in image.dims)
+    b = output_center or tuple(n / 2 for n in dims)
+    norm = math.sqrt(sum(c * c for c in axis))
+    u = [c / norm for c in axis]
+    cos, sin = math.cos(angle), math.sin(angle)
+    cross = [[0, -u[2], u[1]], [u[2], 0, -u[0]], [-u[1], u[0], 0]]
+    turn = [[cos * (i == j) + sin * cross[i][j] + (1 - cos) * u[i] * u[j] for j in range(3)] for i in range(3)]
+
+    def source(*p: Column) -> tuple[Column, Column, Column]:
+        d = [c - float(o) for c, o in zip(p, b, strict=True)]
+        # Rounded, so that turns by right angles read whole pixels.
+        return tuple(F.round(sum((d[i] * turn[i][j] for i in range(3)), F.lit(0.0)) + float(a[j]), 9) for j in range(3))
+
+    return resample(image, dims, source, interpolation, boundary)
+
+
+def cart_to_cyl(image: Image, dims: tuple, origin: tuple = (0, 0, 0), interpolation: str = "Linear", boundary: str = "Zero") -> Image:
+    """x of the result is the distance from origin, y the azimuth with the height as a full turn; positions are rounded before the origin is added."""
+
+    def source(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+        t = y / dims[1] * (2 * math.pi)
+        return F.round(x * F.cos(t)) + float(origin[0]), F.round(x * F.sin(t)) + float(origin[1]), z + float(origin[2])
+
+    return resample(image, dims, source, interpolation, boundary)
+
+
+def pixels_at(image: Image, positions: DataFrame) -> DataFrame:
+    """positions (any columns, with x, y, z of any number type) with the value v of the pixel that each is rounded to; null outside the image."""
+    near = positions.select("*", *[F.round(F.col(a)).cast("bigint").alias(f"_{a}") for a in AXES])
+    values = image.df.select(*[F.col(a).alias(f"_{a}") for a in AXES], "v")
+    return near.join(values, [f"_{a}" for a in AXES], "left").drop(*[f"_{a}" for a in AXES])
+
+
+def scale(image: Image, factor: tuple[float, float, float], interpolation: str = "Linear", boundary: str = "Nearest") -> Image:
+    """Enlarged or reduced by any factor, without averaging."""
+    dims = tuple(max(1, round(n * f)) for n, f in zip(image.dims, factor, strict=True))
+    return resample(image, dims, lambda *p: tuple(c / float(f) for c, f in zip(p, factor, strict=True)), interpolation, boundary)

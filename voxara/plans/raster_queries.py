@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxara.operators import generate, neighbourhood, pointwise, regions, statistics, transforms
+from voxara.operators import distance, generate, neighbourhood, pointwise, regions, statistics, transforms
 from voxara.raster import AXES, Image, new_image, pix, pixel_round
 
 Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
@@ -91,7 +91,7 @@ def table() -> dict[str, Query]:
     grid = "g AS (SELECT (i % 20)::BIGINT AS x, (i // 20 % 15)::BIGINT AS y, (i // 300)::BIGINT AS z FROM range(3000) t(i))"
     blank = lambda spark: new_image(spark, (20, 15, 10), "uint8")
     drawn = {
-        "newimage": (lambda im: im, "0"), "ramp": (lambda im: generate.ramp(im, 1), "y"),
+        "newimage": (lambda im: im, "0"), "ramp": (lambda im: generate.ramp(im, 1), "y"), "ramp3": (generate.ramp3, "x + y + z"),
         "setedges": (lambda im: generate.set_edges(im, 9, 2), "CASE WHEN x < 2 OR x >= 18 OR y < 2 OR y >= 13 OR z < 2 OR z >= 8 THEN 9 ELSE 0 END"),
         "box": (lambda im: generate.box(im, (3, 4, 2), (5, 6, 3), 7), "CASE WHEN x >= 3 AND x < 8 AND y >= 4 AND y < 10 AND z >= 2 AND z < 5 THEN 7 ELSE 0 END"),
         "sphere": (lambda im: generate.sphere(im, (9.5, 7, 5), 4, 3), "CASE WHEN (x - 9.5) * (x - 9.5) + (y - 7) * (y - 7) + (z - 5) * (z - 5) < 16 THEN 3 ELSE 0 END"),
@@ -148,6 +148,14 @@ def table() -> dict[str, Query]:
     for name, sql in ranks.items():
         out[f"{name}_rectangular"] = _of(u8, lambda im, n=name: neighbourhood.rank_filter(n, im, (1, 1, 1), "Rectangular")), around.format(which="true", agg=sql)
     out["minfilter_ellipsoidal"] = _of(u8, lambda im: neighbourhood.rank_filter("minfilter", im)), around.format(which="abs(i) + abs(j) + abs(k) <= 1", agg="min(v)")
+    own = "first(v) FILTER (i = 0 AND j = 0 AND k = 0)"
+    local = {"Mean": "avg(v)", "MidGrey": "(min(v) + max(v)) / 2", "Median": "median(v)", "Niblack": "avg(v) + stddev_samp(v)"}
+    seen = around.replace("b.v FROM", "b.v, i, j, k FROM")
+    for name, sql in local.items():
+        out[f"localthreshold_{name.lower()}"] = _of(u8, lambda im, n=name: neighbourhood.local_threshold(im, (1, 1, 1), n)), seen.format(which="true", agg=f"CASE WHEN {own} > {sql} THEN 1 ELSE 0 END")
+    out["vawefilter"] = _of(u8, lambda im: neighbourhood.vawe(im, (1, 1, 1), 20, "Rectangular")), seen.format(which="true", agg=_sat(f"{own} - CASE WHEN 400 <= var_samp(v) THEN 400 / var_samp(v) ELSE 1 END * ({own} - avg(v))"))
+    out["bilateralfilter"] = _of(u8, lambda im: neighbourhood.bilateral(im, (0.5, 0.5, 0.5), 30)), None
+    out["gradient_y"] = _of(u8, lambda im: neighbourhood.gradient(im)[1]), None
     out["openingfilter"] = _of(u8, neighbourhood.opening), None
     out["closingfilter"] = _of(u8, neighbourhood.closing), None
     out["gaussfilter"] = _of(u8, lambda im: neighbourhood.gaussian(im, (1, 1, 1))), None
@@ -155,9 +163,42 @@ def table() -> dict[str, Query]:
     out["derivative"] = _of(u8, lambda im: neighbourhood.derivative(im, (1, 1, 1), 0)), None
     out["gradientmagnitude"] = _of(u8, lambda im: neighbourhood.gradient_magnitude(im)), None
 
-    small = lambda im: pointwise.with_number("threshold", transforms.crop(im, (0, 0, 0), (8, 8, 60)), 140)
+    two = lambda im: pointwise.with_number("threshold", im, 110)
+    line = "SELECT a.x, a.y, a.z, min(b.v + (a.{d} - b.{d}) * (a.{d} - b.{d})) AS v FROM {t} a JOIN {t} b ON {on} GROUP BY ALL"
+    far = f"WITH {U8}, f AS (SELECT x, y, z, CASE WHEN v > 110 THEN 1e18 ELSE 0 END::DOUBLE AS v FROM u8), " + ", ".join(f"d{d} AS ({line.format(d=d, t=t, on=' AND '.join(f'a.{a} = b.{a}' for a in AXES if a != d))})" for d, t in (("x", "f"), ("y", "dx"), ("z", "dy")))
+    out["dmap2"] = _of(u8, lambda im: distance.squared_distance(two(im))), f"{far} SELECT x, y, z, v FROM dz"
+    out["dmap"] = _of(u8, lambda im: distance.distance(two(im))), f"{far} SELECT x, y, z, sqrt(v) AS v FROM dz"
+    out["rounddistanceridge2"] = _of(u8, distance.round_ridge), _pixel(_sat("round(sqrt(v)) * round(sqrt(v))"))
+    out["finalizetmap"] = _of(u8, distance.finalize_thickness), _pixel("2 * sqrt(v)")
+    balls = "b AS (SELECT x, y, z, v AS r FROM dz WHERE v > 0), s AS (SELECT a.x, a.y, a.z, max(b.r) AS v FROM u8 a JOIN b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < b.r GROUP BY ALL)"
+    out["drawspheres2"] = _of(u8, lambda im: distance.draw_spheres(distance.squared_distance(two(im)))), f"{far}, {balls} SELECT a.x, a.y, a.z, coalesce(s.v, 0) AS v FROM u8 a LEFT JOIN s USING (x, y, z)"
+    out["tmap"] = _of(u8, lambda im: distance.thickness(two(im))), f"{far}, {balls} SELECT a.x, a.y, a.z, 2 * sqrt(coalesce(s.v, 0)) AS v FROM u8 a LEFT JOIN s USING (x, y, z)"
+
+    out["translate_linear"] = _of(emb, lambda im: transforms.shift(im, (0.25, 0, 0))), f"WITH {EMB} SELECT a.x, a.y, a.z, a.v * 0.75 + coalesce(b.v, 0) * 0.25 AS v FROM emb a LEFT JOIN emb b ON b.x = a.x - 1 AND b.y = a.y AND b.z = a.z"
+    out["scale_linear"] = _of(emb, lambda im: transforms.scale(im, (2, 1, 1))), f"WITH {EMB} SELECT a.x * 2 + i AS x, a.y, a.z, CASE WHEN i = 0 THEN a.v ELSE (a.v + b.v) / 2 END AS v FROM emb a JOIN range(2) t(i) ON true JOIN emb b ON b.x = least(a.x + 1, 7) AND b.y = a.y AND b.z = a.z"
+    out["scale_nearest"] = _of(u8, lambda im: transforms.scale(im, (0.5, 0.5, 1), "Nearest")), f"WITH {U8} SELECT x // 2 AS x, y // 2 AS y, z, v FROM u8 WHERE x % 2 = 0 AND y % 2 = 0"
+    out["rotate_quarter"] = _of(u8, lambda im: transforms.rotate(im, 1.5707963267948966, input_center=(3.5, 3.5, 0), output_center=(3.5, 3.5, 0))), f"WITH {U8} SELECT 7 - y AS x, x AS y, z, v FROM u8"
+    out["carttocyl"] = _of(u8, lambda im: transforms.cart_to_cyl(im, (4, 4, im.dims[2]), (4, 4, 0))), (
+        f"WITH {U8}, c AS (SELECT r::BIGINT AS x, t::BIGINT AS y, 4 + r * [1, 0, -1, 0][t + 1] AS i, 4 + r * [0, 1, 0, -1][t + 1] AS j FROM range(4) a(r), range(4) b(t)) SELECT c.x, c.y, u8.z, u8.v FROM c JOIN u8 ON u8.x = i AND u8.y = j"
+    )
+    out["get"] = (lambda spark, sf_dir: transforms.pixels_at(u8(spark, sf_dir), spark.range(40).select((F.col("id") % 9).cast("double").alias("x"), (F.col("id") / 8).alias("y"), F.col("id").alias("z")))), f"WITH {U8}, p AS (SELECT (i % 9)::DOUBLE AS x, i / 8 AS y, i AS z FROM range(40) t(i)) SELECT p.x, p.y, p.z, u8.v FROM p LEFT JOIN u8 ON u8.x = p.x AND u8.y = round(p.y) AND u8.z = p.z"
+    moments = {"Mean": "avg(v)", "MidGrey": "(min(v) + max(v)) / 2", "Niblack": "avg(v) + stddev_samp(v)", "Sauvola": "avg(v) * (1 + (stddev_samp(v) / 1 - 1))", "Phansalkar": "avg(v) * (1 + 2 * exp(-10 * avg(v)) + 0.25 * (stddev_samp(v) / 0.5 - 1))"}
+    for name, sql in moments.items():
+        out[f"autothreshold_{name.lower()}"] = _of(u8, lambda im, n=name: pointwise.with_number("threshold", im, statistics.auto_threshold_value(im, n))), f"WITH {U8} SELECT x, y, z, CASE WHEN v > (SELECT {sql} FROM u8) THEN 1 ELSE 0 END::DOUBLE AS v FROM u8"
+    out["autothreshold_median"] = _of(u8, lambda im: pointwise.with_number("threshold", im, statistics.auto_threshold_value(im, "Median"))), f"WITH {U8} SELECT x, y, z, CASE WHEN v > (SELECT quantile_disc(v, 0.5) FROM u8) THEN 1 ELSE 0 END::DOUBLE AS v FROM u8"
+    for name in ("IsoData", "MaxEntropy", "Triangle"):
+        out[f"autothreshold_{name.lower()}"] = _of(u8, lambda im, n=name: pointwise.with_number("threshold", im, statistics.auto_threshold_value(im, n))), None
+
+    small = lambda im: pointwise.with_number("threshold", im, 140)
     out["label"] = _of(u8, lambda im: regions.label(small(im))), None
     out["analyzelabels"] = _of(u8, lambda im: regions.analyze_labels(pointwise.with_number("divide", im, 16))), f"WITH {U8} SELECT round(v / 16)::BIGINT AS label, count(*) AS volume, " + ", ".join(f"avg({a}) AS c{a}, min({a}) AS min{a}, max({a}) AS max{a}" for a in AXES) + " FROM u8 WHERE round(v / 16) <> 0 GROUP BY 1"
     out["regionremoval"] = _of(u8, lambda im: regions.remove_small(small(im), 4)), None
     out["floodfill"] = _of(u8, lambda im: regions.flood_fill(small(im), (0, 0, 0), 9)), None
+    parts = "label, min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy, min(z) AS minz, max(z) AS maxz, count(*) AS volume, max(CASE WHEN x IN (0, 7) OR y IN (0, 7) OR z IN (0, m) THEN 1 ELSE 0 END)::INT AS isonedge"
+    first = "first({0} ORDER BY z, y, x) AS {0}"
+    out["analyzelabels_all"] = _of(u8, lambda im: regions.analyze(pointwise.with_number("divide", im, 16), ("coordinates", "isonedge", "volume", "bounds"))), f"WITH {U8}, l AS (SELECT x, y, z, round(v / 16)::BIGINT AS label, max(z) OVER () AS m FROM u8) SELECT {parts}, {', '.join(first.format(a) for a in AXES)} FROM l WHERE label <> 0 GROUP BY label"
+    out["analyzeparticles"] = _of(u8, lambda im: regions.analyze_particles(small(im), regions.ANALYZERS)), None
+    out["dualthreshold"] = _of(u8, lambda im: regions.dual_threshold(im, 130, 170)), None
+    out["grow"] = _of(u8, lambda im: regions.grow(pointwise.double_threshold(im, 130, 170), 2, 1)), None
+    out["localmaxima"] = _of(u8, lambda im: regions.local_maxima(im)), None
     return out
