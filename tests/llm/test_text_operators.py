@@ -185,6 +185,53 @@ def test_document_scores(spark, monkeypatch):
     assert results[0] == results[1]
 
 
+def test_class_mixture_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "FITS", 0)
+    texts = [(i, prose(i, 20 + i) + (", Alphaa." if i % 3 else " (beta)")) for i in range(30)] + [(93, "x" * 3000 + " " + "x" * 3000), (37, None), (51, "ALPHAA! (alphaa) Betà. of of of"), (58, "of, of;")]
+    pieces = [("▁" + c, -float(i)) for i, c in enumerate("abcdefgh")] + [(c, -float(i)) for i, c in enumerate("abcdefghinorst")]
+    held = lattice.F.pmod("doc_id", lattice.F.lit(7)) == 2
+    docs = docs_of(spark, texts)
+    name = {r.doc_id: r.source for r in docs.collect()}
+    tokens = {i: (t or "").encode().lower().split() + [lattice.END] for i, t in texts}
+    own = {k: Counter() for k in set(name.values())}
+    for i, w in tokens.items():
+        if i % 7 != 2:
+            own[name[i]].update(w)
+    c = sum(own.values(), Counter())
+    n, v = sum(c.values()), len(c)
+    ones, twos = (sum(x == k for x in c.values()) for k in (1, 2))
+    d = min(0.95, max(0.1, ones / (ones + 2 * twos)))
+    cores = Counter(lattice.core_of(w)[0] for w in c if w != lattice.END)
+    shapes = Counter(lattice.core_of(w)[1] for w in c if w != lattice.END)
+    q = lattice.start_lattice(pieces)
+
+    def p(w, k):
+        g = 0.0
+        if w != lattice.END:
+            core, shape = lattice.core_of(w)
+            g = (1 - lattice.CORE) * math.exp(q.log_q(w.decode())) + (lattice.CORE * cores[core] * shapes[shape] / v**2 if core else 0)
+        total = max(c[w] - d, 0) / n + d * v / n * g
+        return max(own[k][w] - d, 0) / own[k].total() + d * len(own[k]) / own[k].total() * total
+
+    for heavy in (lattice.HEAVY, 1):
+        monkeypatch.setattr(lattice, "HEAVY", heavy)
+        for r in lattice.score_documents(docs, ~held, pieces, lattice.F.col("source")).collect():
+            assert math.isfinite(r.score) and r.score < 0
+            if r.doc_id == 93:  # its word is less likely than a double can tell
+                continue
+            found = 0.0
+            for k in own:
+                x, seen = (own[k][lattice.END] + 1) / (c[lattice.END] + len(own)), Counter()
+                for t, w in enumerate(tokens[r.doc_id]):
+                    x *= 1e3 * (lattice.ALPHA * p(w, k) + seen[w]) / (lattice.ALPHA + t)
+                    seen[w] += 1
+                found += x
+            assert abs(r.score - math.log10(found) + 3 * len(tokens[r.doc_id])) < 1e-4
+    alone = lattice.score_documents(docs, lattice.F.lit(False), pieces, lattice.F.col("source")).collect()
+    assert len(alone) == len(texts) and all(math.isfinite(r.score) and r.n_known == 0 for r in alone)
+    assert lattice.score_documents(docs.limit(0), ~held, pieces, lattice.F.col("source")).collect() == []
+
+
 def test_chunks_resist_insertions(spark):
     passage = prose(11, 70)
     docs = docs_of(spark, [(1, prose(12, 40) + passage + prose(13, 40)), (2, prose(14, 25) + " inserted " + passage), (3, prose(15, 200)), (4, None), (5, "")])

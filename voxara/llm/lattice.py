@@ -3,13 +3,20 @@
 A document's words are independent given the model, and so is its end. A word's marginal probability sums over all
 segmentations into pieces of an existing vocabulary, by a forward recursion in log space over the lattice of pieces;
 characters without a piece pass as bytes. The vocabulary's scores are ranks, so they start as Zipf weights and are
-re-estimated FITS times from the best segmentations of the training word types. Words seen in training also are arcs of
-their own, with absolutely discounted counts; what the discount takes goes to the lattice:
+re-estimated FITS times from the best segmentations of the training word types. A word's core (lower-cased, without
+punctuation at its ends) that training words have is an arc over the word too, with the share of types that have the
+core and the share of those that have its shape (punctuation and case). Words seen in training also are arcs of their
+own, with absolutely discounted counts; what the discount takes goes to the lattice R with the core's arc:
 
-    P(w) = max(c(w) - d, 0) / N + d * V / N * Q(w)
+    P(w) = max(c(w) - d, 0) / N + d * V / N * R(w),    R(w) = (1 - CORE) * Q(w) + CORE * core(w) * shape(w)
 
-Words recur within a document (its language, its topic), so a document is a Polya urn over P: its t-th token is w with
-probability (ALPHA * P(w) + occurrences of w before) / (ALPHA + t - 1), which depends on counts alone.
+Documents fall into classes (languages, say), which training rows name and other rows don't: the document's
+probability is the mean over classes, weighted by their shares. A class k has counts of its own, and P below them:
+
+    P_k(w) = max(c_k(w) - d, 0) / N_k + d * V_k / N_k * P(w)
+
+Words recur within a document, so given its class it is a Polya urn over P_k: its t-th token is w with probability
+(ALPHA * P_k(w) + occurrences of w before) / (ALPHA + t - 1), which depends on counts alone.
 
 Counts, word types and the sums of documents are distributed tables; only words with at least N / HEAVY occurrences,
 of which there are HEAVY at most, are sent to every task. The rest is rare by that and joins without hot keys.
@@ -19,9 +26,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import string
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +38,11 @@ from pyspark.sql import functions as F
 from voxara.llm.common import read_table, stash, words
 
 HEAVY = 300_000
-ALPHA = 1_500.0
+ALPHA = 3_000.0
+#: The core's share of what the discount takes, and the commonest shapes that a core's arc may have.
+CORE, SHAPES = 0.7, 1_000
+#: Classes at most; rows of rarer ones share the last.
+CLASSES = 8
 #: Times that the pieces' weights are re-estimated.
 FITS = 1
 #: Distinct words that a task counts before it hands its counts on.
@@ -37,6 +50,8 @@ COUNTER_WORDS = 300_000
 #: The end of a document, as a token: no word holds a blank.
 END = b" "
 _MARK = "▁"
+_LOG10 = math.log(10)
+_PUNCTUATION = string.punctuation.encode()
 
 
 class Lattice:
@@ -124,32 +139,50 @@ def start_lattice(pieces: list[tuple[str, float]]) -> Lattice:
     return Lattice(_normal(first), _normal(inner), 0.3)
 
 
-def count_words(docs: DataFrame, learns: Column) -> DataFrame:
-    """token binary, c long: every token of docs (words and END) with its count in the rows that learns holds for."""
+def core_of(token: bytes) -> tuple[bytes, bytes]:
+    """A word's core, lower-cased and without punctuation at its ends, and its shape: that punctuation and whether case was lost."""
+    rest = token.lstrip(_PUNCTUATION)
+    bare = rest.rstrip(_PUNCTUATION)
+    core = bare.decode("utf-8", "replace").lower().encode()
+    return core, token[: len(token) - len(rest)] + (b" " if core == bare else b" ^ ") + rest[len(bare) :]
+
+
+def count_words(docs: DataFrame, learns: Column, which: Column, classes: int) -> DataFrame:
+    """token and core binary, shape binary, c long, by array<long>: every token of docs (words and END) with its counts in the rows that learns holds for, in all and by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: list[Counter] = [Counter() for _ in range(classes)]
         other: set[bytes] = set()
 
         def flush() -> pa.RecordBatch:
-            rest = [w for w in other if w not in seen]
-            return pa.RecordBatch.from_arrays([pa.array([*seen, *rest], pa.binary()), pa.array([*seen.values(), *[0] * len(rest)], pa.int64())], names=["token", "c"])
+            rest = [w for w in other if not any(w in x for x in seen)]
+            token = [w for x in seen for w in x] + rest
+            k = [i for i, x in enumerate(seen) for _ in x] + [0] * len(rest)
+            n = [n for x in seen for n in x.values()] + [0] * len(rest)
+            return pa.RecordBatch.from_arrays([pa.array(token, pa.binary()), pa.array(k, pa.int32()), pa.array(n, pa.int64())], names=["token", "k", "c"])
 
         for batch in batches:
-            for learn, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for learn, k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 found = words(text.as_py())
                 found.append(END)
                 if learn:
-                    seen.update(found)
+                    seen[k].update(found)
                 else:
                     other.update(found)
-                if len(seen) + len(other) > COUNTER_WORDS:
+                if sum(map(len, seen)) + len(other) > COUNTER_WORDS:
                     yield flush()
-                    seen, other = Counter(), set()
+                    seen, other = [Counter() for _ in range(classes)], set()
         yield flush()
 
-    rows = docs.select(F.coalesce(learns, F.lit(False)).alias("learn"), F.col("text").cast("string").cast("binary").alias("b"))
-    return rows.mapInArrow(run, "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [core_of(x) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], names=["token", "c", "by", "core", "shape"])
+
+    rows = docs.select(F.coalesce(learns, F.lit(False)).alias("learn"), which.cast("int").alias("k"), F.col("text").cast("string").cast("binary").alias("b"))
+    each = [F.sum(F.when(F.col("k") == i, F.col("c")).otherwise(0)) for i in range(classes)]
+    counted = rows.mapInArrow(run, "token binary, k int, c bigint").groupBy("token").agg(F.sum("c").alias("c"), F.array(*each).alias("by"))
+    return counted.mapInArrow(parts, "token binary, c bigint, by array<bigint>, core binary, shape binary")
 
 
 def fit_lattice(types: DataFrame, start: Lattice) -> Lattice:
@@ -179,51 +212,100 @@ def fit_lattice(types: DataFrame, start: Lattice) -> Lattice:
     return Lattice(_normal(new[True]), _normal(new[False]), stop)
 
 
-def urn(tf: int, lp: float) -> float:
-    """log10 of the product of ALPHA * P + k over k < tf, with lp = log10 P."""
-    p = ALPHA * 10.0**lp
-    return sum([math.log10(p + k) for k in range(tf)]) if tf < 50 else (math.lgamma(p + tf) - math.lgamma(p)) / math.log(10)
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """For x of at least 1: Stirling's series after eight steps of the recurrence."""
+    y = x + 8
+    steps = np.log(x)
+    for i in range(1, 8):
+        steps = steps + np.log(x + i)
+    z = 1 / (y * y)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - steps
+
 
+def urn(tf: np.ndarray, lp: np.ndarray) -> np.ndarray:
+    """log10 of the product of ALPHA * P + k over k < tf, summed over words (rows) for each class (column), with lp = log10 P."""
+    out = lp.sum(0) + math.log10(ALPHA) * len(tf)
+    more = tf > 1
+    if more.any():
+        p = ALPHA * 10.0 ** lp[more]
+        out += (_log_gamma(p + tf[more, None]) - _log_gamma(p + 1)).sum(0) / _LOG10
+    return out
 
-def score_documents(docs: DataFrame, learns: Column, pieces: list[tuple[str, float]]) -> DataFrame:
+
+def class_names(docs: DataFrame, learns: Column, class_of: Column | None) -> list[str]:
+    """The commonest CLASSES classes of rows that learns holds for, commonest first; a null is the class without a name."""
+    if class_of is None:
+        return [""]
+    named = docs.filter(learns).groupBy(F.coalesce(class_of.cast("string"), F.lit("")).alias("name")).agg(F.count("*").alias("n"))
+    return [r["name"] for r in named.orderBy(F.desc("n"), "name").limit(CLASSES).collect()] or [""]
+
+
+def score_documents(docs: DataFrame, learns: Column, pieces: list[tuple[str, float]], class_of: Column | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every whole text (null: empty).
 
-    learns: which rows the model learns from. score is log10 of the model's probability of the document's words and
-    its end; base_score that of add-one counts. Repeated rows have a result each. Without training rows all tokens are
-    unknown, and score comes from the lattice alone.
+    learns: which rows the model learns from; class_of: a training row's class, which is not read from other rows.
+    score is log10 of the model's probability of the document's words and its end; base_score that of add-one counts.
+    Repeated rows have a result each. Without training rows all tokens are unknown, and score comes from the lattice alone.
     """
     spark = docs.sparkSession
-    types, _ = stash(count_words(docs, learns), "types")
-    total, kinds, ones, twos = types.select(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    names = class_names(docs, learns, class_of)
+    width = len(names)
+    which = F.lit(width - 1)
+    for i, name in enumerate(names[:-1]):
+        which = F.when(F.coalesce(class_of.cast("string"), F.lit("")) == name, i).otherwise(which)
+    types, _ = stash(count_words(docs, learns, which, width), "types")
+    by = [F.get("by", F.lit(i)) for i in range(width)]
+    counts = types.select(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), *[F.coalesce(F.sum(x), F.lit(0)) for x in by], *[F.count_if(x > 0) for x in by], *[F.coalesce(F.max(F.when(F.col("token") == F.lit(END), x)), F.lit(0)) for x in by]).first()
+    total, kinds, ones, twos = counts[:4]
+    class_total, class_kinds, class_docs = counts[4 : 4 + width], counts[4 + width : 4 + 2 * width], counts[4 + 2 * width :]
+    share = [math.log10((n + 1) / (sum(class_docs) + width)) for n in class_docs]
     fitted = start_lattice(pieces)
     for _ in range(FITS):
         fitted = fit_lattice(types, fitted)
-    lattice = spark.sparkContext.broadcast(fitted)
+    trained = types.filter((F.col("c") > 0) & (F.col("token") != F.lit(END)))
+    shapes = {bytes(r["shape"]): r["n"] for r in trained.groupBy("shape").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "shape").limit(SHAPES).collect()}
+    cores = trained.filter(F.length("core") > 0).groupBy("core").agg(F.count("*").alias("core_types"))
+    sent = spark.sparkContext.broadcast((fitted, shapes))
     d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
     base_less = math.log10(total + kinds + 1)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = lattice.value.log_q
+        lattice, shape_types = sent.value
         back = math.log(d * kinds / total) if total else 0.0
+        spelt = math.log1p(-CORE) if total else 0.0
+        discounts = [d * v / n if n else 1.0 for n, v in zip(class_total, class_kinds, strict=True)]
         for batch in batches:
             out = []
-            for token, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                unseen = back + q(token.decode("utf-8", "replace")) if token != END else (-20.0 if c else 0.0)
+            for token, c, own, shape, core_types in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if token == END:
+                    g = -20.0 if c else 0.0
+                else:
+                    g = spelt + lattice.log_q(token.decode("utf-8", "replace"))
+                    if core_types and shape in shape_types:
+                        arc = math.log(CORE * core_types / kinds * shape_types[shape] / kinds)
+                        g = max(g, arc) + math.log1p(math.exp(-abs(g - arc)))
+                    g += back
                 if c:
-                    own = math.log(max(c - d, 1e-9) / total)
-                    unseen = max(own, unseen) + math.log1p(math.exp(-abs(own - unseen)))
-                out.append(unseen / math.log(10))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["token", "c", "lp"])
-
-    table, _ = stash(types.mapInArrow(scored, "token binary, c bigint, lp double"), "word-scores")
-    heavy = spark.sparkContext.broadcast({bytes(r.token): (r.c, r.lp) for r in table.filter(F.col("c") > 0).filter(F.col("c") >= total / HEAVY).collect()} if total else {})
+                    own_all = math.log(max(c - d, 1e-9) / total)
+                    g = max(own_all, g) + math.log1p(math.exp(-abs(own_all - g)))
+                low, p = g / _LOG10, math.exp(g) if g > -600 else 0.0
+                lp = []
+                for x, n, less in zip(own, class_total, discounts, strict=True):
+                    q = less * p + ((x - d) / n if x else 0.0)
+                    lp.append(math.log10(q) if q else low + math.log10(less))
+                out.append(lp)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], names=["token", "c", "lp"])
+
+    with_cores = types.join(cores, "core", "left").select("token", "c", "by", "shape", "core_types")
+    table, _ = stash(with_cores.mapInArrow(scored, "token binary, c bigint, lp array<double>"), "word-scores")
+    often = table.filter((F.col("c") > 0) & (F.col("c") >= total / HEAVY)).collect() if total else []
+    heavy = spark.sparkContext.broadcast(({bytes(r.token): i for i, r in enumerate(often)}, np.array([math.log10(r.c + 1) for r in often]), np.array([r.lp for r in often]).reshape(-1, width)))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document with what frequent words give, and one for each of its other words."""
-        get, names = heavy.value.get, ["doc_id", "text_key", "token", "tf", "rows", "n", "known", "base", "score"]
-        kinds_ = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        logs: dict[int, float] = {}
-        log_alpha = math.log10(ALPHA)
+        index, log_counts, log_p = heavy.value
+        get, names_ = index.get, ["doc_id", "text_key", "token", "tf", "rows", "n", "known", "base", "scores"]
+        kinds_ = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
@@ -234,35 +316,40 @@ def score_documents(docs: DataFrame, learns: Column, pieces: list[tuple[str, flo
                     key = hashlib.md5(text).digest()
                     found = Counter(words(text))
                     found[END] += 1
-                    n, known, base, score = sum(found.values()), 0, 0.0, 0.0
-                    for w, tf in found.items():
-                        if (x := get(w)) is None:
-                            out.append((key, w, tf, 0, 0, 0, 0.0, 0.0))
+                    ids = np.fromiter((get(w, -1) for w in found), np.int64, len(found))
+                    tfs = np.fromiter(found.values(), np.int64, len(found))
+                    n, here = int(tfs.sum()), ids >= 0
+                    if not here.all():
+                        tokens = list(found)
+                        for j in np.flatnonzero(~here):
+                            out.append((key, tokens[j], int(tfs[j]), 0, 0, 0, 0.0, None))
                             take.append(i)
-                        else:
-                            if (lg := logs.get(x[0])) is None:
-                                lg = logs[x[0]] = math.log10(x[0] + 1)
-                            known += tf
-                            base += tf * lg
-                            score += log_alpha + x[1] if tf == 1 else urn(tf, x[1])
-                    score -= (math.lgamma(ALPHA + n) - math.lgamma(ALPHA)) / math.log(10)
-                    out.append((key, b"\n" + key, 0, 1, n, known, base, score))
+                    ids, tfs = ids[here], tfs[here]
+                    scores = urn(tfs, log_p[ids]) - (math.lgamma(ALPHA + n) - math.lgamma(ALPHA)) / _LOG10
+                    out.append((key, b"\n" + key, 0, 1, n, int(tfs.sum()), float((tfs * log_counts[ids]).sum()), scores))
                     take.append(i)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_, strict=True))], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_, strict=True))], names=names_)
 
     kind = dict(docs.dtypes)["doc_id"]
-    each = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("b")).mapInArrow(spread, f"doc_id {kind}, text_key binary, token binary, tf bigint, rows bigint, n bigint, known bigint, base double, score double")
+    each = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("b")).mapInArrow(spread, f"doc_id {kind}, text_key binary, token binary, tf bigint, rows bigint, n bigint, known bigint, base double, scores array<double>")
     joined = each.join(table, "token", "left")
-    tf, p = F.col("tf"), F.lit(ALPHA) * F.pow(F.lit(10.0), F.col("lp"))
-    rare = F.when(tf == 1, F.col("lp") + math.log10(ALPHA)).when(tf > 1, F.aggregate(F.sequence(F.lit(0), tf - 1), F.lit(0.0), lambda a, k: a + F.log10(p + k))).otherwise(0.0)
+    tf, m = F.col("tf"), F.col("m")
+
+    def of_class(k: int) -> Column:
+        lp = F.get("lp", F.lit(k))
+        p = F.lit(ALPHA) * F.pow(F.lit(10.0), lp)
+        again = F.when(tf > 1, F.aggregate(F.sequence(F.lit(1), tf - 1), F.lit(0.0), lambda a, j: a + F.log10(p + j))).otherwise(0.0)
+        return F.sum(F.when(tf > 0, lp + math.log10(ALPHA) + again).otherwise(F.get("scores", F.lit(k)))).alias(f"s{k}")
+
     sums = joined.groupBy("doc_id", "text_key").agg(
         F.sum("rows").alias("m"), F.sum("n").alias("n"), F.sum(F.col("known") + F.when(F.col("c") > 0, tf).otherwise(0)).alias("known"),
-        F.sum(F.col("base") + F.when(tf > 0, tf * F.log10(F.coalesce("c", F.lit(0)) + 1)).otherwise(0.0)).alias("base"), F.sum(F.col("score") + rare).alias("score"),
+        F.sum(F.col("base") + F.when(tf > 0, tf * F.log10(F.coalesce("c", F.lit(0)) + 1)).otherwise(0.0)).alias("base"), *[of_class(k) for k in range(width)],
     )
-    m = F.col("m")
-    return sums.select(
-        "doc_id", F.explode(F.sequence(F.lit(1), F.col("m"))), (F.col("n") / m).cast("bigint").alias("n_tokens"), (F.col("known") / m).cast("bigint").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base") / m - F.lit(base_less) * F.col("n") / m).alias("base_score"), (F.col("score") / m).alias("score"),
+    given = sums.withColumn("given", F.array(*[F.col(f"s{k}") / m + share[k] for k in range(width)])).withColumn("most", F.array_max("given"))
+    mean = F.col("most") + F.log10(F.aggregate(F.transform("given", lambda x: F.pow(F.lit(10.0), x - F.col("most"))), F.lit(0.0), lambda a, x: a + x))
+    return given.select(
+        "doc_id", F.explode(F.sequence(F.lit(1), m)), (F.col("n") / m).cast("bigint").alias("n_tokens"), (F.col("known") / m).cast("bigint").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
+        (F.col("base") / m - F.lit(base_less) * F.col("n") / m).alias("base_score"), mean.alias("score"),
     ).drop("col")
 
 
@@ -270,5 +357,5 @@ def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
-    scored = score_documents(read_table(spark, sf_dir, "documents"), ~held, vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    scored = score_documents(read_table(spark, sf_dir, "documents"), ~held, vocabulary(public_tokenizers.path("piece_bpe_32k.model")), F.col("lang"))
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
