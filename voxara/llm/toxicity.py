@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxara.llm.common import read_table, words
+from voxara.llm.common import read_table
 
 #: Labelled rows of each class that lexicons and the classifier are trained on, at most: those with the least hash of their id.
 SAMPLE_PER_CLASS = 1_500
@@ -33,19 +33,46 @@ _STRIP = b".,;:!?\"'()[]{}*_-<>|%&$#@~^=+/\\`"
 VOTERS = [f"words{i}" for i in range(LEXICONS)] + [f"stems{n}" for n in STEMS] + ["two_entries", "repeated", "dense"]
 
 
+def lower_words(text: bytes | None) -> list[bytes]:
+    return (text or b"").decode("utf-8", "replace").lower().encode().split()
+
+
+def forms(w: bytes) -> list[bytes]:
+    """A word without punctuation at its ends, and its stems (a stem ends with *)."""
+    w = w.strip(_STRIP)
+    return [w, *[w[:k] + b"*" for k in STEMS if len(w) > k]] if w else []
+
+
 def entries(text: bytes | None) -> Counter:
-    """Words without punctuation at their ends, and their stems (a stem ends with *), with their counts."""
+    """The forms of all words, with their counts."""
     out: Counter = Counter()
-    for w, n in Counter((text or b"").decode("utf-8", "replace").lower().encode().split()).items():
-        w = w.strip(_STRIP)
-        if w:
-            out[w] += n
-            for k in STEMS:
-                if len(w) > k:
-                    out[w[:k] + b"*"] += n
+    for w, n in Counter(lower_words(text)).items():
+        for f in forms(w):
+            out[f] += n
     return out
 
 
+class Finder:
+    """The same of the wanted entries alone; remembers which words have any, up to WORDS words at a time."""
+
+    WORDS = 200_000
+
+    def __init__(self, wanted: Iterable[bytes]):
+        self.wanted, self.known = frozenset(wanted), {}
+
+    def __call__(self, text: list[bytes]) -> Counter:
+        out: Counter = Counter()
+        known = self.known
+        for w, n in Counter(text).items():
+            if (has := known.get(w)) is None:
+                if len(known) >= self.WORDS:
+                    known.clear()
+                has = known[w] = tuple([f for f in forms(w) if f in self.wanted])
+            for f in has:
+                out[f] += n
+        return out
+
+
 def strength(n: int) -> float:
     """A feature's value: 1 for one occurrence, 2 for three or more."""
     return min(2.0, 0.5 + 0.5 * n)
@@ -181,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, learns=None) -> Toxicity:
     sample, toxic, sizes = [], [], []
     for r in sorted(rows.toLocalIterator(), key=lambda r: (r.doc_id, bytes(r.b or b""))):
         sample.append(entries(bytes(r.b or b"")))
-        sizes.append(len(words(bytes(r.b or b""))))
+        sizes.append(len(lower_words(bytes(r.b or b""))))
         toxic.append(chosen[r.doc_id])
     marks = np.array(toxic, bool)
     lex = {w: voter_of(w) for w in (lexicon(sample, marks) if marks.any() and not marks.all() else [])}
@@ -189,10 +216,11 @@ def train(docs: DataFrame, labels: DataFrame, learns=None) -> Toxicity:
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
+        find = Finder(sent.value)
         for batch in batches:
             for t in batch.column(0):
-                text = t.as_py()
-                total[votes(entries(text), sent.value, len(words(text)))] += 1
+                found = lower_words(t.as_py())
+                total[votes(find(found), sent.value, len(found))] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["pattern", "n"])
 
     counted = docs.select(F.col("text").cast("string").cast("binary").alias("b")).mapInArrow(patterns, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).collect() if lex else []
@@ -224,15 +252,16 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        find = Finder([*m.weights, *m.lex])
         known: dict[int, float] = {}
         for batch in batches:
             scores, posts = [], []
             for t in batch.column(1):
-                text = t.as_py()
-                found = entries(text)
+                text = lower_words(t.as_py())
+                found = find(text)
                 s = m.bias + m.sum(found)
                 scores.append(1 / (1 + np.exp(-min(50.0, max(-50.0, s)))))
-                v = votes(found, m.lex, len(words(text)))
+                v = votes(found, m.lex, len(text))
                 if v not in known:
                     known[v] = float(m.label_model.posterior(np.array([[v >> j & 1 for j in range(len(VOTERS))]], float))[0])
                 posts.append(known[v])
@@ -259,8 +288,9 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        find = Finder(m.weights)
         for batch in batches:
-            keep = [m.bias + m.sum(entries((t.as_py() or "").encode())) < 0 for t in batch.column(batch.schema.get_field_index("text"))]
+            keep = [m.bias + m.sum(find(lower_words((t.as_py() or "").encode()))) < 0 for t in batch.column(batch.schema.get_field_index("text"))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
