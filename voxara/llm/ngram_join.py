@@ -87,7 +87,10 @@ def signatures(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def shared_counts(docs: DataFrame, buckets: int, id_col: str = "doc_id") -> DataFrame:
-    """key, shared: of each set, the shingles that some other set has too."""
+    """key, shared: of each set, the shingles that some other set has too.
+
+    Shingles go to buckets by hash, and each bucket's counts go packed to as many parts by key, which add them up.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "keys", "counts", "low"]
@@ -128,10 +131,22 @@ def shared_counts(docs: DataFrame, buckets: int, id_col: str = "doc_id") -> Data
         pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
         same = pairs[1:] >> np.uint64(24) == pairs[:-1] >> np.uint64(24)
         n = np.bincount((pairs[np.r_[False, same] | np.r_[same, False]] & np.uint64(0xFFFFFF)).astype(np.int64), minlength=len(own))
-        return pa.table({"key": pa.array(own[n > 0], pa.int64()), "shared": pa.array(n[n > 0], pa.int64())})
+        own, n = own[n > 0], n[n > 0]
+        to = (own.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
+        order = np.argsort(to, kind="stable")
+        own, n, to = own[order], n[order].astype("<u4"), to[order]
+        at = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.empty(0, np.int64)
+        spans = list(zip(at, [*at[1:], len(to)], strict=True)) if len(to) else []
+        return pa.table({"part": pa.array(to[at].astype(np.int64), pa.int64()), "keys": pa.array([own[x:y].tobytes() for x, y in spans], pa.binary()), "counts": pa.array([n[x:y].tobytes() for x, y in spans], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table["keys"]])
+        counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["counts"]])
+        own, at = np.unique(keys, return_inverse=True)
+        return pa.table({"key": pa.array(own, pa.int64()), "shared": pa.array(np.bincount(at, counts).astype(np.int64), pa.int64())})
 
     packed = _rows(docs, id_col).mapInArrow(pack, "bucket bigint, keys binary, counts binary, low binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "key bigint, shared bigint").groupBy("key").agg(F.sum("shared").alias("shared"))
+    return packed.groupBy("bucket").applyInArrow(meet, "part bigint, keys binary, counts binary").groupBy("part").applyInArrow(add, "key bigint, shared bigint")
 
 
 def members(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
