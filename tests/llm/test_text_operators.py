@@ -245,6 +245,53 @@ def test_chunks_resist_insertions(spark):
         assert ends[-1] == n and all(b - a <= cdc.MOST for a, b in zip([0, *ends], ends))
 
 
+def brute_passages(texts, size):
+    """(doc, start, stop, n_words, n_copies, first doc, first start, repeats) from all runs of size words, by their bytes."""
+    runs = []
+    for i, t in texts:
+        b = (t or "").encode()
+        w = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", b)]
+        runs += [(i, k, w[k][0], w[k + size - 1][1], b[w[k][0] : w[k + size - 1][1]]) for k in range(len(w) - size + 1)]
+    places = {}
+    for i, _, a, z, x in runs:
+        places.setdefault(x, []).append((i, a))
+    out = {}
+    for i, k, a, z, x in sorted(runs):
+        (f, fs), (g, gs) = min(places[x]), max(places[x])
+        if f == g and gs < fs + len(x):
+            continue
+        again = f != i or a >= fs + len(x)
+        mine = out.setdefault((i, again), [])
+        if mine and k <= mine[-1][1]:
+            mine[-1][1:5] = [k + size, mine[-1][2], z, min(mine[-1][4], len(places[x]))]
+        else:
+            mine.append([k, k + size, a, z, len(places[x]), f, fs])
+    return {(i, a, z, m - k, n, f, fs, again) for (i, again), rows in out.items() for k, m, a, z, n, f, fs in rows}
+
+
+def found_passages(docs, **more):
+    return {(r.doc_id, r.start, r.stop, r.n_words, r.n_copies, r.first_doc_id, r.first_start, r.repeats) for r in cdc.passages(docs, **more).collect()}
+
+
+def test_passages_equal_brute_force(spark):
+    texts = [(1, None), (2, ""), (3, prose(30, 51)), (4, prose(31, 50))]
+    for k in range(150):  # passages of 51 to 60 words in two unrelated documents each
+        p = prose(1000 + k, 51 + k % 10)
+        texts += [(10 + 2 * k, f"{prose(2000 + k, 37)} {p} {prose(3000 + k, 21)}"), (11 + 2 * k, f"{prose(4000 + k, 12)}\n{p}\t{prose(5000 + k, 44)}")]
+    # each chunk of a passage is first in a document that lacks the passage; separators differ; 50 words alone; a goes on into b
+    long, a, b, fifty = prose(40, 90), prose(41, 60), prose(42, 30), prose(43, 50)
+    w = long.split()
+    texts += [(5, " ".join(w[:48]) + " cut " + " ".join(w[42:])), (400, long), (401, "é " + long), (402, long.replace(" ", "  ")), (403, a), (404, f"{a} {b} z"), (405, f"y {a} {b}")]
+    texts += [(406, f"q {fifty} r"), (407, f"s {fifty} t"), (408, f"{long} u {long}"), (409, prose(30, 51))]
+    # few distinct short words
+    r = random.Random(9)
+    few = [" ".join(r.choice("ab") for _ in range(60)) for _ in range(3)]
+    texts += [(500 + i, " ".join(r.choice("ab") for _ in range(r.randint(0, 40))) + " " + few[i % 3] + " " + prose(600 + i, i)) for i in range(12)]
+    want = brute_passages(texts, 51)
+    assert found_passages(docs_of(spark, texts)) == want and len(want) > 300
+    assert found_passages(docs_of(spark, texts), min_words=20) == brute_passages(texts, 20)
+
+
 def test_toxicity_finds_held_out(spark):
     bad = ["vilex", "grobor", "snarkle"]
     texts = [(i, prose(i, 40) + (" " + random.Random(i).choice(bad) + "." if i % 4 == 0 else "")) for i in range(400)] + [(900, None), (901, ""), (902, "Snarkle!")]

@@ -1,9 +1,13 @@
 """Substring deduplication by content-defined chunks.
 
-A gear hash rolls over the bytes of each text; a chunk ends where the hash's upper bits are zero, so boundaries move
-with their content and an insertion shifts none beyond its own chunk. Chunks are deduplicated by a 128-bit digest over
-the whole corpus: the first occurrence (least doc_id, then place) stays, others are repeats. Neighbouring repeated
-chunks of a document join to runs, and runs of at least MIN_WORDS words are passages.
+A gear hash rolls over the bytes of each text. A chunk begins at each word whose hash is the least (the last such) of
+some reach words in a row, so a chunk's ends depend on the text within reach words alone, periodic text included.
+
+1. Chunks that occur more than once in the corpus are anchors. Any min_words words in a row hold the ends of two
+   windows of reach words, so a whole chunk at least, and their copies hold the same one.
+2. Every run of min_words whole words whose inner chunks are all anchors is hashed (128 bits, separators included) and
+   counted over the whole corpus; the first occurrence (least doc_id, then place) stays, others are repeats.
+3. Such runs of a document that overlap or touch join to passages, which thereby reach to their true ends in words.
 """
 
 from __future__ import annotations
@@ -18,115 +22,185 @@ from pyspark.sql import functions as F
 
 from voxara.llm.common import read_table
 
-#: Bytes of a chunk: at least, at most; BITS zero bits end one, 2 ** BITS bytes after the least on average.
-LEAST, MOST, BITS = 16, 128, 5
-#: A passage of over 50 words holds a run of at least this many, whatever the boundaries at its ends.
-MIN_WORDS = 24
-WINDOW = 32
+#: A passage has over 50 words.
+MIN_WORDS = 51
+#: Bytes before a word that its hash takes in, and the words that these can reach back over.
+WINDOW = 8
+LEAD = WINDOW // 2
+#: Bytes of a chunk at most; a longer one is cut at multiples from its own beginning.
+MOST = 512
 #: A fixed table made by rule: one 32-bit number for each byte value.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], np.uint32)
 
 
-def boundaries(data: bytes) -> list[int]:
-    """Ends of the chunks; the last is the length. Empty data has none."""
-    n = len(data)
-    if not n:
-        return []
-    h = GEAR[np.frombuffer(data, np.uint8)]
+def reach_of(min_words: int) -> int:
+    """Words of a window: two in a row fit into min_words without the first LEAD."""
+    if min_words < LEAD + 2:
+        raise ValueError(f"min_words must be {LEAD + 2} at least")
+    return (min_words - LEAD) // 2
+
+
+def word_ends(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where blank-separated words start and stop."""
+    edge = np.flatnonzero(np.diff(np.r_[True, (b == 32) | (b - np.uint8(9) < 5), True].view(np.int8)))
+    return edge[::2], edge[1::2]
+
+
+def least_words(b: np.ndarray, starts: np.ndarray, reach: int) -> np.ndarray:
+    """For each reach words in a row, the number of the last one with the least hash."""
+    n = len(starts) - reach + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    h = np.r_[np.uint32(0), GEAR[b]]  # at i: bytes before i
     step = 1
-    while step < WINDOW:  # h(i) = gear(i) + 2 h(i-1), over 32 bytes, by doubling
+    while step < WINDOW:  # h(i) = gear(i) + 2 h(i-1), over WINDOW bytes, by doubling
         h[step:] = h[step:] + (h[:-step] << np.uint32(step))
         step *= 2
-    marks = np.flatnonzero(h >> np.uint32(32 - BITS) == 0) + 1
+    key = h[starts].astype(np.uint64) << np.uint64(32) | (np.uint64(0xFFFFFFFF) - np.arange(len(starts), dtype=np.uint64))
+    size = 1
+    while 2 * size <= reach:
+        key = np.minimum(key[:-size], key[size:])
+        size *= 2
+    key = np.minimum(key[:n], key[reach - size : reach - size + n])
+    return (np.uint64(0xFFFFFFFF) - (key & np.uint64(0xFFFFFFFF))).astype(np.int64)
+
+
+def _cuts(n: int, starts: np.ndarray, least: np.ndarray) -> list[int]:
+    cuts = starts[least[np.r_[True, least[1:] != least[:-1]]]].tolist() if len(least) else []
     out, at = [], 0
-    for m in marks.tolist():
+    for m in [*cuts, n]:
         while m - at > MOST:
             at += MOST
             out.append(at)
-        if m - at >= LEAST:
+        if m > at:
             at = m
             out.append(at)
-    while n - at > MOST:
-        at += MOST
-        out.append(at)
-    if at < n:
-        out.append(n)
     return out
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, start, stop (bytes), n_words, digest: every chunk of every whole text. Null texts and ids have none."""
+def boundaries(data: bytes, min_words: int = MIN_WORDS) -> list[int]:
+    """Ends of the chunks; the last is the length. Empty data has none."""
+    b = np.frombuffer(data, np.uint8)
+    starts, _ = word_ends(b)
+    return _cuts(len(data), starts, least_words(b, starts, reach_of(min_words)))
+
+
+def _digests(data: bytes, ends: list[int]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.uint64).view(np.int64)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").cast("binary").alias("b"))
+
+
+def chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, digest, n: the distinct chunks of each text of at least min_words words, with their occurrences in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                take: list[int] = []
-                starts: list[int] = []
-                stops: list[int] = []
-                counts: list[int] = []
-                digests: list[bytes] = []
+                take, digests, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for i, cell in enumerate(part.column(1)):
-                    data = cell.as_py()
-                    ends = boundaries(data or b"")
-                    if not ends:
+                    data = cell.as_py() or b""
+                    b = np.frombuffer(data, np.uint8)
+                    starts, _ = word_ends(b)
+                    if len(starts) < min_words:
                         continue
-                    blank = np.frombuffer(data, np.uint8)
-                    total = np.concatenate([[0], np.cumsum((blank == 32) | (blank - 9 < 5))])
-                    begin = [0, *ends[:-1]]
-                    take += [i] * len(ends)
-                    starts += begin
-                    stops += ends
-                    counts += (total[ends] - total[begin]).tolist()
-                    digests += [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(begin, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(take, pa.int64())), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(counts, pa.int32()), pa.array(digests, pa.binary())], names=["doc_id", "start", "stop", "n_words", "digest"])
+                    own, n = np.unique(_digests(data, _cuts(len(data), starts, least_words(b, starts, reach_of(min_words)))), return_counts=True)
+                    take.append(np.full(len(own), i))
+                    digests.append(own)
+                    counts.append(n)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(take))), pa.array(np.concatenate(digests)), pa.array(np.concatenate(counts), pa.int64())], names=["doc_id", "digest", "n"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").cast("binary").alias("b"))
-    return rows.mapInArrow(run, f"doc_id {kind}, start int, stop int, n_words int, digest binary")
+    return _texts(docs).mapInArrow(run, f"doc_id {kind}, digest bigint, n bigint")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """Chunks whose digest occurs more than once, with the first place that has it and the number of its occurrences.
+def anchors(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, digests: each document's chunks that occur more than once in the corpus.
 
     Counts are combined before the shuffle, so a digest that a third of all rows hold costs a row per task; the join
     back splits such a digest's rows (adaptive skew join).
     """
-    all_ = chunks(docs)
-    many = all_.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).filter("n > 1")
-    return all_.join(many, "digest")
+    all_ = chunks(docs, min_words)
+    many = all_.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select("digest")
+    return all_.select("doc_id", "digest").join(many, "digest").groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
+
+
+def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, word, start, stop (bytes), digest: every min_words whole words in a row that may occur elsewhere.
+
+    Of the chunks within, those between the first and the last of its own windows of reach words are the same in any copy, so all must be anchors.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    reach = reach_of(min_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                take, words, first, last, digests = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+                for i, (cell, found) in enumerate(zip(part.column(1), part.column(2), strict=True)):
+                    data = cell.as_py() or b""
+                    b = np.frombuffer(data, np.uint8)
+                    starts, stops = word_ends(b)
+                    n = len(starts) - min_words + 1
+                    if n <= 0:
+                        continue
+                    least = least_words(b, starts, reach)
+                    ends = _cuts(len(data), starts, least)
+                    other = np.r_[0, np.cumsum(~np.isin(_digests(data, ends), found.values.to_numpy()))]
+                    begin = np.array([0, *ends[:-1]])
+                    place = other[np.searchsorted(begin, starts[least])]
+                    j = np.flatnonzero(place[LEAD : LEAD + n] == place[min_words - reach : min_words - reach + n])
+                    take.append(np.full(len(j), i))
+                    words.append(j)
+                    first.append(starts[j])
+                    last.append(stops[j + min_words - 1])
+                    digests += [xxhash.xxh3_128_digest(data[x:y]) for x, y in zip(first[-1].tolist(), last[-1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(take))), *(pa.array(np.concatenate(x), pa.int32()) for x in (words, first, last)), pa.array(digests, pa.binary())], names=["doc_id", "word", "start", "stop", "digest"])
+
+    return _texts(docs).join(anchors(docs, min_words), "doc_id").mapInArrow(run, f"doc_id {kind}, word int, start int, stop int, digest binary")
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, stop (bytes), n_words, n_copies, first_doc_id, first_start, repeats: the runs of repeated chunks.
+    """doc_id, start, stop (bytes), n_words, n_copies, first_doc_id, first_start, repeats: the repeated passages.
 
-    repeats is false for the run that stays, whose chunks are all first occurrences. A run ends where the next chunk
-    isn't repeated, or changes between first occurrences and repeats. Equal rows count as occurrences of one place.
+    A passage is whole words. Those with repeats hold what is found at an earlier place, those without what stays: first
+    occurrences, and what overlaps its own first occurrence. The two kinds may overlap, as where a passage that is
+    copied from one document goes on into one that is first here. n_copies is the least number of occurrences of the
+    words min_words in a row, first_doc_id and first_start are of the first such. Equal rows are one place.
     """
-    each = repeated_chunks(docs).select("doc_id", "start", "stop", "n_words", "n", F.col("first.doc_id").alias("f"), F.col("first.start").alias("fs"))
-    by_doc = each.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "n_words", "n", "f", "fs"))).alias("c"))
+    all_ = windows(docs, min_words)
+    place = F.struct("doc_id", "start")
+    many = all_.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"), F.max(F.col("stop") - F.col("start")).alias("size"))
+    many = many.filter("n > 1 and (first.doc_id <> last.doc_id or last.start >= first.start + size)").select("digest", "n", "first")
+    each = all_.join(many, "digest").select("doc_id", "word", "start", "stop", "n", F.col("first.doc_id").alias("f"), F.col("first.start").alias("fs"))
+    by_doc = each.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("word", "start", "stop", "n", "f", "fs"))).alias("c"))
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["start", "stop", "n_words", "n_copies", "first_doc_id", "first_start", "repeats"]
         for batch in batches:
             take, rows = [], []
-            for i, (doc, found) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                open_: dict | None = None
-                for c in found:
-                    again = (c["f"], c["fs"]) != (doc, c["start"])
-                    if open_ and open_["stop"] == c["start"] and open_["repeats"] == again:
-                        open_["stop"] = c["stop"]
-                        open_["n_words"] += c["n_words"]
-                        open_["n_copies"] = min(open_["n_copies"], c["n"])
+            for i in range(batch.num_rows):
+                doc = batch.column(0)[i].as_py()
+                open_: dict[bool, dict] = {}
+                for c in batch.column(1)[i].as_py():
+                    again = c["f"] != doc or c["start"] >= c["fs"] + c["stop"] - c["start"]
+                    run_ = open_.get(again)
+                    if run_ and c["word"] <= run_["word"] + run_["n_words"]:
+                        run_["stop"] = c["stop"]
+                        run_["n_words"] = c["word"] - run_["word"] + min_words
+                        run_["n_copies"] = min(run_["n_copies"], c["n"])
                         continue
-                    open_ = {"start": c["start"], "stop": c["stop"], "n_words": c["n_words"], "n_copies": c["n"], "first_doc_id": c["f"], "first_start": c["fs"], "repeats": again}
-                    rows.append(open_)
+                    open_[again] = {"word": c["word"], "start": c["start"], "stop": c["stop"], "n_words": min_words, "n_copies": c["n"], "first_doc_id": c["f"], "first_start": c["fs"], "repeats": again}
+                    rows.append(open_[again])
                     take.append(i)
-            kept = [k for k, r in enumerate(rows) if r["n_words"] >= min_words]
-            ids = batch.column(0).take(pa.array([take[k] for k in kept], pa.int64()))
+            ids = batch.column(0).take(pa.array(take, pa.int64()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), ids.type, pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array([rows[k][n] for k in kept], t) for n, t in zip(names, kinds, strict=True))], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds, strict=True))], names=["doc_id", *names])
 
     return by_doc.mapInArrow(run, f"doc_id {kind}, start bigint, stop bigint, n_words bigint, n_copies bigint, first_doc_id {kind}, first_start bigint, repeats boolean")
 
