@@ -292,6 +292,19 @@ def test_passages_equal_brute_force(spark):
     assert found_passages(docs_of(spark, texts), min_words=20) == brute_passages(texts, 20)
 
 
+def test_periodic_passages_share_chunks(spark):
+    lines = ["x", "ab cd", "the same line again and", "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"]
+    texts = []
+    for k, line in enumerate(lines):
+        passage = " ".join((line.split() * 90)[: 60 + 7 * k])
+        for n in range(6):
+            texts.append((10 * k + n, f"{prose(700 + 10 * k + n, 9 + 5 * n)[3 * n :]} {passage} {prose(800 + 10 * k + n, 30)}"))
+        parts = [{t.encode()[a:z] for e in [cdc.boundaries(t.encode())] for a, z in zip([0, *e], e)} for i, t in texts[-6:]]
+        assert any(len(x.split()) and x in passage.encode() + b" " for x in set.intersection(*parts))
+    got = found_passages(docs_of(spark, texts))
+    assert got == brute_passages(texts, 51) and {r[0] for r in got} == {i for i, _ in texts}
+
+
 def test_toxicity_finds_held_out(spark):
     bad = ["vilex", "grobor", "snarkle"]
     texts = [(i, prose(i, 40) + (" " + random.Random(i).choice(bad) + "." if i % 4 == 0 else "")) for i in range(400)] + [(900, None), (901, ""), (902, "Snarkle!")]
