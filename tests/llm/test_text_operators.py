@@ -117,6 +117,24 @@ def test_decontamination_tolerates_substitutions(spark):
     assert {r.doc_id for r in decontam.decontaminated(docs, bench).collect()} == {1, 4, 5, 6}
 
 
+def test_decontamination_finds_worn_short_items(spark):
+    items, docs = [], []
+    for size in (15, 16, 17):
+        lack = size - math.ceil(0.75 * size)
+        for n, worn in enumerate(itertools.combinations(range(size), lack)):
+            if n % 23 and worn not in {(0, 5, 10), (2, 3, 4), (1, 5, 6), (0, 5, 10, 15), (5, 6, 12, 13), (1, 2, 13, 14)}:
+                continue
+            k = len(items)
+            item = [f"w{k}x{t}" for t in range(size)]
+            items.append((k, " ".join(item)))
+            docs.append((k, f"{prose(k, 9)} {' '.join('zz' if t in worn else w for t, w in enumerate(item))} {prose(k + 500, 7)}"))
+            docs.append((10_000 + k, f"{prose(k, 9)} {' '.join('zz' if t in worn or t == size // 2 + 1 or t == size // 2 else w for t, w in enumerate(item))}"))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.overlaps(docs_of(spark, docs), bench).collect()}
+    share = lambda d, i: sum(w in dict(docs)[d].split() for w in dict(items)[i].split()) / len(dict(items)[i].split())
+    assert got == {(d, d % 10_000) for d, _ in docs if share(d, d % 10_000) >= 0.75}
+
+
 def test_shingle_classes_equal_brute_force(spark, monkeypatch):
     r = random.Random(1)
     base = [prose(i, 60) for i in range(6)]

@@ -3,7 +3,7 @@
 A mask ignores fixed token positions of a window, so that a substituted word there does not hide a match. The hashes
 of all masked windows of the benchmark are joined with those of every document position; around each hit the tokens
 are compared along the diagonal in both directions, +1 for an equal token and -MISMATCH for another, up to the best
-sum. A document and an item overlap when enough tokens agree.
+sum; a short item is also compared as a whole. A document and an item overlap when enough tokens agree.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from voxara.llm.common import read_table, stash
 
 #: 1: the token counts; 0: it is ignored.
-MASKS = ["11011011", "1110111", "111101", "1010111"]
+MASKS = ["11111", "11011011", "1110111", "111101", "1010111"]
 MISMATCH = 2
-#: Least number of agreeing tokens (or all but LACK of a shorter item), and their least share of the overlap.
-MIN_TOKENS, LACK, MIN_SHARE = 13, 2, 0.75
+#: Least number of agreeing tokens (or MIN_SHARE of a shorter item), and their least share of the overlap.
+MIN_TOKENS, MIN_SHARE = 13, 0.75
 #: Tokens looked at on each side of a hit.
 REACH = 400
 #: Windows of the benchmark that are broadcast at a time (24 bytes each); a larger benchmark is taken in blocks of items.
@@ -79,9 +79,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item
         behind = F.least(i, j, F.lit(REACH))
         right = _extended(F.slice(a, i + 1, ahead), F.slice(b, j + 1, ahead))
         left = _extended(F.reverse(F.slice(a, i - behind + 1, behind)), F.reverse(F.slice(b, j - behind + 1, behind)))
-        best = hits.select("_doc", "_item", F.size(b).alias("size"), i.alias("i"), j.alias("j"), right.alias("r"), left.alias("l")).select("_doc", "_item", "size", (F.col("r.eq") + F.col("l.eq")).alias("n_equal"), (F.col("r.n") + F.col("l.n")).alias("n_compared"), (F.col("i") - F.col("l.n")).alias("doc_start"), (F.col("j") - F.col("l.n")).alias("item_start"))
-        enough = (F.col("n_equal") >= F.least(F.lit(MIN_TOKENS), F.greatest(F.col("size") - LACK, F.lit(min(map(len, MASKS)))))) & (F.col("n_equal") >= MIN_SHARE * F.col("n_compared"))
-        part = best.filter(enough).groupBy("_doc", "_item").agg(F.max(F.struct("n_equal", (-F.col("n_compared")).alias("less"), (-F.col("doc_start")).alias("s"), (-F.col("item_start")).alias("t"))).alias("b"))
+        size = F.size(b)
+        least = F.least(F.lit(MIN_TOKENS), F.ceil(size * MIN_SHARE))
+        # The best sum of a short item can end before worn words near its ends although the whole item agrees enough.
+        start = i - j
+        fits = (size * MIN_SHARE <= MIN_TOKENS) & (start >= 0) & (start + size <= F.size(a))
+        same = F.when(fits, F.size(F.filter(F.zip_with(F.slice(a, F.greatest(start, F.lit(0)) + 1, size), b, lambda x, y: x == y), lambda e: e)))
+        around = hits.select("_doc", "_item", least.alias("least"), size.alias("size"), i.alias("i"), j.alias("j"), right.alias("r"), left.alias("l"), same.alias("same"))
+        part_of = F.struct((F.col("r.eq") + F.col("l.eq")).alias("n_equal"), (F.col("r.n") + F.col("l.n")).alias("n_compared"), (F.col("i") - F.col("l.n")).alias("doc_start"), (F.col("j") - F.col("l.n")).alias("item_start"))
+        whole = F.struct(F.col("same").alias("n_equal"), F.col("size").alias("n_compared"), (F.col("i") - F.col("j")).alias("doc_start"), F.lit(0).alias("item_start"))
+        agrees = lambda o: (o["n_equal"] >= F.col("least")) & (o["n_equal"] >= MIN_SHARE * o["n_compared"])
+        own_best = around.select("_doc", "_item", F.when(agrees(part_of), part_of).when(agrees(whole), whole).alias("o")).filter("o is not null").select("_doc", "_item", "o.*")
+        part = own_best.groupBy("_doc", "_item").agg(F.max(F.struct("n_equal", (-F.col("n_compared")).alias("less"), (-F.col("doc_start")).alias("s"), (-F.col("item_start")).alias("t"))).alias("b"))
         found = part if found is None else found.unionByName(part)
     return found.select(F.col("_doc").alias(id_col), F.col("_item").alias(item_col), F.col("b.n_equal").cast("bigint").alias("n_equal"), (-F.col("b.less")).cast("bigint").alias("n_compared"), (-F.col("b.s")).cast("bigint").alias("doc_start"), (-F.col("b.t")).cast("bigint").alias("item_start"))
 
