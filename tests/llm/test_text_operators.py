@@ -135,6 +135,13 @@ def test_decontamination_finds_worn_short_items(spark):
     assert got == {(d, d % 10_000) for d, _ in docs if share(d, d % 10_000) >= 0.75}
 
 
+def test_decontamination_measures_long_overlaps(spark):
+    item = " ".join(f"w{k}" for k in range(1000))
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    (r,) = decontam.overlaps(docs_of(spark, [(1, f"a b c {item} d e")]), bench).collect()
+    assert (r.n_equal, r.n_compared, r.doc_start, r.item_start) == (1000, 1000, 3, 0)
+
+
 def test_shingle_classes_equal_brute_force(spark, monkeypatch):
     r = random.Random(1)
     base = [prose(i, 60) for i in range(6)]

@@ -18,8 +18,6 @@ MASKS = ["11111", "11011011", "1110111", "111101", "1010111"]
 MISMATCH = 2
 #: Least number of agreeing tokens (or MIN_SHARE of a shorter item), and their least share of the overlap.
 MIN_TOKENS, MIN_SHARE = 13, 0.75
-#: Tokens looked at on each side of a hit.
-REACH = 400
 #: Windows of the benchmark that are broadcast at a time (24 bytes each); a larger benchmark is taken in blocks of items.
 BROADCAST_WINDOWS = 2_000_000
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -75,8 +73,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item
         theirs = windows(block.select("_item", F.col("_theirs").alias("tokens"))).select("_item", F.col("at").alias("j"), "seed").distinct()
         hits = windows(own).join(F.broadcast(theirs), "seed").join(F.broadcast(block), "_item")
         i, j, a, b = F.col("at"), F.col("j"), F.col("tokens"), F.col("_theirs")
-        ahead = F.least(F.size(a) - i, F.size(b) - j, F.lit(REACH))
-        behind = F.least(i, j, F.lit(REACH))
+        ahead = F.least(F.size(a) - i, F.size(b) - j)
+        behind = F.least(i, j)
         right = _extended(F.slice(a, i + 1, ahead), F.slice(b, j + 1, ahead))
         left = _extended(F.reverse(F.slice(a, i - behind + 1, behind)), F.reverse(F.slice(b, j - behind + 1, behind)))
         size = F.size(b)
