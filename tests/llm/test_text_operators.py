@@ -107,6 +107,16 @@ def test_widely_copied_is_not_live(spark):
     assert out[10].n_chars == len(out[10].text) and out[11].text is None
 
 
+def test_null_ids_get_verdicts(spark, tmp_path):
+    texts = [(None, "é token=p0o9i8u7y6t5 end"), (None, "password: 'a1b2c3d4e5f6g7'"), (None, "no such thing"), (1, "secret=m1n2b3v4c5x6")]
+    docs = docs_of(spark, texts)
+    out = [(r.doc_id, r.text, r.n_chars) for r in secrets.redact(spark, docs).collect()]
+    assert len(out) == 4 and sum("<secret>" in t for _, t, _ in out) == 3 and all(n == len(t) for _, t, n in out)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = secrets.op10_secrets(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.n_live) for r in rows) == [(False, 1), (True, 0), (True, 1), (True, 1)]
+
+
 def test_decontamination_tolerates_substitutions(spark):
     item = prose(5, 40).split()
     worn = [w if i % 5 else "zz" for i, w in enumerate(item)]

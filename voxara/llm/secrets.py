@@ -91,13 +91,19 @@ def scan(docs: DataFrame, owner: Column, repository: Column) -> tuple[DataFrame,
     return found, judged(found.filter(F.size("spans") > 0), ["doc_id", "text_hash"])
 
 
+def with_verdicts(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """rows (which have doc_id and text_hash) with the other columns of verdicts, or nulls. Null ids are equal."""
+    right = verdicts.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
+    return rows.join(right, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left").drop("_doc", "_hash")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's source is its owner, and its source with its language the repository."""
     docs = read_table(spark, sf_dir, "documents")
     found, verdicts = scan(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
     count = lambda n: F.size(F.filter("spans", lambda s: s["kind"] == n)).cast("bigint")
     of = lambda v: F.coalesce(F.size(F.filter("judged", lambda s: s["verdict"] == v)), F.lit(0)).cast("bigint")
-    rows = found.join(verdicts, ["doc_id", "text_hash"], "left")
+    rows = with_verdicts(found, verdicts)
     return rows.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(span_text(F.col("spans"), len(BASE)), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"),
@@ -119,7 +125,7 @@ def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
         )
 
     text = F.aggregate("_live", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    joined = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).join(live, ["doc_id", "text_hash"], "left")
+    joined = with_verdicts(docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))), live)
     changed = F.col("_live").isNotNull()
     clean = joined.withColumn("_clean", F.when(changed, text).otherwise(F.col("text")))
     new = {"text": F.col("_clean"), "n_chars": F.when(changed, F.char_length("_clean").cast("bigint")).otherwise(F.col("n_chars"))}
