@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 from tokenizers import Tokenizer
 
-from voxara.llm import bpe, cdc, chat, decontam, lattice, mpegts, ngram_join, secrets, toxicity, warc
+from voxara.llm import bpe, cdc, chat, common, decontam, lattice, mpegts, ngram_join, secrets, toxicity, warc
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, id bigint, b string, key string"
 
@@ -179,10 +179,39 @@ def test_shingle_classes_equal_brute_force(spark, monkeypatch):
     got = {q.doc_id: (q.n_shingles, q.component_id) for q in ngram_join.classes(docs_of(spark, texts)).collect()}
     assert got == {i: (len(sets[i]), root(i)) for i in sets}
     assert ngram_join.classes(docs_of(spark, [])).count() == 0
-    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ngram_join, "SLICE", 3)
     assert {q.doc_id: q.component_id for q in ngram_join.classes(docs_of(spark, texts)).collect()} == {i: root(i) for i in sets}
 
 
+def test_one_of_each_group_stays(spark):
+    """Repeated ids with different texts are told apart; null ids, empty texts and clashing columns stay."""
+    a, b = prose(50, 40), prose(51, 40)
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b), (None, a), (4, None), (5, ""), (6, a), (6, a)]
+    got = sorted(((r.doc_id, r.text) for r in ngram_join.one_of_each(docs_of(spark, rows)).collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (None, a), (4, None), (5, "")], key=repr)
+    found = [(r.doc_id, r.n_shingles > 0, r.component_id) for r in ngram_join.classes(docs_of(spark, rows)).collect()]
+    assert sorted(found, key=repr) == sorted([(1, True, 1), (2, True, 1), (2, True, 2), (3, True, 2), (None, True, None), (4, False, 4), (5, False, 5), (6, True, 1), (6, True, 1)], key=repr)
+
+
+def test_near_links_of_a_large_family(spark):
+    """Worn copies of one text, most of which don't link with each other, against brute force."""
+    r, base = random.Random(9), prose(60, 120).split()
+    texts = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(r.choice((1, 4, 6, 9))):
+            w[r.randrange(len(w))] = f"new{r.randrange(400)}"
+        texts.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for _, t in texts]
+    root = list(range(120))
+    for a, b in itertools.combinations(range(120), 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            x, y = sorted((root[a], root[b]))
+            root = [x if v == y else v for v in root]
+    assert {q.doc_id: q.component_id for q in ngram_join.classes(docs_of(spark, texts)).collect()} == dict(enumerate(root))
+
+
 def test_lattice_equals_enumeration():
     model = lattice.Lattice({"a": -1.0, "ab": -2.0, "b": -1.5}, {"a": -1.0, "b": -2.0, "ba": -3.0, "bb": -1.2}, 0.3)
     for w in ("a", "ab", "abba", "bbabab", "acb", "é"):

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few fixed-size columns that are broadcast at most (about 100 bytes each); beyond, such a join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,6 +54,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def few(table: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A hint to broadcast tables of as many rows as table (which is stored) has, or none if those are more than BROADCAST_ROWS."""
+    return F.broadcast if table.count() <= BROADCAST_ROWS else lambda df: df
+
+
+def absent(docs: DataFrame, gone: DataFrame, keys: list[Column]) -> DataFrame:
+    """docs without the rows whose keys (one Column for each column of gone) are a row of gone; nulls in gone are equal to nulls.
+
+    gone is stored first, so that its size decides whether the texts must be shuffled. Names of docs' columns don't matter.
+    """
+    names = [f"_gone{i}_{uuid.uuid4().hex}" for i in range(len(keys))]
+    table, _ = stash(gone.toDF(*names), "gone")
+    same = [k.eqNullSafe(table[n]) for k, n in zip(keys, names, strict=True)]
+    return docs.join(few(table)(table), same, "left_anti")
+
+
 def words(text: bytes | None) -> list[bytes]:
     """A-Z lower-cased, split at bytes 20 and 09-0D: bytes.lower() and bytes.split() know ASCII alone."""
     return text.lower().split() if text else []
