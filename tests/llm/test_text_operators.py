@@ -8,7 +8,9 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from voxara.llm import bpe, cdc, chat, common, decontam, lattice, mpegts, ngram_join, secrets, toxicity, warc
@@ -117,6 +119,20 @@ def test_null_ids_get_verdicts(spark, tmp_path):
     assert sorted((r.doc_id is None, r.n_live) for r in rows) == [(False, 1), (True, 0), (True, 1), (True, 1)]
 
 
+def test_secrets_of_keys_and_clashing_columns(spark):
+    """A key file is its body; distinct keys of five owners are live; a text of many matches; columns with the operators' names."""
+    body = lambda k: f"-----BEGIN RSA PRIVATE KEY-----\n{hashlib.sha512(b'%d' % k).hexdigest()}\n-----END RSA PRIVATE KEY-----"
+    rows = [(k, f"key {body(k)} end", "en", f"s{k}", 0, "o", "h", "l") for k in range(5)]
+    rows += [(9, " ".join(f"token={k:06d}abcxyz" for k in range(700)), "en", "s9", 0, "o", "h", "l"), (None, "password=" + "k9x2mmq81z", None, None, 0, "o", "h", "l"), (10, None, "en", "s", 0, "o", "h", "l")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, owner string, text_hash string, _live string")
+    got = {r.doc_id: r for r in secrets.redact(spark, docs).collect()}
+    assert all(got[k].text == "key <secret> end" for k in range(5)) and got[None].text == "<secret>" and got[10].text is None
+    assert got[9].text.count("<secret>") == 700 and got[9].n_chars == len(got[9].text) and (got[9].owner, got[9].text_hash, got[9]._live) == ("o", "h", "l")
+    found = secrets.candidates(docs, F.col("source"), F.col("lang")).filter("doc_id = 9").select("owner", "spans").first()
+    assert found.owner == "s9" and [(s.start, s.stop) for s in found.spans] == [(m.start(), m.end()) for m in re.finditer(r"token=\w+", rows[5][1])]
+    assert secrets.redact(spark, docs.limit(0)).count() == 0
+
+
 def test_decontamination_tolerates_substitutions(spark):
     item = prose(5, 40).split()
     worn = [w if i % 5 else "zz" for i, w in enumerate(item)]
@@ -124,7 +140,8 @@ def test_decontamination_tolerates_substitutions(spark):
     bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "short one")], "item_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.overlaps(docs, bench).collect()} == {(2, 1), (3, 1)}
     assert decontam.overlaps(docs, bench.limit(0)).count() == 0
-    assert {r.doc_id for r in decontam.decontaminated(docs, bench).collect()} == {1, 4, 5, 6}
+    kept = [(r.doc_id, r.text == "x") for r in decontam.decontaminated(docs, bench).collect()]
+    assert sorted(kept) == [(1, False), (2, True), (4, False), (5, False), (6, False)]
 
 
 def test_decontamination_finds_worn_short_items(spark):
@@ -145,6 +162,52 @@ def test_decontamination_finds_worn_short_items(spark):
     assert got == {(d, d % 10_000) for d, _ in docs if share(d, d % 10_000) >= 0.75}
 
 
+def test_decontamination_equals_brute_force(spark):
+    """Whole passages, null and repeated ids, long texts and clashing columns, in one block and in several."""
+    r = random.Random(3)
+    items = [(k, prose(k, r.choice((14, 20, 60, 900)))) for k in range(12)]
+    rows = []
+    for n in range(60):
+        k = r.randrange(12)
+        w, at = items[k][1].split(), 0
+        cut = w[(at := r.randrange(max(1, len(w) - 10))) : at + r.choice((5, 12, 13, 30, 900))]
+        rows.append((r.choice((None, n, n, 7)), f"{prose(n + 99, 30)} | {' '.join(cut)} | {prose(n + 300, 10)}"))
+
+    def longest(a, b):
+        best = 0
+        for d in range(-len(b), len(a)):
+            run = 0
+            for i in range(max(0, d), min(len(a), len(b) + d)):
+                run = run + 1 if a[i] == b[i - d] else 0
+                best = max(best, run)
+        return best
+
+    def may(a, b):
+        """Some part of a diagonal holds enough equal tokens with the least share."""
+        least = min(13, math.ceil(0.75 * len(b)))
+        for d in range(-len(b), len(a)):
+            same = np.array([a[i] == b[i - d] for i in range(max(0, d), min(len(a), len(b) + d))], int)
+            eq, gain = np.r_[0, np.cumsum(same)], np.r_[0, np.cumsum(4 * same - 3)]
+            if eq[-1] >= least and ((gain[None] >= gain[:, None]) & (eq[None] - eq[:, None] >= least)).any():
+                return True
+        return False
+
+    sure = {(i, t, k) for i, t in rows for k, x in items if longest(t.split(), x.split()) >= 13}
+    bench = spark.createDataFrame([*items, (None, "x"), (99, None)], "item_id bigint, text string")
+    docs = docs_of(spark, rows)
+    found = [(q.doc_id, q.item_id) for q in decontam.overlaps(docs, bench).collect()]
+    assert Counter((i, k) for i, _, k in sure) - Counter(found) == Counter()
+    assert Counter(found) - Counter((i, k) for i, t in set(rows) for k, x in items if may(t.split(), x.split())) == Counter()
+    kept = Counter((q.doc_id, q.text) for q in decontam.decontaminated(docs, bench).collect())
+    assert not any((i, t) in kept for i, t, _ in sure)
+    whole, decontam.BROADCAST_WINDOWS, decontam.BROADCAST_TOKENS = (decontam.BROADCAST_WINDOWS, decontam.BROADCAST_TOKENS), 3000, 0
+    try:
+        assert Counter((q.doc_id, q.item_id) for q in decontam.overlaps(docs, bench).collect()) == Counter(found)
+    finally:
+        decontam.BROADCAST_WINDOWS, decontam.BROADCAST_TOKENS = whole
+    assert decontam.overlaps(docs_of(spark, []), bench).count() == 0
+
+
 def test_decontamination_measures_long_overlaps(spark):
     item = " ".join(f"w{k}" for k in range(1000))
     bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
