@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -153,19 +154,23 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
-            rows: list[tuple] = []
-            for text in batch.column(1):
-                parts = [p for p in bpe.pieces(text.as_py() or "") if p[1]]
-                ids = " ".join([p[0] for p in parts])
-                decoded = " ".join([p[2] for p in parts])
-                rows.append((sum([p[1] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), [int(i) for i in ids.split()] if with_ids else None))
-            columns = [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(pa.array([r[3] for r in rows], pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 250):  # few lists of ids in memory at a time
+                batch, rows, all_ids, ends = whole.slice(at, 250), [], [], [0]
+                for text in batch.column(1):
+                    parts = [p for p in bpe.pieces(text.as_py() or "") if p[1]]
+                    ids = " ".join([p[0] for p in parts])
+                    decoded = " ".join([p[2] for p in parts])
+                    rows.append((sum([p[1] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                    if with_ids:
+                        all_ids.append(np.fromstring(ids, np.int32, sep=" "))
+                        ends.append(ends[-1] + len(all_ids[-1]))
+                columns = [batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string())))]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(all_ids))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
@@ -178,4 +183,5 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens; see encode_documents for nulls, empty texts and repeated rows."""
     return encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
