@@ -119,17 +119,32 @@ def _parsed_section(body: bytes, table: int) -> bytes | None:
 
 
 def demux(media: bytes) -> Stream:
-    """Reads a stream; packets that lost sync or whose tables are broken count as errors, not as crashes."""
+    """Reads a stream; lost sync, gaps of a counter and broken tables count as errors, not as crashes.
+
+    A packet may be sent twice in a row: the second is passed over, a third is an error. Where sync is lost, reading goes
+    on at the next sync byte that another follows a packet later, or that ends the stream.
+    """
     out = Stream()
     maps: set[int] = set()
     media_pid = -1
     counters: dict[int, int] = {}
     known: dict[bytes, bytes | None] = {}
     units: list[tuple[int, bool, list[bytes]]] = []
-    for at in range(0, len(media) - 187, 188):
+    last: dict[int, tuple[int, bool]] = {}  # of a PID: where its last packet is, and whether that was a repeat
+    at = -188
+    while (at := at + 188) <= len(media) - 188:
         a, b, c, d = media[at : at + 4]
+        if a != 0x47:
+            out.continuity_errors += 1
+            sync = media.find(0x47, at + 1)
+            while sync >= 0 and sync + 188 < len(media) and media[sync + 188] != 0x47:
+                sync = media.find(0x47, sync + 1)
+            if sync < 0:
+                break
+            at = sync - 188
+            continue
         out.packets += 1
-        if a != 0x47 or b & 0x80:
+        if b & 0x80:
             out.continuity_errors += 1
             continue
         pid = (b & 0x1F) << 8 | c
@@ -144,8 +159,12 @@ def demux(media: bytes) -> Stream:
         if not d & 0x10:
             continue
         if counters.get(pid, d - 1 & 15) != d - 1 & 15:
+            before, again = last[pid]
+            if counters[pid] == d & 15 and not again and media[before + 4 : before + 188] == media[at + 4 : at + 188]:
+                last[pid] = at, True
+                continue
             out.continuity_errors += 1
-        counters[pid] = d & 15
+        counters[pid], last[pid] = d & 15, (at, False)
         if pid == media_pid:
             if b & 0x40:
                 units.append((-1, rap, []))
@@ -221,6 +240,7 @@ def read_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def op4_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a stored stream and what is read back; a null text is empty, null and repeated ids pass through."""
     return read_media(store_media(read_table(spark, sf_dir, "documents"))).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
         F.size("index").alias("n_packets"), F.size(F.filter("index", lambda x: x["random_access"])).alias("n_random_access"), "continuity_errors", "table_errors",
