@@ -39,13 +39,24 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-def field_paths(value: Any, at: str = "") -> set[str]:
-    """Nested field paths of a JSON value; an empty object or list counts as a leaf."""
-    if isinstance(value, dict) and value:
-        return set().union(*(field_paths(v, f"{at}.{k}") for k, v in value.items()))
-    if isinstance(value, list) and value:
-        return set().union(*(field_paths(v, f"{at}[]") for v in value))
-    return {at}
+def field_paths(value: Any) -> set[str]:
+    """Nested field paths of a JSON value; an empty object or list counts as a leaf. Any depth will do."""
+    out, todo = set(), [(value, "")]
+    while todo:
+        v, at = todo.pop()
+        if isinstance(v, dict) and v:
+            todo += [(x, f"{at}.{k}") for k, x in v.items()]
+        elif isinstance(v, list) and v:
+            todo += [(x, f"{at}[]") for x in v]
+        else:
+            out.add(at)
+    return out
+
+
+def _as_text(value: Any) -> str:
+    """A leaf as text: null is empty, what is no string is its JSON; a lone surrogate becomes a question mark."""
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return text.encode("utf-8", "replace").decode()
 
 
 def fingerprint(paths: set[str]) -> str:
@@ -67,10 +78,13 @@ MAPPINGS = {fingerprint(paths): (name, rule) for name, (paths, rule) in LAYOUTS.
 
 
 def canonical(record: str | None, mappings: dict[str, tuple[str, tuple]] = MAPPINGS) -> tuple[str, list[tuple[str, str]] | None]:
-    """(fingerprint, turns) of a JSON record; turns is None where JSON is broken or no mapping has its fingerprint. Null texts are empty."""
+    """(fingerprint, turns) of a JSON record; turns is None where JSON is broken or nested too deep to parse, or no mapping has its fingerprint.
+
+    Null texts are empty, and numbers, true, false and empty lists or objects in a text's place are their JSON.
+    """
     try:
         value = json.loads(record or "")
-    except ValueError:
+    except (ValueError, RecursionError):
         return "", None
     print_ = fingerprint(field_paths(value))
     if (rule := mappings.get(print_, ("", None))[1]) is None:
@@ -82,13 +96,17 @@ def canonical(record: str | None, mappings: dict[str, tuple[str, tuple]] = MAPPI
         return v
 
     if rule[0] == "fields":
-        return print_, [(role, reach(value, path) or "") for role, path in rule[1]]
+        return print_, [(role, _as_text(reach(value, path))) for role, path in rule[1]]
     _, path, role, text, names = rule
-    return print_, [(names.get(x.get(role) or "", x.get(role) or ""), x.get(text) or "") for x in reach(value, path)]
+    turns = [(_as_text(x.get(role)), _as_text(x.get(text))) for x in reach(value, path)]
+    return print_, [(names.get(r, r), t) for r, t in turns]
 
 
 def canonical_turns(records: DataFrame, key: str = "conv_id", json_col: str = "record") -> DataFrame:
-    """key, fingerprint, role, text: a row for each turn, in the records' order; an unmapped record gives one row with null role and text."""
+    """key, fingerprint, role, text: a row for each turn, in the records' order; an unmapped or null record gives one row with null role and text.
+
+    Null and repeated keys pass through; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
