@@ -51,6 +51,30 @@ def test_transport_stream_round_trip(n):
     assert s.index[0] == (0, 0, True) and [x[2] for x in s.index] == [i % mpegts.RAP_EVERY == 0 for i in range(len(s.index))]
 
 
+def test_transport_stream_repeats_and_lost_sync():
+    data = mpegts.pad(prose(4, 3000).encode())
+    media = mpegts.mux(data)
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    twice = mpegts.demux(b"".join(p * 2 for p in packets))
+    assert twice.payload == data and twice.continuity_errors == 0
+    assert mpegts.demux(b"".join(p * (3 if i == 5 else 1) for i, p in enumerate(packets))).continuity_errors == 1
+    shifted = mpegts.demux(b"noise" + media)
+    assert shifted.payload == data and shifted.continuity_errors == 1
+    torn = mpegts.demux(b"".join(packets[:20]) + packets[20][:100] + b"".join(packets[20:]))
+    assert torn.payload == data[: len(torn.payload)] or torn.continuity_errors >= 1
+    assert mpegts.demux(b"").payload == mpegts.demux(b"x" * 1000).payload == b""
+
+
+def test_chat_layouts_of_odd_records(spark):
+    """Other types in a text's place, lone surrogates, deep and broken JSON, unknown layouts, null records and ids."""
+    records = ['{"prompt": 5}', '{"prompt": false}', '{"prompt": null}', '{"prompt": []}', '{"prompt": "\\ud800x"}', '{"messages": [{"role": 3, "content": 1.5}]}', "[" * 100_000, '{"a":' * 3000 + "1" + "}" * 3000, "{", None, '{"other": 1}', "7"]
+    rows = spark.createDataFrame([(None if i == 1 else i, r, "u", "v") for i, r in enumerate(records)], "conv_id bigint, record string, role string, text string")
+    got = {r.conv_id: (r.role, r.text) for r in chat.canonical_turns(rows).collect()}
+    assert [got[i][1] for i in (0, None, 2, 3, 4)] == ["5", "false", "", "[]", "?x"] and got[5] == ("3", "1.5")
+    assert all(got[i] == (None, None) for i in (6, 7, 8, 9, 10, 11))
+    assert chat.canonical_turns(rows.limit(0)).count() == 0
+
+
 def test_transport_stream_counts_errors(spark):
     media = mpegts.mux(mpegts.pad(b"a" * 5000))
     assert mpegts.demux(media[: 188 * 5] + media[188 * 6 :]).continuity_errors == 1
@@ -69,9 +93,9 @@ def test_warc_round_trip(spark, tmp_path):
     segments = warc.read_segments(spark, f"file://{tmp_path}/w")
     assert segments.filter("type = 'continuation'").count() > 3
     rows = warc.reassemble(segments).collect()
-    assert len(rows) == 6 and all(r.complete for r in rows)
+    assert len(rows) == 6 and all(r.complete for r in rows) and len({r.record_id for r in rows}) == 6
     by = {re.match(r"<urn:voxara:(-?\d+)", r.record_id)[1]: r for r in rows}
-    assert bytes(by["5"].payload).decode() == big and by["1"].record_type == "revisit" and by["1"].refers_to == "<urn:voxara:5>" and by["1"].payload_bytes == len(big.encode())
+    assert bytes(by["5"].payload).decode() == big and by["1"].record_type == "revisit" and by["1"].refers_to == by["5"].record_id and by["1"].payload_bytes == len(big.encode())
     assert by["2"].record_type == "revisit" and by["3"].payload_bytes == 0
     lost = warc.reassemble(segments.filter("not (type = 'continuation' and number = 2)")).collect()
     assert sum(not r.complete for r in lost) == 1

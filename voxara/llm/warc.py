@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxara.llm.common import new_path, read_table, stash
+from voxara.llm.common import drop_path, new_path, read_table, stash
 
 SEGMENT_BYTES, CHUNK_BYTES = 16_384, 4_096
 #: Records in a file at most, which bounds what a reader holds.
@@ -104,25 +104,29 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     """Writes a record per row to WARC files under path.
 
     Of rows with equal payloads of min_dedup bytes or more, those with the largest id are responses and others revisit
-    it. A null payload is an empty one, a null url is empty. A row that repeats an id has the same record id and a
-    number of its own after it. Rows with a null id are responses under the id "null".
+    it. A record's id holds the row's id and payload digest, so that a revisit names the very record it repeats. A null
+    payload is an empty one, a null url is empty. Rows that repeat an id and a payload are one page more than once: their
+    record ids have a number at the end. Rows with a null id are responses under the id "null" and such a number.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     keyed = pages.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
-    shared, _ = stash(keyed.filter(F.length("payload") >= min_dedup).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "warc-digests")
+    twice = keyed.filter(F.length("payload") >= min_dedup).groupBy("digest", "id").agg(F.count("*").alias("n")).groupBy("digest")
+    shared, _ = stash(twice.agg(F.max("id").alias("first"), F.sum("n").alias("n"), F.max("n").alias("same")).filter("n > 1").drop("n"), "warc-digests")
     if shared.count() <= BROADCAST_DIGESTS:
         shared = F.broadcast(shared)
-    typed = keyed.join(shared, "digest", "left").select("id", "url", "payload", F.when((F.col("first") != F.col("id")) & (F.length("payload") >= min_dedup), F.col("first")).alias("refers_to"), F.spark_partition_id().alias("part"))
+    revisits = F.when((F.col("first") != F.col("id")) & (F.length("payload") >= min_dedup), F.col("first"))
+    numbered = F.col("id").isNull() | (F.length("payload") < min_dedup) | (F.coalesce("same", F.lit(1)) > 1)
+    typed = keyed.join(shared, "digest", "left").select("id", "url", "payload", "digest", revisits.alias("refers_to"), F.when(numbered, F.spark_partition_id()).alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 out: list[bytes] = []
-                for id_, url, body, refers, part in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
+                for id_, url, body, digest, refers, part in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
                     n += 1
-                    out += records(f"{'null' if id_ is None else id_}:{part}.{n}", " ".join(url.split()), body, None if refers is None else str(refers))
+                    out += records(f"{'null' if id_ is None else id_}:{digest}" + (f":{part}.{n}" if part is not None else ""), " ".join(url.split()), body, None if refers is None else f"{refers}:{digest}")
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     typed.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
@@ -194,11 +198,14 @@ def reassemble(segments: DataFrame) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as read back from their archive, which is removed again. Null html is an empty payload; see write_warc for ids."""
     path = new_path(spark, "warc")
     write_warc(read_table(spark, sf_dir, "pages"), path)
     number = lambda c: F.regexp_extract(c, r"^<urn:voxara:(-?\d+)", 1).try_cast("bigint")
-    return reassemble(read_segments(spark, path)).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", number("refers_to")).alias("refers_to"), "complete")
-
+    found = reassemble(read_segments(spark, path)).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", number("refers_to")).alias("refers_to"), "complete")
+    out, _ = stash(found, "pages-read")
+    drop_path(spark, path)
+    return out
 
 
 def sql() -> str:
