@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from voxara.llm.common import read_table
 
 #: Chunks in each of the two generations of a worker's cache.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 150_000
 _SPACE = regex.compile(r"\s+")
 #: Python's split() takes these for blanks, the tokenizer's \s doesn't.
 _NOT_BLANK = re.compile("[\x1c-\x1f]")

@@ -34,7 +34,7 @@ SHINGLE, NUM, DEN, BITS = 5, 75, 100, 1024
 #: Share of a set, first under order B, that step 2 compares; more lets fewer sets pass and sends more.
 SENT = 0.4
 #: Shingles that meet in one bucket of step 2, about, and rows of a slice that are combined before.
-BUCKET_SHINGLES, SLICE = 2_000_000, 4_000
+BUCKET_SHINGLES, SLICE = 1_000_000, 4_000
 #: Odd multipliers that combine the word hashes of a shingle, and the one of order C.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
