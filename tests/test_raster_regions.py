@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from test_raster import array_of, image_of
 
-from voxara.operators import distance, neighbourhood, regions, statistics, transforms
+from voxara.operators import analyzers, distance, neighbourhood, regions, statistics, transforms
 
 
 def flood(seeds: set, allowed: np.ndarray, steps: list) -> np.ndarray:
@@ -78,12 +78,12 @@ def test_local_maxima(spark):
 def test_principal_axes(spark):
     a = np.zeros((9, 9, 9))
     a[1:8, 4, 4] = 1
-    row = regions.analyze(image_of(spark, a), ("pca", "volume")).first()
+    row = analyzers.analyze(image_of(spark, a), ("pca", "volume")).first()
     assert row.volume == 7 and (row.cx, row.cy, row.cz) == (4, 4, 4)
     assert math.isclose(row.l1, 2) and row.l2 == row.l3 == 0 and math.isclose(row.e, 1)
     assert math.isclose(abs(math.cos(row.phi1) * math.sin(row.theta1)), 1)
     with pytest.raises(ValueError):
-        regions.analyze(image_of(spark, a), ("girth",))
+        analyzers.analyze(image_of(spark, a), ("girth",))
 
 
 def test_particles_by_volume(spark):

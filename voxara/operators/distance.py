@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from voxara.operators import neighbourhood
-from voxara.raster import AXES, Image, pix
+from voxara.operators.blocks import as_image, over_blocks
+from voxara.raster import AXES, Image, check_same, pix
+from voxara.store import kept
 
 #: Lines of one group: rows and columns that share a block of this edge length.
 LINES = 16
@@ -21,8 +23,8 @@ LINES = 16
 FAR = 1e18
 
 
-def envelope(f: np.ndarray) -> np.ndarray:
-    """min over q of f[q] + (p - q)^2 for each p."""
+def nearest_apex(f: np.ndarray) -> np.ndarray:
+    """For each p a q that makes f[q] + (p - q)^2 least; some f must be less than FAR."""
     n = len(f)
     apex, bound = [], []
     for q in np.flatnonzero(f < FAR):
@@ -35,11 +37,15 @@ def envelope(f: np.ndarray) -> np.ndarray:
             bound.pop()
         bound.append(s if apex else -math.inf)
         apex.append(q)
-    if not apex:
-        return np.full(n, FAR)
-    at = np.arange(n)
-    q = np.asarray(apex)[np.searchsorted(np.asarray(bound), at, side="right") - 1]
-    return f[q] + (at - q) ** 2.0
+    return np.asarray(apex)[np.searchsorted(np.asarray(bound), np.arange(n), side="right") - 1]
+
+
+def envelope(f: np.ndarray) -> np.ndarray:
+    """min over q of f[q] + (p - q)^2 for each p."""
+    if not (f < FAR).any():
+        return np.full(len(f), FAR)
+    q = nearest_apex(f)
+    return f[q] + (np.arange(len(f)) - q) ** 2.0
 
 
 def _pass(df, axis: int, dims: tuple[int, int, int]):
@@ -105,3 +111,104 @@ def thickness(image: Image, background: float = 0.0, round_distances: bool = Fal
     """Local thickness: the diameter of the largest sphere within the foreground that covers a pixel. Spheres are drawn at every foreground pixel, as those off the ridge lie within others."""
     squared = squared_distance(image, background)
     return finalize_thickness(draw_spheres(round_ridge(squared) if round_distances else squared))
+
+
+def inpaint_nearest(image: Image, flag: float = 0.0) -> Image:
+    """Pixels of the flag value (NaN too) get the value of a nearest other pixel; an image without others stays as it is.
+
+    The separable distance passes carry the value along, so a task holds lines and never the volume.
+    """
+    missing = F.isnan(pix()) if math.isnan(flag) else pix() == flag
+    df = image.df.select(*AXES, "v", F.when(missing, FAR).otherwise(0.0).alias("d"))
+    for axis, n in enumerate(image.dims):
+        if n > 1:
+            df = _value_pass(df, axis, n)
+    return image.with_rows(df)
+
+
+def _value_pass(df, axis: int, n: int):
+    others = [a for i, a in enumerate(AXES) if i != axis]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*others, AXES[axis]], ignore_index=True)
+        d, v = pdf["d"].to_numpy().reshape(-1, n), pdf["v"].to_numpy().reshape(-1, n)
+        at = np.arange(n)
+        for i, line in enumerate(d):
+            if (line < FAR).any():
+                q = nearest_apex(line)
+                d[i], v[i] = line[q] + (at - q) ** 2.0, v[i][q]
+        return pdf[list(AXES)].assign(v=v.ravel(), d=d.ravel())
+
+    keys = [F.floor(F.col(a) / LINES).alias(f"g{a}") for a in others]
+    return df.groupBy(*keys).applyInPandas(run, "x bigint, y bigint, z bigint, v double, d double")
+
+
+def containment(largest: int, offset: tuple[int, int, int]) -> np.ndarray:
+    """At s: the largest |p + offset|^2 over whole points p with |p|^2 < s, for s up to largest; -1 where there is no point.
+
+    A ball of squared radius s lies within one of squared radius r at that offset if this is less than r.
+    """
+    r = math.isqrt(max(0, largest - 1))
+    p = np.arange(r + 1)
+    x, y, z = np.meshgrid(p, p, p, indexing="ij")
+    own = (x * x + y * y + z * z).ravel()
+    far = ((x + offset[0]) ** 2 + (y + offset[1]) ** 2 + (z + offset[2]) ** 2).ravel()
+    best = np.full(largest + 1, -1)
+    used = own < largest
+    np.maximum.at(best, own[used] + 1, far[used])
+    return np.maximum.accumulate(best)
+
+
+def maximal_balls(image: Image) -> Image:
+    """Of a squared distance map, the pixels whose ball lies within no ball of a neighbouring pixel (faces, edges, corners); others are 0."""
+    largest = image.df.agg(F.max("v")).first()[0] or 0.0
+    if largest >= FAR:
+        raise ValueError("An image without background has no finite radii")
+    tables = [containment(int(largest), o) for o in ((1, 0, 0), (1, 1, 0), (1, 1, 1))]
+    halo = tuple(1 if n > 1 else 0 for n in image.dims)
+    steps = [o for o in neighbourhood.offsets(halo, "Rectangular") if any(o)]
+
+    def kernel(block: np.ndarray) -> np.ndarray:
+        own = block[tuple(slice(h, n - h) for h, n in zip(halo, block.shape, strict=True))]
+        s = np.round(own).astype(int)
+        stays = own > 0
+        for o in steps:
+            there = block[tuple(slice(h + c, n - h + c) for h, c, n in zip(halo, o, block.shape, strict=True))]
+            stays &= ~(tables[sum(map(abs, o)) - 1][s] < there)
+        return np.where(stays, own, 0.0)
+
+    return neighbourhood.blockwise(image, kernel, halo, "Zero")
+
+
+def seeded_distance(seeds: Image, geometry: Image, connectivity: str = "All") -> Image:
+    """The length of the shortest path of neighbouring pixels from a nonzero seed over pixels of that seed's geometry value; infinite where none leads.
+
+    A round settles every block against its neighbours' edge pixels; rounds go on while any pixel changes, as many as
+    blocks that a shortest path crosses.
+    """
+    check_same(seeds, geometry)
+    steps = [(o, math.sqrt(sum(c * c for c in o))) for o in neighbourhood.offsets(tuple(1 if n > 1 else 0 for n in seeds.dims), "Rectangular") if any(o) and (connectivity == "All" or sum(map(abs, o)) == 1)]
+    halo = tuple(1 if n > 1 else 0 for n in seeds.dims)
+    inner = tuple(slice(1, -1) if h else slice(None) for h in halo)
+
+    def kernel(arrays: list[np.ndarray], _first) -> list[np.ndarray]:
+        # Geometry is shifted by one so that 0 stands for what lies outside the image.
+        d, g = np.where(arrays[1] == 0, math.inf, arrays[0]), arrays[1]
+        while True:
+            new = d.copy()
+            for o, length in steps:
+                to = tuple(slice(max(0, c), n + min(0, c)) for c, n in zip(o, d.shape, strict=True))
+                come = tuple(slice(max(0, -c), n + min(0, -c)) for c, n in zip(o, d.shape, strict=True))
+                same = (g[to] == g[come]) & (g[to] != 0)
+                new[to] = np.where(same, np.minimum(new[to], d[come] + length), new[to])
+            if (new == d).all():
+                return [d[inner], g[inner], (d != arrays[0])[inner]]
+            d = new
+
+    df = geometry.df.select(*AXES, F.when(pix() >= 0, pix() + 1).otherwise(pix()).alias("v1"))
+    df = seeds.df.select(*AXES, F.when(pix() != 0, 0.0).otherwise(F.lit(math.inf)).alias("v0")).join(df, list(AXES)).select(*AXES, "v0", "v1")
+    while True:
+        out = kept(over_blocks(df, seeds.dims, kernel, halo, "Zero", 3))
+        df = out.select(*AXES, "v0", "v1")
+        if out.filter("v2 <> 0").isEmpty():
+            return as_image(seeds, df, "v0", "float32")

@@ -89,7 +89,7 @@ def closing(image: Image, radius: tuple = (1, 1, 1), kind: str = "Ellipsoidal",
     return rank_filter("minfilter", rank_filter("maxfilter", image, radius, kind, boundary), radius, kind, boundary)
 
 
-def _kernels(sigma: float, order: int) -> np.ndarray:
+def derivative_taps(sigma: float, order: int) -> np.ndarray:
     """A sampled Gaussian of unit sum, or its first or second derivative, over three sigmas."""
     r = max(1, int(np.ceil(3 * sigma)))
     t = np.arange(-r, r + 1)
@@ -100,7 +100,7 @@ def _kernels(sigma: float, order: int) -> np.ndarray:
 
 def gaussian(image: Image, sigma: tuple[float, float, float], orders: tuple[int, int, int] = (0, 0, 0), boundary: str = "Nearest", dtype: str | None = None) -> Image:
     """Separable convolution with Gaussians (order 0) or their derivatives."""
-    taps = [_kernels(s, o) if n > 1 and s > 0 else np.ones(1) for s, o, n in zip(sigma, orders, image.dims, strict=True)]
+    taps = [derivative_taps(s, o) if n > 1 and s > 0 else np.ones(1) for s, o, n in zip(sigma, orders, image.dims, strict=True)]
 
     def kernel(block: np.ndarray) -> np.ndarray:
         for axis, k in enumerate(taps):
@@ -171,9 +171,22 @@ def gradient(image: Image, sigma: float = 1.0) -> list[Image]:
     return [derivative(image, (sigma,) * 3, i) for i in range(3) if image.dims[i] > 1]
 
 
-def local_threshold(image: Image, radius: tuple = (1, 1, 1), method: str = "Mean", argument: float | None = None, boundary: str = "Nearest") -> Image:
-    """1 where a pixel is above its rectangular neighbourhood's threshold: Mean, MidGrey, Median, Niblack or Bernsen."""
-    if method not in ("Mean", "MidGrey", "Median", "Niblack", "Bernsen"):
+def _otsu(stack: np.ndarray) -> np.ndarray:
+    """For each pixel the value of its neighbourhood (axis 0) that parts it with the largest variance between the classes up to it and above; of equal ones the largest."""
+    ordered = np.sort(stack, 0)
+    n = len(ordered)
+    sums = np.cumsum(ordered, 0)
+    w = np.arange(1, n).reshape(-1, 1, 1, 1)
+    between = (sums[:-1] * n - sums[-1] * w) ** 2 / (w * (n - w))
+    # Equal values belong to one class, so only the last of them parts.
+    between = np.where(ordered[1:] > ordered[:-1], between, -1.0)
+    best = n - 2 - np.argmax(between[::-1], 0)
+    return np.where(between.max(0) < 0, ordered[-1], np.take_along_axis(ordered, best[None], 0)[0])
+
+
+def local_threshold(image: Image, radius: tuple = (1, 1, 1), method: str = "Otsu", argument: float | None = None, boundary: str = "Nearest") -> Image:
+    """1 where a pixel is above its rectangular neighbourhood's threshold: Otsu, Mean, MidGrey, Median, Niblack or Bernsen."""
+    if method not in ("Otsu", "Mean", "MidGrey", "Median", "Niblack", "Bernsen"):
         raise ValueError(f"No local threshold method {method}")
     radius = tuple(r if n > 1 else 0 for r, n in zip(radius, image.dims, strict=True))
     places = offsets(radius, "Rectangular")
@@ -181,7 +194,9 @@ def local_threshold(image: Image, radius: tuple = (1, 1, 1), method: str = "Mean
     def kernel(block: np.ndarray) -> np.ndarray:
         stack = np.stack([_shifted(block, radius, o) for o in places])
         x = argument if argument is not None else 1.0 if method == "Niblack" else 0.0
-        if method in ("Mean", "Median"):
+        if method == "Otsu":
+            cut = _otsu(stack)
+        elif method in ("Mean", "Median"):
             cut = (stack.mean(0) if method == "Mean" else np.median(stack, 0)) - x
         elif method == "Niblack":
             cut = stack.mean(0) + x * stack.std(0, ddof=1)

@@ -1,92 +1,154 @@
-"""Connected regions by label propagation, and tables of their measurements."""
+"""Connected regions, and tables of their measurements.
+
+Regions are found within blocks first; only pixels at the blocks' faces meet across blocks, and what they join is a
+graph of block regions, far smaller than the image.
+"""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxara.operators import analyzers
+from voxara.operators.blocks import BLOCK
 from voxara.raster import AXES, Image, pix
+from voxara.store import kept
 
 #: Neighbours with a larger linear index, by faces (Nearest) or faces, edges and corners (All).
 FORWARD = {
     "Nearest": [(1, 0, 0), (0, 1, 0), (0, 0, 1)],
     "All": [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (z, y, x) > (0, 0, 0)],
 }
+#: Edges between block regions that one task joins; more go through rounds of joins.
+TASK_EDGES = 1_000_000
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For n nodes the least node that edges (a[i], b[i]) reach, by rounds of hooking and pointer jumping."""
+    parent = np.arange(n)
+    while len(a):
+        pa, pb = parent[a], parent[b]
+        low = np.minimum(pa, pb)
+        np.minimum.at(parent, pa, low)
+        np.minimum.at(parent, pb, low)
+        while (up := parent[parent]).tobytes() != parent.tobytes():
+            parent = up
+        open_ = parent[a] != parent[b]
+        a, b = a[open_], b[open_]
+    return parent
+
+
+def block_regions(v: np.ndarray, inside: np.ndarray, connectivity: str) -> np.ndarray:
+    """Of an array [z, y, x], the number (in C order) of the first pixel of each pixel's region; regions are of equal values."""
+    number = np.arange(v.size).reshape(v.shape)
+    left, right = [], []
+    for o in FORWARD[connectivity]:
+        here = tuple(slice(max(0, -c), n - max(0, c)) for c, n in zip(o[::-1], v.shape, strict=True))
+        there = tuple(slice(max(0, c), n - max(0, -c)) for c, n in zip(o[::-1], v.shape, strict=True))
+        same = inside[here] & inside[there] & (v[here] == v[there])
+        left.append(number[here][same])
+        right.append(number[there][same])
+    return roots(v.size, np.concatenate(left), np.concatenate(right)).reshape(v.shape)
 
 
-def _table(df: DataFrame) -> DataFrame:
-    """Cuts lineage: a checkpoint where the session has a folder for it, else a persisted plan."""
-    spark = df.sparkSession
-    if folder := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        path = f"{folder.rstrip('/')}/voxara-regions-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    out = df.persist()
-    out.count()
-    return out
+def linked_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, label: for each node the least id that edges (a, b) reach.
 
+    Few edges are joined in one task. Otherwise labels go to neighbours and then to their labels' labels, so rounds grow
+    with the logarithm of a region's extent; each round is a table.
+    """
+    edges = kept(edges.select("a", "b").distinct())
+    if edges.count() <= TASK_EDGES:
 
-def linked_labels(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, label: for each node the least id that edges (a, b) reach. Labels go to neighbours and then to their labels' labels, so rounds grow with the logarithm of a region's extent."""
-    both = _table(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))))
-    labels = _table(nodes.select("id", F.col("id").alias("label")))
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            ids, at = np.unique(np.r_[pdf["a"].to_numpy(), pdf["b"].to_numpy()], return_inverse=True)
+            return pd.DataFrame({"id": ids, "label": ids[roots(len(ids), at[: len(pdf)], at[len(pdf) :])]})
+
+        found = edges.select("a", "b", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "id bigint, label bigint")
+        return nodes.select("id").join(F.broadcast(found), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    both = kept(edges.union(edges.select(F.col("b"), F.col("a"))))
+    labels = kept(nodes.select("id", F.col("id").alias("label")))
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
-        # A label's own node takes the least label that its region's pixels see.
+        # A label's own node takes the least label that its region's nodes see.
         seen = labels.join(near, labels["id"] == near["a"], "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         hooks = seen.groupBy("old").agg(F.min("label").alias("hook"))
         moved = seen.join(hooks, "old").select("id", "old", F.least("label", "hook").alias("label"))
         far = moved.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        new = _table(moved.join(far, "label", "left").select("id", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
+        new = kept(moved.join(far, "label", "left").select("id", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
         if new.filter("old <> label").isEmpty():
             return new.select("id", "label")
         labels = new.select("id", "label")
 
 
-def _index(image: Image):
-    w, h, _ = image.dims
+def _index(dims: tuple[int, int, int]) -> Column:
+    w, h, _ = dims
     return F.col("x") + F.col("y") * w + F.col("z") * (w * h)
 
 
+def regions(image: Image, inside: Column, connectivity: str = "Nearest") -> DataFrame:
+    """x, y, z, v, region of the pixels that inside holds for: region is the linear index of the first pixel of the region of equal values."""
+    dims = image.dims
+    w, h, _ = dims
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = [int(pdf[f"b{a}"].iloc[0]) * n for a, n in zip(AXES, BLOCK, strict=True)]
+        size = [min(n, d - f) for n, d, f in zip(BLOCK, dims, first, strict=True)]
+        x, y, z = (pdf[a].to_numpy() - f for a, f in zip(AXES, first, strict=True))
+        v, here = np.zeros(size[::-1]), np.zeros(size[::-1], bool)
+        v[z, y, x], here[z, y, x] = pdf["v"].to_numpy(), True
+        root = block_regions(v, here, connectivity)[z, y, x]
+        rx, ry, rz = root % size[0], root // size[0] % size[1], root // (size[0] * size[1])
+        face = np.zeros(len(x), bool)
+        for c, f, n, d in zip((x, y, z), first, size, dims, strict=True):
+            face |= ((c == 0) & (f > 0)) | ((c == n - 1) & (f + n < d))
+        region = (rx + first[0]) + (ry + first[1]) * w + (rz + first[2]) * (w * h)
+        return pd.DataFrame({"x": x + first[0], "y": y + first[1], "z": z + first[2], "v": pdf["v"].to_numpy(), "region": region, "face": face})
+
+    blocks = [F.floor(F.col(a) / n).alias(f"b{a}") for a, n in zip(AXES, BLOCK, strict=True)]
+    found = image.df.filter(inside).select(*AXES, "v", *blocks).groupBy("bx", "by", "bz").applyInPandas(run, "x bigint, y bigint, z bigint, v double, region bigint, face boolean")
+    if all(d <= n for d, n in zip(dims, BLOCK, strict=True)):
+        return found.drop("face")
+    found = kept(found)
+    faces = found.filter("face").select(*AXES, "v", "region")
+    steps = F.explode(F.array(*[F.struct(*[(F.col(a) + c).alias(a) for a, c in zip(AXES, o, strict=True)]) for o in FORWARD[connectivity]]))
+    moved = faces.select(steps.alias("p"), "v", F.col("region").alias("a")).select("p.*", "v", "a")
+    edges = moved.join(faces.withColumnRenamed("region", "b"), [*AXES, "v"]).filter("a <> b").select("a", "b")
+    merged = linked_labels(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), edges).withColumnsRenamed({"id": "region"})
+    return found.drop("face").join(merged, "region", "left").select(*AXES, "v", F.coalesce("label", "region").alias("region"))
+
+
+def numbered(found: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
+    """found with n: the number of its region from 1 on, in the order of their first pixels. Counts per range give each range's start."""
+    spark = found.sparkSession
+    first = found.filter(F.col("region") == _index(dims)).select("region")
+    ranged = kept(first.repartitionByRange("region").sortWithinPartitions("region").select("region", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("m")))
+    start, base = 0, []
+    for r in sorted(ranged.groupBy("part").agg(F.count("*").alias("n"), F.min("m").alias("m")).collect(), key=lambda r: r.part):
+        base.append((r.part, start - r.m + 1))
+        start += r.n
+    bases = spark.createDataFrame(base or [(0, 0)], "part int, base bigint")
+    return found.join(ranged.join(F.broadcast(bases), "part").select("region", (F.col("m") + F.col("base")).alias("n")), "region")
+
+
 def label(image: Image, region_color: float = 0.0, connectivity: str = "Nearest") -> Image:
     """Each region of equal nonzero pixels (or of pixels of region_color, if that isn't 0) gets a number from 1 on, in the order of its first pixel; others are 0."""
-    spark = image.df.sparkSession
-    inside = pix() == region_color if region_color else pix() != 0
-    pixels = image.df.filter(inside).select(_index(image).alias("id"), *AXES, "v")
-    edges = None
-    for o in FORWARD[connectivity]:
-        moved = pixels.select(F.col("id").alias("b"), *[(F.col(a) - c).alias(a) for a, c in zip(AXES, o, strict=True)], F.col("v").alias("w"))
-        e = pixels.join(moved, list(AXES)).filter(pix() == F.col("w")).select(F.col("id").alias("a"), "b")
-        edges = e if edges is None else edges.union(e)
-    found = linked_labels(spark, pixels.select("id"), edges)
-    roots = found.select("label").distinct()
-    # Numbers follow the roots' order: counts per range partition, then a number within each.
-    numbered = roots.repartitionByRange("label").sortWithinPartitions("label").select("label", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("m"))
-    numbered = _table(numbered)
-    sizes = {r.part: r.n for r in numbered.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    start, base = 0, []
-    for part in sorted(sizes):
-        base.append((part, start))
-        start += sizes[part]
-    first = numbered.groupBy("part").agg(F.min("m").alias("m0"))
-    bases = spark.createDataFrame(base or [(0, 0)], "part int, start bigint")
-    numbers = numbered.join(first, "part").join(bases, "part").select("label", (F.col("m") - F.col("m0") + F.col("start") + 1).alias("n"))
-    named = found.join(numbers, "label").select("id", F.col("n").cast("double").alias("n"))
-    out = image.df.select(*AXES, _index(image).alias("id")).join(named, "id", "left").select(*AXES, F.coalesce("n", F.lit(0.0)).alias("v"))
-    return image.with_rows(out, dtype="uint64")
+    found = kept(regions(image, pix() == region_color if region_color else pix() != 0, connectivity))
+    named = numbered(found, image.dims).select(*AXES, F.col("n").cast("double").alias("n"))
+    return image.with_rows(image.df.select(*AXES).join(named, list(AXES), "left").select(*AXES, F.coalesce("n", F.lit(0.0)).alias("v")), dtype="uint64")
 
 
-def flood_fill(image: Image, start: tuple, fill: float, connectivity: str = "All") -> Image:
-    """The region of equal pixels that holds start gets the fill value."""
-    regions = label(image.map((pix() == image.df.filter((F.col("x") == start[0]) & (F.col("y") == start[1]) & (F.col("z") == start[2])).first().v).cast("double"), "uint8"), 1.0, connectivity)
-    own = regions.df.select(*AXES, pix().alias("region"))
-    at = own.filter((F.col("x") == start[0]) & (F.col("y") == start[1]) & (F.col("z") == start[2])).first().region
-    return image.with_rows(image.df.join(own, list(AXES)).select(*AXES, F.when(F.col("region") == at, F.lit(float(fill))).otherwise(pix()).alias("v")))
+def flood_fill(image: Image, start: tuple | list[tuple], fill: float, connectivity: str = "All") -> Image:
+    """The regions of equal pixels that hold a start point (one, or a list of them) get the fill value."""
+    points = [start] if not isinstance(start[0], (tuple, list)) else start
+    seeds = image.df.sparkSession.createDataFrame([tuple(int(c) for c in p) for p in points], "x bigint, y bigint, z bigint")
+    found = kept(regions(image, F.lit(True), connectivity))
+    own = found.join(F.broadcast(seeds), list(AXES), "left_semi").select("region").distinct().withColumn("hit", F.lit(True))
+    return image.with_rows(found.join(F.broadcast(own), "region", "left").select(*AXES, F.when(F.col("hit"), F.lit(float(fill))).otherwise(pix()).alias("v")))
 
 
 def analyze_labels(image: Image) -> DataFrame:
@@ -97,20 +159,25 @@ def analyze_labels(image: Image) -> DataFrame:
     return image.df.filter(pix() != 0).groupBy(pix().cast("bigint").alias("label")).agg(*out)
 
 
-def remove_small(image: Image, least: int, connectivity: str = "All") -> Image:
+def _foreground(image: Image) -> Image:
+    return image.map((pix() != 0).cast("double"), "uint8")
+
+
+def remove_small(image: Image, least: int, connectivity: str = "Nearest") -> Image:
     """Regions of nonzero pixels with fewer than least pixels become 0."""
-    regions = label(image.map((pix() != 0).cast("double"), "uint8"), 1.0, connectivity).df.filter(pix() != 0).select(*AXES, pix().alias("region"))
-    small = regions.groupBy("region").count().filter(F.col("count") < least).select("region")
-    gone = regions.join(small, "region", "left_semi").select(*AXES, F.lit(True).alias("gone"))
+    found = kept(regions(_foreground(image), pix() != 0, connectivity))
+    small = found.groupBy("region").count().filter(F.col("count") < least).select("region")
+    gone = found.join(small, "region", "left_semi").select(*AXES, F.lit(True).alias("gone"))
     return image.with_rows(image.df.join(gone, list(AXES), "left").select(*AXES, F.when(F.col("gone"), F.lit(0.0)).otherwise(pix()).alias("v")))
 
 
 def grow(image: Image, source: float, target: float, connectivity: str = "Nearest") -> Image:
     """Pixels of target that a path over target pixels joins to a pixel of source become source."""
-    regions = label(image.map(pix().isin(float(source), float(target)).cast("double"), "uint8"), 1.0, connectivity).df.filter(pix() != 0).select(*AXES, pix().alias("region"))
-    joined = image.df.join(regions, list(AXES), "left")
-    seeds = joined.filter((pix() == source) & F.col("region").isNotNull()).select("region").distinct().withColumn("seed", F.lit(True))
-    return image.with_rows(joined.join(seeds, "region", "left").select(*AXES, F.when(F.col("seed"), F.lit(float(source))).otherwise(pix()).alias("v")))
+    part = pix().isin(float(source), float(target))
+    found = kept(regions(image.map(part.cast("double"), "uint8"), pix() != 0, connectivity).select(*AXES, "region"))
+    seeds = image.df.filter(pix() == source).join(found, list(AXES)).select("region").distinct()
+    grown = found.join(seeds, "region", "left_semi").select(*AXES, F.lit(True).alias("seed"))
+    return image.with_rows(image.df.join(grown, list(AXES), "left").select(*AXES, F.when(F.col("seed"), F.lit(float(source))).otherwise(pix()).alias("v")))
 
 
 def dual_threshold(image: Image, lower: float, upper: float, connectivity: str = "Nearest") -> Image:
@@ -119,71 +186,139 @@ def dual_threshold(image: Image, lower: float, upper: float, connectivity: str =
     return grow(classes, 2, 1, connectivity).map((pix() > 1).cast("double"), image.dtype)
 
 
+def _around(connectivity: str) -> list[tuple[int, int, int]]:
+    return [p for o in FORWARD[connectivity] for p in (o, tuple(-c for c in o))]
+
+
+def _shifted(df: DataFrame, connectivity: str, *columns: str) -> DataFrame:
+    """The neighbours' positions of every row of df, with columns of that row."""
+    around = F.explode(F.array(*[F.struct(*[(F.col(a) + c).alias(a) for a, c in zip(AXES, o, strict=True)]) for o in _around(connectivity)]))
+    return df.select(around.alias("p"), *columns).select("p.*", *columns)
+
+
 def local_maxima(image: Image, connectivity: str = "All") -> Image:
     """A number from 1 on at each region of equal nonzero pixels without a larger neighbour, 0 elsewhere."""
-    named = label(image, connectivity=connectivity).df.filter(pix() != 0).select(*AXES, pix().alias("region"))
-    pixels = image.df.join(named, list(AXES)).select(*AXES, "v", "region")
-    steps = [p for o in FORWARD[connectivity] for p in (o, tuple(-c for c in o))]
-    around = F.explode(F.array(*[F.struct(*[(F.col(a) + c).alias(a) for a, c in zip(AXES, o, strict=True)]) for o in steps]))
-    shifted = pixels.select(around.alias("p"), F.col("v").alias("own"), "region").groupBy("p", "region").agg(F.first("own").alias("own"))
-    neighbours = shifted.select("region", "own", *[F.col(f"p.{a}").alias(a) for a in AXES]).join(image.df, list(AXES))
+    found = kept(regions(image, pix() != 0, connectivity))
+    neighbours = _shifted(found.withColumnRenamed("v", "own"), connectivity, "own", "region").join(image.df, list(AXES))
     lower = neighbours.filter(pix() > F.col("own")).select("region").distinct()
-    kept = pixels.join(lower, "region", "left_anti").select(*AXES, F.col("region"))
-    # A region of its own number: label again what is left, so that numbers have no gaps.
-    mask = image.df.join(kept, list(AXES), "left").select(*AXES, F.coalesce("region", F.lit(0.0)).alias("v"))
-    return label(image.with_rows(mask, dtype="uint64"), connectivity=connectivity)
+    left = kept(found.join(lower, "region", "left_anti"))
+    named = numbered(left, image.dims).select(*AXES, F.col("n").cast("double").alias("n"))
+    return image.with_rows(image.df.select(*AXES).join(named, list(AXES), "left").select(*AXES, F.coalesce("n", F.lit(0.0)).alias("v")), dtype="int32")
+
+
+def clean_maxima(image: Image, maxima: Image, radius_multiplier: float = 1.0) -> Image:
+    """maxima without those that are nearer to a larger maximum than that one's radius (its value in image) times radius_multiplier.
+
+    A maximum is placed at its centroid; of equal radii the smaller number stays. Maxima are compared within cells as
+    wide as the largest reach, so pairs are those of neighbouring cells alone.
+    """
+    at = maxima.df.filter(pix() != 0).select(*AXES, pix().cast("bigint").alias("n")).join(image.df, list(AXES)).groupBy("n").agg(*[F.avg(a).alias(a) for a in AXES], F.max("v").alias("r"))
+    at = kept(at)
+    reach = max(1.0, float((at.agg(F.max("r")).first()[0] or 0.0) * radius_multiplier))
+    cell = at.select("*", *[F.floor(F.col(a) / reach).alias(f"c{a}") for a in AXES])
+    near = cell.select(F.col("n").alias("m"), F.col("r").alias("s"), *[F.col(a).alias(f"{a}2") for a in AXES], *[F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)).alias("cx"), "cy", "cz"])
+    for c in ("cy", "cz"):
+        near = near.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+    far = sum(((F.col(a) - F.col(f"{a}2")) * (F.col(a) - F.col(f"{a}2")) for a in AXES), F.lit(0.0))
+    larger = (F.col("s") > F.col("r")) | ((F.col("s") == F.col("r")) & (F.col("m") < F.col("n")))
+    lost = cell.join(near, ["cx", "cy", "cz"]).filter(larger & (far < (F.col("s") * radius_multiplier) * (F.col("s") * radius_multiplier))).select(F.col("n").cast("double").alias("v")).distinct().withColumn("lost", F.lit(True))
+    return maxima.with_rows(maxima.df.join(F.broadcast(lost), "v", "left").select(*AXES, F.when(F.col("lost"), F.lit(0.0)).otherwise(pix()).alias("v")))
 
 
-#: Analysers of particles that are aggregates alone; pca is added from moments.
-ANALYZERS = ("coordinates", "isonedge", "volume", "bounds", "pca")
+def label_maxima(image: Image, maxima: Image) -> Image:
+    """image with each maximum's number drawn at its pixels."""
+    drawn = maxima.df.filter(pix() != 0).select(*AXES, pix().alias("n"))
+    return image.with_rows(image.df.join(drawn, list(AXES), "left").select(*AXES, F.coalesce("n", "v").alias("v")))
 
 
-def analyze(image: Image, analyzers: tuple[str, ...] = ("coordinates", "volume")) -> DataFrame:
-    """One row for each label. Partial aggregates are sums and extremes, so a label of any size takes a fixed state.
+def grow_labels(image: Image, allowed: float, background: float = 0.0, connectivity: str = "Nearest") -> Image:
+    """Every other colour grows into pixels of allowed, all at the same pace; where two meet, the smaller colour wins. background pixels neither grow nor give way.
 
-    coordinates: X, Y, Z of the first pixel in the order z, y, x. isonedge: 1 if a pixel lies on the image's border.
-    pca: centre, root eigenvalues l1 >= l2 >= l3 of the covariance, meridional eccentricity e, and the first axis as phi1, theta1.
+    Each round adds one layer of pixels, found from those of the round before alone.
     """
-    if unknown := [a for a in analyzers if a.lower() not in ANALYZERS]:
-        raise ValueError(f"No analyser {unknown[0]}; there are {', '.join(ANALYZERS)}")
-    names, out = [a.lower() for a in analyzers], []
-    if "coordinates" in names:
-        out.append(F.min(F.struct("z", "y", "x")).alias("_first"))
-    if "isonedge" in names:
-        edge = F.lit(False)
-        for a, n in zip(AXES, image.dims, strict=True):
-            edge = edge | (F.col(a) <= 0) | (F.col(a) >= n - 1)
-        out.append(F.max(edge.cast("int")).alias("isonedge"))
-    if "volume" in names:
-        out.append(F.count("*").alias("volume"))
-    if "bounds" in names:
-        out += [f(a).alias(f"{n}{a}") for a in AXES for n, f in (("min", F.min), ("max", F.max))]
-    if "pca" in names:
-        out += [F.avg(a).alias(f"c{a}") for a in AXES] + [F.covar_pop(a, b).alias(f"_{a}{b}") for i, a in enumerate(AXES) for b in AXES[i:]]
-    found = image.df.filter(pix() != 0).groupBy(pix().cast("bigint").alias("label")).agg(*out)
-    if "coordinates" in names:
-        found = found.select("*", *[F.col(f"_first.{a}").alias(a) for a in AXES]).drop("_first")
-    if "pca" not in names:
-        return found
-    kept = [c for c in found.columns if not c.startswith("_")]
-    added = ["e", "l1", "l2", "l3", "phi1", "theta1"]
-
-    def eigen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            m = np.stack([f[[f"_{min(a, b)}{max(a, b)}" for b in AXES]].to_numpy() for a in AXES], 1)
-            values, vectors = np.linalg.eigh(m)
-            values, axis = np.maximum(values[:, ::-1], 0), vectors[:, :, -1]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                e = np.where(values[:, 0] > 1e-6, np.sqrt(1 - (values[:, 2] / values[:, 0]) ** 2), 0.0)
-            rest = [e, *np.sqrt(values).T, np.arctan2(axis[:, 1], axis[:, 0]), np.arccos(np.clip(axis[:, 2], -1, 1))]
-            yield f[kept].assign(**dict(zip(added, rest, strict=True)))
-
-    schema = ", ".join([f"{n} {t}" for n, t in found.select(*kept).dtypes] + [f"{n} double" for n in added])
-    return found.mapInPandas(eigen, schema)
-
-
-def analyze_particles(image: Image, analyzers: tuple[str, ...] = ("coordinates", "volume"), connectivity: str = "All", least: int = 0) -> DataFrame:
+    front = kept(image.df.filter((pix() != allowed) & (pix() != background)))
+    free = kept(image.df.filter(pix() == allowed).select(*AXES))
+    grown = None
+    while True:
+        front = kept(_shifted(front.withColumnRenamed("v", "own"), connectivity, "own").join(free, list(AXES)).groupBy(*AXES).agg(F.min("own").alias("v")))
+        if front.isEmpty():
+            break
+        grown = front if grown is None else grown.union(front)
+        free = kept(free.join(front, list(AXES), "left_anti"))
+    if grown is None:
+        return image
+    return image.with_rows(image.df.join(grown.withColumnRenamed("v", "own"), list(AXES), "left").select(*AXES, F.coalesce("own", "v").alias("v")))
+
+
+def morphological_reconstruction(seed: Image, mask: Image) -> Image:
+    """Nonzero seed pixels spread over nonzero mask pixels to faces, edges and corners; a new pixel gets the largest of its neighbours of the round before."""
+    front = kept(seed.df.filter(pix() != 0))
+    free = kept(mask.df.filter(pix() != 0).select(*AXES).join(seed.df.filter(pix() == 0).select(*AXES), list(AXES)))
+    # Only neighbours that the mask holds count, as seeds outside of it do not spread.
+    front = front.join(mask.df.filter(pix() != 0).select(*AXES), list(AXES))
+    grown = None
+    while True:
+        front = kept(_shifted(front.withColumnRenamed("v", "own"), "All", "own").join(free, list(AXES)).groupBy(*AXES).agg(F.max("own").alias("v")))
+        if front.isEmpty():
+            break
+        grown = front if grown is None else grown.union(front)
+        free = kept(free.join(front, list(AXES), "left_anti"))
+    if grown is None:
+        return seed
+    return seed.with_rows(seed.df.join(grown.withColumnRenamed("v", "own"), list(AXES), "left").select(*AXES, F.coalesce("own", "v").alias("v")))
+
+
+def fill_particles(image: Image, results: DataFrame, fill: float, connectivity: str = "Nearest") -> Image:
+    """Regions of nonzero pixels that hold the position X, Y, Z (or x, y, z) of a row of results get the fill value, other regions become 1."""
+    found = kept(regions(_foreground(image), pix() != 0, connectivity).select(*AXES, "region"))
+    points = results.select(*[F.round(F.col(a)).cast("bigint").alias(a) for a in AXES])
+    hit = found.join(points, list(AXES), "left_semi").select("region").distinct().withColumn("hit", F.lit(True))
+    drawn = found.join(hit, "region", "left").select(*AXES, F.when(F.col("hit"), F.lit(float(fill))).otherwise(1.0).alias("n"))
+    return image.with_rows(image.df.select(*AXES).join(drawn, list(AXES), "left").select(*AXES, F.coalesce("n", F.lit(0.0)).alias("v")))
+
+
+def greedy_coloring(image: Image, connectivity: str = "All") -> Image:
+    """Regions of equal nonzero pixels get colours from 1 on, such that regions that touch differ.
+
+    Rounds: a region takes the least colour that its coloured neighbours leave once all neighbours with a smaller first pixel have one.
+    """
+    found = kept(regions(image, pix() != 0, connectivity).select(*AXES, "region"))
+    touch = _shifted(found.withColumnRenamed("region", "a"), connectivity, "a").join(found.withColumnRenamed("region", "b"), list(AXES)).filter("b < a").select("a", "b").distinct()
+    touch = kept(touch)
+    colours = kept(found.select("region").distinct().select("region", F.lit(0).alias("c")))
+    while True:
+        seen = touch.join(colours.select(F.col("region").alias("b"), "c"), "b").groupBy(F.col("a").alias("region")).agg(F.min("c").alias("least"), F.collect_set("c").alias("used"))
+        free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("used") + 1), "used"))
+        new = colours.join(seen, "region", "left").select("region", F.when(F.col("c") > 0, F.col("c")).when(F.col("least").isNull(), 1).when(F.col("least") > 0, free).otherwise(0).alias("c"))
+        colours = kept(new)
+        if colours.filter("c = 0").isEmpty():
+            break
+    drawn = found.join(colours, "region").select(*AXES, F.col("c").cast("double").alias("n"))
+    return image.with_rows(image.df.select(*AXES).join(drawn, list(AXES), "left").select(*AXES, F.coalesce("n", F.lit(0.0)).alias("v")))
+
+
+def analyze_particles(image: Image, names: tuple[str, ...] = ("coordinates", "volume"), connectivity: str = "Nearest", least: int = 0) -> DataFrame:
     """Measurements of the connected regions of nonzero pixels that have at least least pixels."""
-    names = tuple(dict.fromkeys((*analyzers, "volume")))
-    out = analyze(label(image.map((pix() != 0).cast("double"), "uint8"), 1.0, connectivity), names).filter(F.col("volume") >= least)
-    return out if "volume" in [a.lower() for a in analyzers] else out.drop("volume")
+    out = analyzers.analyze(label(_foreground(image), 1.0, connectivity), tuple(dict.fromkeys((*names, "volume")))).filter(F.col("volume") >= least)
+    return out.select(*analyzers.headers(names))
+
+
+def draw_ellipsoids(image: Image, results: DataFrame, fill: float, kind: str = "principal") -> Image:
+    """Draws the ellipsoid of each row of results (columns of pca, and volume for kind volume) into the image.
+
+    Semi-axes are the root eigenvalues (principal), times bounding_scale (bounding), or scaled to the particle's volume
+    (volume). A row's pixels come from its own bounding box, so the work is that of the boxes.
+    """
+    scale = {"principal": F.lit(1.0), "bounding": F.col("bounding_scale"), "volume": F.pow(F.col("volume") / (4 / 3 * math.pi * F.col("l1") * F.col("l2") * F.col("l3")), 1 / 3)}[kind]
+    axes = [(F.sin(f"theta{i}") * F.cos(f"phi{i}"), F.sin(f"theta{i}") * F.sin(f"phi{i}"), F.cos(f"theta{i}")) for i in (1, 2, 3)]
+    rows = results.select("cx", "cy", "cz", *[(F.col(f"l{i}") * scale).alias(f"r{i}") for i in (1, 2, 3)], *[c.alias(f"a{i}{k}") for i, axis in enumerate(axes, 1) for k, c in zip(AXES, axis, strict=True)])
+    reach = F.greatest("r1", "r2", "r3")
+    for a, n in zip(AXES, image.dims, strict=True):
+        low, high = F.greatest(F.ceil(F.col(f"c{a}") - reach), F.lit(0)), F.least(F.floor(F.col(f"c{a}") + reach), F.lit(n - 1))
+        rows = rows.withColumn(a, F.explode(F.when(low <= high, F.sequence(low, high))))
+    total = F.lit(0.0)
+    for i in (1, 2, 3):
+        along = sum(((F.col(k) - F.col(f"c{k}")) * F.col(f"a{i}{k}") for k in AXES), F.lit(0.0))
+        total = total + F.pow(along / F.col(f"r{i}"), 2)
+    inside = rows.filter(total < 1).select(*[F.col(a).cast("bigint").alias(a) for a in AXES]).distinct().withColumn("hit", F.lit(True))
+    return image.with_rows(image.df.join(inside, list(AXES), "left").select(*AXES, F.when(F.col("hit"), F.lit(float(fill))).otherwise(pix()).alias("v")))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxara.operators import thresholds
 from voxara.raster import AXES, Image, check_same, pix, pixel_round
 
 
@@ -184,7 +186,15 @@ def triangle(hist: DataFrame) -> float:
     return starts[max(range(min(peak, end), max(peak, end) + 1), key=lambda i: line(i) - n[i])]
 
 
-METHODS = {"Otsu": otsu, "IsoData": isodata, "Median": median_bin, "MaxEntropy": max_entropy, "Triangle": triangle}
+def _of_counts(method: Callable[[np.ndarray], int]) -> Callable[[DataFrame], float]:
+    def run(hist: DataFrame) -> float:
+        starts, n = _counts(hist)
+        return starts[method(np.array(n))]
+
+    return run
+
+
+METHODS = {name: _of_counts(f) for name, f in thresholds.METHODS.items()} | {"Otsu": otsu, "IsoData": isodata, "Median": median_bin, "MaxEntropy": max_entropy, "Triangle": triangle}
 
 
 def moment_threshold(method: str, mean: Column, deviation: Column, low: Column, high: Column, arguments: tuple[float | None, ...] = ()) -> Column:

@@ -139,3 +139,26 @@ def scale(image: Image, factor: tuple[float, float, float], interpolation: str =
     """Enlarged or reduced by any factor, without averaging."""
     dims = tuple(max(1, round(n * f)) for n, f in zip(image.dims, factor, strict=True))
     return resample(image, dims, lambda *p: tuple(c / float(f) for c, f in zip(p, factor, strict=True)), interpolation, boundary)
+
+
+def generic_transform(image: Image, dims: tuple, position: tuple, reference: list[tuple], deformed: list[tuple], exponent: float = 2.5, interpolation: str = "Linear", boundary: str = "Zero") -> Image:
+    """The pixel at p reads the input at p + position plus the mean of the shifts deformed - reference, weighted by the distance to each reference point to the power -exponent.
+
+    At a reference point its own shift counts alone. The lists of point pairs are given and go into the plan.
+    """
+    def source(*p: Column) -> tuple[Column, Column, Column]:
+        at = [c + float(o) for c, o in zip(p, position, strict=True)]
+        if not reference:
+            return tuple(at)
+        gaps = [F.sqrt(sum(((c - float(q)) * (c - float(q)) for c, q in zip(at, r, strict=True)), F.lit(0.0))) for r in reference]
+        total = sum((F.pow(F.greatest(g, F.lit(1e-7)), -float(exponent)) for g in gaps), F.lit(0.0))
+        out = []
+        for k in range(3):
+            shifts = [float(d[k]) - float(r[k]) for r, d in zip(reference, deformed, strict=True)]
+            mean = sum((F.pow(F.greatest(g, F.lit(1e-7)), -float(exponent)) * s for g, s in zip(gaps, shifts, strict=True)), F.lit(0.0)) / total
+            for g, s in zip(gaps, shifts, strict=True):
+                mean = F.when(g < 1e-7, F.lit(s)).otherwise(mean)
+            out.append(F.round(at[k] + mean, 9))
+        return tuple(out)
+
+    return resample(image, tuple(dims), source, interpolation, boundary)

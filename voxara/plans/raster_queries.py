@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxara.operators import distance, generate, neighbourhood, pointwise, regions, statistics, transforms
+from voxara.operators import analyzers, distance, generate, neighbourhood, pointwise, regions, statistics, transforms
 from voxara.raster import AXES, Image, new_image, pix, pixel_round
 
 Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
@@ -196,8 +196,8 @@ def table() -> dict[str, Query]:
     out["floodfill"] = _of(u8, lambda im: regions.flood_fill(small(im), (0, 0, 0), 9)), None
     parts = "label, min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy, min(z) AS minz, max(z) AS maxz, count(*) AS volume, max(CASE WHEN x IN (0, 7) OR y IN (0, 7) OR z IN (0, m) THEN 1 ELSE 0 END)::INT AS isonedge"
     first = "first({0} ORDER BY z, y, x) AS {0}"
-    out["analyzelabels_all"] = _of(u8, lambda im: regions.analyze(pointwise.with_number("divide", im, 16), ("coordinates", "isonedge", "volume", "bounds"))), f"WITH {U8}, l AS (SELECT x, y, z, round(v / 16)::BIGINT AS label, max(z) OVER () AS m FROM u8) SELECT {parts}, {', '.join(first.format(a) for a in AXES)} FROM l WHERE label <> 0 GROUP BY label"
-    out["analyzeparticles"] = _of(u8, lambda im: regions.analyze_particles(small(im), regions.ANALYZERS)), None
+    out["analyzelabels_all"] = _of(u8, lambda im: analyzers.analyze(pointwise.with_number("divide", im, 16), ("coordinates", "isonedge", "volume", "bounds"))), f"WITH {U8}, l AS (SELECT x, y, z, round(v / 16)::BIGINT AS label, max(z) OVER () AS m FROM u8) SELECT {parts}, {', '.join(first.format(a) for a in AXES)} FROM l WHERE label <> 0 GROUP BY label"
+    out["analyzeparticles"] = _of(u8, lambda im: regions.analyze_particles(small(im), tuple(analyzers.COLUMNS))), None
     out["dualthreshold"] = _of(u8, lambda im: regions.dual_threshold(im, 130, 170)), None
     out["grow"] = _of(u8, lambda im: regions.grow(pointwise.double_threshold(im, 130, 170), 2, 1)), None
     out["localmaxima"] = _of(u8, lambda im: regions.local_maxima(im)), None
