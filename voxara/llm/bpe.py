@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import re
 import unicodedata
@@ -23,10 +24,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxara.llm.common import read_table
+from voxara.llm.common import read_table, tidy
 
 #: Chunks in each of the two generations of a worker's cache.
 CACHE_CHUNKS = 150_000
+#: Chunks that a worker keeps from one task to the next.
+KEPT_CHUNKS = 30_000
 _SPACE = regex.compile(r"\s+")
 #: Python's split() takes these for blanks, the tokenizer's \s doesn't.
 _NOT_BLANK = re.compile("[\x1c-\x1f]")
@@ -113,6 +116,10 @@ class Bpe:
         self.young[chunk] = found
         return found
 
+    def forget(self) -> None:
+        """Keeps the chunks that came first, as frequent ones do, for the worker's next task."""
+        self.old, self.young = {}, dict(itertools.islice(self.young.items(), KEPT_CHUNKS))
+
     def pieces(self, text: str) -> list[tuple[str, int, str]]:
         """(decimal ids joined by a space, their number, vocabulary strings joined by a space) of the parts of a text."""
         out: list[tuple[str, int, str]] = []
@@ -172,8 +179,10 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
+        bpe.forget()
+
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxara.llm.common import read_table
+from voxara.llm.common import read_table, tidy
 
 #: A passage has over 50 words.
 MIN_WORDS = 51
@@ -114,7 +114,7 @@ def chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(take))), pa.array(np.concatenate(digests)), pa.array(np.concatenate(counts), pa.int64())], names=["doc_id", "digest", "n"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return _texts(docs).mapInArrow(run, f"doc_id {kind}, digest bigint, n bigint")
+    return _texts(docs).mapInArrow(tidy(run), f"doc_id {kind}, digest bigint, n bigint")
 
 
 def anchors(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -161,7 +161,7 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     digests += [xxhash.xxh3_128_digest(data[x:y]) for x, y in zip(first[-1].tolist(), last[-1].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(take))), *(pa.array(np.concatenate(x), pa.int32()) for x in (words, first, last)), pa.array(digests, pa.binary())], names=["doc_id", "word", "start", "stop", "digest"])
 
-    return _texts(docs).join(anchors(docs, min_words), "doc_id").mapInArrow(run, f"doc_id {kind}, word int, start int, stop int, digest binary")
+    return _texts(docs).join(anchors(docs, min_words), "doc_id").mapInArrow(tidy(run), f"doc_id {kind}, word int, start int, stop int, digest binary")
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -202,7 +202,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), ids.type, pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds, strict=True))], names=["doc_id", *names])
 
-    return by_doc.mapInArrow(run, f"doc_id {kind}, start bigint, stop bigint, n_words bigint, n_copies bigint, first_doc_id {kind}, first_start bigint, repeats boolean")
+    return by_doc.mapInArrow(tidy(run), f"doc_id {kind}, start bigint, stop bigint, n_words bigint, n_copies bigint, first_doc_id {kind}, first_start bigint, repeats boolean")
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxara.llm.common import read_table
+from voxara.llm.common import read_table, tidy
 
 #: Control strings of the template. The backslash is its escape character.
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
@@ -121,7 +121,7 @@ def canonical_turns(records: DataFrame, key: str = "conv_id", json_col: str = "r
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(prints, pa.string()), pa.array(roles, pa.string()), pa.array(texts, pa.string())], names=[key, "fingerprint", "role", "text"])
 
     kind = dict(records.dtypes)[key]
-    return records.select(key, json_col).mapInArrow(run, f"`{key}` {kind}, fingerprint string, role string, text string")
+    return records.select(key, json_col).mapInArrow(tidy(run), f"`{key}` {kind}, fingerprint string, role string, text string")
 
 
 def format_turns(turns: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -144,7 +144,7 @@ def format_turns(turns: DataFrame, key: str = "conv_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=[key, "formatted", "loss_start", "loss_end"])
 
     kind = dict(turns.dtypes)[key]
-    return turns.select(key, "role", "text").mapInArrow(run, f"`{key}` {kind}, formatted string, loss_start bigint, loss_end bigint")
+    return turns.select(key, "role", "text").mapInArrow(tidy(run), f"`{key}` {kind}, formatted string, loss_start bigint, loss_end bigint")
 
 
 def read_back(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -179,7 +179,7 @@ def read_back(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
             yield rows([state])
 
     kind = dict(formatted.dtypes)[key]
-    return formatted.select(key, "formatted", "loss_start", "loss_end").mapInArrow(run, f"`{key}` {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return formatted.select(key, "formatted", "loss_start", "loss_end").mapInArrow(tidy(run), f"`{key}` {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def as_layouts(rows: DataFrame) -> DataFrame:

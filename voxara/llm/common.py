@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: Keys that join_hot broadcasts at most.
 HOT_KEYS = 100_000
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -86,6 +90,18 @@ def absent(docs: DataFrame, gone: DataFrame, keys: list[Column]) -> DataFrame:
     return docs.join(few(table)(table), same, "left_anti")
 
 
+def tidy(run: Batches) -> Batches:
+    """A function of Arrow batches that hands freed memory back at its end: Spark reuses Python workers, and what they keep counts while the JVM works."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
+
+
 def words(text: bytes | None) -> list[bytes]:
     """A-Z lower-cased, split at bytes 20 and 09-0D: bytes.lower() and bytes.split() know ASCII alone."""
     return text.lower().split() if text else []

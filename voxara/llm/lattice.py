@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxara.llm.common import read_table, stash, words
+from voxara.llm.common import read_table, stash, tidy, words
 
 HEAVY = 300_000
 ALPHA = 3_000.0
@@ -181,8 +181,8 @@ def count_words(docs: DataFrame, learns: Column, which: Column, classes: int) ->
 
     rows = docs.select(F.coalesce(learns, F.lit(False)).alias("learn"), which.cast("int").alias("k"), F.col("text").cast("string").cast("binary").alias("b"))
     each = [F.sum(F.when(F.col("k") == i, F.col("c")).otherwise(0)) for i in range(classes)]
-    counted = rows.mapInArrow(run, "token binary, k int, c bigint").groupBy("token").agg(F.sum("c").alias("c"), F.array(*each).alias("by"))
-    return counted.mapInArrow(parts, "token binary, c bigint, by array<bigint>, core binary, shape binary")
+    counted = rows.mapInArrow(tidy(run), "token binary, k int, c bigint").groupBy("token").agg(F.sum("c").alias("c"), F.array(*each).alias("by"))
+    return counted.mapInArrow(tidy(parts), "token binary, c bigint, by array<bigint>, core binary, shape binary")
 
 
 def fit_lattice(types: DataFrame, start: Lattice) -> Lattice:
@@ -204,7 +204,7 @@ def fit_lattice(types: DataFrame, start: Lattice) -> Lattice:
         known = [(True, p, n) for p, n in first.items() if p in sent.value.first] + [(False, p, n) for p, n in inner.items() if p in sent.value.inner]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in known], pa.bool_()), pa.array([x[1] for x in known], pa.string()), pa.array([x[2] for x in known], pa.int64())], names=["first", "piece", "n"])
 
-    seen = types.filter((F.col("c") > 0) & (F.col("token") != F.lit(END))).select("token").mapInArrow(run, "first boolean, piece string, n bigint").groupBy("first", "piece").agg(F.sum("n").alias("n")).collect()
+    seen = types.filter((F.col("c") > 0) & (F.col("token") != F.lit(END))).select("token").mapInArrow(tidy(run), "first boolean, piece string, n bigint").groupBy("first", "piece").agg(F.sum("n").alias("n")).collect()
     found = {(r["first"], r["piece"]): r["n"] for r in seen}
     mass = {k: sum(n for (f, _), n in found.items() if f == k) for k in (True, False)}
     new = {k: {p: found.get((k, p), 0) + 1e-4 * max(mass[k], 1) * math.exp(s) for p, s in table.items()} for k, table in ((True, start.first), (False, start.inner))}
@@ -297,7 +297,7 @@ def score_documents(docs: DataFrame, learns: Column, pieces: list[tuple[str, flo
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], names=["token", "c", "lp"])
 
     with_cores = types.join(cores, "core", "left").select("token", "c", "by", "shape", "core_types")
-    table, _ = stash(with_cores.mapInArrow(scored, "token binary, c bigint, lp array<double>"), "word-scores")
+    table, _ = stash(with_cores.mapInArrow(tidy(scored), "token binary, c bigint, lp array<double>"), "word-scores")
     often = table.filter((F.col("c") > 0) & (F.col("c") >= total / HEAVY)).collect() if total else []
     heavy = spark.sparkContext.broadcast(({bytes(r.token): i for i, r in enumerate(often)}, np.array([math.log10(r.c + 1) for r in often]), np.array([r.lp for r in often]).reshape(-1, width)))
 
@@ -331,7 +331,7 @@ def score_documents(docs: DataFrame, learns: Column, pieces: list[tuple[str, flo
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_, strict=True))], names=names_)
 
     kind = dict(docs.dtypes)["doc_id"]
-    each = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("b")).mapInArrow(spread, f"doc_id {kind}, text_key binary, token binary, tf bigint, rows bigint, n bigint, known bigint, base double, scores array<double>")
+    each = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("b")).mapInArrow(tidy(spread), f"doc_id {kind}, text_key binary, token binary, tf bigint, rows bigint, n bigint, known bigint, base double, scores array<double>")
     joined = each.join(table, "token", "left")
     tf, m = F.col("tf"), F.col("m")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxara.llm.common import read_table
+from voxara.llm.common import read_table, tidy
 
 UNIT, AUS_PER_PES, RAP_EVERY = 576, 40, 4
 PMT_PID, MEDIA_PID, PROGRAM = 0x1000, 0x0100, 1
@@ -208,7 +208,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array([mux(pad(x)) for x in data], pa.binary())], names=[id_col, "n_bytes", "media"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, F.col(text_col).cast("string").cast("binary").alias("b")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, media binary")
+    return docs.select(id_col, F.col(text_col).cast("string").cast("binary").alias("b")).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_bytes bigint, media binary")
 
 
 FEATURES = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, index array<struct<pts:bigint,offset:bigint,random_access:boolean>>, continuity_errors bigint, table_errors bigint"
@@ -236,7 +236,7 @@ def read_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[id_col, "n_bytes", *(f.split(" ")[0] for f in FEATURES.split(", "))])
 
     kind = dict(media.dtypes)[id_col]
-    return media.select(id_col, "n_bytes", "media").mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, {FEATURES}")
+    return media.select(id_col, "n_bytes", "media").mapInArrow(tidy(run), f"`{id_col}` {kind}, n_bytes bigint, {FEATURES}")
 
 
 def op4_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:

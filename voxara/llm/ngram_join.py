@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxara.llm.common import absent, drop_path, few, read_table, stash, words
+from voxara.llm.common import absent, drop_path, few, read_table, stash, tidy, words
 
 SHINGLE, NUM, DEN, BITS = 5, 75, 100, 1024
 #: Share of a set, first under order B, that step 2 compares; more lets fewer sets pass and sends more.
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     out.append((len(s), sig, _key(sig), s[: sent_size(len(s))].tobytes()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names=["id", "text_hash", *names])
 
-    return _rows(docs, id_col).mapInArrow(run, "id bigint, text_hash bigint, n bigint, sig binary, key bigint, first binary")
+    return _rows(docs, id_col).mapInArrow(tidy(run), "id bigint, text_hash bigint, n bigint, sig binary, key bigint, first binary")
 
 
 def shared_counts(signed: DataFrame, buckets: int) -> DataFrame:
@@ -161,7 +161,7 @@ def shared_counts(signed: DataFrame, buckets: int) -> DataFrame:
         known, times = joined("known", "<i8"), joined("times", "<u4")
         return pa.table({"key": pa.array(np.r_[node, known], pa.int64()), "shared": pa.array(np.r_[np.ones(len(node), np.int64), times.astype(np.int64)], pa.int64())})
 
-    packed = signed.select("key", "first").mapInArrow(pack, "bucket bigint, keys binary, counts binary, low binary, common binary, known binary, times binary")
+    packed = signed.select("key", "first").mapInArrow(tidy(pack), "bucket bigint, keys binary, counts binary, low binary, common binary, known binary, times binary")
     return packed.groupBy("bucket").applyInArrow(meet, "key bigint, shared bigint").groupBy("key").agg(F.sum("shared").alias("shared"))
 
 
@@ -181,7 +181,7 @@ def members(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     out.append((_key(_signature(s)), len(s), s.view(np.int64), other.view(np.int64), np.packbits(odd.astype(np.uint8)).view("<i8")))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names=["id", "key", "n", "tokens", "other", "bits"])
 
-    return _rows(docs, id_col).mapInArrow(run, "id bigint, key bigint, n bigint, tokens array<bigint>, other array<bigint>, bits array<bigint>")
+    return _rows(docs, id_col).mapInArrow(tidy(run), "id bigint, key bigint, n bigint, tokens array<bigint>, other array<bigint>, bits array<bigint>")
 
 
 def _early(x: str, y: str) -> Column:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxara.llm.common import read_table
+from voxara.llm.common import read_table, tidy
 
 #: Labelled rows of each class that lexicons and the classifier are trained on, at most: those with the least hash of their id.
 SAMPLE_PER_CLASS = 1_500
@@ -223,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, learns=None) -> Toxicity:
                 total[votes(find(found), sent.value, len(found))] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["pattern", "n"])
 
-    counted = docs.select(F.col("text").cast("string").cast("binary").alias("b")).mapInArrow(patterns, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).collect() if lex else []
+    counted = docs.select(F.col("text").cast("string").cast("binary").alias("b")).mapInArrow(tidy(patterns), "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).collect() if lex else []
     bits = lambda ps: np.array([[p >> j & 1 for j in range(len(VOTERS))] for p in ps], float).reshape(-1, len(VOTERS))
     pattern = [r.pattern for r in sorted(counted, key=lambda r: r.pattern)]
     counts = np.array([r.n for r in sorted(counted, key=lambda r: r.pattern)], float)
@@ -268,7 +268,7 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(posts, pa.float64())], names=["doc_id", "score", "posterior"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("b")).mapInArrow(run, f"doc_id {kind}, score double, posterior double")
+    return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("b")).mapInArrow(tidy(run), f"doc_id {kind}, score double, posterior double")
 
 
 def remainder(n: int):
@@ -293,4 +293,4 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
             keep = [m.bias + m.sum(find(lower_words((t.as_py() or "").encode()))) < 0 for t in batch.column(batch.schema.get_field_index("text"))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

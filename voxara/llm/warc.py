@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxara.llm.common import drop_path, new_path, read_table, stash
+from voxara.llm.common import drop_path, new_path, read_table, stash, tidy
 
 SEGMENT_BYTES, CHUNK_BYTES = 16_384, 4_096
 #: Records in a file at most, which bounds what a reader holds.
@@ -129,7 +129,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
                     out += records(f"{'null' if id_ is None else id_}:{digest}" + (f":{part}.{n}" if part is not None else ""), " ".join(url.split()), body, None if refers is None else f"{refers}:{digest}")
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    typed.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    typed.mapInArrow(tidy(run), "value binary").select(F.col("value").cast("string")).write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 SEGMENT = "origin string, number bigint, total bigint, type string, refers_to string, url string, digest string, segmented boolean, block binary"
@@ -152,7 +152,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, SEGMENT)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(tidy(run), SEGMENT)
 
 
 def reassemble(segments: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def reassemble(segments: DataFrame) -> DataFrame:
                         rows.append((origin, type_, refers, url, None, None, stated, False))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return whole.select(*alone.columns).union(alone).mapInArrow(run, "record_id string, record_type string, refers_to string, url string, payload binary, payload_bytes bigint, payload_digest string, complete boolean")
+    return whole.select(*alone.columns).union(alone).mapInArrow(tidy(run), "record_id string, record_type string, refers_to string, url string, payload binary, payload_bytes bigint, payload_digest string, complete boolean")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
