@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from voxara.llm.common import read_table, tidy
 
 #: Chunks in each of the two generations of a worker's cache.
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 100_000
+#: Hashes that tell whether a chunk was met before.
+MET = 1 << 21
 #: Chunks that a worker keeps from one task to the next.
 KEPT_CHUNKS = 30_000
 _SPACE = regex.compile(r"\s+")
@@ -72,6 +74,8 @@ class Bpe:
         self.end = [ids[c + self.suffix] for c in byte_alphabet()]
         self.young: dict[str, tuple[str, int, str]] = {}
         self.old: dict[str, tuple[str, int, str]] = {}
+        #: Marks of the hashes of chunks met: one is cached when it is met again.
+        self.met = bytearray(MET)
 
     def word(self, word: str) -> list[int]:
         """Token ids of one pre-split word."""
@@ -111,8 +115,11 @@ class Bpe:
         if found is None:
             ids = [i for w in self.split.findall(chunk) for i in self.word(w)]
             found = (" ".join(map(str, ids)), len(ids), " ".join([self.names[i] for i in ids]))
+        if not self.met[at := hash(chunk) & MET - 1]:  # most chunks never come again
+            self.met[at] = 1
+            return found
         if len(self.young) >= CACHE_CHUNKS:
-            self.old, self.young = self.young, {}
+            self.old, self.young, self.met = self.young, {}, bytearray(MET)
         self.young[chunk] = found
         return found
 
