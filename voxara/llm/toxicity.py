@@ -2,9 +2,9 @@
 
 Voters are lexicons and patterns: words and word stems (leading bytes) that the training labels tie to toxicity,
 dealt to several lexicons, and patterns over them. A generative label model is fitted to the vote patterns of all
-documents without labels: each voter's firing rate given the hidden class, by expectation maximisation; correlated
-voters, measured on the residuals, share their weight. A linear classifier is then trained on posterior labels and
-gives the score.
+documents without labels, by expectation maximisation: each voter's firing rate given the hidden class (its accuracy)
+and the covariance of all voters within a class (their correlations), so that voters that fire together share their
+evidence. A linear classifier is then trained on the posterior labels alone and gives the score.
 """
 
 from __future__ import annotations
@@ -25,10 +25,12 @@ from voxara.llm.common import read_table, tidy
 SAMPLE_PER_CLASS = 1_500
 STEMS = (4, 5, 6, 7, 8)
 LEXICONS = 4
-#: Entries of the lexicons and of the classifier at most, and the least share of toxic documents that an entry occurs in.
-ENTRIES, FEATURES, MIN_SHARE = 400, 400, 0.005
+#: The classifier has the lexicons' entries as features, and others up to so many in all.
+FEATURES = 1_200
+#: The least share of toxic documents that an entry occurs in.
+MIN_SHARE = 0.005
 #: An entry is toxic if its rate among toxic documents is so many times that among others.
-MIN_RATIO, MIN_G = 20.0, 20.0
+MIN_RATIO, MIN_G = 20.0, 30.0
 _STRIP = b".,;:!?\"'()[]{}*_-<>|%&$#@~^=+/\\`"
 VOTERS = [f"words{i}" for i in range(LEXICONS)] + [f"stems{n}" for n in STEMS] + ["two_entries", "repeated", "dense"]
 
@@ -55,7 +57,7 @@ def entries(text: bytes | None) -> Counter:
 class Finder:
     """The same of the wanted entries alone; remembers which words have any, up to WORDS words at a time."""
 
-    WORDS = 200_000
+    WORDS = 100_000
 
     def __init__(self, wanted: Iterable[bytes]):
         self.wanted, self.known = frozenset(wanted), {}
@@ -78,18 +80,41 @@ def strength(n: int) -> float:
     return min(2.0, 0.5 + 0.5 * n)
 
 
-def _rates(docs: list[Counter], toxic: np.ndarray) -> list[tuple[float, bytes, float, float]]:
-    """(association, entry, rate among toxic documents, rate among others), strongest first."""
-    a, b = Counter(), Counter()
-    for c, t in zip(docs, toxic, strict=True):
-        (a if t else b).update(c.keys())
-    na, nb = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    least = max(2, MIN_SHARE * na)
-    found = [((n / na - b[w] / nb) * np.sqrt(n), w, n / na, b[w] / nb) for w, n in a.items() if n >= least]
-    return sorted(found, key=lambda x: (-x[0], x[1]))
-
-
-def lexicon(docs: list[Counter], toxic: np.ndarray) -> list[bytes]:
+@dataclass
+class Sample:
+    """Texts as the numbers of their entries, which takes little memory: names[ids[k]] occurs counts[k] times in the k-th of rows."""
+
+    names: list[bytes]
+    ids: list[np.ndarray]
+    counts: list[np.ndarray]
+
+    @classmethod
+    def of(cls, texts: Iterable[bytes | None]) -> Sample:
+        numbers: dict[bytes, int] = {}
+        ids, counts = [], []
+        for text in texts:
+            found = entries(text)
+            ids.append(np.array([numbers.setdefault(w, len(numbers)) for w in found], np.int32))
+            counts.append(np.array(list(found.values()), np.int32))
+        return cls(list(numbers), ids, counts)
+
+    def rates(self, toxic: np.ndarray) -> list[tuple[float, bytes, float, float]]:
+        """(association, entry, rate among toxic documents, rate among others), strongest first."""
+        size = len(self.names)
+        a, b = (sum((np.bincount(i, minlength=size) for i, t in zip(self.ids, toxic, strict=True) if t == side), np.zeros(size)) for side in (True, False))
+        na, nb = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+        used = np.flatnonzero(a >= max(2, MIN_SHARE * na))
+        found = [((a[k] / na - b[k] / nb) * np.sqrt(a[k]), self.names[k], a[k] / na, b[k] / nb) for k in used.tolist()]
+        return sorted(found, key=lambda x: (-x[0], x[1]))
+
+    def counters(self, wanted: Iterable[bytes]) -> list[Counter]:
+        """The counts of wanted entries in each text."""
+        keep = frozenset(wanted)
+        mask = np.array([w in keep for w in self.names], bool)
+        return [Counter({self.names[k]: int(n) for k, n in zip(i[mask[i]].tolist(), c[mask[i]].tolist(), strict=True)}) for i, c in zip(self.ids, self.counts, strict=True)]
+
+
+def lexicon(sample: Sample, toxic: np.ndarray) -> list[bytes]:
     """Entries that toxic documents hold MIN_RATIO times as often as others, by more than chance gives (a G statistic of MIN_G)."""
     na, nb = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
 
@@ -97,7 +122,7 @@ def lexicon(docs: list[Counter], toxic: np.ndarray) -> list[bytes]:
         n = a + b
         return 2 * (a * np.log(a * (na + nb) / (n * na)) + (b * np.log(b * (na + nb) / (n * nb)) if b else 0.0))
 
-    return [w for _, w, a, b in _rates(docs, toxic) if a >= MIN_RATIO * b and g(a * na, b * nb) >= MIN_G][:ENTRIES]
+    return [w for _, w, a, b in sample.rates(toxic) if a >= MIN_RATIO * b and g(a * na, b * nb) >= MIN_G]
 
 
 def votes(found: Counter, lex: dict[bytes, int], n_words: int) -> int:
@@ -127,51 +152,53 @@ def voter_of(entry: bytes) -> int:
 
 @dataclass
 class LabelModel:
+    """Votes within a class are normal with the class's rates and one covariance, so the posterior's log odds are linear in the votes."""
+
     prior: float
     rates: np.ndarray  # voter x class: how often it fires
-    weights: np.ndarray
-    correlations: np.ndarray
+    covariance: np.ndarray  # of the votes within a class
 
     def posterior(self, fired: np.ndarray) -> np.ndarray:
-        """Voters that fire give evidence and others abstain; only where all abstain does that count."""
-        gap = np.log(self.prior) - np.log1p(-self.prior) + (fired * (np.log(self.rates[:, 1]) - np.log(self.rates[:, 0])) * self.weights).sum(1)
-        gap += np.where(fired.any(1), 0.0, ((np.log1p(-self.rates[:, 1]) - np.log1p(-self.rates[:, 0])) * self.weights).sum())
+        w = np.linalg.solve(self.covariance, self.rates[:, 1] - self.rates[:, 0])
+        gap = np.log(self.prior) - np.log1p(-self.prior) + (fired - self.rates.mean(1)) @ w
         return 1 / (1 + np.exp(-np.clip(gap, -50, 50)))
 
+    @property
+    def correlations(self) -> np.ndarray:
+        sd = np.sqrt(np.diag(self.covariance))
+        return self.covariance / np.outer(sd, sd)
+
 
-def fit_label_model(fired: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 30) -> LabelModel:
-    """Accuracies by expectation maximisation over vote patterns with counts; correlations of residuals set the weights.
+def fit_label_model(fired: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 50, ridge: float = 0.2) -> LabelModel:
+    """Rates, covariance and prior by expectation maximisation over vote patterns with counts; it starts from whether any voter fires.
 
-    A voter that never fires keeps a low rate in both classes and so has no say.
+    ridge: the share of the mean variance that every voter's own variance is raised by, so that a voter that never
+    fires, or repeats another, has no infinite say.
     """
-    m = fired.shape[1]
     n = max(1.0, counts.sum())
     post = np.where(fired.any(1), 0.9, 0.01)
-    model = LabelModel(prior, np.full((m, 2), 0.5), np.ones(m), np.eye(m))
-    for _ in range(rounds):
+    while True:
         w1, w0 = counts * post, counts * (1 - post)
-        rates = np.stack([(w0 @ fired + 0.01) / (w0.sum() + 1), (w1 @ fired + 0.5) / (w1.sum() + 1)], 1)
-        rates[:, 1] = np.maximum(rates[:, 1], rates[:, 0])
-        mean = np.outer(1 - post, rates[:, 0]) + np.outer(post, rates[:, 1])
-        residual = (fired - mean) * np.sqrt(counts)[:, None]
-        cov = residual.T @ residual / n
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-        corr = np.clip(cov / np.outer(sd, sd), 0, 1)
-        np.fill_diagonal(corr, 1)
-        model = LabelModel(float(np.clip(w1.sum() / n, 1e-4, 0.5)), np.clip(rates, 1e-6, 1 - 1e-6), 1 / corr.sum(1), corr)
-        post = model.posterior(fired)
-    return model
-
-
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 25, weight: np.ndarray | None = None) -> np.ndarray:
-    """Logistic regression with targets in [0, 1], row weights and a ridge, by Newton steps; the last weight is the bias."""
-    weight = np.ones(len(x)) if weight is None else weight
-    x1 = np.hstack([x, np.ones((len(x), 1))])
+        rates = np.stack([(w0 @ fired) / max(1.0, w0.sum()), (w1 @ fired + 0.5 * fired.mean(0)) / (w1.sum() + 1)], 1)
+        low, high = fired - rates[:, 0], fired - rates[:, 1]
+        cov = ((low * w0[:, None]).T @ low + (high * w1[:, None]).T @ high) / n
+        cov += np.eye(len(cov)) * max(1e-6, ridge * np.trace(cov) / len(cov))
+        model = LabelModel(float(np.clip(w1.sum() / n, 1e-4, 0.5)) if w1.sum() else prior, rates, cov)
+        new = model.posterior(fired)
+        rounds -= 1
+        if not rounds or np.abs(new - post).max() < 1e-6:
+            return model
+        post = new
+
+
+def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
+    """Logistic regression with targets in [0, 1] and a ridge, by Newton steps; the last weight is the bias."""
+    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w, pull = np.zeros(x1.shape[1]), np.full(x1.shape[1], ridge)
     pull[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        step = np.linalg.solve((x1 * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ x1 + np.diag(pull), x1.T @ (weight * (p - y)) + pull * w)
+        step = np.linalg.solve((x1 * (p * (1 - p) + 1e-9).astype(x1.dtype)[:, None]).T @ x1 + np.diag(pull), x1.T @ (p - y) + pull * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -192,7 +219,7 @@ class Toxicity:
 def train(docs: DataFrame, labels: DataFrame, learns=None) -> Toxicity:
     """Fits voters, label model and classifier. learns: which labelled doc_ids may be learnt from (all where None).
 
-    At most SAMPLE_PER_CLASS labelled rows of each class come to the driver; votes of all documents do as one count
+    At most SAMPLE_PER_CLASS labelled doc_ids of each class come to the driver (integers or texts alike); votes of all documents do as one count
     for each of the at most 2 ** len(VOTERS) patterns. Without labelled rows of both classes no voter fires and every
     score is the prior.
     """
@@ -203,14 +230,15 @@ def train(docs: DataFrame, labels: DataFrame, learns=None) -> Toxicity:
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ordered = lambda t: known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS)
     chosen = {r.doc_id: r.toxic for r in ordered(True).union(ordered(False)).collect()}
-    ids = spark.createDataFrame([(i,) for i in sorted(chosen)], "doc_id bigint")
+    ids = spark.createDataFrame([(i,) for i in sorted(chosen)], f"doc_id {dict(labels.dtypes)['doc_id']}")
     rows = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("b")).join(F.broadcast(ids), "doc_id", "left_semi")
-    sample, toxic, sizes = [], [], []
+    toxic, sizes, texts = [], [], []
     for r in sorted(rows.toLocalIterator(), key=lambda r: (r.doc_id, bytes(r.b or b""))):
-        sample.append(entries(bytes(r.b or b"")))
-        sizes.append(len(lower_words(bytes(r.b or b""))))
+        texts.append(bytes(r.b or b""))
+        sizes.append(len(lower_words(texts[-1])))
         toxic.append(chosen[r.doc_id])
-    marks = np.array(toxic, bool)
+    sample, marks = Sample.of(texts), np.array(toxic, bool)
+    del texts
     lex = {w: voter_of(w) for w in (lexicon(sample, marks) if marks.any() and not marks.all() else [])}
     sent = spark.sparkContext.broadcast(lex)
 
@@ -227,23 +255,18 @@ def train(docs: DataFrame, labels: DataFrame, learns=None) -> Toxicity:
     bits = lambda ps: np.array([[p >> j & 1 for j in range(len(VOTERS))] for p in ps], float).reshape(-1, len(VOTERS))
     pattern = [r.pattern for r in sorted(counted, key=lambda r: r.pattern)]
     counts = np.array([r.n for r in sorted(counted, key=lambda r: r.pattern)], float)
-    model = fit_label_model(bits(pattern), counts, 0.1) if pattern else LabelModel(0.1, np.full((len(VOTERS), 2), 0.5), np.ones(len(VOTERS)), np.eye(len(VOTERS)))
+    model = fit_label_model(bits(pattern), counts, 0.1) if pattern else LabelModel(0.1, np.full((len(VOTERS), 2), 0.5), np.eye(len(VOTERS)))
     if not lex:
         return Toxicity({}, model, {}, float(np.log(0.1 / 0.9)))
-    target = model.posterior(bits([votes(c, lex, n) for c, n in zip(sample, sizes, strict=True)]))
-    ranked = [w for _, w, _, _ in _rates(sample, target >= 0.5)]
-    chosen_features = list(dict.fromkeys([*lex, *ranked]))[: max(FEATURES, len(lex))]
-    at = {w: i for i, w in enumerate(chosen_features)}
-    x = np.zeros((len(sample), len(at)))
-    for i, c in enumerate(sample):
-        for w in c.keys() & at.keys():
-            x[i, at[w]] = strength(c[w])
+    target = model.posterior(bits([votes(c, lex, n) for c, n in zip(sample.counters(lex), sizes, strict=True)]))
+    ranked = [w for _, w, _, _ in sample.rates(target >= 0.5)]
+    at = {w: i for i, w in enumerate(list(dict.fromkeys([*lex, *ranked]))[: max(FEATURES, len(lex))])}
+    x = np.zeros((len(sizes), len(at)), np.float32)
+    for i, c in enumerate(sample.counters(at)):
+        for w, n in c.items():
+            x[i, at[w]] = strength(n)
     w = fit_linear(x, target)
-    # Scale and bias are set on the labels, each class weighing as much as it does among all labels that may be learnt from.
-    share = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    weight = np.where(marks, share[True] / marks.sum(), share[False] / (~marks).sum())
-    a, b = fit_linear((x @ w[:-1])[:, None], marks.astype(float), 1e-3, weight=weight / weight.mean())
-    return Toxicity(lex, model, {f: float(w[i] * a) for f, i in at.items()}, float(b))
+    return Toxicity(lex, model, {f: float(w[i]) for f, i in at.items()}, float(w[-1]))
 
 
 def score(docs: DataFrame, model: Toxicity) -> DataFrame:
@@ -276,13 +299,14 @@ def remainder(n: int):
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model learnt from the rows that aren't held out; null and empty texts have the bias's score, null ids and repeated rows a result each."""
     docs = read_table(spark, sf_dir, "documents")
     model = train(docs, read_table(spark, sf_dir, "labels"), remainder(5) != 0)
     return score(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "posterior")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the documents that score 0.5 or more. The texts themselves carry the decision through one pass."""
+    """docs without the rows that score 0.5 or more, whatever their ids and other columns; each text carries its own decision through one pass."""
     model = train(docs, labels, remainder(5) != 0)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
