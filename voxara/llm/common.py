@@ -65,17 +65,17 @@ def few(table: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return F.broadcast if table.count() <= BROADCAST_ROWS else lambda df: df
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
-    """rows joined on key with a stored table, one row for each key, whose weight is the number of rows that have it.
+def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) on key with a stored table, one row for each key, whose weight is the number of rows that have it.
 
     A small table is broadcast. Of a larger one the keys that HOT_KEYS-th of all rows have, of which there are HOT_KEYS
     at most, are broadcast and the others shuffled, so that no task gets all rows of a hot key.
     """
     if table.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table), key)
+        return rows.join(F.broadcast(table), key, how)
     least = table.select(F.sum(weight)).first()[0] / HOT_KEYS
     hot = table.filter(F.col(weight) >= least)
-    mild = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col(weight) < least), key)
+    mild = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col(weight) < least), key, how)
     return rows.join(F.broadcast(hot), key).select(mild.columns).union(mild)
 
 

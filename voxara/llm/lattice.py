@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxara.llm.common import read_table, stash, tidy, words
+from voxara.llm.common import join_hot, read_table, stash, tidy, words
 
 HEAVY = 300_000
 ALPHA = 3_000.0
-#: The core's share of what the discount takes, and the commonest shapes that a core's arc may have.
-CORE, SHAPES = 0.7, 1_000
-#: Classes at most; rows of rarer ones share the last.
+#: The core's share of what the discount takes.
+CORE = 0.7
+#: Components of the mixture; rows of rarer classes share the last.
 CLASSES = 8
 #: Times that the pieces' weights are re-estimated.
 FITS = 1
@@ -263,26 +263,26 @@ def score_documents(docs: DataFrame, learns: Column, pieces: list[tuple[str, flo
     for _ in range(FITS):
         fitted = fit_lattice(types, fitted)
     trained = types.filter((F.col("c") > 0) & (F.col("token") != F.lit(END)))
-    shapes = {bytes(r["shape"]): r["n"] for r in trained.groupBy("shape").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "shape").limit(SHAPES).collect()}
+    shapes, _ = stash(trained.groupBy("shape").agg(F.count("*").alias("shape_types")), "shapes")
     cores = trained.filter(F.length("core") > 0).groupBy("core").agg(F.count("*").alias("core_types"))
-    sent = spark.sparkContext.broadcast((fitted, shapes))
+    sent = spark.sparkContext.broadcast(fitted)
     d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
     base_less = math.log10(total + kinds + 1)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, shape_types = sent.value
+        lattice = sent.value
         back = math.log(d * kinds / total) if total else 0.0
         spelt = math.log1p(-CORE) if total else 0.0
         discounts = [d * v / n if n else 1.0 for n, v in zip(class_total, class_kinds, strict=True)]
         for batch in batches:
             out = []
-            for token, c, own, shape, core_types in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for token, c, own, core_types, shape_types in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if token == END:
                     g = -20.0 if c else 0.0
                 else:
                     g = spelt + lattice.log_q(token.decode("utf-8", "replace"))
-                    if core_types and shape in shape_types:
-                        arc = math.log(CORE * core_types / kinds * shape_types[shape] / kinds)
+                    if core_types and shape_types:
+                        arc = math.log(CORE * core_types / kinds * shape_types / kinds)
                         g = max(g, arc) + math.log1p(math.exp(-abs(g - arc)))
                     g += back
                 if c:
@@ -296,7 +296,9 @@ def score_documents(docs: DataFrame, learns: Column, pieces: list[tuple[str, flo
                 out.append(lp)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], names=["token", "c", "lp"])
 
-    with_cores = types.join(cores, "core", "left").select("token", "c", "by", "shape", "core_types")
+    # The commonest shapes hold most types; a table of shapes too large to broadcast leaves only those to the join of hot keys.
+    shaped = join_hot(types, shapes, "shape", "shape_types", "left")
+    with_cores = shaped.join(cores, "core", "left").select("token", "c", "by", "core_types", "shape_types")
     table, _ = stash(with_cores.mapInArrow(tidy(scored), "token binary, c bigint, lp array<double>"), "word-scores")
     often = table.filter((F.col("c") > 0) & (F.col("c") >= total / HEAVY)).collect() if total else []
     heavy = spark.sparkContext.broadcast(({bytes(r.token): i for i, r in enumerate(often)}, np.array([math.log10(r.c + 1) for r in often]), np.array([r.lp for r in often]).reshape(-1, width)))
@@ -354,6 +356,7 @@ def score_documents(docs: DataFrame, learns: Column, pieces: list[tuple[str, flo
 
 
 def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' scores by a model learnt from those that aren't held out; see score_documents for nulls and repeated rows."""
     import public_tokenizers
 
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
