@@ -137,6 +137,8 @@ def _shares(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def shanbhag(n: np.ndarray) -> int:
     """Shanbhag: the least difference between the information of both classes, with fuzzy memberships."""
+    if not n.sum():
+        return 0
     p, low, high = _shares(n)
     first = int(np.argmax(low > 1e-12))
     inner = np.flatnonzero(high > 1e-12)
@@ -163,6 +165,8 @@ def yen(n: np.ndarray) -> int:
 
 def renyi_entropy(n: np.ndarray) -> int:
     """Kapur, Sahoo and Wong with Renyi's entropies of order 1/2, 1 and 2, whose three thresholds are weighted by their order."""
+    if not n.sum():
+        return 0
     p, low, high = _shares(n)
     first = int(np.argmax(low > 1e-12))
     inner = np.flatnonzero(high > 1e-12)
