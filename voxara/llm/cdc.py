@@ -5,13 +5,15 @@ some reach words in a row, so a chunk's ends depend on the text within reach wor
 
 1. Chunks that occur more than once in the corpus are anchors. Any min_words words in a row hold the ends of two
    windows of reach words, so a whole chunk at least, and their copies hold the same one.
-2. Every run of min_words whole words whose inner chunks are all anchors is hashed (128 bits, separators included) and
-   counted over the whole corpus; the first occurrence (least doc_id, then place) stays, others are repeats.
-3. Such runs of a document that overlap or touch join to passages, which thereby reach to their true ends in words.
+2. Every run of min_words whole words (a window) whose inner chunks are all anchors is hashed, separators included. The
+   windows whose first inner chunk is one and the same are a range; it travels as one row to its chunk's bucket, where
+   windows are counted over the whole corpus; the first occurrence (least doc_id, then place) stays, others are repeats.
+3. Repeated windows of a document that overlap or touch join to passages, which thereby reach to their true ends in words.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxara.llm.common import read_table, tidy
+from voxara.llm.common import few, join_hot, read_table, stash, tidy
 
 #: A passage has over 50 words.
 MIN_WORDS = 51
@@ -29,6 +31,8 @@ WINDOW = 8
 LEAD = WINDOW // 2
 #: Bytes of a chunk at most; a longer one is cut at multiples from its own beginning.
 MOST = 512
+#: Windows that meet in one bucket, about.
+BUCKET_WINDOWS = 1_000_000
 #: A fixed table made by rule: one 32-bit number for each byte value.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], np.uint32)
 
@@ -90,7 +94,8 @@ def _digests(data: bytes, ends: list[int]) -> np.ndarray:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").cast("binary").alias("b"))
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return docs.filter(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("b"))
 
 
 def chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -113,55 +118,187 @@ def chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     counts.append(n)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(take))), pa.array(np.concatenate(digests)), pa.array(np.concatenate(counts), pa.int64())], names=["doc_id", "digest", "n"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return _texts(docs).mapInArrow(tidy(run), f"doc_id {kind}, digest bigint, n bigint")
+    return _texts(docs).select("doc_id", "b").mapInArrow(tidy(run), "doc_id bigint, digest bigint, n bigint")
 
 
 def anchors(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, digests: each document's chunks that occur more than once in the corpus.
 
-    Counts are combined before the shuffle, so a digest that a third of all rows hold costs a row per task; the join
-    back splits such a digest's rows (adaptive skew join).
+    Counts are combined before the shuffle, so a digest that a third of all rows hold costs a row per task; joined back,
+    hot digests are kept apart.
     """
-    all_ = chunks(docs, min_words)
-    many = all_.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select("digest")
-    return all_.select("doc_id", "digest").join(many, "digest").groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
+    all_, _ = stash(chunks(docs, min_words), "chunks")
+    many, _ = stash(all_.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1"), "anchors")
+    return join_hot(all_.select("doc_id", "digest"), many, "digest", "n").groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
 
 
-def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, word, start, stop (bytes), digest: every min_words whole words in a row that may occur elsewhere.
+def ranges(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """A row for each run of windows that have the same first inner chunk and may occur elsewhere.
 
-    Of the chunks within, those between the first and the last of its own windows of reach words are the same in any copy, so all must be anchors.
+    d: the chunk's digest; k: a hash of the windows' digests; doc_id, text_hash, word, start: the first window's place;
+    m: how many windows; digests: 5 bytes each; places: their starts and stops from start on, packed. Of the chunks
+    within a window, those between the first and the last of its own windows of reach words are the same in any copy, so
+    all must be anchors.
     """
-    kind = dict(docs.dtypes)["doc_id"]
     reach = reach_of(min_words)
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["i", "d", "k", "word", "start", "m", "digests", "places"]
+
+    def of_text(i: int, data: bytes, found: np.ndarray) -> list[tuple]:
+        b = np.frombuffer(data, np.uint8)
+        starts, stops = word_ends(b)
+        n = len(starts) - min_words + 1
+        if n <= 0:
+            return []
+        least = least_words(b, starts, reach)
+        ends = _cuts(len(data), starts, least)
+        own = _digests(data, ends)
+        other = np.r_[0, np.cumsum(~np.isin(own, found))]
+        inner = np.searchsorted(np.array([0, *ends[:-1]]), starts[least])
+        first, last = inner[LEAD : LEAD + n], inner[min_words - reach : min_words - reach + n]
+        j = np.flatnonzero(other[first] == other[last])
+        if not len(j):
+            return []
+        x, y, chunk = starts[j], stops[j + min_words - 1], first[j]
+        hashes = np.array([xxhash.xxh3_64_intdigest(data[p:q]) for p, q in zip(x.tolist(), y.tolist(), strict=True)], "<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        cut = np.flatnonzero(np.r_[True, (j[1:] != j[:-1] + 1) | (chunk[1:] != chunk[:-1])])
+        out = []
+        for p, q in zip(cut.tolist(), [*cut[1:].tolist(), len(j)], strict=True):
+            windows = hashes[p:q].tobytes()
+            places = zlib.compress(np.r_[np.diff(x[p:q], prepend=x[p]), y[p:q] - x[p:q]].astype("<u4").tobytes(), 1)
+            out.append((i, int(own[chunk[p]]), xxhash.xxh3_64_intdigest(windows, q - p) - (1 << 63), int(j[p]), int(x[p]), q - p, windows, places))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                take, words, first, last, digests = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
-                for i, (cell, found) in enumerate(zip(part.column(1), part.column(2), strict=True)):
-                    data = cell.as_py() or b""
-                    b = np.frombuffer(data, np.uint8)
-                    starts, stops = word_ends(b)
-                    n = len(starts) - min_words + 1
-                    if n <= 0:
-                        continue
-                    least = least_words(b, starts, reach)
-                    ends = _cuts(len(data), starts, least)
-                    other = np.r_[0, np.cumsum(~np.isin(_digests(data, ends), found.values.to_numpy()))]
-                    begin = np.array([0, *ends[:-1]])
-                    place = other[np.searchsorted(begin, starts[least])]
-                    j = np.flatnonzero(place[LEAD : LEAD + n] == place[min_words - reach : min_words - reach + n])
-                    take.append(np.full(len(j), i))
-                    words.append(j)
-                    first.append(starts[j])
-                    last.append(stops[j + min_words - 1])
-                    digests += [xxhash.xxh3_128_digest(data[x:y]) for x, y in zip(first[-1].tolist(), last[-1].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(take))), *(pa.array(np.concatenate(x), pa.int32()) for x in (words, first, last)), pa.array(digests, pa.binary())], names=["doc_id", "word", "start", "stop", "digest"])
-
-    return _texts(docs).join(anchors(docs, min_words), "doc_id").mapInArrow(tidy(run), f"doc_id {kind}, word int, start int, stop int, digest binary")
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                rows = [r for i, (cell, found) in enumerate(zip(part.column(2), part.column(3), strict=True)) for r in of_text(i, cell.as_py(), found.values.to_numpy())]
+                if rows:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(columns[0]), part.column(1).take(columns[0]), *columns[1:]], names=["doc_id", "text_hash", *names[1:]])
+
+    return _texts(docs).join(anchors(docs, min_words), "doc_id").select("doc_id", "text_hash", "b", "digests").mapInArrow(tidy(run), "doc_id bigint, text_hash bigint, d bigint, k bigint, word int, start int, m int, digests binary, places binary")
+
+
+def _placed(places: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where a range's windows start, from its first on, and their sizes."""
+    a = np.frombuffer(zlib.decompress(places), "<u4").astype(np.int64)
+    return np.cumsum(a[: len(a) // 2]), a[len(a) // 2 :]
+
+
+def _first_of(*columns: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns differ from those before."""
+    return np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)] if len(columns[0]) else np.empty(0, bool)
+
+
+def repeated(found: DataFrame, buckets: int) -> DataFrame:
+    """d, k, lo, hi, n, f_doc, f_hash, f_start: the runs of windows lo to hi of the ranges (d, k) that occur elsewhere too.
+
+    n: occurrences; the first occurrence of window lo is at f_start of document f_doc with text f_hash, and those of the
+    others follow it as in the range. Equal ranges of a slice of rows are combined before they go to their bucket, so
+    what many documents hold reaches it once for each slice.
+    """
+    place = ["doc_id", "text_hash", "start"]
+    schema = "bucket bigint, d bigint, k bigint, n bigint, f0 bigint, f1 bigint, f2 bigint, l0 bigint, l1 bigint, l2 bigint, digests binary, places binary"
+    fields = [f.split(" ")[0] for f in schema.split(", ")]
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d, k, *p = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("d", "k", *place))
+            order = np.lexsort((p[2], p[1], p[0], k, d))
+            head = np.flatnonzero(_first_of(d[order], k[order]))
+            tail = np.r_[head[1:], len(order)] - 1
+            one = order[head]
+            rest = [batch.column(batch.schema.get_field_index(c)).take(pa.array(one)) for c in ("digests", "places")]
+            own = [d[one].view(np.uint64) % np.uint64(buckets), d[one], k[one], tail - head + 1, *(c[one] for c in p), *(c[order[tail]] for c in p)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in own), *rest], names=fields)
+
+    def meet(table: pa.Table) -> pa.Table:
+        col = lambda c: table[c].to_numpy().astype(np.int64)
+        d, k, n, first, last = col("d"), col("k"), col("n"), [col(f"f{i}") for i in range(3)], [col(f"l{i}") for i in range(3)]
+        digests, spans = table["digests"].to_pylist(), [_placed(x) for x in table["places"].to_pylist()]
+        size = np.array([len(x) // 5 for x in digests])
+        wide = np.zeros((size.sum(), 8), np.uint8)
+        wide[:, :5] = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 5)
+        w, row = wide.view("<u8").ravel(), np.repeat(np.arange(len(d)), size)
+        rel, length = np.concatenate([s for s, _ in spans]), np.concatenate([s for _, s in spans])
+        # Each window stands at its range's first place, which counts, and at its last.
+        twice = lambda x: np.r_[x, x]
+        at = [np.r_[f[row], t[row]] for f, t in zip(first, last, strict=True)]
+        at[2] = at[2] + twice(rel)
+        order = np.lexsort((at[2], at[1], at[0], twice(w), twice(d[row])))
+        begin = _first_of(twice(d[row])[order], twice(w)[order])
+        head = np.flatnonzero(begin)
+        tail = np.r_[head[1:], len(order)] - 1
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(begin) - 1
+        group = group[: len(row)]
+        count = np.add.reduceat(np.r_[n[row], np.zeros(len(row), np.int64)][order], head)
+        f, t = [c[order[head]] for c in at], [c[order[tail]] for c in at]
+        again = (count > 1) & ((f[0] != t[0]) | (f[1] != t[1]) | (t[2] >= f[2] + twice(length)[order[head]]))
+        # One row of each range gives its runs.
+        pick = np.lexsort((k, d))
+        chosen = np.zeros(len(d), bool)
+        chosen[pick[_first_of(d[pick], k[pick])]] = True
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        use = np.flatnonzero(chosen[row] & again[group])
+        g, r, i = group[use], row[use], pos[use]
+        f0, f1, f2, c = f[0][g], f[1][g], f[2][g], count[g]
+        new = np.flatnonzero(_first_of(r, i - np.arange(len(i)), f0, f1, f2 - rel[use], c)) if len(use) else np.empty(0, np.int64)
+        end = np.r_[new[1:], len(use)] - 1 if len(use) else new
+        out = {"d": d[r[new]], "k": k[r[new]], "lo": i[new].astype(np.int32), "hi": i[end].astype(np.int32), "n": c[new], "f_doc": f0[new], "f_hash": f1[new], "f_start": f2[new]}
+        return pa.table({name: pa.array(x) for name, x in out.items()})
+
+    packed = found.select("d", "k", *place, "digests", "places").mapInArrow(tidy(combine), schema)
+    return packed.groupBy("bucket").applyInArrow(meet, "d bigint, k bigint, lo int, hi int, n bigint, f_doc bigint, f_hash bigint, f_start bigint")
+
+
+def _passages(docs: DataFrame, min_words: int) -> DataFrame:
+    """passages with the text_hash of each."""
+    spark = docs.sparkSession
+    found, _ = stash(ranges(docs, min_words), "ranges")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(found.select(F.sum("m")).first()[0] or 0) // BUCKET_WINDOWS))
+    runs, _ = stash(repeated(found, buckets), "repeated")
+    each = found.select("d", "k", "doc_id", "text_hash", "word", "start", "places").join(runs, ["d", "k"]).drop("d", "k")
+    by_doc = each.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*[c for c in each.columns if c not in ("doc_id", "text_hash")])).alias("c"))
+    names = ["doc_id", "text_hash", "start", "stop", "n_words", "n_copies", "first_doc_id", "first_start", "repeats"]
+
+    def parts(doc: tuple, c: dict) -> list[tuple]:
+        """(repeats, first word, last word, start, stop, n, first document, first start) of a run; where it overlaps its own first occurrence in part, several."""
+        starts, sizes = _placed(c["places"])
+        lo, hi = c["lo"], c["hi"]
+        gap = c["start"] + int(starts[lo]) - c["f_start"]
+        again = np.full(hi - lo + 1, True) if doc != (c["f_doc"], c["f_hash"]) else gap >= sizes[lo : hi + 1]
+        edge = np.flatnonzero(np.r_[True, again[1:] != again[:-1]]).tolist()
+        out = []
+        for p, q in zip(edge, [*edge[1:], len(again)], strict=True):
+            x, y = lo + p, lo + q - 1
+            start = c["start"] + int(starts[x])
+            out.append((bool(again[p]), c["word"] + x, c["word"] + y, start, c["start"] + int(starts[y] + sizes[y]), c["n"], c["f_doc"], start - gap))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                rows: list[list] = []
+                for doc, text, cells in zip(*(x.to_pylist() for x in batch.slice(at, 200).columns), strict=True):
+                    word, open_ = -1, None
+                    for again, low, high, start, stop, n, f_doc, f_start in sorted(p for c in cells for p in parts((doc, text), c)):
+                        if open_ is not None and open_[8] == again and low <= word + min_words:
+                            if high > word:
+                                word, open_[3] = high, stop
+                                open_[4] = high - first + min_words
+                            open_[5] = min(open_[5], n)
+                            continue
+                        first, word = low, high
+                        open_ = [doc, text, start, stop, high - low + min_words, n, f_doc, f_start, again]
+                        rows.append(open_)
+                kinds = [pa.int64()] * 8 + [pa.bool_()]
+                columns = list(zip(*rows, strict=True)) or [()] * 9
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    return by_doc.mapInArrow(tidy(run), ", ".join(f"{n} bigint" for n in names[:-1]) + ", repeats boolean")
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -170,49 +307,23 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A passage is whole words. Those with repeats hold what is found at an earlier place, those without what stays: first
     occurrences, and what overlaps its own first occurrence. The two kinds may overlap, as where a passage that is
     copied from one document goes on into one that is first here. n_copies is the least number of occurrences of the
-    words min_words in a row, first_doc_id and first_start are of the first such. Equal rows are one place.
+    words min_words in a row, first_doc_id and first_start are of the first such. Equal rows are one place, and of rows
+    that repeat an id each different text is one. doc_ids are integers; rows without one, null texts and texts under
+    min_words words have no passages. Other columns are ignored.
     """
-    all_ = windows(docs, min_words)
-    place = F.struct("doc_id", "start")
-    many = all_.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"), F.max(F.col("stop") - F.col("start")).alias("size"))
-    many = many.filter("n > 1 and (first.doc_id <> last.doc_id or last.start >= first.start + size)").select("digest", "n", "first")
-    each = all_.join(many, "digest").select("doc_id", "word", "start", "stop", "n", F.col("first.doc_id").alias("f"), F.col("first.start").alias("fs"))
-    by_doc = each.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("word", "start", "stop", "n", "f", "fs"))).alias("c"))
-    kind = dict(docs.dtypes)["doc_id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["start", "stop", "n_words", "n_copies", "first_doc_id", "first_start", "repeats"]
-        for batch in batches:
-            take, rows = [], []
-            for i in range(batch.num_rows):
-                doc = batch.column(0)[i].as_py()
-                open_: dict[bool, dict] = {}
-                for c in batch.column(1)[i].as_py():
-                    again = c["f"] != doc or c["start"] >= c["fs"] + c["stop"] - c["start"]
-                    run_ = open_.get(again)
-                    if run_ and c["word"] <= run_["word"] + run_["n_words"]:
-                        run_["stop"] = c["stop"]
-                        run_["n_words"] = c["word"] - run_["word"] + min_words
-                        run_["n_copies"] = min(run_["n_copies"], c["n"])
-                        continue
-                    open_[again] = {"word": c["word"], "start": c["start"], "stop": c["stop"], "n_words": min_words, "n_copies": c["n"], "first_doc_id": c["f"], "first_start": c["fs"], "repeats": again}
-                    rows.append(open_[again])
-                    take.append(i)
-            ids = batch.column(0).take(pa.array(take, pa.int64()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), ids.type, pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds, strict=True))], names=["doc_id", *names])
-
-    return by_doc.mapInArrow(tidy(run), f"doc_id {kind}, start bigint, stop bigint, n_words bigint, n_copies bigint, first_doc_id {kind}, first_start bigint, repeats boolean")
+    return _passages(docs, min_words).drop("text_hash")
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs whose texts lack the repeats; first occurrences stay. Documents without repeats are unchanged."""
-    cut = passages(docs, min_words).filter("repeats").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_cut"))
-    text = F.col("text").cast("binary")
+    """docs whose texts lack the repeats; first occurrences stay. Documents without repeats, or without an id, are unchanged, and so are columns of any other name."""
+    cut = _passages(docs, min_words).filter("repeats").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_passage_cuts")).withColumnsRenamed({"doc_id": "_passage_doc", "text_hash": "_passage_hash"})
+    cut, _ = stash(cut, "cuts")
+    text, spans = docs["text"].cast("binary"), cut["_passage_cuts"]
     size = F.length(text)
-    step = lambda acc, c: F.struct(c["stop"].alias("at"), F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (c["start"] - acc["at"]).cast("int"))).alias("out"))
-    rest = F.aggregate("_cut", F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(b"").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), size)))
-    return docs.join(cut, "doc_id", "left").withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(rest.cast("string"))).select(*docs.columns)
+    step = lambda acc, c: F.struct(c["stop"].alias("at"), F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(c["start"] - acc["at"], F.lit(0)).cast("int"))).alias("out"))
+    rest = F.aggregate(spans, F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(b"").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), size)))
+    joined = docs.join(few(cut)(cut), (docs["doc_id"].cast("bigint") == cut["_passage_doc"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == cut["_passage_hash"]), "left")
+    return joined.select(*[F.when(spans.isNull(), docs["text"]).otherwise(rest.cast("string")).alias(c) if c == "text" else docs[c] for c in docs.columns])
 
 
 def op3_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
