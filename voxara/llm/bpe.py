@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import itertools
 import json
 import re
 import unicodedata
@@ -30,8 +29,6 @@ from voxara.llm.common import read_table, tidy
 CACHE_CHUNKS = 100_000
 #: Hashes that tell whether a chunk was met before.
 MET = 1 << 21
-#: Chunks that a worker keeps from one task to the next.
-KEPT_CHUNKS = 30_000
 _SPACE = regex.compile(r"\s+")
 #: Python's split() takes these for blanks, the tokenizer's \s doesn't.
 _NOT_BLANK = re.compile("[\x1c-\x1f]")
@@ -123,10 +120,6 @@ class Bpe:
         self.young[chunk] = found
         return found
 
-    def forget(self) -> None:
-        """Keeps the chunks that came first, as frequent ones do, for the worker's next task."""
-        self.old, self.young = {}, dict(itertools.islice(self.young.items(), KEPT_CHUNKS))
-
     def pieces(self, text: str) -> list[tuple[str, int, str]]:
         """(decimal ids joined by a space, their number, vocabulary strings joined by a space) of the parts of a text."""
         out: list[tuple[str, int, str]] = []
@@ -150,15 +143,6 @@ class Bpe:
         return " ".join([self.names[i] for i in ids if i in self.names])
 
 
-_LOADED: dict[str, Bpe] = {}
-
-
-def loaded(path: str) -> Bpe:
-    if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
-    return _LOADED[path]
-
-
 def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, and with_ids the ids as array<int>.
 
@@ -167,7 +151,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe = Bpe(path)  # of this task alone: a worker keeps nothing for the next
         for whole in batches:
             for at in range(0, whole.num_rows, 250):  # few lists of ids in memory at a time
                 batch, rows, all_ids, ends = whole.slice(at, 250), [], [], [0]
@@ -186,8 +170,6 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-        bpe.forget()
-
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
