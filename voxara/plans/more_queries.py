@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxara.operators import analyzers, distance, fourier, generate, heights, neighbourhood, pointwise, regions, skeletons, statistics, structure, transforms
+from voxara.operators import analyzers, distance, fourier, generate, heights, neighbourhood, pointwise, regions, registration, skeletons, statistics, structure, tomography, transforms
 from voxara.plans.script import Session
 from voxara.plans.volume import AROUND, EMB, U8, Query, emb, of, pixel_sql, saturated, u8
 from voxara.raster import AXES, Image, new_image, pix
@@ -62,7 +62,7 @@ def _values_sql(found: dict[str, object]) -> str:
 
 
 def table() -> dict[str, Query]:
-    return filters() | thresholds() | region_queries() | shapes() | skeleton_queries() | file_queries() | session_queries()
+    return filters() | thresholds() | region_queries() | shapes() | registration_queries() | skeleton_queries() | file_queries() | session_queries()
 
 
 def filters() -> dict[str, Query]:
@@ -247,6 +247,33 @@ def shapes() -> dict[str, Query]:
     return out
 
 
+def registration_queries() -> dict[str, Query]:
+    grid = (0.0, 7.0, 2), (0.0, 7.0, 2), (0.0, 100.0, 6)
+
+    def shifts(spark: SparkSession) -> DataFrame:
+        i = F.col("id")
+        df = spark.range(24).select((i % 2).alias("i"), (i / 2).cast("bigint").alias("h"), "id").select("i", (F.col("h") % 2).alias("j"), (F.col("h") / 2).cast("bigint").alias("k"), "id")
+        return df.select("i", "j", "k", (F.col("i") + 0.5).alias("sx"), (F.col("j") * 0.0).alias("sy"), (F.col("k") * 2.0).alias("sz"))
+
+    points = lambda spark: spark.range(40).select(F.col("id").alias("point"), (F.col("id") % 8).cast("double").alias("x"), (F.col("id") / 5).alias("y"), (F.col("id") * 13.0).alias("z"))
+    moved = "x + least(greatest(x / 7, 0), 1) + 0.5 AS x, y AS y, z + 2 * least(greatest(z / 100, 0), 5) AS z"
+    out: dict[str, Query] = {"pointstodeformed": (lambda spark, sf_dir: registration.points_to_deformed(points(spark), shifts(spark), grid), f"WITH p AS (SELECT i AS point, (i % 8)::DOUBLE AS x, i / 5 AS y, i * 13.0::DOUBLE AS z FROM range(40) t(i)) SELECT point, {moved} FROM p")}
+    whole = lambda spark: shifts(spark).select("i", "j", "k", F.lit(1.0).alias("sx"), F.lit(0.0).alias("sy"), (F.col("k") * 0 + 2.5).alias("sz"))
+    out["pullback"] = of(emb, lambda im: registration.pull_back(im, whole(im.df.sparkSession), grid)), f"WITH {EMB} SELECT a.x, a.y, a.z, 0.5 * coalesce(b.v, 0) + 0.5 * coalesce(c.v, 0) AS v FROM emb a LEFT JOIN emb b ON b.x = a.x + 1 AND b.y = a.y AND b.z = a.z + 2 LEFT JOIN emb c ON c.x = a.x + 1 AND c.y = a.y AND c.z = a.z + 3"
+    wild = lambda spark: spark.range(60).select((F.col("id") % 5).alias("i"), ((F.col("id") / 5).cast("bigint") % 4).alias("j"), (F.col("id") / 20).cast("bigint").alias("k"), F.when(F.col("id") % 17 == 3, 50.0).otherwise(F.col("id") % 3 * 1.0).alias("sx"), F.lit(0.0).alias("sy"), F.lit(1.0).alias("sz"))
+    grid_sql = "g AS (SELECT i % 5 AS i, i // 5 % 4 AS j, i // 20 AS k, CASE WHEN i % 17 = 3 THEN 50.0 ELSE i % 3 END::DOUBLE AS sx, 0.0::DOUBLE AS sy, 1.0::DOUBLE AS sz FROM range(60) t(i)), m AS (SELECT a.i, a.j, a.k, median(b.sx) AS m FROM g a JOIN g b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND abs(a.k - b.k) <= 1 GROUP BY ALL)"
+    out["filterdisplacements"] = (lambda spark, sf_dir: registration.filter_displacements(wild(spark), 1, 3)), f"WITH {grid_sql} SELECT i, j, k, CASE WHEN abs(sx - m) <= 3 THEN sx END AS sx, CASE WHEN abs(sx - m) <= 3 THEN sy END AS sy, CASE WHEN abs(sx - m) <= 3 THEN sz END AS sz FROM g JOIN m USING (i, j, k)"
+    shifted = lambda im: transforms.translate(im, (1, 0, -2))
+    middle = lambda spark: spark.range(20).select(F.col("id").alias("point"), F.lit(4).cast("bigint").alias("x"), F.lit(4).cast("bigint").alias("y"), (F.col("id") * 20 + 20).alias("z"))
+    match = lambda im: registration.block_match(im, shifted(im), middle(im.df.sparkSession), (2, 1, 3), (2, 2, 2)).select("point", "sx", "sy", "sz")
+    out["blockmatch"] = of(emb, match), "SELECT i AS point, 1 AS sx, 0 AS sy, -2 AS sz FROM range(20) t(i)"
+    around = "d AS (SELECT max(z) AS m FROM u8), o AS (SELECT i - 1 AS i, j - 1 AS j FROM range(3) a(i), range(3) b(j)), q AS MATERIALIZED (SELECT x, y, z, v, least(greatest(x + i, 0), 7) AS cx, least(greatest(y + j, 0), 7) AS cy FROM u8, o), p AS MATERIALIZED (SELECT q.x, q.y, q.z, any_value(q.v) AS v, median(b.v) AS m FROM q JOIN u8 b ON b.x = cx AND b.y = cy AND b.z = q.z GROUP BY ALL)"
+    out["deadpixelremoval"] = of(u8, lambda im: tomography.remove_dead_pixels(im, 1, 3)), f"WITH {U8}, {around} SELECT x, y, z, CASE WHEN abs(v - m) > 3 * stddev_samp(abs(v - m)) OVER (PARTITION BY z) THEN m ELSE v END AS v FROM p"
+    out["createfbpfilter"] = (lambda spark, sf_dir: tomography.create_filter(spark, 64, "Ideal ramp").df), "SELECT i::BIGINT AS x, 0::BIGINT AS y, 0::BIGINT AS z, i / 63.0::DOUBLE AS v FROM range(64) t(i)"
+    out["createfbpfilter_hann"] = (lambda spark, sf_dir: tomography.create_filter(spark, 64, "Hann", 0.8).df), None
+    return out
+
+
 def skeleton_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     body = lambda im: pointwise.with_number("threshold", transforms.crop(im, (0, 0, 0), (8, 8, 60)), 115)

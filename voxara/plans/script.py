@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxara.operators import fourier, heights, skeletons, structure, analyzers, distance, generate, neighbourhood, pointwise, regions, statistics, transforms
+from voxara.operators import fourier, heights, skeletons, structure, analyzers, distance, generate, neighbourhood, pointwise, regions, registration, statistics, tomography, transforms
 from voxara.plans import session_commands
 from voxara.raster import Image, new_image
 from voxara.sources import files, raw, volumes
@@ -164,6 +164,7 @@ def _commands() -> dict[str, Callable]:
         "preparedmap": lambda im, background=0.0: im.map(F.when(F.col("v") == background, 0.0).otherwise(distance.FAR), "float32"),
     }.items():
         in_place(name, f)
+    in_place("deadpixelremoval", tomography.remove_dead_pixels)
     for name, f in {
         "satofilter": structure.sato, "frangifilter": lambda im, s, scale=0.0, c=0.25, gamma=0.0, a=0.5, b=0.5: structure.frangi(im, s, scale, c, a, b), "danielsson2": distance.maximal_balls, "meancurvature": structure.mean_curvature,
     }.items():
@@ -248,8 +249,14 @@ def _commands() -> dict[str, Callable]:
         points = lambda name: [tuple(r) for r in s.tables[name].select("x", "y", "z").collect()]
         s.images[target] = transforms.generic_transform(s.image(image), s.image(target).dims, position, points(reference), points(deformed), exponent)
 
+    def fbp_filter(s: Session, target: str, size: int = 100, kind: str = "Ramp", cut_off: float = 1.0) -> None:
+        s.images[target] = tomography.create_filter(s.spark, size, kind, cut_off)
+
+    def block_match(s: Session, reference: str, deformed: str, points: str, target: str, search: tuple = (5, 5, 5), radius: tuple = (25, 25, 25)) -> None:
+        s.tables[target] = registration.block_match(s.image(reference), s.image(deformed), s.tables[points], search, radius)
+
     out |= {
-        "cleanmaxima": clean_maxima, "sdmap": seeded, "gradient": gradient, "cylinderorientation": orientation(structure.cylinder_orientation), "plateorientation": orientation(structure.plate_orientation),
+        "createfbpfilter": fbp_filter, "blockmatch": block_match, "cleanmaxima": clean_maxima, "sdmap": seeded, "gradient": gradient, "cylinderorientation": orientation(structure.cylinder_orientation), "plateorientation": orientation(structure.plate_orientation),
         "orientationdifference": difference, "mainorientationcolor": main_color, "axelssoncolor": axelsson, "fft": fft, "ifft": ifft, "autothresholdvalue": threshold_value, "tracelineskeleton": trace,
         "cleanskeleton": network(skeletons.clean_network), "pruneskeleton": network(skeletons.prune_network), "removeedges": network(skeletons.remove_edges), "getpointsandlines": lines, "fillskeleton": fill,
         "fillparticles": fill_particles, "drawellipsoids": ellipsoids, "drawgraph": graph, "generictransform": generic,
