@@ -236,3 +236,17 @@ def test_statistic_of_methods(spark):
     im = image_of(spark, noise((8, 8, 4)), "uint8")
     for name in thresholds.METHODS:
         assert 0 <= statistics.auto_threshold_value(im, name) <= 255
+
+
+def test_sampled_bilateral_is_near_the_whole(spark):
+    im = image_of(spark, noise((9, 9, 6), 2))
+    whole, part = array_of(neighbourhood.bilateral(im, (1.0, 1.0, 1.0), 80)), array_of(neighbourhood.bilateral_sampled(im, 1.0, 80, 2000))
+    assert np.abs(whole - part).mean() < 3 and np.abs(whole - array_of(im)).mean() > 10
+
+
+def test_slabs_do_not_matter(spark, monkeypatch):
+    im = image_of(spark, noise((9, 8, 7), 4))
+    whole = [array_of(f()) for f in (lambda: neighbourhood.rank_filter("medianfilter", im), lambda: neighbourhood.local_threshold(im))]
+    monkeypatch.setattr(neighbourhood, "STACK_BYTES", 1)
+    for a, f in zip(whole, (lambda: neighbourhood.rank_filter("medianfilter", im), lambda: neighbourhood.local_threshold(im))):
+        assert (array_of(f()) == a).all()

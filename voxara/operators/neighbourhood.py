@@ -59,10 +59,32 @@ def _shifted(block: np.ndarray, radius: tuple, o: tuple) -> np.ndarray:
     return block[tuple(slice(r + c, n - r + c) for r, c, n in zip(radius, o, block.shape, strict=True))]
 
 
-REDUCTIONS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
-    "minfilter": lambda s: s.min(0), "maxfilter": lambda s: s.max(0), "medianfilter": lambda s: np.median(s, 0), "meanfilter": lambda s: s.mean(0),
-    "variancefilter": lambda s: s.var(0, ddof=1), "stddevfilter": lambda s: s.std(0, ddof=1),
-}
+REDUCTIONS = ("minfilter", "maxfilter", "medianfilter", "meanfilter", "variancefilter", "stddevfilter")
+#: Bytes of the neighbours' values that a kernel stacks at a time.
+STACK_BYTES = 1 << 26
+
+
+def _by_slabs(block: np.ndarray, radius: tuple, places: list[tuple], f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """f(stack of all neighbours' values, the pixels' own values) for slabs along x whose stacks take at most STACK_BYTES, or one plane."""
+    own = _shifted(block, radius, (0, 0, 0))
+    step = max(1, STACK_BYTES // (8 * len(places) * own.shape[1] * own.shape[2]))
+    out = np.empty(own.shape)
+    for x in range(0, own.shape[0], step):
+        slab = block[x : min(x + step, own.shape[0]) + 2 * radius[0]]
+        out[x : x + step] = f(np.stack([_shifted(slab, radius, o) for o in places]), own[x : x + step])
+    return out
+
+
+def _moments(block: np.ndarray, radius: tuple, places: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample variance over the neighbours, summed up one neighbour after the other around the pixel's own value."""
+    own = _shifted(block, radius, (0, 0, 0))
+    total, squares = np.zeros(own.shape), np.zeros(own.shape)
+    for o in places:
+        d = _shifted(block, radius, o) - own
+        total += d
+        squares += d * d
+    n = len(places)
+    return own + total / n, np.maximum(squares - total * total / n, 0.0) / max(1, n - 1)
 
 
 def rank_filter(name: str, image: Image, radius: tuple = (1, 1, 1), kind: str = "Ellipsoidal", boundary: str = "Nearest") -> Image:
@@ -76,7 +98,10 @@ def rank_filter(name: str, image: Image, radius: tuple = (1, 1, 1), kind: str =
             for o in places[1:]:
                 best(out, _shifted(block, radius, o), out)
             return out
-        return REDUCTIONS[name](np.stack([_shifted(block, radius, o) for o in places]))
+        if name == "medianfilter":
+            return _by_slabs(block, radius, places, lambda stack, _own: np.median(stack, 0))
+        mean, variance = _moments(block, radius, places)
+        return mean if name == "meanfilter" else variance if name == "variancefilter" else np.sqrt(variance)
 
     return blockwise(image, kernel, radius, boundary)
 
@@ -139,8 +164,7 @@ def vawe(image: Image, radius: tuple, noise: float, kind: str = "Ellipsoidal", b
     places = offsets(radius, kind)
 
     def kernel(block: np.ndarray) -> np.ndarray:
-        stack = np.stack([_shifted(block, radius, o) for o in places])
-        mean, local, own, g = stack.mean(0), stack.var(0, ddof=1), _shifted(block, radius, (0, 0, 0)), noise * noise
+        (mean, local), own, g = _moments(block, radius, places), _shifted(block, radius, (0, 0, 0)), noise * noise
         m = np.where(g <= local, g / np.where(local > 0, local, 1.0), 1.0)
         return own - m * (own - mean)
 
@@ -166,6 +190,27 @@ def bilateral(image: Image, spatial: tuple[float, float, float], radiometric: fl
     return blockwise(image, kernel, radius, boundary)
 
 
+def bilateral_sampled(image: Image, spatial: float, radiometric: float, samples: int = 0, boundary: str = "Nearest", seed: int = 0) -> Image:
+    """bilateral with so many neighbours (0: a tenth of all, 50 at least), drawn once with probabilities by the spatial Gaussian, which then needs no weight of its own."""
+    radius = tuple(int(np.ceil(3 * spatial)) if n > 1 else 0 for n in image.dims)
+    places = offsets(radius, "Rectangular")
+    weight = np.exp([-0.5 * sum(c * c for c in o) / spatial**2 for o in places])
+    count = samples or max(50, len(places) // 10)
+    drawn = [places[i] for i in np.random.default_rng(seed).choice(len(places), count, p=weight / weight.sum())] + [(0, 0, 0)]
+
+    def kernel(block: np.ndarray) -> np.ndarray:
+        own = _shifted(block, radius, (0, 0, 0))
+        total, weights = np.zeros(own.shape), np.zeros(own.shape)
+        for o in drawn:
+            there = _shifted(block, radius, o)
+            w = np.exp(-0.5 * ((there - own) / radiometric) ** 2)
+            total += w * there
+            weights += w
+        return total / weights
+
+    return blockwise(image, kernel, radius, boundary)
+
+
 def gradient(image: Image, sigma: float = 1.0) -> list[Image]:
     """The derivatives along each used axis."""
     return [derivative(image, (sigma,) * 3, i) for i in range(3) if image.dims[i] > 1]
@@ -191,8 +236,7 @@ def local_threshold(image: Image, radius: tuple = (1, 1, 1), method: str = "Otsu
     radius = tuple(r if n > 1 else 0 for r, n in zip(radius, image.dims, strict=True))
     places = offsets(radius, "Rectangular")
 
-    def kernel(block: np.ndarray) -> np.ndarray:
-        stack = np.stack([_shifted(block, radius, o) for o in places])
+    def threshold(stack: np.ndarray, own: np.ndarray) -> np.ndarray:
         x = argument if argument is not None else 1.0 if method == "Niblack" else 0.0
         if method == "Otsu":
             cut = _otsu(stack)
@@ -208,6 +252,6 @@ def local_threshold(image: Image, radius: tuple = (1, 1, 1), method: str = "Otsu
             else:
                 least, centre = (argument if argument is not None else 127.5), 127.5
                 cut = np.where(high - low < least, np.where(cut >= centre, low, high), cut)
-        return (_shifted(block, radius, (0, 0, 0)) > cut).astype(float)
+        return (own > cut).astype(float)
 
-    return blockwise(image, kernel, radius, boundary)
+    return blockwise(image, lambda block: _by_slabs(block, radius, places, threshold), radius, boundary)

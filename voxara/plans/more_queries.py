@@ -90,6 +90,7 @@ def filters() -> dict[str, Query]:
         "p AS (SELECT q.x, q.y, q.z, b.v, exp(-0.5 * far / 0.25 - 0.5 * pow((b.v - q.v) / 30, 2)) AS w FROM q JOIN u8 b ON b.x = cx AND b.y = cy AND b.z = cz)"
     )
     out["bilateralfilter"] = of(u8, lambda im: neighbourhood.bilateral(im, (0.5, 0.5, 0.5), 30)), f"{with_u8}, {wide} SELECT x, y, z, ({saturated('sum(w * v) / sum(w)')})::DOUBLE AS v FROM p GROUP BY x, y, z"
+    out["bilateralfilterapprox"] = of(u8, lambda im: neighbourhood.bilateral_sampled(im, 1.0, 60)), None
     out["maxfilter_ellipsoidal"] = of(u8, lambda im: neighbourhood.rank_filter("maxfilter", im)), f"{with_u8}, {AROUND} SELECT x, y, z, max(v) AS v FROM p WHERE {ball} GROUP BY x, y, z"
     ranked = f"{with_u8}, {AROUND}, l AS (SELECT x, y, z, v, max(CASE WHEN i = 0 AND j = 0 AND k = 0 THEN v END) OVER w AS own, row_number() OVER (PARTITION BY x, y, z ORDER BY v) AS n, sum(v) OVER (PARTITION BY x, y, z ORDER BY v ROWS UNBOUNDED PRECEDING) AS s, sum(v) OVER w AS t, lead(v) OVER (PARTITION BY x, y, z ORDER BY v) AS after FROM p WINDOW w AS (PARTITION BY x, y, z)), c AS (SELECT x, y, z, any_value(own) AS own, max(v) AS top, arg_max(v, (pow(s * 27 - t * n, 2) / (n * (27 - n)), v)) FILTER (n < 27 AND after > v) AS cut FROM l GROUP BY x, y, z)"
     out["localthreshold_otsu"] = of(u8, lambda im: neighbourhood.local_threshold(im, (1, 1, 1), "Otsu")), f"{ranked} SELECT x, y, z, CASE WHEN own > coalesce(cut, top) THEN 1 ELSE 0 END::DOUBLE AS v FROM c"

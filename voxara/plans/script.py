@@ -166,7 +166,7 @@ def _commands() -> dict[str, Callable]:
         in_place(name, f)
     in_place("deadpixelremoval", tomography.remove_dead_pixels)
     for name, f in {
-        "satofilter": structure.sato, "frangifilter": lambda im, s, scale=0.0, c=0.25, gamma=0.0, a=0.5, b=0.5: structure.frangi(im, s, scale, c, a, b), "danielsson2": distance.maximal_balls, "meancurvature": structure.mean_curvature,
+        "satofilter": structure.sato, "frangifilter": lambda im, s, scale=0.0, c=0.25, gamma=0.0, a=0.5, b=0.5: structure.frangi(im, s, scale, c, a, b), "danielsson2": distance.maximal_balls, "bilateralfilterapprox": neighbourhood.bilateral_sampled, "meancurvature": structure.mean_curvature,
     }.items():
         into(name, f)
 
