@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: Keys that join_hot broadcasts at most.
 HOT_KEYS = 100_000
+#: Rows of a batch that goes to a Python worker while a table is stashed.
+BATCH_ROWS = 4_000
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -47,10 +49,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/voxara-{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, plans send Python workers at most BATCH_ROWS rows at a time (texts of several kB make the default's batches large)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stash(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes df as a table in the shared folder and reads it again, which cuts lineage; also returns the path."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
