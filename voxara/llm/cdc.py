@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -193,10 +194,10 @@ def _first_of(*columns: np.ndarray) -> np.ndarray:
 
 
 def repeated(found: DataFrame, buckets: int) -> DataFrame:
-    """d, k, lo, hi, n, f_doc, f_hash, f_start: the runs of windows lo to hi of the ranges (d, k) that occur elsewhere too.
+    """d, k, lo, hi, n, f_doc, f_hash, f_start, begin, end, least, most: the runs of windows lo to hi of the ranges (d, k) that occur elsewhere too.
 
     n: occurrences; the first occurrence of window lo is at f_start of document f_doc with text f_hash, and those of the
-    others follow it as in the range. Equal ranges of a slice of rows are combined before they go to their bucket, so
+    others follow it as in the range. begin, end: bytes from the range's start; least, most: sizes of the windows. Equal ranges of a slice of rows are combined before they go to their bucket, so
     what many documents hold reaches it once for each slice.
     """
     place = ["doc_id", "text_hash", "start"]
@@ -248,10 +249,13 @@ def repeated(found: DataFrame, buckets: int) -> DataFrame:
         new = np.flatnonzero(_first_of(r, i - np.arange(len(i)), f0, f1, f2 - rel[use], c)) if len(use) else np.empty(0, np.int64)
         end = np.r_[new[1:], len(use)] - 1 if len(use) else new
         out = {"d": d[r[new]], "k": k[r[new]], "lo": i[new].astype(np.int32), "hi": i[end].astype(np.int32), "n": c[new], "f_doc": f0[new], "f_hash": f1[new], "f_start": f2[new]}
+        at_use, size_use = rel[use], length[use]
+        fewest = [f.reduceat(size_use, new) if len(new) else size_use for f in (np.minimum, np.maximum)]
+        out |= dict(zip(("begin", "end", "least", "most"), (c.astype(np.int32) for c in (at_use[new], at_use[end] + size_use[end], *fewest)), strict=True))
         return pa.table({name: pa.array(x) for name, x in out.items()})
 
     packed = found.select("d", "k", *place, "digests", "places").mapInArrow(tidy(combine), schema)
-    return packed.groupBy("bucket").applyInArrow(meet, "d bigint, k bigint, lo int, hi int, n bigint, f_doc bigint, f_hash bigint, f_start bigint")
+    return packed.groupBy("bucket").applyInArrow(meet, "d bigint, k bigint, lo int, hi int, n bigint, f_doc bigint, f_hash bigint, f_start bigint, begin int, end int, least int, most int")
 
 
 def _passages(docs: DataFrame, min_words: int) -> DataFrame:
@@ -260,43 +264,52 @@ def _passages(docs: DataFrame, min_words: int) -> DataFrame:
     found, _ = stash(ranges(docs, min_words), "ranges")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(found.select(F.sum("m")).first()[0] or 0) // BUCKET_WINDOWS))
     runs, _ = stash(repeated(found, buckets), "repeated")
-    each = found.select("d", "k", "doc_id", "text_hash", "word", "start", "places").join(runs, ["d", "k"]).drop("d", "k")
-    by_doc = each.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*[c for c in each.columns if c not in ("doc_id", "text_hash")])).alias("c"))
+    each = found.select("d", "k", "doc_id", "text_hash", "word", "start", "places").join(runs, ["d", "k"])
+    gap = F.col("start") + F.col("begin") - F.col("f_start")
+    own = (F.col("doc_id") == F.col("f_doc")) & (F.col("text_hash") == F.col("f_hash"))
+    # Windows that overlap their own first occurrence stay; only where some of a run do, their sizes are looked up.
+    torn = F.when(own & (gap >= F.col("least")) & (gap < F.col("most")), F.struct("places", "lo", "hi", F.col("word").alias("w"), F.col("start").alias("s"), gap.alias("gap")))
+    fields = {"low": F.col("word") + F.col("lo"), "high": F.col("word") + F.col("hi"), "start": F.col("start") + F.col("begin"), "stop": F.col("start") + F.col("end"), "n": F.col("n"), "f_doc": F.col("f_doc"), "f_start": F.col("f_start"), "again": ~own | (gap >= F.col("most")), "torn": torn}
+    by_doc = each.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*[c.alias(name) for name, c in fields.items()])).alias("c"))
     names = ["doc_id", "text_hash", "start", "stop", "n_words", "n_copies", "first_doc_id", "first_start", "repeats"]
 
-    def parts(doc: tuple, c: dict) -> list[tuple]:
-        """(repeats, first word, last word, start, stop, n, first document, first start) of a run; where it overlaps its own first occurrence in part, several."""
+    def whole_parts(c: dict, n: int, f_doc: int) -> list[tuple]:
+        """low, high, start, stop, n, f_doc, f_start, again of the parts of a torn run."""
         starts, sizes = _placed(c["places"])
-        lo, hi = c["lo"], c["hi"]
-        gap = c["start"] + int(starts[lo]) - c["f_start"]
-        again = np.full(hi - lo + 1, True) if doc != (c["f_doc"], c["f_hash"]) else gap >= sizes[lo : hi + 1]
+        again = c["gap"] >= sizes[c["lo"] : c["hi"] + 1]
         edge = np.flatnonzero(np.r_[True, again[1:] != again[:-1]]).tolist()
         out = []
         for p, q in zip(edge, [*edge[1:], len(again)], strict=True):
-            x, y = lo + p, lo + q - 1
-            start = c["start"] + int(starts[x])
-            out.append((bool(again[p]), c["word"] + x, c["word"] + y, start, c["start"] + int(starts[y] + sizes[y]), c["n"], c["f_doc"], start - gap))
+            x, y = c["lo"] + p, c["lo"] + q - 1
+            start = c["s"] + int(starts[x])
+            out.append((c["w"] + x, c["w"] + y, start, c["s"] + int(starts[y] + sizes[y]), n, f_doc, start - c["gap"], int(again[p])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                rows: list[list] = []
-                for doc, text, cells in zip(*(x.to_pylist() for x in batch.slice(at, 200).columns), strict=True):
-                    word, open_ = -1, None
-                    for again, low, high, start, stop, n, f_doc, f_start in sorted(p for c in cells for p in parts((doc, text), c)):
-                        if open_ is not None and open_[8] == again and low <= word + min_words:
-                            if high > word:
-                                word, open_[3] = high, stop
-                                open_[4] = high - first + min_words
-                            open_[5] = min(open_[5], n)
-                            continue
-                        first, word = low, high
-                        open_ = [doc, text, start, stop, high - low + min_words, n, f_doc, f_start, again]
-                        rows.append(open_)
-                kinds = [pa.int64()] * 8 + [pa.bool_()]
-                columns = list(zip(*rows, strict=True)) or [()] * 9
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                cells = part.column(2).flatten()
+                doc = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(part.column(2)).to_numpy())
+                columns = [cells.field(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("low", "high", "start", "stop", "n", "f_doc", "f_start", "again")]
+                torn_ = cells.field("torn")
+                split = np.flatnonzero(torn_.is_valid().to_numpy(zero_copy_only=False))
+                if len(split):
+                    parts = [(int(doc[i]), *p) for i in split.tolist() for p in whole_parts(torn_[i].as_py(), int(columns[4][i]), int(columns[5][i]))]
+                    keep = np.setdiff1d(np.arange(len(doc)), split)
+                    added = np.array(parts, np.int64)
+                    doc = np.r_[doc[keep], added[:, 0]]
+                    columns = [np.r_[c[keep], added[:, k]] for k, c in enumerate(columns, 1)]
+                low, high, start, stop, n, f_doc, f_start, again = columns
+                order = np.lexsort((high, low, again, doc))
+                low, high, start, stop, n, f_doc, f_start, again, doc = (c[order] for c in (*columns, doc))
+                group = np.cumsum(_first_of(doc, again)) - 1
+                top = np.maximum.accumulate(high + (group << 32)) - (group << 32)
+                new = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (low[1:] > top[:-1] + min_words)])
+                last = np.maximum.reduceat(high, new)
+                out = [start[new], np.maximum.reduceat(stop, new), last - low[new] + min_words, np.minimum.reduceat(n, new), f_doc[new], f_start[new]]
+                ids = pa.array(doc[new])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(ids), part.column(1).take(ids), *map(pa.array, out), pa.array(again[new] == 1)], names=names)
 
     return by_doc.mapInArrow(tidy(run), ", ".join(f"{n} bigint" for n in names[:-1]) + ", repeats boolean")
 
