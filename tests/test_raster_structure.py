@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxara.operators import analyzers, blocks, distance, fourier, generate, neighbourhood, regions, skeletons, statistics, structure, thresholds
+from voxara.operators import analyzers, blocks, distance, formulas, fourier, generate, neighbourhood, regions, skeletons, statistics, structure, thresholds
 from voxara.raster import Image
 
 
@@ -250,3 +250,14 @@ def test_slabs_do_not_matter(spark, monkeypatch):
     monkeypatch.setattr(neighbourhood, "STACK_BYTES", 1)
     for a, f in zip(whole, (lambda: neighbourhood.rank_filter("medianfilter", im), lambda: neighbourhood.local_threshold(im))):
         assert (array_of(f()) == a).all()
+
+
+@pytest.mark.parametrize("text", ["", "1 +", "(1", "1 2", "y1", "raise(1)", "system('x')", "x0; 1", "max(1"])
+def test_broken_formulas_are_refused(spark, text):
+    with pytest.raises(ValueError):
+        formulas.column_of(text, {"x0": F.lit(1.0)})
+
+
+def test_formulas_keep_precedence(spark):
+    row = spark.range(1).select(*[formulas.column_of(t, {"x0": F.lit(3.0)}).alias(f"c{i}") for i, t in enumerate(("-x0^2", "2^3^2", "1 + 2 * 3 < 8", "1 / 0", "10 - 4 - 3", "min(4, x0, 9) * pi", "x0 = 3 ? 7 : 8"))]).first()
+    assert row[:3] == (-9.0, 512.0, 1.0) and row[3] is None and row[4] == 3.0 and math.isclose(row[5], 3 * math.pi) and row[6] == 7.0

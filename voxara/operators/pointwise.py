@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from voxara.operators import formulas
 from voxara.raster import AXES, Image, check_same, pix, pixel_round
 
 
@@ -101,20 +102,25 @@ def convert(image: Image, dtype: str) -> Image:
 
 
 def swap_byte_order(image: Image) -> Image:
-    """The bytes of unsigned 8-, 16- and 32-bit pixels in reverse."""
-    size = {"uint8": 1, "uint16": 2, "uint32": 4}[image.dtype]
+    """The bytes of integer pixels of up to 32 bits in reverse; larger ones don't fit the pixels' doubles."""
+    size = {"uint8": 1, "uint16": 2, "uint32": 4, "int8": 1, "int16": 2, "int32": 4}.get(image.dtype)
+    if size is None:
+        raise ValueError(f"The bytes of {image.dtype} pixels can't be swapped")
     n = pix().cast("bigint")
-    out = sum((F.shiftleft(F.shiftright(n, 8 * i).bitwiseAND(F.lit(255)), 8 * (size - 1 - i)) for i in range(size)), F.lit(0))
+    out = sum((F.shiftleft(F.shiftright(n, 8 * i).bitwiseAND(F.lit(255)), 8 * (size - 1 - i)) for i in range(size)), F.lit(0).cast("bigint"))
+    if image.dtype.startswith("int"):
+        out = F.when(out >= 1 << (8 * size - 1), out - (1 << 8 * size)).otherwise(out)
     return image.map(out.cast("double"))
 
 
 def evaluate(expression: str, image: Image, *others: Image) -> Image:
-    """A formula in SQL over x0 (the image), x1, x2 ... (the others) and the coordinates x, y, z."""
+    """A formula (see formulas.py) over x0 (the image), x1, x2 ... (the others) and the coordinates x, y, z; NaN where it has no value."""
     df = image.df.select(*AXES, pix().alias("x0"))
     for n, o in enumerate(others, 1):
         check_same(image, o)
         df = df.join(o.df.select(*AXES, pix().alias(f"x{n}")), list(AXES))
-    return image.with_rows(df.select(*AXES, pixel_round(F.expr(expression).cast("double"), image.dtype).alias("v")))
+    v = formulas.column_of(expression, {c: F.col(c) for c in df.columns})
+    return image.with_rows(df.select(*AXES, pixel_round(F.coalesce(v, F.lit(float("nan"))), image.dtype).alias("v")))
 
 
 #: Commands of complex images, whose rows have re and im.

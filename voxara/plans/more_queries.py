@@ -94,6 +94,9 @@ def filters() -> dict[str, Query]:
     out["maxfilter_ellipsoidal"] = of(u8, lambda im: neighbourhood.rank_filter("maxfilter", im)), f"{with_u8}, {AROUND} SELECT x, y, z, max(v) AS v FROM p WHERE {ball} GROUP BY x, y, z"
     ranked = f"{with_u8}, {AROUND}, l AS (SELECT x, y, z, v, max(CASE WHEN i = 0 AND j = 0 AND k = 0 THEN v END) OVER w AS own, row_number() OVER (PARTITION BY x, y, z ORDER BY v) AS n, sum(v) OVER (PARTITION BY x, y, z ORDER BY v ROWS UNBOUNDED PRECEDING) AS s, sum(v) OVER w AS t, lead(v) OVER (PARTITION BY x, y, z ORDER BY v) AS after FROM p WINDOW w AS (PARTITION BY x, y, z)), c AS (SELECT x, y, z, any_value(own) AS own, max(v) AS top, arg_max(v, (pow(s * 27 - t * n, 2) / (n * (27 - n)), v)) FILTER (n < 27 AND after > v) AS cut FROM l GROUP BY x, y, z)"
     out["localthreshold_otsu"] = of(u8, lambda im: neighbourhood.local_threshold(im, (1, 1, 1), "Otsu")), f"{ranked} SELECT x, y, z, CASE WHEN own > coalesce(cut, top) THEN 1 ELSE 0 END::DOUBLE AS v FROM c"
+    formula = "if(x0 > 128 and not (y == 2), -x0 ^ 2 / 300 + 300, max(x0, 10 * x) % 77) + (z < 9 ? 1 : 0)"
+    out["px_eval_formula"] = of(u8, lambda im: pointwise.evaluate(formula, im)), pixel_sql(saturated("CASE WHEN v > 128 AND y <> 2 THEN -pow(v, 2) / 300 + 300 ELSE fmod(greatest(v, 10.0::DOUBLE * x), 77) END + CASE WHEN z < 9 THEN 1 ELSE 0 END"))
+    out["px_swapbyteorder_signed"] = of(u8, lambda im: pointwise.swap_byte_order(pointwise.convert(im, "int16"))), pixel_sql("CASE WHEN v * 256 >= 32768 THEN v * 256 - 65536 ELSE v * 256 END")
     complex_ = lambda im: im.df.select(*AXES, pix().alias("re"), (pix() * pix() + 1).alias("im"))
     parts = {"real": ("v", "0"), "imag": ("v * v + 1", "0"), "conjugate": ("v", "-(v * v + 1)"), "arg": ("atan2(v * v + 1, v)", "0"), "normsquared": ("v * v + (v * v + 1) * (v * v + 1)", "0"), "abs": ("sqrt(v * v + (v * v + 1) * (v * v + 1))", "0"), "negate": ("-v", "-(v * v + 1)")}
     for name, (re, im_) in parts.items():
