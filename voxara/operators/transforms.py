@@ -72,10 +72,10 @@ def montage(image: Image, columns: int, rows: int, first: int = 0, step: int = 1
 def resample(image: Image, dims: tuple[int, int, int], source: Callable[[Column, Column, Column], tuple[Column, Column, Column]], interpolation: str = "Linear", boundary: str = "Zero") -> Image:
     """An image of size dims whose pixel at (x, y, z) is interpolated at source(x, y, z) of the input.
 
-    Nearest or Linear; beyond the input pixels are 0 (Zero) or the nearest ones (Nearest). Corners of weight 0 aren't
+    Nearest, Linear or Cubic (Keys' convolution, a = -1/2); beyond the input pixels are 0 (Zero) or the nearest ones (Nearest). Corners of weight 0 aren't
     joined, so whole-pixel positions read one pixel each.
     """
-    if interpolation not in ("Nearest", "Linear"):
+    if interpolation not in ("Nearest", "Linear", "Cubic"):
         raise ValueError(f"Interpolation {interpolation} isn't supported")
     places = source(*(F.col(a).cast("double") for a in AXES))
     grid = new_image(image.df.sparkSession, dims).df.select(*AXES, *[p.alias(f"s{a}") for a, p in zip(AXES, places, strict=True)])
@@ -83,6 +83,11 @@ def resample(image: Image, dims: tuple[int, int, int], source: Callable[[Column,
         s = F.col(f"s{a}")
         if interpolation == "Nearest" or n == 1:
             corners = F.array(F.struct(F.floor(s + 0.5).alias("at"), F.lit(1.0).alias("w")))
+        elif interpolation == "Cubic":
+            t = s - F.floor(s)
+            far = [t + 1, t, 1 - t, 2 - t]
+            weights = [1.5 * d * d * d - 2.5 * d * d + 1 if k in (1, 2) else -0.5 * d * d * d + 2.5 * d * d - 4 * d + 2 for k, d in enumerate(far)]
+            corners = F.filter(F.array(*[F.struct((F.floor(s) + k - 1).alias("at"), w.alias("w")) for k, w in enumerate(weights)]), lambda c: c["w"] != 0)
         else:
             t = s - F.floor(s)
             corners = F.filter(F.array(F.struct(F.floor(s).alias("at"), (1 - t).alias("w")), F.struct((F.floor(s) + 1).alias("at"), t.alias("w"))), lambda c: c["w"] > 0)
