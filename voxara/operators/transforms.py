@@ -62,11 +62,23 @@ def copy_into(source: Image, target: Image, location: tuple) -> Image:
     return target.with_rows(target.df.join(moved, list(AXES), "left").select(*AXES, F.coalesce("w", "v").alias("v")))
 
 
-def montage(image: Image, columns: int, rows: int, first: int = 0, step: int = 1) -> Image:
-    w, h, _ = image.dims
+def montage(image: Image, columns: int, rows: int, factor: float = 1.0, first: int = 0, last: int | None = None, step: int = 0, border: int = 0, border_color: float = 0.0) -> Image:
+    """Slices first, first + step ... up to last side by side in rows, scaled in the plane, with a border between them.
+
+    step 0: such that the slices up to last fill the cells. Cells without a slice, and borders, have the border's colour.
+    """
+    d = image.dims[2]
+    last = d - 1 if last is None else min(last, d - 1)
+    step = step or max(1, (last - first) // (rows * columns))
     k = ((F.col("z") - first) / step).cast("bigint")
-    used = image.df.filter((F.col("z") >= first) & ((F.col("z") - first) % step == 0) & (k < columns * rows))
-    return image.with_rows(used.select((F.col("x") + k % columns * w).alias("x"), (F.col("y") + (k / columns).cast("bigint") * h).alias("y"), F.lit(0).alias("z"), "v"), (w * columns, h * rows, 1))
+    used = image.with_rows(image.df.filter((F.col("z") >= first) & (F.col("z") <= last) & ((F.col("z") - first) % step == 0) & (k < columns * rows)))
+    if factor != 1:
+        used = scale(used, (factor, factor, 1))
+        used = used.with_rows(used.df.filter((F.col("z") >= first) & (F.col("z") <= last) & ((F.col("z") - first) % step == 0) & (k < columns * rows)))
+    w, h = used.dims[:2]
+    placed = used.df.select((F.col("x") + k % columns * (w + border)).alias("x"), (F.col("y") + (k / columns).cast("bigint") * (h + border)).alias("y"), F.lit(0).cast("bigint").alias("z"), F.col("v").alias("w"))
+    out = new_image(image.df.sparkSession, ((w + border) * columns - border, (h + border) * rows - border, 1), image.dtype, border_color)
+    return out.with_rows(out.df.join(placed, list(AXES), "left").select(*AXES, F.coalesce("w", "v").alias("v")))
 
 
 def resample(image: Image, dims: tuple[int, int, int], source: Callable[[Column, Column, Column], tuple[Column, Column, Column]], interpolation: str = "Linear", boundary: str = "Zero") -> Image:

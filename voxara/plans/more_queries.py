@@ -211,6 +211,7 @@ def shapes() -> dict[str, Query]:
     out["setafterheightmap"] = of(u8, lambda im: heights.set_after(im, flat(im), 3)), pixel_sql(f"CASE WHEN z > {h} THEN 3 ELSE v END")
     out["shiftz"] = of(emb, lambda im: heights.shift_z(im, flat(im))), f"WITH {EMB}, q AS (SELECT x, y, z, floor(z - ({h}))::BIGINT AS a, z - ({h}) - floor(z - ({h})) AS t FROM emb) SELECT q.x, q.y, q.z, (1 - t) * coalesce(l.v, 0) + t * coalesce(r.v, 0) AS v FROM q LEFT JOIN emb l ON l.x = q.x AND l.y = q.y AND l.z = q.a LEFT JOIN emb r ON r.x = q.x AND r.y = q.y AND r.z = q.a + 1"
     out["generictransform"] = of(u8, lambda im: transforms.generic_transform(im, im.dims, (0, 0, 0), [(1, 1, 1), (6, 6, 30)], [(2, 1, 3), (7, 6, 32)])), f"WITH {U8} SELECT a.x, a.y, a.z, coalesce(b.v, 0) AS v FROM u8 a LEFT JOIN u8 b ON b.x = a.x + 1 AND b.y = a.y AND b.z = a.z + 2"
+    out["montage_border"] = of(u8, lambda im: transforms.montage(im, 3, 3, first=10, last=80, border=2, border_color=7)), f"WITH {U8}, c AS (SELECT x + (z - 10) // 7 % 3 * 10 AS x, y + (z - 10) // 7 // 3 * 10 AS y, v FROM u8 WHERE z BETWEEN 10 AND 80 AND (z - 10) % 7 = 0 AND (z - 10) // 7 < 9), g AS (SELECT (i % 28)::BIGINT AS x, (i // 28)::BIGINT AS y FROM range(784) t(i)) SELECT g.x, g.y, 0::BIGINT AS z, coalesce(c.v, 7) AS v FROM g LEFT JOIN c USING (x, y)"
     taps = " UNION ALL ".join(f"SELECT {k} AS k, {w} AS w" for k, w in ((-2, -0.0625), (-1, 0.5625), (0, 0.5625), (1, -0.0625)))
     out["translate_cubic"] = of(emb, lambda im: transforms.shift(im, (0.5, 0, 0), "Cubic")), f"WITH {EMB}, c AS ({taps}), q AS (SELECT x, y, z, x + k AS s, w FROM emb, c) SELECT q.x, q.y, q.z, sum(w * coalesce(b.v, 0)) AS v FROM q LEFT JOIN emb b ON b.x = q.s AND b.y = q.y AND b.z = q.z GROUP BY q.x, q.y, q.z"
     angle = lambda im, scale, by: im.map(pix() * scale + by, "float32")

@@ -103,7 +103,7 @@ def table() -> dict[str, Query]:
     out["translate"] = of(u8, lambda im: transforms.translate(im, (2, 1, -3))), f"WITH {U8} SELECT a.x, a.y, a.z, coalesce(b.v, 0) AS v FROM u8 a LEFT JOIN u8 b ON a.x = b.x + 2 AND a.y = b.y + 1 AND a.z = b.z - 3"
     out["scalelabels"] = of(u8, lambda im: transforms.scale_nearest(im, (2, 1, 2))), f"WITH {U8} SELECT x * 2 + i AS x, y, z * 2 + j AS z, v FROM u8, range(2) t(i), range(2) s(j)"
     out["copy_into"] = of(u8, lambda im: transforms.copy_into(transforms.crop(im, (0, 0, 0), (2, 2, 2)), im, (3, 3, 3))), f"WITH {U8} SELECT a.x, a.y, a.z, coalesce(b.v, a.v) AS v FROM u8 a LEFT JOIN u8 b ON a.x = b.x + 3 AND a.y = b.y + 3 AND a.z = b.z + 3 AND b.x < 2 AND b.y < 2 AND b.z < 2"
-    out["montage"] = of(u8, lambda im: transforms.montage(im, 5, 4, 2, 3)), f"WITH {U8} SELECT x + (z - 2) // 3 % 5 * 8 AS x, y + (z - 2) // 3 // 5 * 8 AS y, 0::BIGINT AS z, v FROM u8 WHERE z >= 2 AND (z - 2) % 3 = 0 AND (z - 2) // 3 < 20"
+    out["montage"] = of(u8, lambda im: transforms.montage(im, 5, 4, first=2, step=3)), f"WITH {U8} SELECT x + (z - 2) // 3 % 5 * 8 AS x, y + (z - 2) // 3 // 5 * 8 AS y, 0::BIGINT AS z, v FROM u8 WHERE z >= 2 AND (z - 2) % 3 = 0 AND (z - 2) // 3 < 20"
 
     around = f"WITH {U8}, {AROUND} SELECT x, y, z, ({{agg}})::DOUBLE AS v FROM p WHERE {{which}} GROUP BY x, y, z"
     ranks = {"minfilter": "min(v)", "maxfilter": "max(v)", "medianfilter": "median(v)", "meanfilter": saturated("avg(v)"), "variancefilter": saturated("var_samp(v)"), "stddevfilter": saturated("stddev_samp(v)")}
