@@ -25,6 +25,7 @@ of which there are HEAVY at most, are sent to every task. The rest is rare by th
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import string
 from collections import Counter
@@ -307,30 +308,36 @@ def score_documents(docs: DataFrame, learns: Column, pieces: list[tuple[str, flo
         """A row for each document with what frequent words give, and one for each of its other words."""
         index, log_counts, log_p = heavy.value
         get, names_ = index.get, ["doc_id", "text_key", "token", "tf", "rows", "n", "known", "base", "scores"]
-        kinds_ = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                take: list[int] = []
-                out: list[tuple] = []
+                tokens: list[bytes] = []
+                rare, tf, keys, whole = [], [], [], []
                 for i, cell in enumerate(part.column(1)):
                     text = cell.as_py() or b""
-                    key = hashlib.md5(text).digest()
                     found = Counter(words(text))
                     found[END] += 1
                     ids = np.fromiter((get(w, -1) for w in found), np.int64, len(found))
                     tfs = np.fromiter(found.values(), np.int64, len(found))
-                    n, here = int(tfs.sum()), ids >= 0
+                    here = ids >= 0
                     if not here.all():
-                        tokens = list(found)
-                        for j in np.flatnonzero(~here):
-                            out.append((key, tokens[j], int(tfs[j]), 0, 0, 0, 0.0, None))
-                            take.append(i)
-                    ids, tfs = ids[here], tfs[here]
+                        tokens += itertools.compress(found, (~here).tolist())
+                        tf.append(tfs[~here])
+                        rare.append(np.full(len(tf[-1]), i))
+                    n, ids, tfs = int(tfs.sum()), ids[here], tfs[here]
                     scores = urn(tfs, log_p[ids]) - (math.lgamma(ALPHA + n) - math.lgamma(ALPHA)) / _LOG10
-                    out.append((key, b"\n" + key, 0, 1, n, int(tfs.sum()), float((tfs * log_counts[ids]).sum()), scores))
-                    take.append(i)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_, strict=True))], names=names_)
+                    keys.append(hashlib.md5(text).digest())
+                    whole.append((n, int(tfs.sum()), float((tfs * log_counts[ids]).sum()), scores))
+                # A document's own row follows those of its rare words, which have nothing but a word and its count.
+                m, k = len(tokens), len(keys)
+                take = pa.array(np.concatenate([*rare, np.arange(k)]).astype(np.int64))
+                own = [np.r_[np.zeros(m, np.int64), np.array(c, np.int64)] for c in ([1] * k, [w[0] for w in whole], [w[1] for w in whole])]
+                lists = pa.concat_arrays([pa.nulls(m, pa.list_(pa.float64())), pa.array([w[3] for w in whole], pa.list_(pa.float64()))])
+                columns = [
+                    part.column(0).take(take), pa.array(keys, pa.binary()).take(take), pa.array([*tokens, *(b"\n" + x for x in keys)], pa.binary()),
+                    pa.array(np.concatenate([*tf, np.zeros(k, np.int64)]).astype(np.int64)), *map(pa.array, own), pa.array(np.r_[np.zeros(m), [w[2] for w in whole]]), lists,
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names_)
 
     kind = dict(docs.dtypes)["doc_id"]
     each = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("b")).mapInArrow(tidy(spread), f"doc_id {kind}, text_key binary, token binary, tf bigint, rows bigint, n bigint, known bigint, base double, scores array<double>")
