@@ -13,7 +13,6 @@ from voxara.operators import thresholds
 from voxara.raster import AXES, Image, check_same, pix, pixel_round
 
 
-
 def _number() -> Column:
     """The pixel value, null for NaN."""
     return F.when(~F.isnan(pix()), pix())

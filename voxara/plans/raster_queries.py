@@ -9,6 +9,7 @@ from voxara.plans import more_queries
 from voxara.plans.volume import AROUND, EMB, U8, Query, emb, of, pixel_sql, saturated, u8
 from voxara.raster import AXES, new_image, pix
 
+
 def table() -> dict[str, Query]:
     out: dict[str, Query] = {}
     real = {
