@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -299,6 +300,22 @@ def test_near_links_of_a_large_family(spark):
     assert {q.doc_id: q.component_id for q in ngram_join.classes(docs_of(spark, texts)).collect()} == dict(enumerate(root))
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Tables between the rounds of components have the files that their size asks for, not one for each task; rows stay the same."""
+    files, drop = [], ngram_join.drop_path
+
+    def counted(session, path):
+        files.append(len(list(Path(path.removeprefix("file://")).glob("part-*"))))
+        drop(session, path)
+
+    monkeypatch.setattr(ngram_join, "drop_path", counted)
+    nodes = spark.range(0, 40, 1, 8).withColumnRenamed("id", "key")
+    labels, path = ngram_join.components(nodes, nodes.filter("key % 10 > 0").select((F.col("key") - 1).alias("a"), F.col("key").alias("b")))
+    assert {q.key: q.label for q in labels.collect()} == {k: k - k % 10 for k in range(40)}
+    counted(spark, path)
+    assert len(files) >= 4 and set(files) == {1}
+
+
 def test_lattice_equals_enumeration():
     model = lattice.Lattice({"a": -1.0, "ab": -2.0, "b": -1.5}, {"a": -1.0, "b": -2.0, "ba": -3.0, "bb": -1.2}, 0.3)
     for w in ("a", "ab", "abba", "bbabab", "acb", "é"):

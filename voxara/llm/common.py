@@ -61,11 +61,15 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def stash(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes df as a table in the shared folder and reads it again, which cuts lineage; also returns the path."""
+def stash(df: DataFrame, name: str, packed: bool = False) -> tuple[DataFrame, str]:
+    """Writes df as a table in the shared folder and reads it again, which cuts lineage; also returns the path.
+
+    packed, for tables that are small beside what they are made from: rows move to as few files as their size asks for,
+    instead of one for each task. Without Hadoop's native library every file makes its executor spawn chmod several times.
+    """
     path = new_path(df.sparkSession, name)
     with small_batches(df.sparkSession):
-        df.write.parquet(path)
+        (df.hint("rebalance") if packed else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

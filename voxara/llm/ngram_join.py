@@ -218,14 +218,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, str]:
     Labels move to neighbours and then to their labels' labels until none changes; each round is a table. A label that
     many nodes have is looked up in a table of nodes, which is broadcast where its size allows that.
     """
-    both, both_path = stash(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels, path = stash(nodes.select("key", F.col("key").alias("label")), "labels")
+    both, both_path = stash(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges", packed=True)
+    labels, path = stash(nodes.select("key", F.col("key").alias("label")), "labels", packed=True)
     look_up = few(labels)
     while True:
         near = both.join(look_up(labels.withColumnRenamed("key", "b")), "b").groupBy("a").agg(F.min("label").alias("near"))
         moved = labels.join(near, labels["key"] == near["a"], "left").select("key", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         jump = look_up(moved.select(F.col("key").alias("label"), F.col("label").alias("far")))
-        new, new_path = stash(moved.join(jump, "label", "left").select("key", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
+        new, new_path = stash(moved.join(jump, "label", "left").select("key", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels", packed=True)
         changed = not new.filter("old <> label").isEmpty()
         drop_path(nodes.sparkSession, path)
         labels, path = new.select("key", "label"), new_path
@@ -252,20 +252,20 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def links(sets: DataFrame) -> tuple[DataFrame, str]:
     """key, label of the sets: equal labels where links reach; also the path of the table."""
     spark = sets.sparkSession
-    prefix, prefix_path = stash(prefixes(sets), "prefixes")
+    prefix, prefix_path = stash(prefixes(sets), "prefixes", packed=True)
     one = lambda *c: F.struct(*c, "key", "n", "m", "r")
     leaders = prefix.groupBy("token").agg(F.array(F.max(one("weight")).dropFields("weight"), F.min(one(F.col("n").alias("weight"))).dropFields("weight")).alias("l"))
     lead = leaders.select("token", F.explode(F.array_distinct("l")).alias("l")).select("token", *[F.col(f"l.{c}").alias(f"{c}b" if c != "key" else "b") for c in ("key", "n", "m", "r")])
     sides = prefix.select("token", F.col("key").alias("a"), *[F.col(c).alias(f"{c}a") for c in ("n", "m", "r")])
-    star, star_path = stash(_ordered(sides.join(lead, "token").filter(F.col("a") != F.col("b")).filter(_early("a", "b"))), "star")
-    edges, edges_path = stash(verified(star, sets), "links")
+    star, star_path = stash(_ordered(sides.join(lead, "token").filter(F.col("a") != F.col("b")).filter(_early("a", "b"))), "star", packed=True)
+    edges, edges_path = stash(verified(star, sets), "links", packed=True)
     labels, path = components(sets, edges)
     placed = prefix.join(labels, "key")
     mixed = placed.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
     rest = placed.join(mixed, "token").join(sets.select("key", "bits"), "key")
     side = lambda x: rest.select("token", F.col("key").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "m", "r", "label", "bits")])
     cross = side("a").join(side("b"), "token").filter((F.col("a") < F.col("b")) & (F.col("labela") != F.col("labelb")) & _early("a", "b") & _few_differ("a", "b"))
-    more, more_path = stash(verified(_ordered(cross), sets), "links")
+    more, more_path = stash(verified(_ordered(cross), sets), "links", packed=True)
     if not more.isEmpty():
         drop_path(spark, path)
         labels, path = components(sets, edges.union(more))
@@ -284,7 +284,7 @@ def row_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     alike = real.groupBy("sig", "key", "n").agg(F.min("id").alias("id"))
     n = F.col("n")
     room = F.greatest(n - _own_share(n) + 1, F.ceil(n * round(SENT * 100) / 100)) - n + _own_share(n)
-    left, left_path = stash(alike.join(shared_counts(real, buckets), "key").filter(F.col("shared") >= room).select("id", "key"), "similar")
+    left, left_path = stash(alike.join(shared_counts(real, buckets), "key").filter(F.col("shared") >= room).select("id", "key"), "similar", packed=True)
     named = alike.select("sig", F.col("id").alias("component"))
     if not left.isEmpty():
         mine = docs.select(F.col(id_col).cast("bigint").alias("id"), "text").join(few(left)(left.select("id").distinct()), "id", "left_semi")
