@@ -2,12 +2,15 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from voxara.llm import conversation_repair as repair
+from voxara.llm import itq_links
 
 SF = "/root/testdata/sf0.001"
 SPACES = " \t\n\x0b\x0c\r"
@@ -138,3 +141,74 @@ def test_repair_of_empty_tables_and_clashing_columns(spark):
     assert found_repairs(df) == brute_repairs(rows)
     dropped = next(t for t in range(1000) if zlib.crc32(f"5:{t}".encode()) % 20 == 0)
     assert found_repairs(spark.createDataFrame([(5, dropped, "user", "a")], CONVERSATION)) == {5: (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())}
+
+
+def brute_links(rows):
+    """{row number: (links, component)} of (id, vector) by all cosines."""
+    unit = {}
+    for n, (i, v) in enumerate(rows):
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            x = np.array(v, np.float32).astype(float)
+            unit[n] = x / np.linalg.norm(x)
+    near = {n: [m for m in unit if m != n and len(unit[m]) == len(unit[n]) and unit[n] @ unit[m] >= 0.9] for n in unit}
+    out = {}
+    for n, (i, _) in enumerate(rows):
+        seen, left = {n}, [n]
+        while left:
+            for m in near.get(left.pop(), []):
+                if m not in seen:
+                    seen.add(m)
+                    left.append(m)
+        out[n] = (len(near.get(n, [])), min((rows[m][0] for m in seen), default=i) if i is not None else None)
+    return out
+
+
+def clustered(seed, singles, sizes, spread, width=24):
+    rng = np.random.default_rng(seed)
+    out = [rng.normal(size=width) for _ in range(singles)]
+    for size in sizes:
+        centre = rng.normal(size=width)
+        out += [centre + rng.normal(size=width) * spread for _ in range(size)]
+    rng.shuffle(out)
+    return [(k, [float(x) for x in np.float32(v)]) for k, v in enumerate(out)]
+
+
+EMBEDDING = "vec_id bigint, embedding array<float>"
+
+
+@pytest.mark.parametrize(("seed", "sizes", "spread"), [(1, [150, 20, 3, 2], 0.1), (2, [60, 40, 5], 0.2), (3, [120, 30], 0.3)])
+def test_links_are_those_of_brute_force(spark, seed, sizes, spread):
+    rows = clustered(seed, 200, sizes, spread)
+    want = brute_links(rows)
+    got = {r.vec_id: r for r in itq_links.links(spark.createDataFrame(rows, EMBEDDING)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[k].n_links <= want[k][0] for k in got)
+    assert sum(r.n_links for r in got.values()) >= 0.9 * sum(n for n, _ in want.values())
+    assert sum(got[k].component_id == want[k][1] for k in got) >= 0.9 * len(got)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+
+
+def test_links_of_odd_vectors(spark):
+    v = [0.5, -0.25, 1.0, 2.0]
+    rows = [(5, v), (3, v), (3, v), (9, [2 * x for x in v]), (4, [-x for x in v]), (6, None), (7, []), (8, [0.0] * 4), (10, [1.0, None, 0.0, 0.0]), (11, [math.nan] * 4), (12, [math.inf, 0.0, 0.0, 0.0]), (None, v), (13, v[:3]), (3, v[:3]), (14, [1e-30, 0.0, 0.0, 0.0]), (15, [1e30, 0.0, 0.0, 0.0])]
+    want = sorted(zip((i for i, _ in rows), brute_links(rows).values(), strict=True), key=repr)
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], EMBEDDING + ", copies int, ball string")
+    got = sorted(((r.vec_id, (r.n_links, r.component_id)) for r in itq_links.links(df).collect()), key=repr)
+    assert got == want
+    assert itq_links.links(spark.createDataFrame([], EMBEDDING)).collect() == []
+    assert [tuple(r) for r in itq_links.links(spark.createDataFrame([(1, None)], EMBEDDING)).collect()] == [(1, 0, 1, True)]
+
+
+def test_copies_count_without_their_pairs(spark):
+    rows = clustered(4, 20, [3], 0.05) + [(100 + k, [1.0] * 24) for k in range(500)] + [(1000, [1.0] * 23 + [1.2])]
+    want = brute_links(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in itq_links.links(spark.createDataFrame(rows, EMBEDDING)).collect()}
+    assert {i: want[n] for n, (i, _) in enumerate(rows) if i >= 100} == {i: r for i, r in got.items() if i >= 100}
+
+
+def test_tiles_of_hot_buckets_lose_no_pair(spark, monkeypatch):
+    rows = clustered(6, 100, [150], 0.1)
+    df = spark.createDataFrame(rows, EMBEDDING)
+    whole = {r.vec_id: (r.n_links, r.component_id) for r in itq_links.links(df).collect()}
+    monkeypatch.setattr(itq_links, "TILE", 20)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in itq_links.links(df).collect()} == whole
