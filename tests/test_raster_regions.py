@@ -123,4 +123,11 @@ def test_rotation_there_and_back(spark):
 
 def test_resample_rejects_unknown_interpolation(spark):
     with pytest.raises(ValueError):
-        transforms.shift(image_of(spark, np.ones((2, 2, 1))), (0, 0, 0), "Cubic")
+        transforms.shift(image_of(spark, np.ones((2, 2, 1))), (0, 0, 0), "Quintic")
+
+
+def test_cubic_interpolation_keeps_lines_and_pixels(spark):
+    a = np.arange(12.0).reshape(12, 1, 1)
+    half = array_of(transforms.shift(image_of(spark, a), (0.5, 0, 0), "Cubic"))
+    assert np.allclose(half[2:-2].ravel(), a[2:-2].ravel() - 0.5)
+    assert np.allclose(array_of(transforms.shift(image_of(spark, a), (0, 0, 0), "Cubic")), a)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxara.operators import analyzers, distance, generate, neighbourhood, pointwise, regions, statistics, transforms
-from voxara.plans import more_queries
+from voxara.plans import more_queries, scan_queries
 from voxara.plans.volume import AROUND, EMB, U8, Query, emb, of, pixel_sql, saturated, u8
 from voxara.raster import AXES, new_image, pix
 
@@ -116,14 +116,6 @@ def table() -> dict[str, Query]:
     for name, sql in local.items():
         out[f"localthreshold_{name.lower()}"] = of(u8, lambda im, n=name: neighbourhood.local_threshold(im, (1, 1, 1), n)), around.format(which="true", agg=f"CASE WHEN {own} > {sql} THEN 1 ELSE 0 END")
     out["vawefilter"] = of(u8, lambda im: neighbourhood.vawe(im, (1, 1, 1), 20, "Rectangular")), around.format(which="true", agg=saturated(f"{own} - CASE WHEN 400 <= var_samp(v) THEN 400 / var_samp(v) ELSE 1 END * ({own} - avg(v))"))
-    out["bilateralfilter"] = of(u8, lambda im: neighbourhood.bilateral(im, (0.5, 0.5, 0.5), 30)), None
-    out["gradient_y"] = of(u8, lambda im: neighbourhood.gradient(im)[1]), None
-    out["openingfilter"] = of(u8, neighbourhood.opening), None
-    out["closingfilter"] = of(u8, neighbourhood.closing), None
-    out["gaussfilter"] = of(u8, lambda im: neighbourhood.gaussian(im, (1, 1, 1))), None
-    out["highpassfilter"] = of(u8, lambda im: neighbourhood.high_pass(im, (1, 1, 1), 128)), None
-    out["derivative"] = of(u8, lambda im: neighbourhood.derivative(im, (1, 1, 1), 0)), None
-    out["gradientmagnitude"] = of(u8, lambda im: neighbourhood.gradient_magnitude(im)), None
 
     two = lambda im: pointwise.with_number("threshold", im, 110)
     line = "SELECT a.x, a.y, a.z, min(b.v + (a.{d} - b.{d}) * (a.{d} - b.{d})) AS v FROM {t} a JOIN {t} b ON {on} GROUP BY ALL"
@@ -146,23 +138,15 @@ def table() -> dict[str, Query]:
     out["get"] = (lambda spark, sf_dir: transforms.pixels_at(u8(spark, sf_dir), spark.range(40).select((F.col("id") % 9).cast("double").alias("x"), (F.col("id") / 8).alias("y"), F.col("id").alias("z")))), f"WITH {U8}, p AS (SELECT (i % 9)::DOUBLE AS x, i / 8 AS y, i AS z FROM range(40) t(i)) SELECT p.x, p.y, p.z, u8.v FROM p LEFT JOIN u8 ON u8.x = p.x AND u8.y = round(p.y) AND u8.z = p.z"
     moments = {"Mean": "avg(v)", "MidGrey": "(min(v) + max(v)) / 2", "Niblack": "avg(v) + stddev_samp(v)", "Sauvola": "avg(v) * (1 + (stddev_samp(v) / 1 - 1))", "Phansalkar": "avg(v) * (1 + 2 * exp(-10 * avg(v)) + 0.25 * (stddev_samp(v) / 0.5 - 1))"}
     for name, sql in moments.items():
-        out[f"autothreshold_{name.lower()}"] = of(u8, lambda im, n=name: pointwise.with_number("threshold", im, statistics.auto_threshold_value(im, n))), f"WITH {U8} SELECT x, y, z, CASE WHEN v > (SELECT {sql} FROM u8) THEN 1 ELSE 0 END::DOUBLE AS v FROM u8"
+        out[f"autothreshold_{name.lower()}"] = of(u8, lambda im, n=name: pointwise.with_number("threshold", im, statistics.auto_threshold_value(im, n))), f"WITH {U8}, best AS MATERIALIZED (SELECT ({sql})::DOUBLE AS cut FROM u8) SELECT x, y, z, CASE WHEN v > cut THEN 1 ELSE 0 END::DOUBLE AS v FROM u8 CROSS JOIN best"
     out["autothreshold_median"] = of(u8, lambda im: pointwise.with_number("threshold", im, statistics.auto_threshold_value(im, "Median"))), f"WITH {U8} SELECT x, y, z, CASE WHEN v > (SELECT quantile_disc(v, 0.5) FROM u8) THEN 1 ELSE 0 END::DOUBLE AS v FROM u8"
     for name in ("IsoData", "MaxEntropy", "Triangle"):
         out[f"autothreshold_{name.lower()}"] = of(u8, lambda im, n=name: pointwise.with_number("threshold", im, statistics.auto_threshold_value(im, n))), None
 
-    small = lambda im: pointwise.with_number("threshold", im, 140)
-    out["label"] = of(u8, lambda im: regions.label(small(im))), None
     out["analyzelabels"] = of(u8, lambda im: regions.analyze_labels(pointwise.with_number("divide", im, 16))), f"WITH {U8} SELECT round(v / 16)::BIGINT AS label, count(*) AS volume, " + ", ".join(f"avg({a}) AS c{a}, min({a}) AS min{a}, max({a}) AS max{a}" for a in AXES) + " FROM u8 WHERE round(v / 16) <> 0 GROUP BY 1"
-    out["regionremoval"] = of(u8, lambda im: regions.remove_small(small(im), 4)), None
-    out["floodfill"] = of(u8, lambda im: regions.flood_fill(small(im), (0, 0, 0), 9)), None
     parts = "label, min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy, min(z) AS minz, max(z) AS maxz, count(*) AS volume, max(CASE WHEN x IN (0, 7) OR y IN (0, 7) OR z IN (0, m) THEN 1 ELSE 0 END)::INT AS isonedge"
     first = "first({0} ORDER BY z, y, x) AS {0}"
     out["analyzelabels_all"] = of(u8, lambda im: analyzers.analyze(pointwise.with_number("divide", im, 16), ("coordinates", "isonedge", "volume", "bounds"))), f"WITH {U8}, l AS (SELECT x, y, z, round(v / 16)::BIGINT AS label, max(z) OVER () AS m FROM u8) SELECT {parts}, {', '.join(first.format(a) for a in AXES)} FROM l WHERE label <> 0 GROUP BY label"
-    out["analyzeparticles"] = of(u8, lambda im: regions.analyze_particles(small(im), tuple(analyzers.COLUMNS))), None
-    out["dualthreshold"] = of(u8, lambda im: regions.dual_threshold(im, 130, 170)), None
-    out["grow"] = of(u8, lambda im: regions.grow(pointwise.double_threshold(im, 130, 170), 2, 1)), None
-    out["localmaxima"] = of(u8, lambda im: regions.local_maxima(im)), None
-    out |= more_queries.table()
+    out |= more_queries.table() | scan_queries.table()
     # A last sort costs little and has a join's rows gathered before any is handed out.
     return {name: (run, f"{sql} ORDER BY ALL" if sql and " JOIN " in sql and "ORDER BY ALL" not in sql[-20:] else sql) for name, (run, sql) in out.items()}

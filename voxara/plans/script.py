@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxara.operators import fourier, heights, skeletons, structure, analyzers, distance, generate, neighbourhood, pointwise, regions, registration, statistics, tomography, transforms
+from voxara.operators import fourier, heights, skeletons, structure, analyzers, distance, generate, neighbourhood, pointwise, reconstruction, regions, registration, statistics, tomography, transforms
 from voxara.plans import session_commands
 from voxara.raster import Image, new_image
 from voxara.sources import files, raw, volumes
@@ -252,11 +252,24 @@ def _commands() -> dict[str, Callable]:
     def fbp_filter(s: Session, target: str, size: int = 100, kind: str = "Ramp", cut_off: float = 1.0) -> None:
         s.images[target] = tomography.create_filter(s.spark, size, kind, cut_off)
 
+    def default_settings(s: Session, image: str) -> None:
+        s.image(image)
+        s.meta.setdefault(image, {}).update(reconstruction.Settings().to_meta())
+
+    def preprocess(s: Session, image: str, target: str) -> None:
+        """Settings stay with the projections, so that fbp finds them in the metadata of what it gets."""
+        meta = s.meta.get(image, {})
+        s.images[target] = reconstruction.preprocess(s.image(image), reconstruction.Settings.from_meta(meta))
+        s.meta.setdefault(target, {}).update(meta)
+
+    def back_project(s: Session, image: str, target: str, gpu: bool = True) -> None:
+        s.images[target] = reconstruction.back_project(s.image(image), reconstruction.Settings.from_meta(s.meta.get(image, {})))
+
     def block_match(s: Session, reference: str, deformed: str, points: str, target: str, search: tuple = (5, 5, 5), radius: tuple = (25, 25, 25)) -> None:
         s.tables[target] = registration.block_match(s.image(reference), s.image(deformed), s.tables[points], search, radius)
 
     out |= {
-        "createfbpfilter": fbp_filter, "blockmatch": block_match, "cleanmaxima": clean_maxima, "sdmap": seeded, "gradient": gradient, "cylinderorientation": orientation(structure.cylinder_orientation), "plateorientation": orientation(structure.plate_orientation),
+        "createfbpfilter": fbp_filter, "defaultrecsettings": default_settings, "fbppreprocess": preprocess, "fbp": back_project, "blockmatch": block_match, "cleanmaxima": clean_maxima, "sdmap": seeded, "gradient": gradient, "cylinderorientation": orientation(structure.cylinder_orientation), "plateorientation": orientation(structure.plate_orientation),
         "orientationdifference": difference, "mainorientationcolor": main_color, "axelssoncolor": axelsson, "fft": fft, "ifft": ifft, "autothresholdvalue": threshold_value, "tracelineskeleton": trace,
         "cleanskeleton": network(skeletons.clean_network), "pruneskeleton": network(skeletons.prune_network), "removeedges": network(skeletons.remove_edges), "getpointsandlines": lines, "fillskeleton": fill,
         "fillparticles": fill_particles, "drawellipsoids": ellipsoids, "drawgraph": graph, "generictransform": generic,
