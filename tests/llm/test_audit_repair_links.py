@@ -4,19 +4,81 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
 from voxara.llm import conversation_repair as repair
-from voxara.llm import itq_links
+from voxara.llm import entry, filter_audit, itq_links
 
 SF = "/root/testdata/sf0.001"
 SPACES = " \t\n\x0b\x0c\r"
 CONVERSATION = "conv_id bigint, turn bigint, role string, text string"
 
 
+def brute_audit(docs, labels):
+    """{(part, order, step): counts} by removing documents one filter after the other."""
+    texts = [(i, "" if t is None else t, "" if p is None else p) for i, t, p in docs]
+    good, toxic = ({i for i, *flags in labels if flags[k] == 1 and i is not None} for k in (0, 1))
+    least = {}
+    for i, t, _ in texts:
+        if i is not None:
+            least[t] = min(least.get(t, i), i)
+    fails = []
+    for i, t, part in texts:
+        words = [w for w in re.split("[ \t-\r]+", t) if w]
+        found = {
+            "A": len(words) < 200, "B": 100 * len(set(words)) < 50 * len(words), "C": 100 * sum("A" <= c <= "Z" for c in t) > 2 * len(t), "D": any(c in "#$%&*|" for c in t), "E": i is not None and i > least.get(t, i),
+        }
+        fails.append((i, part, {f for f, bad in found.items() if bad}))
+    out, shapley = {}, Counter()
+    for order in map("".join, itertools.permutations("ABCDE")):
+        for part in {p for _, p, _ in fails}:
+            left = [(i, f) for i, p, f in fails if p == part]
+            mine = left
+            for step, name in enumerate(order, 1):
+                cut = [(i, f) for i, f in left if name in f]
+                left = [(i, f) for i, f in left if name not in f]
+                shapley[part, name] += len(cut)
+                failing = [f for _, f in mine if name in f]
+                out[part, order, step] = (len(left), len(cut), len(failing) - len(cut), sum(f == {name} for f in failing), sum(i in good for i, _ in cut), sum(i in toxic for i, _ in cut))
+    return {(part, order, step): (*v, shapley[part, order[step - 1]]) for (part, order, step), v in out.items()}
+
+
+def test_audit_equals_brute_force(spark):
+    rng = random.Random(9)
+    words = ["alpha", "Beta", "GAMMA", "x|y", "100%", "\u00e9t\u00e9", "\x85", "a\nb"]
+    texts = [None, "", " \n", "one", *[" ".join(rng.choices(words[: rng.choice((2, 8))], k=rng.choice((3, 199, 200, 260)))) for _ in range(25)], " ".join(f"w{k}" for k in range(220))]
+    docs = [(rng.choice([None, *range(40)]) if rng.random() < 0.2 else k, rng.choice(texts), rng.choice(["a", "b", None, ""])) for k in range(300)]
+    labels = [(rng.choice([None, *range(320)]), rng.choice((0, 1, None)), rng.choice((0, 1, None))) for _ in range(200)]
+    df = spark.createDataFrame([(*d, 5) for d in docs], "doc_id bigint, text string, source string, mask int")
+    rows = filter_audit.audit(df, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
+    got = {(r.part, r.filter_order, r.step): tuple(r)[3:] for r in rows}
+    assert got == brute_audit(docs, labels)
+
+
+def test_sums_of_parities_invert_exactly(spark):
+    rows = [("p", m, m % 2, 0) for m in range(32) for _ in range(m)] + [("q", 31, 0, 1)] * 3
+    sums = filter_audit.parity_sums(spark.createDataFrame(rows, "part string, mask int, good int, toxic int"))
+    got = {(r.part, r["mask"]): (r.n, r.good, r.toxic) for r in filter_audit.cells(sums).collect()}
+    assert got == {("p", m): (m, m * (m % 2), 0) for m in range(32)} | {("q", m): (3 * (m == 31), 0, 3 * (m == 31)) for m in range(32)}
+
+
+def test_audit_query_equals_its_sql(spark):
+    con = duckdb.connect()
+    for table in ("documents", "labels", "embeddings"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    for name in ("op11_filter_audit", "op13_itq_links"):
+        rel = con.sql(entry.oracle_sql()[name])
+        columns = sorted(rel.columns)
+        want = sorted(tuple(row[rel.columns.index(c)] for c in columns) for row in rel.fetchall())
+        assert sorted(tuple(r[c] for c in columns) for r in entry.queries()[name](spark, SF).collect()) == want
+
+
 def damage(rows):
     out = []
     for conv, turn, role, text in rows:
@@ -206,6 +268,15 @@ def test_copies_count_without_their_pairs(spark):
     assert {i: want[n] for n, (i, _) in enumerate(rows) if i >= 100} == {i: r for i, r in got.items() if i >= 100}
 
 
+@pytest.mark.parametrize("width", [2, 5, 90])
+def test_a_table_of_near_copies_alone(spark, width):
+    rows = clustered(8, 0, [120], 0.1, width)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in itq_links.links(spark.createDataFrame(rows, EMBEDDING)).collect()}
+    want = brute_links(rows)
+    assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values())
+    assert sum(got[k][1] == want[k][1] for k in got) >= 0.95 * len(got)
+
+
 def test_tiles_of_hot_buckets_lose_no_pair(spark, monkeypatch):
     rows = clustered(6, 100, [150], 0.1)
     df = spark.createDataFrame(rows, EMBEDDING)

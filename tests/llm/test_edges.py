@@ -11,7 +11,7 @@ from voxara.llm import entry, secrets
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 TABLES = {
     "documents": DOCS, "pages": "page_id bigint, url string, html string", "benchmark": "item_id bigint, text string", "labels": "doc_id bigint, quality int, toxic int",
-    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string", "embeddings": "vec_id bigint, embedding array<float>, label int",
 }
 #: Queries with a row for each row of documents; the others have rows for findings alone or read another table.
 PER_DOCUMENT = ("op1_lattice", "op4_mpegts", "op5_ngram_join", "op6_toxicity", "op9_bpe", "op10_secrets")
@@ -31,6 +31,7 @@ def folders(spark, tmp_path_factory):
     rows = {
         "documents": docs, "pages": [(None, None, None), (1, "", ""), (2, "u", long), (3, "u", long), (3, "u", long), (4, None, "x")], "benchmark": [(1, " ".join(long.split()[500:1500])), (None, "a"), (2, None)],
         "labels": [(1, None, None), (None, 1, 1), (2, 1, 0), (3, 1, 1), (3, 1, 0)], "conversations": [(None, None, None, None), (1, 0, "user", long), (1, 0, "user", long), (1, 0, "assistant", ""), (2, None, "assistant", "a\\b")],
+        "embeddings": [(1, [1.0, 2.0], 0), (1, [1.0, 2.0], 1), (None, [1.0, 2.0], None), (2, None, 0), (3, [2.0, 4.1], 0)],
     }
     paths = []
     for name, content in (("empty", {}), ("odd", rows)):
@@ -58,6 +59,14 @@ def test_odd_rows(spark, folders, name):
         assert sorted((r.conv_id or 0, r.n_turns) for r in rows) == [(-7, 2), (0, 1), (1, 3), (2, 1)]
     elif name == "op7_decontam":
         assert {(r.doc_id, r.item_id) for r in rows} == {(6, 1), (7, 1)} and all(r.n_equal == r.n_compared == 1000 for r in rows)
+    elif name == "op11_filter_audit":
+        assert len(rows) == 600 * 4 and {r.part for r in rows} == {"", "s0", "s1", "s2"}
+        first = {r.part: r.kept + r.removed for r in rows if r.filter_order == "ABCDE" and r.step == 1}
+        assert sum(first.values()) == folders[2]
+    elif name == "op12_conversation_repair":
+        assert {(r.conv_id, r.gaps) for r in rows} == {(None, 0), (1, 0), (2, 0)}
+    elif name == "op13_itq_links":
+        assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in rows) == [(0, 0, 0), (1, 2, 1), (1, 2, 1), (2, 0, 2), (3, 2, 1)]
     else:
         assert {r.doc_id for r in rows if r.repeats} == {7} and {r.n_words for r in rows} >= {30_003}
 

@@ -35,8 +35,8 @@ BUCKET = 64
 LEADER_TABLES, LEADER_ROUNDS = 5, 16
 #: Standard deviations of the number of differing bits, beyond the mean, up to which pairs are candidates.
 DEVIATIONS = 3.5
-#: Rows compared at once; buckets of which the sample shows MANY rows and more than TILE altogether are dealt over tiles.
-TILE, MANY = 1_000, 5
+#: Rows compared at once; buckets of which the sample shows MANY rows and, altogether, more than a tile are dealt over tiles (LEADER_TILE while leaders are sought).
+TILE, LEADER_TILE, MANY = 1_000, 250, 5
 #: Vectors that are broadcast at most.
 BROADCAST_VECTORS = 20_000
 #: Radians that angles may be off by.
@@ -54,32 +54,31 @@ def table_count(bits: int) -> int:
     return min(31, math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - ANGLE / math.pi) ** bits)))
 
 
-def fit(vectors: np.ndarray, rotations: int) -> tuple[np.ndarray, np.ndarray]:
-    """The mean of unit vectors, and rotations matrices of dimensions x BITS.
+def fit(vectors: np.ndarray, rotations: int) -> np.ndarray:
+    """Rotations: matrices of dimensions x BITS, fitted to unit vectors.
 
-    Principal axes of the vectors about their mean, then alternately the binary codes nearest to the rotated data and the
-    rotation nearest to the codes. Fits start from different rotations; with fewer dimensions than BITS several make a matrix.
+    Principal axes, then alternately the binary codes nearest to the rotated data and the rotation nearest to the codes, from
+    several random starts. Axes go through the origin and not the mean, so that bits tell angles and near copies
+    stay together where they are most of the data. With fewer dimensions than BITS, bits beyond the first fit's come from its starts.
     """
-    mean = vectors.mean(0)
-    data = vectors - mean
-    width = min(BITS, data.shape[1])
-    axes = np.linalg.eigh(data.T @ data)[1][:, ::-1][:, :width]
-    data, rng = data @ axes, np.random.default_rng(7)
+    width = min(BITS, vectors.shape[1])
+    axes = np.linalg.eigh(vectors.T @ vectors)[1][:, ::-1][:, :width]
+    data, rng = vectors @ axes, np.random.default_rng(7)
 
-    def one() -> np.ndarray:
+    def one(rounds: int) -> np.ndarray:
         turn = np.linalg.qr(rng.normal(size=(width, width)))[0]
-        for _ in range(ROUNDS):
+        for _ in range(rounds):
             left, _, right = np.linalg.svd(data.T @ np.where(data @ turn >= 0, 1.0, -1.0))
             turn = left @ right
         return axes @ turn
 
-    return mean, np.stack([np.hstack([one() for _ in range(-(-BITS // width))])[:, :BITS] for _ in range(rotations)])
+    return np.stack([np.hstack([one(0 if i else ROUNDS) for i in range(-(-BITS // width))])[:, :BITS] for _ in range(rotations)])
 
 
-def encode(vectors: np.ndarray, mean: np.ndarray, turns: np.ndarray) -> np.ndarray:
+def encode(vectors: np.ndarray, turns: np.ndarray) -> np.ndarray:
     """Codes (vectors x rotations) as signed 64-bit integers."""
     weights = np.left_shift(np.uint64(1), np.arange(BITS, dtype=np.uint64))
-    return np.stack([(((vectors - mean) @ t >= 0) * weights).sum(1, dtype=np.uint64).view(np.int64) for t in turns], axis=1)
+    return np.stack([((vectors @ t >= 0) * weights).sum(1, dtype=np.uint64).view(np.int64) for t in turns], axis=1)
 
 
 def _units(column: pa.Array, width: int) -> np.ndarray:
@@ -120,14 +119,14 @@ def cosine(a: str, b: str) -> Column:
     return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
 
 
-def coded(rows: DataFrame, mean: np.ndarray, turns: np.ndarray) -> DataFrame:
+def coded(rows: DataFrame, turns: np.ndarray) -> DataFrame:
     """key, id (the least), copies, code of each class; copies are merged within tasks before the shuffle."""
-    width = len(mean)
+    width = turns.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                found = encode(_units(batch.column("v"), width), mean, turns)
+                found = encode(_units(batch.column("v"), width), turns)
                 code = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, found.shape[1]), pa.int32()), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), code], ["key", "id", "code"])
 
@@ -135,13 +134,13 @@ def coded(rows: DataFrame, mean: np.ndarray, turns: np.ndarray) -> DataFrame:
     return each.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("code").alias("code"))
 
 
-def hot_buckets(codes: np.ndarray, bits: int, tables: int, whole: int) -> dict[int, int]:
-    """Tiles of the buckets that hold MANY of the sampled codes and, by their share of whole, more than TILE rows."""
+def hot_buckets(codes: np.ndarray, bits: int, tables: int, whole: int, tile: int) -> dict[int, int]:
+    """Tiles of the buckets that hold MANY of the sampled codes and, by their share of whole, more than tile rows."""
     per, out = BITS // bits, {}
     for t in range(tables):
         parts = (codes[:, t // per].view(np.uint64) >> np.uint64(t % per * bits)) & np.uint64((1 << bits) - 1)
         for part, n in Counter(parts.tolist()).items():
-            tiles = -(-n * whole // (len(codes) * TILE))
+            tiles = -(-n * whole // (len(codes) * tile))
             if n >= MANY and tiles > 1:
                 out[t << 32 | part] = min(tiles, _TILES - 1)
     return out
@@ -323,11 +322,11 @@ def links(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     tables = table_count(bits)
     width = max((len(v) for v in drawn.column("v").to_pylist()), default=1)
     sample = _units(drawn.column("v"), width)
-    mean, turns = fit(sample if len(sample) else np.zeros((1, width)), -(-tables // (BITS // bits)))
-    points, _ = stash(coded(rows, mean, turns), "codes")
-    sampled = encode(sample, mean, turns)
-    hot = hot_buckets(sampled, bits, tables, whole) if len(sampled) else {}
-    in_balls, _ = stash(balls(rows, points, leaders(points, bits, tables, hot)), "balls", packed=True)
+    turns = fit(sample if len(sample) else np.zeros((1, width)), -(-tables // (BITS // bits)))
+    points, _ = stash(coded(rows, turns), "codes")
+    sampled = encode(sample, turns)
+    hot, warm = (hot_buckets(sampled, bits, tables, whole, tile) if len(sampled) else {} for tile in (TILE, LEADER_TILE))
+    in_balls, _ = stash(balls(rows, points, leaders(points, bits, tables, warm)), "balls", packed=True)
     led = in_balls.join(points.select("key", "id", "copies"), "key")
     sizes, _ = stash(led.groupBy("ball").agg(F.max("angle").alias("radius"), (F.count("*") + 1).alias("members")), "sizes", packed=True)
     of = in_balls.select("key", "ball")
