@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxara.operators import surfaces
 from voxara.raster import AXES, Image, pix
 
 #: Each analyser's columns.
@@ -21,7 +22,7 @@ COLUMNS: dict[str, list[str]] = {
     "bounds": ["minx", "maxx", "miny", "maxy", "minz", "maxz"], "bounds2d": ["minx", "maxx", "miny", "maxy"],
     "pca": ["cx", "cy", "cz", "e", "l1", "l2", "l3", "phi1", "theta1", "phi2", "theta2", "phi3", "theta3", "rmax", "d1", "d2", "d3", "bounding_scale"],
     "pca2d": ["cx2", "cy2", "e2", "l1_2", "l2_2", "alpha", "rmax2", "d1_2", "d2_2", "bounding_scale2"],
-    "convexhull2d": ["convex_area", "convex_perimeter"], "boundingsphere": ["sphere_x", "sphere_y", "sphere_z", "sphere_r"], "value": ["value"],
+    "convexhull2d": ["convex_area", "convex_perimeter"], "boundingsphere": ["sphere_x", "sphere_y", "sphere_z", "sphere_r"], "value": ["value"], "surfacearea": ["surface_area"],
 }
 _SHAPED = ("pca", "pca2d", "convexhull2d", "boundingsphere")
 
@@ -112,7 +113,7 @@ def analyze(image: Image, analyzers: tuple[str, ...] = ("coordinates", "volume")
     coordinates: the first pixel in the order z, y, x. isonedge: 1 if a pixel lies on the image's border (an axis of one
     pixel is all border). pca: centre, eccentricity of the meridian, root eigenvalues of the covariance, the axes' azimuth
     and polar angle, largest distance from the centre, extents along the axes, and the scale of the bounding ellipsoid;
-    pca2d the same in the plane. convexhull2d: of the pixels' corners in the plane. value: a constant.
+    pca2d the same in the plane. convexhull2d: of the pixels' corners in the plane. value: a constant. surfacearea: by marching cubes, see surfaces.label_areas.
     """
     names, out = names_of(analyzers), []
     if {"coordinates", "coordinates2d"} & set(names):
@@ -169,4 +170,6 @@ def analyze(image: Image, analyzers: tuple[str, ...] = ("coordinates", "volume")
         joined = rows.join(found.select("label", *moments), "label") if moments else rows
         measured = joined.groupBy("label").applyInPandas(measure, "label bigint" + "".join(f", {c} double" for c in added))
         found = found.join(measured, "label")
+    if "surfacearea" in names:
+        found = found.join(surfaces.label_areas(image), "label")
     return found.select(*headers(analyzers))

@@ -6,6 +6,7 @@ names, and nothing runs until a result is read. Texts may be quoted, vectors are
 
 from __future__ import annotations
 
+import math
 import re
 import threading
 import time
@@ -14,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxara.operators import fourier, heights, skeletons, structure, analyzers, distance, generate, neighbourhood, pointwise, reconstruction, regions, registration, statistics, tomography, transforms
+from voxara.operators import fourier, heights, skeletons, structure, analyzers, distance, generate, neighbourhood, pointwise, reconstruction, regions, registration, statistics, surfaces, tomography, transforms
 from voxara.plans import session_commands
 from voxara.raster import Image, new_image
 from voxara.sources import files, raw, volumes
@@ -252,6 +253,14 @@ def _commands() -> dict[str, Callable]:
     def fbp_filter(s: Session, target: str, size: int = 100, kind: str = "Ramp", cut_off: float = 1.0) -> None:
         s.images[target] = tomography.create_filter(s.spark, size, kind, cut_off)
 
+    def surface_area(s: Session, image: str, target: str, level: float = 1.0) -> None:
+        value = surfaces.surface_area(s.image(image), level).first()["v"]
+        s.values[target] = value
+        s.images[target] = new_image(s.spark, (1, 1, 1), "float32", value)
+
+    def curvature(s: Session, image: str, radius: float, kappa1: str, kappa2: str, boundary: str = "Nearest", elsewhere: float = math.nan) -> None:
+        s.images[kappa1], s.images[kappa2] = surfaces.curvature(s.image(image), radius, boundary, elsewhere)
+
     def default_settings(s: Session, image: str) -> None:
         s.image(image)
         s.meta.setdefault(image, {}).update(reconstruction.Settings().to_meta())
@@ -269,7 +278,7 @@ def _commands() -> dict[str, Callable]:
         s.tables[target] = registration.block_match(s.image(reference), s.image(deformed), s.tables[points], search, radius)
 
     out |= {
-        "createfbpfilter": fbp_filter, "defaultrecsettings": default_settings, "fbppreprocess": preprocess, "fbp": back_project, "blockmatch": block_match, "cleanmaxima": clean_maxima, "sdmap": seeded, "gradient": gradient, "cylinderorientation": orientation(structure.cylinder_orientation), "plateorientation": orientation(structure.plate_orientation),
+        "createfbpfilter": fbp_filter, "surfacearea": surface_area, "curvature": curvature, "defaultrecsettings": default_settings, "fbppreprocess": preprocess, "fbp": back_project, "blockmatch": block_match, "cleanmaxima": clean_maxima, "sdmap": seeded, "gradient": gradient, "cylinderorientation": orientation(structure.cylinder_orientation), "plateorientation": orientation(structure.plate_orientation),
         "orientationdifference": difference, "mainorientationcolor": main_color, "axelssoncolor": axelsson, "fft": fft, "ifft": ifft, "autothresholdvalue": threshold_value, "tracelineskeleton": trace,
         "cleanskeleton": network(skeletons.clean_network), "pruneskeleton": network(skeletons.prune_network), "removeedges": network(skeletons.remove_edges), "getpointsandlines": lines, "fillskeleton": fill,
         "fillparticles": fill_particles, "drawellipsoids": ellipsoids, "drawgraph": graph, "generictransform": generic,
