@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxara.operators import analyzers, distance, generate, neighbourhood, pointwise, regions, statistics, transforms
-from voxara.plans import more_queries, scan_queries, surface_queries
+from voxara.plans import more_queries, scan_queries, stitch_queries, surface_queries
 from voxara.plans.volume import AROUND, EMB, U8, Query, emb, of, pixel_sql, saturated, u8
 from voxara.raster import AXES, new_image, pix
 
@@ -147,6 +147,6 @@ def table() -> dict[str, Query]:
     parts = "label, min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy, min(z) AS minz, max(z) AS maxz, count(*) AS volume, max(CASE WHEN x IN (0, 7) OR y IN (0, 7) OR z IN (0, m) THEN 1 ELSE 0 END)::INT AS isonedge"
     first = "first({0} ORDER BY z, y, x) AS {0}"
     out["analyzelabels_all"] = of(u8, lambda im: analyzers.analyze(pointwise.with_number("divide", im, 16), ("coordinates", "isonedge", "volume", "bounds"))), f"WITH {U8}, l AS (SELECT x, y, z, round(v / 16)::BIGINT AS label, max(z) OVER () AS m FROM u8) SELECT {parts}, {', '.join(first.format(a) for a in AXES)} FROM l WHERE label <> 0 GROUP BY label"
-    out |= more_queries.table() | scan_queries.table() | surface_queries.table()
+    out |= more_queries.table() | scan_queries.table() | surface_queries.table() | stitch_queries.table()
     # A last sort costs little and has a join's rows gathered before any is handed out.
     return {name: (run, f"{sql} ORDER BY ALL" if sql and " JOIN " in sql and "ORDER BY ALL" not in sql[-20:] else sql) for name, (run, sql) in out.items()}

@@ -15,10 +15,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxara.operators import fourier, heights, skeletons, structure, analyzers, distance, generate, neighbourhood, pointwise, reconstruction, regions, registration, statistics, surfaces, tomography, transforms
+from voxara.operators import fourier, heights, skeletons, structure, analyzers, distance, generate, neighbourhood, pointwise, reconstruction, regions, registration, statistics, stitching, surfaces, tomography, transforms
 from voxara.plans import session_commands
 from voxara.raster import Image, new_image
 from voxara.sources import files, raw, volumes
+from voxara.store import kept
 
 _CALL = re.compile(r"\s*(\w+)\s*\((.*)\)\s*;?\s*$", re.S)
 _PART = re.compile(r'\s*("(?:[^"\\]|\\.)*"|\[[^\]]*\]|[^,"\[\]]*)\s*(?:,|$)')
@@ -253,6 +254,23 @@ def _commands() -> dict[str, Callable]:
     def fbp_filter(s: Session, target: str, size: int = 100, kind: str = "Ramp", cut_off: float = 1.0) -> None:
         s.images[target] = tomography.create_filter(s.spark, size, kind, cut_off)
 
+    def match_tiles(s: Session, pixels: str, tiles: str, target: str, step: tuple, radius: tuple, search: tuple) -> None:
+        points = stitching.grid_points(s.tables[tiles], stitching.overlaps(s.tables[tiles], max(search)), step, radius)
+        s.tables[target] = kept(stitching.match(s.tables[pixels], points, search, radius))
+
+    def world_to_local(s: Session, tiles: str, matches: str, placed: str, fields: str, step: tuple, local: bool = True) -> None:
+        s.tables[placed] = kept(stitching.place(s.tables[tiles], s.tables[matches]))
+        s.tables[fields] = kept(stitching.world_to_local(s.tables[placed], s.tables[matches], step, local))
+
+    def stitched(s: Session, target: str, goodness: str, pixels: str, placed: str, fields: str, step: tuple, *rest: Value) -> None:
+        """rest: x, y, z, width, height, depth of the part that is put out; normalize, circle mask diameter, and whether zeros are missing."""
+        where, size, more = tuple(rest[:3]), tuple(rest[3:6]), rest[6:]
+        dtype = s.image(target).dtype if target in s.images else "float32"
+        image, good = stitching.stitch(s.tables[pixels], s.tables[placed], s.tables[fields], step, size, dtype, where, *more)
+        s.images[target] = image
+        if goodness:
+            s.images[goodness] = good
+
     def surface_area(s: Session, image: str, target: str, level: float = 1.0) -> None:
         value = surfaces.surface_area(s.image(image), level).first()["v"]
         s.values[target] = value
@@ -278,7 +296,7 @@ def _commands() -> dict[str, Callable]:
         s.tables[target] = registration.block_match(s.image(reference), s.image(deformed), s.tables[points], search, radius)
 
     out |= {
-        "createfbpfilter": fbp_filter, "surfacearea": surface_area, "curvature": curvature, "defaultrecsettings": default_settings, "fbppreprocess": preprocess, "fbp": back_project, "blockmatch": block_match, "cleanmaxima": clean_maxima, "sdmap": seeded, "gradient": gradient, "cylinderorientation": orientation(structure.cylinder_orientation), "plateorientation": orientation(structure.plate_orientation),
+        "createfbpfilter": fbp_filter, "matchtiles": match_tiles, "determine_world_to_local": world_to_local, "stitch_ver2": lambda s, target, *a: stitched(s, target, "", *a), "stitch_ver3": stitched, "surfacearea": surface_area, "curvature": curvature, "defaultrecsettings": default_settings, "fbppreprocess": preprocess, "fbp": back_project, "blockmatch": block_match, "cleanmaxima": clean_maxima, "sdmap": seeded, "gradient": gradient, "cylinderorientation": orientation(structure.cylinder_orientation), "plateorientation": orientation(structure.plate_orientation),
         "orientationdifference": difference, "mainorientationcolor": main_color, "axelssoncolor": axelsson, "fft": fft, "ifft": ifft, "autothresholdvalue": threshold_value, "tracelineskeleton": trace,
         "cleanskeleton": network(skeletons.clean_network), "pruneskeleton": network(skeletons.prune_network), "removeedges": network(skeletons.remove_edges), "getpointsandlines": lines, "fillskeleton": fill,
         "fillparticles": fill_particles, "drawellipsoids": ellipsoids, "drawgraph": graph, "generictransform": generic,
