@@ -56,6 +56,13 @@ def hull(points: np.ndarray) -> np.ndarray:
     return np.array(chain(points) + chain(points[::-1]))
 
 
+def hull_measures(points: np.ndarray) -> list[float]:
+    """Area and perimeter of the convex hull of plane pixels, which reach from their place to the next."""
+    corners = hull(np.vstack([points + c for c in ((0, 0), (1, 0), (0, 1), (1, 1))]))
+    after = np.roll(corners, -1, 0)
+    return [abs((corners[:, 0] * after[:, 1] - corners[:, 1] * after[:, 0]).sum()) / 2, np.sqrt(((after - corners) ** 2).sum(1)).sum()]
+
+
 def bounding_ball(points: np.ndarray) -> tuple[np.ndarray, float]:
     """(centre, radius) of the smallest ball: the ball of few supporting points, to which the farthest point is added until none is outside."""
 
@@ -87,12 +94,12 @@ def bounding_ball(points: np.ndarray) -> tuple[np.ndarray, float]:
         support = np.vstack([support, points[np.argmax(d)]])
 
 
-def _axes(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def principal_axes(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     values, vectors = np.linalg.eigh(m)
     return np.maximum(values[::-1], 0.0), vectors[:, ::-1].T
 
 
-def _extent(points: np.ndarray, centre: np.ndarray, axes: np.ndarray, lengths: np.ndarray) -> list[float]:
+def extent(points: np.ndarray, centre: np.ndarray, axes: np.ndarray, lengths: np.ndarray) -> list[float]:
     """Largest distance from the centre, extents along the axes, and the factor by which the ellipsoid of the axes' lengths must grow to hold all points."""
     p = points - centre
     along = p @ axes.T
@@ -103,7 +110,7 @@ def _extent(points: np.ndarray, centre: np.ndarray, axes: np.ndarray, lengths: n
     return [float(np.sqrt((p * p).sum(1)).max()), *spans.tolist(), float(factor.max(initial=0.0))]
 
 
-def _eccentricity(values: np.ndarray) -> float:
+def eccentricity(values: np.ndarray) -> float:
     return math.sqrt(max(0.0, 1 - (values[-1] / values[0]) ** 2)) if values[0] > 1e-6 else 0.0
 
 
@@ -148,19 +155,17 @@ def analyze(image: Image, analyzers: tuple[str, ...] = ("coordinates", "volume")
             for name in shaped:
                 if name == "pca":
                     centre = np.array([one[f"_c{a}"] for a in AXES])
-                    values, axes = _axes(np.array([[one[f"_{min(a, b)}{max(a, b)}"] for b in AXES] for a in AXES]))
+                    values, axes = principal_axes(np.array([[one[f"_{min(a, b)}{max(a, b)}"] for b in AXES] for a in AXES]))
                     axes = np.where(axes[:, 2:] < 0, -axes, axes)
                     angles = [c for v in axes for c in (math.atan2(v[1], v[0]), math.acos(min(1.0, max(-1.0, v[2]))))]
-                    result = [*centre, _eccentricity(values), *np.sqrt(values), *angles, *_extent(points, centre, axes, np.sqrt(values))]
+                    result = [*centre, eccentricity(values), *np.sqrt(values), *angles, *extent(points, centre, axes, np.sqrt(values))]
                 elif name == "pca2d":
                     centre = np.array([one["_cx"], one["_cy"]])
-                    values, axes = _axes(np.array([[one["_xx"], one["_xy"]], [one["_xy"], one["_yy"]]]))
+                    values, axes = principal_axes(np.array([[one["_xx"], one["_xy"]], [one["_xy"], one["_yy"]]]))
                     axes = np.where(axes[:, 1:] < 0, -axes, axes)
-                    result = [*centre, _eccentricity(values), *np.sqrt(values), math.atan2(axes[0][1], axes[0][0]), *_extent(points[:, :2], centre, axes, np.sqrt(values))]
+                    result = [*centre, eccentricity(values), *np.sqrt(values), math.atan2(axes[0][1], axes[0][0]), *extent(points[:, :2], centre, axes, np.sqrt(values))]
                 elif name == "convexhull2d":
-                    corners = hull(np.vstack([points[:, :2] + c for c in ((0, 0), (1, 0), (0, 1), (1, 1))]))
-                    after = np.roll(corners, -1, 0)
-                    result = [abs((corners[:, 0] * after[:, 1] - corners[:, 1] * after[:, 0]).sum()) / 2, np.sqrt(((after - corners) ** 2).sum(1)).sum()]
+                    result = hull_measures(points[:, :2])
                 else:
                     centre, radius = bounding_ball(points)
                     result = [*centre, radius]

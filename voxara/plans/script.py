@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxara.operators import fourier, heights, skeletons, structure, analyzers, distance, generate, neighbourhood, pointwise, reconstruction, regions, registration, statistics, stitching, surfaces, tomography, transforms
+from voxara.operators import cross_sections, fourier, heights, skeletons, structure, analyzers, distance, generate, neighbourhood, pointwise, reconstruction, regions, registration, statistics, stitching, surfaces, tomography, transforms
 from voxara.plans import session_commands
 from voxara.raster import Image, new_image
 from voxara.sources import files, raw, volumes
@@ -271,6 +271,15 @@ def _commands() -> dict[str, Callable]:
         if goodness:
             s.images[goodness] = good
 
+    def csa(s: Session, original: str, energy: str, phi: str, theta: str, target: str, radius: int = 40, count: int = 1000, seed: int = 123, slices: str = "", drawn: str = "", length: str = "") -> None:
+        im = s.image(original)
+        found = kept(cross_sections.cross_sections(im, s.image(energy), s.image(phi), s.image(theta), radius, count, seed, s.image(length) if length else None))
+        s.tables[target] = found.select("number", *cross_sections.headers(bool(length)))
+        if slices:
+            s.images[slices] = cross_sections.slices(found, radius, found.count())
+        if drawn:
+            s.images[drawn] = cross_sections.marked(im, found, radius, 127.0)
+
     def surface_area(s: Session, image: str, target: str, level: float = 1.0) -> None:
         value = surfaces.surface_area(s.image(image), level).first()["v"]
         s.values[target] = value
@@ -296,7 +305,7 @@ def _commands() -> dict[str, Callable]:
         s.tables[target] = registration.block_match(s.image(reference), s.image(deformed), s.tables[points], search, radius)
 
     out |= {
-        "createfbpfilter": fbp_filter, "matchtiles": match_tiles, "determine_world_to_local": world_to_local, "stitch_ver2": lambda s, target, *a: stitched(s, target, "", *a), "stitch_ver3": stitched, "surfacearea": surface_area, "curvature": curvature, "defaultrecsettings": default_settings, "fbppreprocess": preprocess, "fbp": back_project, "blockmatch": block_match, "cleanmaxima": clean_maxima, "sdmap": seeded, "gradient": gradient, "cylinderorientation": orientation(structure.cylinder_orientation), "plateorientation": orientation(structure.plate_orientation),
+        "createfbpfilter": fbp_filter, "csa": csa, "csaheaders": lambda s: s.say(", ".join(cross_sections.headers(True))), "matchtiles": match_tiles, "determine_world_to_local": world_to_local, "stitch_ver2": lambda s, target, *a: stitched(s, target, "", *a), "stitch_ver3": stitched, "surfacearea": surface_area, "curvature": curvature, "defaultrecsettings": default_settings, "fbppreprocess": preprocess, "fbp": back_project, "blockmatch": block_match, "cleanmaxima": clean_maxima, "sdmap": seeded, "gradient": gradient, "cylinderorientation": orientation(structure.cylinder_orientation), "plateorientation": orientation(structure.plate_orientation),
         "orientationdifference": difference, "mainorientationcolor": main_color, "axelssoncolor": axelsson, "fft": fft, "ifft": ifft, "autothresholdvalue": threshold_value, "tracelineskeleton": trace,
         "cleanskeleton": network(skeletons.clean_network), "pruneskeleton": network(skeletons.prune_network), "removeedges": network(skeletons.remove_edges), "getpointsandlines": lines, "fillskeleton": fill,
         "fillparticles": fill_particles, "drawellipsoids": ellipsoids, "drawgraph": graph, "generictransform": generic,

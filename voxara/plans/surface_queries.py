@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxara.operators import analyzers, pointwise, surfaces
+from voxara.operators import analyzers, cross_sections, pointwise, structure, surfaces
 from voxara.plans.volume import U8, Query, of, u8
 from voxara.raster import AXES
 
@@ -34,4 +34,6 @@ def table() -> dict[str, Query]:
     solid = lambda im: pointwise.with_number("threshold", im, 120)
     both = lambda k: k[0].df.join(k[1].df.withColumnRenamed("v", "k2"), list(AXES)).select(*AXES, F.col("v").alias("k1"), "k2")
     out["curvature"] = of(u8, lambda im: both(surfaces.curvature(solid(im), 2.5)).filter(~F.isnan("k1"))), None
+    fibres = lambda im: cross_sections.cross_sections(pointwise.with_number("threshold", im, 145), *structure.cylinder_orientation(im, 0.5, 0.5), radius=2, count=300)
+    out["csa"] = of(u8, lambda im: fibres(im).select("number", *[F.round(n, 6).alias(n) for n in cross_sections.headers()])), None
     return out
