@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxara.operators import cross_sections, fourier, heights, skeletons, structure, analyzers, distance, generate, neighbourhood, pointwise, reconstruction, regions, registration, statistics, stitching, surfaces, tomography, transforms
-from voxara.plans import session_commands
+from voxara.plans import session_commands, table_commands
 from voxara.raster import Image, new_image
 from voxara.sources import files, raw, volumes
 from voxara.store import kept
@@ -80,7 +80,7 @@ class Session:
         self.times: dict[str, list[float]] = {}
         self.jobs: list[threading.Thread] = []
         self.printing = printing
-        self.commands = _commands() | session_commands.commands()
+        self.commands = _commands() | session_commands.commands() | table_commands.commands()
 
     def say(self, text: str) -> None:
         self.output.append(text)
