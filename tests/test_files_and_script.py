@@ -5,7 +5,8 @@ import pytest
 from test_raster import array_of, image_of
 
 from voxara.plans import script
-from voxara.sources import files
+from voxara.raster import Image
+from voxara.sources import files, raw
 
 
 def test_nrrd_round_trip(spark, tmp_path):
@@ -76,3 +77,17 @@ def test_script(spark, tmp_path):
     for bad in ("frobnicate(a)", "add(nothing, 1)"):
         with pytest.raises(ValueError):
             s.run(bad)
+
+
+def test_tasks_write_lines_to_their_places(spark, tmp_path):
+    a = np.random.default_rng(12).integers(0, 60000, (5, 4, 6)).astype(float)
+    im = image_of(spark, a, "uint16")
+    raw.put_lines(im, f"file://{tmp_path}/x", 7 + 2 * a.size, 7)
+    raw.put_lines(im, f"{tmp_path}/x", 7 + 2 * a.size, 7)  # again, as after a lost executor
+    data = (tmp_path / "x").read_bytes()
+    assert data[:7] == bytes(7) and np.array_equal(np.frombuffer(data[7:], "<u2").reshape(6, 4, 5).T, a)
+    raw.put_lines(im, f"{tmp_path}/b", 2 * 9 * 8 * 7, 2 * ((1 * 8 + 2) * 9 + 3), 2 * 9, 2 * 9 * 8)
+    box = np.frombuffer((tmp_path / "b").read_bytes(), "<u2").reshape(7, 8, 9).T
+    assert np.array_equal(box[3:8, 2:6, 1:7], a) and box.sum() == a.sum()
+    with pytest.raises(ValueError):
+        raw.put_lines(Image(im.df.filter("z < 3"), im.dims, im.dtype), f"{tmp_path}/y", 2 * a.size)

@@ -338,10 +338,10 @@ def file_queries() -> dict[str, Query]:
 
     def vol(im: Image, folder: str) -> str:
         path = f"{folder}/a.vol"
-        with open(path, "wb") as f:
-            f.write(f"X: {im.dims[0]}\nY: {im.dims[1]}\nZ: {im.dims[2]}\nVoxel-Size: 1\nInt-Endian: 0123\n.\n".encode())
-            for line in files.lines_of(im):
-                f.write(line)
+        head = f"X: {im.dims[0]}\nY: {im.dims[1]}\nZ: {im.dims[2]}\nVoxel-Size: 1\nInt-Endian: 0123\n.\n".encode()
+        raw.put_lines(im, path, len(head) + im.count, len(head))
+        with open(path, "r+b") as f:
+            f.write(head)
         return path
 
     def block(im: Image, folder: str) -> str:

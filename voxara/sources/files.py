@@ -1,7 +1,7 @@
 """Single-file image formats: NRRD and PNG, and slices of a PNG sequence read in parallel.
 
-NRRD and PNG have no blocks that tasks could write apart, so their writers stream lines through the driver, a slice at
-a time; readers decode one file in one task.
+NRRD lines have fixed places, so tasks write them where they lie; a PNG is compressed as a whole and written by one task.
+Readers decode one file in one task.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import gzip
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,14 +35,6 @@ def _pixels(a: np.ndarray, z: int = 0) -> pd.DataFrame:
     return pd.DataFrame({"x": at[2], "y": at[1], "z": at[0] + z, "v": a.ravel().astype(float)})
 
 
-def lines_of(image: Image) -> Iterator[bytes]:
-    """Every image row's bytes, little-endian, in file order."""
-    kind = np.dtype(image.dtype).newbyteorder("<")
-    lines = image.df.groupBy("z", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda p: p["v"]).alias("line")).orderBy("z", "y")
-    for r in lines.toLocalIterator():
-        yield np.array(r.line).astype(kind).tobytes()
-
-
 def parse_nrrd_header(text: bytes) -> tuple[dict[str, str], int]:
     """Header fields in lower case, and where the data start."""
     end = re.search(rb"\r?\n\r?\n", text)
@@ -83,10 +75,10 @@ def read_nrrd(spark: SparkSession, path: str) -> Image:
 def write_nrrd(image: Image, path: str) -> None:
     name = {v: k for k, v in NRRD_TYPES.items() if k in ("uint8", "int8", "uint16", "int16", "uint32", "int32", "uint64", "int64", "float")}[image.dtype]
     sizes = " ".join(str(n) for n in image.dims)
-    with open(path, "wb") as f:
-        f.write(f"NRRD0004\ntype: {name}\ndimension: 3\nsizes: {sizes}\nendian: little\nencoding: raw\n\n".encode())
-        for line in lines_of(image):
-            f.write(line)
+    head = f"NRRD0004\ntype: {name}\ndimension: 3\nsizes: {sizes}\nendian: little\nencoding: raw\n\n".encode()
+    raw.put_lines(image, path, len(head) + image.count * np.dtype(image.dtype).itemsize, len(head))
+    with open(path.removeprefix("file://"), "r+b") as f:
+        f.write(head)
 
 
 def encode_png(a: np.ndarray) -> bytes:
@@ -137,28 +129,32 @@ def decode_png(data: bytes) -> np.ndarray:
 
 
 def write_png(image: Image, path: str) -> None:
+    """One slice, encoded and written by one task, so path must be shared by all executors."""
     if image.dims[2] != 1 or image.dtype not in ("uint8", "uint16"):
         raise ValueError("PNG files hold images of one slice and of 8 or 16 bits")
-    kind = np.dtype(image.dtype).newbyteorder("<")
-    with open(path, "wb") as f:
-        f.write(encode_png(np.stack([np.frombuffer(line, kind) for line in lines_of(image)])))
+    write_slices(image, lambda z: path.removeprefix("file://")).count()
 
 
 def write_sequence(image: Image, folder: str) -> DataFrame:
     """One PNG for each slice, written by the tasks, so folder must be shared by all executors; returns z and path."""
-    w, h, d = image.dims
-    kind, digits = np.dtype(image.dtype), len(str(d))
+    digits = len(str(image.dims[2]))
     if image.dtype not in ("uint8", "uint16"):
         raise ValueError("PNG files hold 8 or 16 bits")
+    return write_slices(image, lambda z: f"{folder}/{z:0{digits}}.png")
+
+
+def write_slices(image: Image, path_of: Callable[[int], str]) -> DataFrame:
+    """z and path of each slice, which a task writes as a PNG."""
+    w, h, _ = image.dims
+    kind = np.dtype(image.dtype)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a = np.zeros((h, w), kind)
         a[pdf["y"], pdf["x"]] = pdf["v"]
         z = int(pdf["z"].iloc[0])
-        path = f"{folder}/{z:0{digits}}.png"
-        with open(path, "wb") as f:
+        with open(path_of(z), "wb") as f:
             f.write(encode_png(a))
-        return pd.DataFrame({"z": [z], "path": [path]})
+        return pd.DataFrame({"z": [z], "path": [path_of(z)]})
 
     return image.df.groupBy("z").applyInPandas(run, "z bigint, path string")
 

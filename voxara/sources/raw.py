@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -39,15 +40,40 @@ def read_raw(spark: SparkSession, path: str, dtype: str, dims: tuple[int, int, i
     return Image(lines.mapInPandas(decode, "x bigint, y bigint, z bigint, v double"), (w, h, d), dtype)
 
 
+def put_lines(image: Image, path: str, size: int, start: int = 0, line_step: int = 0, slice_step: int = 0, order: str = "<") -> None:
+    """Writes an image's lines into a file of size bytes, each by the task that has it: line y of slice z at start + y * line_step + z * slice_step.
+
+    The file is made of zeros where it is missing or has another size. Steps of 0 are those of lines one after the other. A task that is run
+    again writes the same bytes to the same place. The path must lie where driver and executors can seek in files, such as
+    a shared folder; a file:// before it is cut off.
+    """
+    w, h, _ = image.dims
+    kind, path = np.dtype(image.dtype).newbyteorder(order), path.removeprefix("file://")
+    line_step = line_step or w * kind.itemsize
+    slice_step = slice_step or h * line_step
+    if not os.path.exists(path) or os.path.getsize(path) != size:
+        with open(path, "wb") as f:
+            f.truncate(size)
+
+    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with open(path, "r+b") as f:
+            for rows in frames:
+                for z, y, line in zip(rows["z"], rows["y"], rows["line"], strict=True):
+                    f.seek(start + int(y) * line_step + int(z) * slice_step)
+                    f.write(np.asarray(line).astype(kind).tobytes())
+                yield pd.DataFrame({"lines": [len(rows)]})
+
+    lines = image.df.groupBy("z", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda p: p["v"]).alias("line"))
+    written = lines.mapInPandas(put, "lines bigint").agg(F.sum("lines")).first()[0] or 0
+    if written != image.dims[1] * image.dims[2]:
+        raise ValueError(f"{written} lines of {image.dims[1] * image.dims[2]} were written to {path}")
+
+
 def write_raw(image: Image, prefix: str) -> str:
-    """Writes one file on the driver's machine, slice by slice; returns its path. A cluster's images are better kept as Parquet."""
+    """One file, written by the tasks; returns its path."""
     w, h, d = image.dims
     path = f"{prefix}_{w}x{h}x{d}.raw"
-    kind = np.dtype(image.dtype).newbyteorder("<")
-    lines = image.df.groupBy("z", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda p: p["v"]).alias("line")).orderBy("z", "y")
-    with open(path, "wb") as f:
-        for r in lines.toLocalIterator():
-            f.write(np.array(r.line).astype(kind).tobytes())
+    put_lines(image, path, w * h * d * np.dtype(image.dtype).itemsize)
     return path
 
 

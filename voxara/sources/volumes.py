@@ -128,7 +128,7 @@ def read_tiff(spark: SparkSession, path: str) -> Image:
 
 
 def write_tiff(image: Image, path: str) -> None:
-    """One page for each slice, streamed line by line through the driver; files stay under 4 GB by the format."""
+    """One page for each slice, whose lines tasks write; the driver adds the page tables. Files stay under 4 GB by the format."""
     w, h, d = image.dims
     (form, bits) = next(((f, b) for (t, f), b in _TIFF_KINDS.items() if t == image.dtype), (0, 0))
     if not form:
@@ -136,10 +136,10 @@ def write_tiff(image: Image, path: str) -> None:
     size, table = w * h * bits // 8, 2 + 12 * 10 + 4
     if 8 + d * (size + table) >= 1 << 32:
         raise ValueError("TIFF files hold less than 4 GB")
-    with open(path, "wb") as f:
+    raw.put_lines(image, path, 8 + d * (size + table), 8)
+    with open(path.removeprefix("file://"), "r+b") as f:
         f.write(struct.pack("<2sHI", b"II", 42, 8 + d * size))
-        for line in files.lines_of(image):
-            f.write(line)
+        f.seek(8 + d * size)
         for z in range(d):
             at = 8 + d * size + z * table
             entries = [(256, 4, w), (257, 4, h), (258, 3, bits), (259, 3, 1), (262, 3, 1), (273, 4, 8 + z * size), (277, 3, 1), (278, 4, h), (279, 4, size), (339, 3, form)]
@@ -278,16 +278,6 @@ def read_block(spark: SparkSession, path: str, position: tuple, size: tuple, dty
 
 def write_raw_block(image: Image, path: str, position: tuple = (0, 0, 0), dims: tuple | None = None) -> None:
     """Writes an image at a position of a raw file, which is made of zeros where it is missing; lines go to their byte ranges."""
-    import os
-
     w, h, d = dims or raw.dims_of(path)
-    kind = np.dtype(image.dtype).newbyteorder("<")
-    size = w * h * d * kind.itemsize
-    if not os.path.exists(path) or os.path.getsize(path) != size:
-        with open(path, "wb") as f:
-            f.truncate(size)
-    iw, ih, _ = image.dims
-    with open(path, "r+b") as f:
-        for n, line in enumerate(files.lines_of(image)):
-            f.seek((((n // ih + position[2]) * h + n % ih + position[1]) * w + position[0]) * kind.itemsize)
-            f.write(line[: iw * kind.itemsize])
+    n = np.dtype(image.dtype).itemsize
+    raw.put_lines(image, path, w * h * d * n, ((position[2] * h + position[1]) * w + position[0]) * n, w * n, w * h * n)
