@@ -92,9 +92,9 @@ def line_pixels(start: tuple, end: tuple, dims: tuple[int, int, int]) -> list[tu
 
 
 def line(image: Image, start: tuple, end: tuple, value: float = 1.0) -> Image:
-    """A line one pixel wide, drawn with a broadcast of its pixels."""
+    """A line one pixel wide, no longer than the image, drawn by a join of its pixels."""
     drawn = image.df.sparkSession.createDataFrame(line_pixels(start, end, image.dims) or [], "x bigint, y bigint, z bigint").withColumn("hit", F.lit(True))
-    return image.with_rows(image.df.join(F.broadcast(drawn), list(AXES), "left").select(*AXES, pixel_round(F.when(F.col("hit"), F.lit(float(value))).otherwise(F.col("v")), image.dtype).alias("v")))
+    return image.with_rows(image.df.join(drawn, list(AXES), "left").select(*AXES, pixel_round(F.when(F.col("hit"), F.lit(float(value))).otherwise(F.col("v")), image.dtype).alias("v")))
 
 
 def draw_graph(image: Image, vertices: DataFrame, edges: DataFrame, radius: float = 2.0, vertex_color: float = 1.0, edge_color: float = 1.0) -> Image:

@@ -24,7 +24,7 @@ FORWARD = {
     "All": [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (z, y, x) > (0, 0, 0)],
 }
 #: Edges between block regions that one task joins; more go through rounds of joins.
-TASK_EDGES = 1_000_000
+TASK_EDGES = 200_000
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -69,7 +69,7 @@ def linked_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return pd.DataFrame({"id": ids, "label": ids[roots(len(ids), at[: len(pdf)], at[len(pdf) :])]})
 
         found = edges.select("a", "b", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "id bigint, label bigint")
-        return nodes.select("id").join(F.broadcast(found), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+        return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     both = kept(edges.union(edges.select(F.col("b"), F.col("a"))))
     labels = kept(nodes.select("id", F.col("id").alias("label")))
     while True:
@@ -222,7 +222,7 @@ def clean_maxima(image: Image, maxima: Image, radius_multiplier: float = 1.0) ->
     far = sum(((F.col(a) - F.col(f"{a}2")) * (F.col(a) - F.col(f"{a}2")) for a in AXES), F.lit(0.0))
     larger = (F.col("s") > F.col("r")) | ((F.col("s") == F.col("r")) & (F.col("m") < F.col("n")))
     lost = cell.join(near, ["cx", "cy", "cz"]).filter(larger & (far < (F.col("s") * radius_multiplier) * (F.col("s") * radius_multiplier))).select(F.col("n").cast("double").alias("v")).distinct().withColumn("lost", F.lit(True))
-    return maxima.with_rows(maxima.df.join(F.broadcast(lost), "v", "left").select(*AXES, F.when(F.col("lost"), F.lit(0.0)).otherwise(pix()).alias("v")))
+    return maxima.with_rows(maxima.df.join(lost, "v", "left").select(*AXES, F.when(F.col("lost"), F.lit(0.0)).otherwise(pix()).alias("v")))
 
 
 def label_maxima(image: Image, maxima: Image) -> Image:
