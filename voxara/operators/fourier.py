@@ -1,57 +1,54 @@
-"""Fourier transforms by separable passes: each pass is a grouped map over the lines along one axis, so a task holds lines and never the volume."""
+"""Fourier transforms by separable passes: each pass is a kernel over the lines along one axis, so a task holds lines and never the volume."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxara.operators.generate import set_edges
+from voxara.operators.lines import over_lines
 from voxara.raster import AXES, Image, pix
 
-#: Lines of one group share a block of this edge length.
-LINES = 16
 
+def _pass(df: DataFrame, axis: int, dims: tuple[int, int, int], size: int, inverse: bool = False, half: bool = False) -> DataFrame:
+    """Transforms lines along an axis of dims to size values; half: the other half of a line is the conjugate (real data)."""
 
-def _pass(df: DataFrame, axis: int, n: int, size: int, inverse: bool = False, half: bool = False) -> DataFrame:
-    """Transforms lines of n values to size values; half: the other half of a line is the conjugate (real data)."""
-    others = [a for i, a in enumerate(AXES) if i != axis]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*others, AXES[axis]], ignore_index=True)
-        lines = (pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()).reshape(-1, n)
-        if inverse:
-            out = np.fft.irfft(lines, size, axis=1).astype(complex) if half else np.fft.ifft(lines, axis=1)
+    def run(arrays: list[np.ndarray]) -> list[np.ndarray]:
+        if half and not inverse:
+            out = np.fft.rfft(arrays[0], axis=1)
         else:
-            out = np.fft.rfft(lines.real, axis=1) if half else np.fft.fft(lines, axis=1)
-        at = np.arange(len(out) * size)
-        made = {a: np.repeat(pdf[a].to_numpy()[::n], size) for a in others} | {AXES[axis]: at % size}
-        return pd.DataFrame({a: made[a] for a in AXES} | {"re": out.real.ravel(), "im": out.imag.ravel()})
+            lines = arrays[0] + 1j * arrays[1]
+            if half:
+                real = np.fft.irfft(lines, size, axis=1)
+                return [real, np.zeros_like(real)]
+            out = np.fft.ifft(lines, axis=1) if inverse else np.fft.fft(lines, axis=1)
+        return [out.real, out.imag]
 
-    keys = [F.floor(F.col(a) / LINES).alias(f"g{a}") for a in others]
-    return df.groupBy(*keys).applyInPandas(run, "x bigint, y bigint, z bigint, re double, im double")
+    return over_lines(df, axis, dims, run, size)
 
 
 def fft(image: Image) -> DataFrame:
     """x, y, z, re, im of the unnormalised transform; x runs to half the width, as the rest is the conjugate."""
     w, h, d = image.dims
-    df = _pass(image.df.select(*AXES, pix().alias("re"), F.lit(0.0).alias("im")), 0, w, w // 2 + 1, half=True)
+    df = _pass(image.df.select(*AXES, pix().alias("re"), F.lit(0.0).alias("im")), 0, image.dims, w // 2 + 1, half=True)
     for axis, n in ((1, h), (2, d)):
         if n > 1:
-            df = _pass(df, axis, n, n)
+            df = _pass(df, axis, (w // 2 + 1, h, d), n)
     return df
 
 
 def ifft(transform: DataFrame, dims: tuple[int, int, int]) -> Image:
     """The real image of size dims that a transform is of."""
     w, h, d = dims
+    kept = (w // 2 + 1, h, d)
+    transform = transform.select(*AXES, "re", "im")
     for axis, n in ((2, d), (1, h)):
         if n > 1:
-            transform = _pass(transform, axis, n, n, True)
-    df = _pass(transform, 0, w // 2 + 1, w, True, True)
+            transform = _pass(transform, axis, kept, n, True)
+    df = _pass(transform, 0, kept, w, True, True)
     return Image(df.select(*AXES, F.col("re").alias("v")), dims, "float32")
 
 
