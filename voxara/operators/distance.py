@@ -1,7 +1,7 @@
 """Distance maps and local thickness.
 
-A squared distance map is separable: one pass for each axis, each pass a grouped map over the lines along that axis, so
-a task holds lines and never the volume. A line's lower envelope of parabolas takes time linear in its length.
+A squared distance map is separable: one pass for each axis, each pass a kernel over the lines along that axis, so
+a task holds lines and never the volume.
 """
 
 from __future__ import annotations
@@ -9,16 +9,18 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from voxara.operators import neighbourhood
 from voxara.operators.blocks import as_image, over_blocks
+from voxara.operators.lines import over_lines
 from voxara.raster import AXES, Image, check_same, pix
 from voxara.store import kept
 
-#: Lines of one group: rows and columns that share a block of this edge length.
-LINES = 16
+#: Most lines of a group along each of the other axes.
+LINES = 1 << 14
+#: Offsets at which lines are searched side by side.
+OFFSETS = 64
 #: Squared distance where the image has no background.
 FAR = 1e18
 
@@ -42,23 +44,45 @@ def nearest_apex(f: np.ndarray) -> np.ndarray:
 
 def envelope(f: np.ndarray) -> np.ndarray:
     """min over q of f[q] + (p - q)^2 for each p."""
-    if not (f < FAR).any():
-        return np.full(len(f), FAR)
-    q = nearest_apex(f)
-    return f[q] + (np.arange(len(f)) - q) ** 2.0
+    return envelopes(f[None], nearest_apexes(f[None]))[0]
 
 
-def _pass(df, axis: int, dims: tuple[int, int, int]):
-    others = [a for i, a in enumerate(AXES) if i != axis]
-    n = dims[axis]
+def nearest_apexes(f: np.ndarray) -> np.ndarray:
+    """nearest_apex of each row of f; its own place where all of a row is FAR. Of equal ones the last is taken.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*others, AXES[axis]], ignore_index=True)
-        lines = pdf["v"].to_numpy().reshape(-1, n)
-        return pdf[list(AXES)].assign(v=np.concatenate([envelope(line) for line in lines]))
-
-    keys = [F.floor(F.col(a) / LINES).alias(f"g{a}") for a in others]
-    return df.groupBy(*keys).applyInPandas(run, "x bigint, y bigint, z bigint, v double")
+    Rows are searched side by side at growing offsets, up to the largest distance found; rows in which that takes more
+    than OFFSETS steps get their own lower envelope.
+    """
+    n = f.shape[1]
+    place = np.arange(n)
+    at = np.broadcast_to(place, f.shape).copy()
+    finite = np.flatnonzero((f < FAR).any(1))
+    f, q = f[finite], at[finite]
+    best = f.copy()
+    for o in range(1, n):
+        if best.max(initial=0.0) < o * o:
+            break
+        if o > OFFSETS:
+            for i in np.flatnonzero(best.max(1) >= o * o):
+                q[i] = nearest_apex(f[i])
+            break
+        for here, there, last in ((slice(None, -o), slice(o, None), True), (slice(o, None), slice(None, -o), False)):
+            cost = f[:, there] + o * o
+            better = cost <= best[:, here] if last else cost < best[:, here]
+            best[:, here][better] = cost[better]
+            q[:, here][better] = np.broadcast_to(place[there], better.shape)[better]
+    at[finite] = q
+    return at
+
+
+def envelopes(f: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """f[q] + (p - q)^2 of each row and p; FAR stays."""
+    least = np.take_along_axis(f, q, 1)
+    return np.where(least < FAR, least + (np.arange(f.shape[1]) - q) ** 2.0, least)
+
+
+def _distances(arrays: list[np.ndarray]) -> list[np.ndarray]:
+    return [envelopes(arrays[0], nearest_apexes(arrays[0]))]
 
 
 def squared_distance(image: Image, background: float = 0.0) -> Image:
@@ -66,7 +90,7 @@ def squared_distance(image: Image, background: float = 0.0) -> Image:
     df = image.df.select(*AXES, F.when(pix() == background, 0.0).otherwise(FAR).alias("v"))
     for axis, n in enumerate(image.dims):
         if n > 1:
-            df = _pass(df, axis, image.dims)
+            df = over_lines(df, axis, image.dims, _distances, most=LINES)
     return image.with_rows(df, dtype="float32")
 
 
@@ -122,25 +146,14 @@ def inpaint_nearest(image: Image, flag: float = 0.0) -> Image:
     df = image.df.select(*AXES, "v", F.when(missing, FAR).otherwise(0.0).alias("d"))
     for axis, n in enumerate(image.dims):
         if n > 1:
-            df = _value_pass(df, axis, n)
+            df = over_lines(df, axis, image.dims, _nearest_values, most=LINES)
     return image.with_rows(df)
 
 
-def _value_pass(df, axis: int, n: int):
-    others = [a for i, a in enumerate(AXES) if i != axis]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*others, AXES[axis]], ignore_index=True)
-        d, v = pdf["d"].to_numpy().reshape(-1, n), pdf["v"].to_numpy().reshape(-1, n)
-        at = np.arange(n)
-        for i, line in enumerate(d):
-            if (line < FAR).any():
-                q = nearest_apex(line)
-                d[i], v[i] = line[q] + (at - q) ** 2.0, v[i][q]
-        return pdf[list(AXES)].assign(v=v.ravel(), d=d.ravel())
-
-    keys = [F.floor(F.col(a) / LINES).alias(f"g{a}") for a in others]
-    return df.groupBy(*keys).applyInPandas(run, "x bigint, y bigint, z bigint, v double, d double")
+def _nearest_values(arrays: list[np.ndarray]) -> list[np.ndarray]:
+    v, d = arrays
+    q = nearest_apexes(d)
+    return [np.take_along_axis(v, q, 1), envelopes(d, q)]
 
 
 def containment(largest: int, offset: tuple[int, int, int]) -> np.ndarray:
