@@ -1,8 +1,11 @@
 """What a group of lines, a label or a file may hold on larger tables, and the same results beside it."""
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
-from voxara.operators import distance, lines
+from voxara.operators import analyzers, distance, lines
+from voxara.raster import Image
 
 
 def test_equal_distances_take_the_last_place_and_long_gaps_their_envelope(monkeypatch):
@@ -34,3 +37,30 @@ def test_a_long_line_is_a_group_of_its_own(spark, monkeypatch):
         got = np.zeros(dims)
         got[pdf["x"], pdf["y"], pdf["z"]] = pdf["v"]
         assert len(pdf) == w * h * d and (got == np.cumsum(v, axis)).all()
+
+
+def test_a_label_is_measured_by_its_outermost_pixels(spark):
+    n = 3000
+    rows = [(x, y, z, 7.0) for z in range(n) for x in range(3) for y in range(2)] + [(10 + i, 2 * i, i % 3, 9.0) for i in range(4)] + [(30, 3, 5, 4.0), (33, 3, 5, 5.0)]
+    im = Image(spark.createDataFrame(rows, "x bigint, y bigint, z bigint, v double"), (40, 12, n))
+    labelled = im.df.selectExpr("x", "y", "z", "cast(v as bigint) as label")
+    kept = {r.label: r.n for r in analyzers.corners(labelled).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert kept[7] == 4
+    got = {r.label: r for r in analyzers.analyze(im, tuple(c for c in analyzers.COLUMNS if c != "surfacearea")).collect()}
+    for label in (7, 9, 4, 5):
+        p = np.array([r[:3] for r in rows if r[3] == label], float)
+        r = got[label]
+        assert np.allclose([r.cx, r.cy, r.cz], p.mean(0)) and r.volume == len(p)
+        assert np.allclose(sorted([r.l1, r.l2, r.l3]), np.sqrt(np.maximum(np.linalg.eigvalsh(np.cov(p.T, bias=True)), 0)), atol=1e-6)
+        assert np.isclose(r.rmax, np.sqrt(((p - p.mean(0)) ** 2).sum(1).max()))
+        centre, radius = analyzers.bounding_ball(p)
+        assert np.allclose([r.sphere_x, r.sphere_y, r.sphere_z, r.sphere_r], [*centre, radius])
+        assert np.allclose([r.convex_area, r.convex_perimeter], analyzers.hull_measures(p[:, :2]))
+        axis = np.array([np.sin(r.theta1) * np.cos(r.phi1), np.sin(r.theta1) * np.sin(r.phi1), np.cos(r.theta1)])
+        along = (p - p.mean(0)) @ axis
+        assert np.isclose(r.d1, max(along.max(), 0) - min(along.min(), 0))
+
+
+def test_frames_are_cut_between_labels():
+    frames = [pd.DataFrame({"label": part}) for part in ([1, 1, 2], [2, 2], [2], [3, 4], [], [4], [5])]
+    assert [f["label"].tolist() for f in analyzers.whole_labels(iter(frames))] == [[1, 1], [2, 2, 2, 2, 3], [4, 4], [5]]

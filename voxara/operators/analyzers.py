@@ -1,12 +1,12 @@
 """Measurements of labelled regions.
 
 Sums and extremes are aggregates with a fixed state for a label of any size. Hulls, bounding balls and extents are those
-of the first and last pixels of each region's rows, so a task gets these alone and not the region.
+of a region's outermost pixels along x and z, so a task gets these alone and not the region.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,8 @@ COLUMNS: dict[str, list[str]] = {
     "pca2d": ["cx2", "cy2", "e2", "l1_2", "l2_2", "alpha", "rmax2", "d1_2", "d2_2", "bounding_scale2"],
     "convexhull2d": ["convex_area", "convex_perimeter"], "boundingsphere": ["sphere_x", "sphere_y", "sphere_z", "sphere_r"], "value": ["value"], "surfacearea": ["surface_area"],
 }
+#: Shapes whose hull or ball a task remembers.
+SHAPES = 20_000
 _SHAPED = ("pca", "pca2d", "convexhull2d", "boundingsphere")
 
 
@@ -95,23 +97,101 @@ def bounding_ball(points: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def principal_axes(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues (the largest first) and axes of each matrix of m."""
     values, vectors = np.linalg.eigh(m)
-    return np.maximum(values[::-1], 0.0), vectors[:, ::-1].T
+    return np.maximum(values[:, ::-1], 0.0), np.swapaxes(vectors[:, :, ::-1], 1, 2)
 
 
-def extent(points: np.ndarray, centre: np.ndarray, axes: np.ndarray, lengths: np.ndarray) -> list[float]:
-    """Largest distance from the centre, extents along the axes, and the factor by which the ellipsoid of the axes' lengths must grow to hold all points."""
-    p = points - centre
-    along = p @ axes.T
+def extents(points: np.ndarray, start: np.ndarray, centre: np.ndarray, axes: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """Of the labels whose points begin at start: largest distance from the centre, extents along the axes, and the factor by which the ellipsoid of the axes' lengths must grow to hold all points."""
+    n = np.diff(np.r_[start, len(points)])
+    p = points - np.repeat(centre, n, 0)
+    along = np.einsum("pk,pak->pa", p, np.repeat(axes, n, 0))
     with np.errstate(divide="ignore", invalid="ignore"):
-        factor = np.sqrt(((along / lengths) ** 2).sum(1))
-    factor = factor[np.isfinite(factor)]
-    spans = np.maximum(along.max(0), 0) - np.minimum(along.min(0), 0)
-    return [float(np.sqrt((p * p).sum(1)).max()), *spans.tolist(), float(factor.max(initial=0.0))]
+        factor = np.sqrt(((along / np.repeat(lengths, n, 0)) ** 2).sum(1))
+    factor[~np.isfinite(factor)] = 0.0
+    spans = np.maximum(np.maximum.reduceat(along, start), 0) - np.minimum(np.minimum.reduceat(along, start), 0)
+    return [np.sqrt(np.maximum.reduceat((p * p).sum(1), start)), *spans.T, np.maximum.reduceat(factor, start)]
 
 
-def eccentricity(values: np.ndarray) -> float:
-    return math.sqrt(max(0.0, 1 - (values[-1] / values[0]) ** 2)) if values[0] > 1e-6 else 0.0
+def eccentricity(values: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(values[:, 0] > 1e-6, np.sqrt(np.maximum(0.0, 1 - (values[:, -1] / values[:, 0]) ** 2)), 0.0)
+
+
+def whole_labels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames that are sorted by label, cut anew between labels."""
+    held: list[pd.DataFrame] = []
+    for f in frames:
+        if not len(f):
+            continue
+        cut = int(np.searchsorted(f["label"].to_numpy(), f["label"].iloc[-1]))
+        if held and (cut or held[-1]["label"].iloc[-1] != f["label"].iloc[0]):
+            yield pd.concat([*held, f[:cut]], ignore_index=True)
+            held = []
+        elif cut:
+            yield f[:cut]
+        held.append(f[cut:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def corners(labelled: DataFrame) -> DataFrame:
+    """label, x, y, z, z2: of each label the first and last pixels along z of those that are first or last along x.
+
+    Largest distances, extents, hulls and balls are those of these pixels, which are at most two for each column of the image.
+    """
+    rows = labelled.groupBy("label", "y", "z").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    ends = rows.select("label", "y", "z", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("x"))
+    return ends.groupBy("label", "x", "y").agg(F.min("z").alias("z"), F.max("z").alias("z2"))
+
+
+def measured(labelled: DataFrame, moments: DataFrame, shaped: list[str]) -> DataFrame:
+    """label and the columns of the analysers of shapes; many labels are measured side by side. Shapes that a task has met before, hulls and balls of which cost most, are remembered up to SHAPES of them."""
+    added = [c for n in shaped for c in COLUMNS[n]]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple[str, bytes], list[float]] = {}
+
+        def remembered(name: str, points: np.ndarray) -> list[float]:
+            low = points.min(0)
+            points = np.unique(points - low, axis=0)
+            if (result := known.get(key := (name, points.tobytes()))) is None:
+                if name == "convexhull2d":
+                    result = hull_measures(points)
+                else:
+                    centre, radius = bounding_ball(points)
+                    result = [*centre, radius]
+                if len(known) < SHAPES and len(points) < 100:
+                    known[key] = result
+            return [*(low + result[:3]), result[3]] if name == "boundingsphere" else result
+
+        for f in whole_labels(frames):
+            label = np.repeat(f["label"].to_numpy(), 2)
+            start = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
+            points = np.repeat(f[["x", "y", "z"]].to_numpy(), 2, 0)
+            points[1::2, 2] = f["z2"]
+            one = f.iloc[start // 2]
+            new: dict[str, np.ndarray] = {}
+            for name in shaped:
+                if name in ("pca", "pca2d"):
+                    used = AXES if name == "pca" else AXES[:2]
+                    centre = one[[f"_c{a}" for a in used]].to_numpy()
+                    values, axes = principal_axes(np.stack([np.stack([one[f"_{min(a, b)}{max(a, b)}"] for b in used], 1) for a in used], 1))
+                    axes = np.where(axes[:, :, -1:] < 0, -axes, axes)
+                    if name == "pca":
+                        angles = [c for i in range(3) for c in (np.arctan2(axes[:, i, 1], axes[:, i, 0]), np.arccos(np.clip(axes[:, i, 2], -1.0, 1.0)))]
+                    else:
+                        angles = [np.arctan2(axes[:, 0, 1], axes[:, 0, 0])]
+                    result = [*centre.T, eccentricity(values), *np.sqrt(values).T, *angles, *extents(points[:, : len(used)], start, centre, axes, np.sqrt(values))]
+                else:
+                    parts = np.split(points[:, :2] if name == "convexhull2d" else points, start[1:])
+                    result = np.array([remembered(name, p) for p in parts]).T
+                new |= dict(zip(COLUMNS[name], result, strict=True))
+            yield pd.DataFrame({"label": label[start]} | {c: new[c] for c in added})
+
+    points = corners(labelled).join(moments, "label").repartition("label").sortWithinPartitions("label")
+    return points.mapInPandas(run, "label bigint" + "".join(f", {c} double" for c in added))
 
 
 def analyze(image: Image, analyzers: tuple[str, ...] = ("coordinates", "volume"), value: float = 0.0) -> DataFrame:
@@ -143,38 +223,8 @@ def analyze(image: Image, analyzers: tuple[str, ...] = ("coordinates", "volume")
         found = found.withColumn("value", F.lit(float(value)))
     shaped = [n for n in names if n in _SHAPED]
     if shaped:
-        rows = labelled.groupBy("label", "y", "z").agg(F.min("x").alias("a"), F.max("x").alias("b"))
         moments = [c for c in found.columns if c.startswith("_")]
-        added = [c for n in shaped for c in COLUMNS[n]]
-
-        def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-            y, z = pdf["y"].to_numpy(), pdf["z"].to_numpy()
-            points = np.vstack([np.stack([pdf["a"], y, z], 1), np.stack([pdf["b"], y, z], 1)]).astype(float)
-            one = pdf.iloc[0]
-            new: dict[str, float] = {}
-            for name in shaped:
-                if name == "pca":
-                    centre = np.array([one[f"_c{a}"] for a in AXES])
-                    values, axes = principal_axes(np.array([[one[f"_{min(a, b)}{max(a, b)}"] for b in AXES] for a in AXES]))
-                    axes = np.where(axes[:, 2:] < 0, -axes, axes)
-                    angles = [c for v in axes for c in (math.atan2(v[1], v[0]), math.acos(min(1.0, max(-1.0, v[2]))))]
-                    result = [*centre, eccentricity(values), *np.sqrt(values), *angles, *extent(points, centre, axes, np.sqrt(values))]
-                elif name == "pca2d":
-                    centre = np.array([one["_cx"], one["_cy"]])
-                    values, axes = principal_axes(np.array([[one["_xx"], one["_xy"]], [one["_xy"], one["_yy"]]]))
-                    axes = np.where(axes[:, 1:] < 0, -axes, axes)
-                    result = [*centre, eccentricity(values), *np.sqrt(values), math.atan2(axes[0][1], axes[0][0]), *extent(points[:, :2], centre, axes, np.sqrt(values))]
-                elif name == "convexhull2d":
-                    result = hull_measures(points[:, :2])
-                else:
-                    centre, radius = bounding_ball(points)
-                    result = [*centre, radius]
-                new |= dict(zip(COLUMNS[name], map(float, result), strict=True))
-            return pd.DataFrame({"label": [one["label"]]} | {c: [new[c]] for c in added})
-
-        joined = rows.join(found.select("label", *moments), "label") if moments else rows
-        measured = joined.groupBy("label").applyInPandas(measure, "label bigint" + "".join(f", {c} double" for c in added))
-        found = found.join(measured, "label")
+        found = found.join(measured(labelled, found.select("label", *moments), shaped), "label")
     if "surfacearea" in names:
         found = found.join(surfaces.label_areas(image), "label")
     return found.select(*headers(analyzers))

@@ -79,10 +79,10 @@ def measured(points: np.ndarray) -> dict[str, float]:
     """ANALYZERS' columns of a region's places, as analyzers.analyze has them for a label."""
     p = points.astype(float)
     centre = p.mean(0)
-    values, axes = analyzers.principal_axes(np.cov(p.T, bias=True))
+    values, axes = (a[0] for a in analyzers.principal_axes(np.cov(p.T, bias=True)[None]))
     axes = np.where(axes[:, 1:] < 0, -axes, axes)
     roots = np.sqrt(values)
-    shape = [*centre, analyzers.eccentricity(values), *roots, math.atan2(axes[0][1], axes[0][0]), *analyzers.extent(p, centre, axes, roots)]
+    shape = [*centre, float(analyzers.eccentricity(values[None])[0]), *roots, math.atan2(axes[0][1], axes[0][0]), *(float(c[0]) for c in analyzers.extents(p, np.zeros(1, int), centre[None], axes[None], roots[None]))]
     area, round_ = analyzers.hull_measures(p)
     found = [("coordinates2d", points[0]), ("volume", [len(p)]), ("pca2d", shape), ("convexhull2d", [area, round_]), ("bounds2d", [p[:, 0].min(), p[:, 0].max(), p[:, 1].min(), p[:, 1].max()])]
     return {c: float(v) for name, row in found for c, v in zip(analyzers.COLUMNS[name], row, strict=True)}
