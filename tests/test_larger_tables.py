@@ -2,10 +2,12 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from voxara.operators import analyzers, distance, lines
 from voxara.raster import Image
+from voxara.sources import files, raw, volumes
 
 
 def test_equal_distances_take_the_last_place_and_long_gaps_their_envelope(monkeypatch):
@@ -64,3 +66,23 @@ def test_a_label_is_measured_by_its_outermost_pixels(spark):
 def test_frames_are_cut_between_labels():
     frames = [pd.DataFrame({"label": part}) for part in ([1, 1, 2], [2, 2], [2], [3, 4], [], [4], [5])]
     assert [f["label"].tolist() for f in analyzers.whole_labels(iter(frames))] == [[1, 1], [2, 2, 2, 2, 3], [4, 4], [5]]
+
+
+def test_lines_and_slices_go_to_files_in_spans(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(raw, "SPAN", 40)
+    dims = (5, 3, 11)
+    v = np.random.default_rng(7).integers(0, 250, dims).astype(float)
+    im = Image(spark.createDataFrame([(*map(int, p), float(v[p])) for p in np.ndindex(dims)], "x bigint, y bigint, z bigint, v double"), dims, "uint16")
+    files.write_nrrd(im, f"{tmp_path}/a.nrrd")
+    volumes.write_tiff(im, f"{tmp_path}/a.tif")
+    assert files.write_sequence(im, str(tmp_path)).count() == 11
+    for path in ("a.nrrd", "a.tif", "*.png"):
+        back = volumes.read_image(spark, f"{tmp_path}/{path}")
+        pdf, got = back.df.toPandas(), np.full(dims, -1.0)
+        got[pdf["x"], pdf["y"], pdf["z"]] = pdf["v"]
+        assert back.dims == dims and len(pdf) == v.size and (got == v).all(), path
+    runs = list(files.slices_of(bytes(range(66)) * 5, dims, 2))
+    assert [len(f["data"][0]) for f in runs] == [60] * 5 + [30] and [int(f["z"][0]) for f in runs] == [0, 2, 4, 6, 8, 10]
+    gap = Image(im.df.filter("not (x = 2 and y = 1 and z = 4)"), dims, "uint16")
+    with pytest.raises(ValueError, match="32 lines of 33"):
+        raw.write_raw(gap, f"{tmp_path}/gap")

@@ -1,7 +1,7 @@
 """Single-file image formats: NRRD and PNG, and slices of a PNG sequence read in parallel.
 
 NRRD lines have fixed places, so tasks write them where they lie; a PNG is compressed as a whole and written by one task.
-Readers decode one file in one task.
+Readers cut a file in one task into runs of slices, which other tasks decode.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,9 @@ NRRD_TYPES = {
 }
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 PIXELS = "x bigint, y bigint, z bigint, v double"
+RUNS = "z bigint, data binary"
+#: Bytes of files that one task reads at most, unless one file has more.
+READ = 1 << 25
 
 
 def _pixels(a: np.ndarray, z: int = 0) -> pd.DataFrame:
@@ -35,6 +39,27 @@ def _pixels(a: np.ndarray, z: int = 0) -> pd.DataFrame:
     return pd.DataFrame({"x": at[2], "y": at[1], "z": at[0] + z, "v": a.ravel().astype(float)})
 
 
+def slices_of(data: bytes, dims: tuple[int, int, int], itemsize: int, start: int = 0) -> Iterator[pd.DataFrame]:
+    """Rows z, data of runs of slices of about raw.SPAN pixels: bytes from start on that are too few for dims raise an error."""
+    w, h, d = dims
+    size, many = w * h * itemsize, max(1, raw.SPAN // (w * h))
+    if len(data) < start + d * size:
+        raise ValueError(f"{len(data) - start} bytes of {d * size} for an image of {dims}")
+    for z in range(0, d, many):
+        yield pd.DataFrame({"z": [z], "data": [data[start + z * size : start + min(z + many, d) * size]]})
+
+
+def decoded(runs: DataFrame, dims: tuple[int, int, int], kind: np.dtype) -> DataFrame:
+    """The pixels of rows z, data, dealt over tasks."""
+
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for z, data in zip(f["z"], f["data"], strict=True):
+                yield _pixels(np.frombuffer(data, kind).reshape(-1, dims[1], dims[0]), z)
+
+    return runs.repartition("z").mapInPandas(decode, PIXELS)
+
+
 def parse_nrrd_header(text: bytes) -> tuple[dict[str, str], int]:
     """Header fields in lower case, and where the data start."""
     end = re.search(rb"\r?\n\r?\n", text)
@@ -60,15 +85,13 @@ def read_nrrd(spark: SparkSession, path: str) -> Image:
     kind = np.dtype(dtype).newbyteorder(">" if fields.get("endian") == "big" else "<")
     zipped = fields["encoding"] != "raw"
 
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for content in f["content"]:
                 data = gzip.decompress(content[start:]) if zipped else content[start:]
-                a = np.frombuffer(data, kind, dims[0] * dims[1] * dims[2]).reshape(dims[::-1])
-                for z in range(dims[2]):
-                    yield _pixels(a[z : z + 1], z)
+                yield from slices_of(data, dims, kind.itemsize)
 
-    df = spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, PIXELS)
+    df = decoded(spark.read.format("binaryFile").load(path).select("content").mapInPandas(runs, RUNS), dims, kind)
     return Image(df, dims, "float32" if dtype == "float64" else dtype)
 
 
@@ -148,36 +171,53 @@ def write_slices(image: Image, path_of: Callable[[int], str]) -> DataFrame:
     w, h, _ = image.dims
     kind = np.dtype(image.dtype)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros((h, w), kind)
-        a[pdf["y"], pdf["x"]] = pdf["v"]
-        z = int(pdf["z"].iloc[0])
-        with open(path_of(z), "wb") as f:
-            f.write(encode_png(a))
-        return pd.DataFrame({"z": [z], "path": [path_of(z)]})
+    many = max(1, raw.SPAN // (w * h))
 
-    return image.df.groupBy("z").applyInPandas(run, "z bigint, path string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, slices = None, np.zeros((many, h, w), kind)
+        used = np.zeros(many, bool)
+        for b in batches:
+            x, y, z = (b.column(a).to_numpy() for a in AXES)
+            first = int(z[0]) // many * many if first is None else first
+            slices[z - first, y, x], used[z - first] = b.column("v").to_numpy().astype(kind), True
+        numbers = [first + int(i) for i in np.flatnonzero(used)]
+        for z in numbers:
+            with open(path_of(z), "wb") as f:
+                f.write(encode_png(slices[z - first]))
+        yield pa.RecordBatch.from_pydict({"z": numbers, "path": [path_of(z) for z in numbers]})
+
+    return image.df.groupBy(F.floor(F.col("z") / many).alias("run")).applyInArrow(run, "z bigint, path string")
 
 
 def read_sequence(spark: SparkSession, pattern: str) -> Image:
     """PNG slices in the natural order of their names; each is decoded by the task that read it."""
     files = spark.read.format("binaryFile").load(pattern)
     natural = lambda p: [int(s) if s.isdigit() else s for s in re.split(r"(\d+)", p)]
-    names = sorted((r.path for r in files.select("path").collect()), key=natural)
-    if not names:
+    # Spark deals small files as if each had megabytes, a task for some thirty of them.
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    found = files.select("path", "length").coalesce(tasks).collect()
+    if not found:
         raise ValueError(f"No image matches {pattern}")
-    w, h, bits = png_size(bytes(files.filter(F.col("path") == names[0]).select(F.substring("content", 1, 64)).first()[0]))
+    names = sorted((r.path for r in found), key=natural)
+    tasks = max(tasks, -(-sum(r.length for r in found) // READ))
+    alone = spark.read.format("binaryFile").load(re.sub(r"([\[\]{}*?\\])", r"\\\1", names[0]))
+    w, h, bits = png_size(bytes(alone.select(F.substring("content", 1, 64)).first()[0]))
     order = {p: z for z, p in enumerate(names)}
+    many = max(1, raw.SPAN // (w * h))
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for path, content in zip(f["path"], f["content"], strict=True):
-                a = decode_png(content)
-                if a.shape != (h, w):
-                    raise ValueError(f"{path} has another size than {names[0]}")
-                yield _pixels(a[None], order[path])
-
-    return Image(files.select("path", "content").mapInPandas(decode, PIXELS), (w, h, len(names)), "uint16" if bits == 16 else "uint8")
+            for start in range(0, len(f), many):
+                made = []
+                for path, content in zip(f["path"][start : start + many], f["content"][start : start + many], strict=True):
+                    a = decode_png(content)
+                    if a.shape != (h, w):
+                        raise ValueError(f"{path} has another size than {names[0]}")
+                    made.append(a)
+                out = _pixels(np.stack(made))
+                yield out.assign(z=np.array([order[p] for p in f["path"][start : start + many]])[out["z"]])
+
+    return Image(files.select("path", "content").coalesce(tasks).mapInPandas(decode, PIXELS), (w, h, len(names)), "uint16" if bits == 16 else "uint8")
 
 
 def read_image(spark: SparkSession, path: str, dtype: str = "uint8") -> Image:

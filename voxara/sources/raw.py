@@ -8,11 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from voxara.raster import AXES, Image
 
+#: Pixels that a task writes at once, a whole line at least.
+SPAN = 1 << 18
 _SIZES = re.compile(r"_(\d+)x(\d+)(?:x(\d+))?\.raw$")
 
 
@@ -41,13 +44,13 @@ def read_raw(spark: SparkSession, path: str, dtype: str, dims: tuple[int, int, i
 
 
 def put_lines(image: Image, path: str, size: int, start: int = 0, line_step: int = 0, slice_step: int = 0, order: str = "<") -> None:
-    """Writes an image's lines into a file of size bytes, each by the task that has it: line y of slice z at start + y * line_step + z * slice_step.
+    """Writes an image's lines into a file of size bytes, each with those beside it by a task: line y of slice z at start + y * line_step + z * slice_step.
 
     The file is made of zeros where it is missing or has another size. Steps of 0 are those of lines one after the other. A task that is run
     again writes the same bytes to the same place. The path must lie where driver and executors can seek in files, such as
     a shared folder; a file:// before it is cut off.
     """
-    w, h, _ = image.dims
+    w, h, d = image.dims
     kind, path = np.dtype(image.dtype).newbyteorder(order), path.removeprefix("file://")
     line_step = line_step or w * kind.itemsize
     slice_step = slice_step or h * line_step
@@ -55,18 +58,34 @@ def put_lines(image: Image, path: str, size: int, start: int = 0, line_step: int
         with open(path, "wb") as f:
             f.truncate(size)
 
-    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    edge = max(1, SPAN // max(w, 1))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines, size, first = np.zeros((0, w), kind), 0, 0
+        seen = np.zeros((0, w), bool)
+        for b in batches:
+            x, y, z = (b.column(a).to_numpy() for a in AXES)
+            if not size:
+                first = (int(z[0]) * h + int(y[0])) // edge * edge
+                size = min(edge, h * d - first)
+                lines, seen = np.zeros((size, w), kind), np.zeros((size, w), bool)
+            lines[z * h + y - first, x], seen[z * h + y - first, x] = b.column("v").to_numpy().astype(kind), True
+        number = first + np.arange(size)
+        at = start + number % h * line_step + number // h * slice_step
+        whole = seen.all(1)
+        # Whole lines one after the other in the file are written at once.
+        cuts = np.flatnonzero((np.diff(at) != lines.itemsize * w) | ~whole[1:] | ~whole[:-1]) + 1
         with open(path, "r+b") as f:
-            for rows in frames:
-                for z, y, line in zip(rows["z"], rows["y"], rows["line"], strict=True):
-                    f.seek(start + int(y) * line_step + int(z) * slice_step)
-                    f.write(np.asarray(line).astype(kind).tobytes())
-                yield pd.DataFrame({"lines": [len(rows)]})
-
-    lines = image.df.groupBy("z", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda p: p["v"]).alias("line"))
-    written = lines.mapInPandas(put, "lines bigint").agg(F.sum("lines")).first()[0] or 0
-    if written != image.dims[1] * image.dims[2]:
-        raise ValueError(f"{written} lines of {image.dims[1] * image.dims[2]} were written to {path}")
+            for low, high in zip(np.r_[0, cuts], np.r_[cuts, size], strict=True):
+                if whole[low]:
+                    f.seek(int(at[low]))
+                    f.write(lines[low:high].tobytes())
+        yield pa.RecordBatch.from_pydict({"lines": [int(whole.sum())]})
+
+    span = F.floor((F.col("z") * h + F.col("y")) / edge).alias("span")
+    written = image.df.groupBy(span).applyInArrow(put, "lines bigint").agg(F.sum("lines")).first()[0] or 0
+    if written != h * d:
+        raise ValueError(f"{written} lines of {h * d} were written to {path}")
 
 
 def write_raw(image: Image, prefix: str) -> str:

@@ -59,14 +59,12 @@ def read_vol(spark: SparkSession, path: str) -> Image:
     dims, dtype, big, start = vol_header(_head(spark, path))
     kind = np.dtype(dtype).newbyteorder(">" if big else "<")
 
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for content in f["content"]:
-                a = np.frombuffer(content, kind, dims[0] * dims[1] * dims[2], start).reshape(dims[::-1])
-                for z in range(dims[2]):
-                    yield files._pixels(a[z : z + 1], z)
+                yield from files.slices_of(content, dims, kind.itemsize, start)
 
-    return Image(spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, _PIXELS), dims, dtype)
+    return Image(files.decoded(spark.read.format("binaryFile").load(path).select("content").mapInPandas(runs, files.RUNS), dims, kind), dims, dtype)
 
 
 # TIFF: grey, uncompressed, one strip for each slice
@@ -116,15 +114,18 @@ def read_tiff(spark: SparkSession, path: str) -> Image:
 
     size = source.mapInPandas(sizes, "w int, h int, d int, t string").first()
 
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    dims, kind = (size.w, size.h, size.d), np.dtype(size.t)
+    many = max(1, raw.SPAN // (size.w * size.h))
+
+    def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for content in f["content"]:
                 pages, order = tiff_pages(content)
-                for z, (w, h, dtype, starts, counts) in enumerate(pages):
-                    data = b"".join(content[s : s + n] for s, n in zip(starts, counts, strict=True))
-                    yield files._pixels(np.frombuffer(data, np.dtype(dtype).newbyteorder(order), w * h).reshape(1, h, w), z)
+                for z in range(0, len(pages), many):
+                    data = [np.frombuffer(b"".join(content[s : s + n] for s, n in zip(p[3], p[4], strict=True)), kind.newbyteorder(order), size.w * size.h) for p in pages[z : z + many]]
+                    yield pd.DataFrame({"z": [z], "data": [np.concatenate(data).astype(kind).tobytes()]})
 
-    return Image(source.mapInPandas(decode, _PIXELS), (size.w, size.h, size.d), size.t)
+    return Image(files.decoded(source.mapInPandas(runs, files.RUNS), dims, kind), dims, size.t)
 
 
 def write_tiff(image: Image, path: str) -> None:
