@@ -86,3 +86,16 @@ def test_lines_and_slices_go_to_files_in_spans(spark, tmp_path, monkeypatch):
     gap = Image(im.df.filter("not (x = 2 and y = 1 and z = 4)"), dims, "uint16")
     with pytest.raises(ValueError, match="32 lines of 33"):
         raw.write_raw(gap, f"{tmp_path}/gap")
+
+
+def test_a_sequence_is_read_by_few_tasks(spark, tmp_path):
+    dims = (3, 2, 150)
+    v = np.arange(900).reshape(dims) % 251.0
+    im = Image(spark.createDataFrame([(*map(int, p), float(v[p])) for p in np.ndindex(dims)], "x bigint, y bigint, z bigint, v double"), dims, "uint8")
+    files.write_sequence(im, str(tmp_path)).count()
+    (tmp_path / "note.txt").write_text("no image")
+    back = files.read_sequence(spark, f"{tmp_path}/*.png")
+    assert back.dims == dims and back.df.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert {(r.x, r.y, r.z): r.v for r in back.df.collect()} == {p: v[p] for p in np.ndindex(dims)}
+    with pytest.raises(Exception, match="No image matches"):
+        files.read_sequence(spark, f"{tmp_path}/*.PNG")

@@ -191,7 +191,11 @@ def write_slices(image: Image, path_of: Callable[[int], str]) -> DataFrame:
 
 def read_sequence(spark: SparkSession, pattern: str) -> Image:
     """PNG slices in the natural order of their names; each is decoded by the task that read it."""
-    files = spark.read.format("binaryFile").load(pattern)
+    folder, _, name = pattern.rpartition("/")
+    reader = spark.read.format("binaryFile")
+    # Of a pattern Spark lists every match by a task; a folder is listed once.
+    listed = folder and re.search(r"[*?\[{]", name) and not re.search(r"[*?\[{\\]", folder)
+    files = reader.option("pathGlobFilter", name).load(folder) if listed else reader.load(pattern)
     natural = lambda p: [int(s) if s.isdigit() else s for s in re.split(r"(\d+)", p)]
     # Spark deals small files as if each had megabytes, a task for some thirty of them.
     tasks = 4 * spark.sparkContext.defaultParallelism
