@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from voxara.operators import analyzers, distance, lines
+from voxara.operators import analyzers, distance, lines, regions
 from voxara.raster import Image
 from voxara.sources import files, raw, volumes
 
@@ -99,3 +99,26 @@ def test_a_sequence_is_read_by_few_tasks(spark, tmp_path):
     assert {(r.x, r.y, r.z): r.v for r in back.df.collect()} == {p: v[p] for p in np.ndindex(dims)}
     with pytest.raises(Exception, match="No image matches"):
         files.read_sequence(spark, f"{tmp_path}/*.PNG")
+
+
+def test_local_maxima_read_neighbours_within_blocks(spark, monkeypatch):
+    def no_rows(*_):
+        raise AssertionError("a row for each neighbour")
+
+    monkeypatch.setattr(regions, "_shifted", no_rows)
+    for dims in ((9, 1, 70), (6, 5, 4)):
+        v = np.random.default_rng(8).integers(-3, 40, dims).astype(float)
+        im = Image(spark.createDataFrame([(*map(int, p), float(v[p])) for p in np.ndindex(dims)], "x bigint, y bigint, z bigint, v double"), dims, "float32")
+        got = {(r.x, r.y, r.z): r.v for r in regions.local_maxima(im).df.collect()}
+        near = lambda p: [q for q in np.ndindex(dims) if q != p and max(abs(a - b) for a, b in zip(p, q, strict=True)) == 1]  # noqa: B023, E731
+        region, number = {}, 0
+        for p in sorted((p for p in np.ndindex(dims) if v[p] != 0), key=lambda p: p[::-1]):
+            if p in region:
+                continue
+            part = [p]
+            for q in part:
+                part += [r for r in near(q) if v[r] == v[p] and r not in part]
+            top = all(v[r] <= v[p] for q in part for r in near(q))
+            number += top
+            region |= dict.fromkeys(part, float(number) if top else 0.0)
+        assert got == {p: region.get(p, 0.0) for p in np.ndindex(dims)}

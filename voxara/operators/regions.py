@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxara.operators import analyzers
-from voxara.operators.blocks import BLOCK
+from voxara.operators.blocks import BLOCK, fold_blocks
 from voxara.raster import AXES, Image, pix
 from voxara.store import kept
 
@@ -199,9 +199,20 @@ def _shifted(df: DataFrame, connectivity: str, *columns: str) -> DataFrame:
 def local_maxima(image: Image, connectivity: str = "All") -> Image:
     """A number from 1 on at each region of equal nonzero pixels without a larger neighbour, 0 elsewhere."""
     found = kept(regions(image, pix() != 0, connectivity))
-    neighbours = _shifted(found.withColumnRenamed("v", "own"), connectivity, "own", "region").join(image.df, list(AXES))
-    lower = neighbours.filter(pix() > F.col("own")).select("region").distinct()
-    left = kept(found.join(lower, "region", "left_anti"))
+
+    def lower(arrays: list[np.ndarray], _first) -> pd.DataFrame:
+        v, region = arrays
+        inner = tuple(slice(1, -1) if n > 1 else slice(None) for n in dims)
+        own, lies = v[inner], np.zeros(v[inner].shape, bool)
+        for o in _around(connectivity):
+            if all(c == 0 or n > 1 for c, n in zip(o, dims, strict=True)):
+                lies |= v[tuple(slice(1 + c, 1 + c + n) if d > 1 else slice(None) for c, n, d in zip(o, own.shape, dims, strict=True))] > own
+        return pd.DataFrame({"region": np.unique(region[inner][lies & (region[inner] > 0)]).astype(np.int64) - 1})
+
+    # The pixels of no region are 0; region 0 is told from none by adding 1. Numbers of pixels are exact as doubles up to 2^53.
+    dims = image.dims
+    lost = fold_blocks(found.select(*AXES, "v", (F.col("region") + 1).cast("double").alias("r")), dims, lower, "region bigint", (1, 1, 1)).distinct()
+    left = kept(found.join(lost, "region", "left_anti").select(*AXES, "region"))
     named = numbered(left, image.dims).select(*AXES, F.col("n").cast("double").alias("n"))
     return image.with_rows(image.df.select(*AXES).join(named, list(AXES), "left").select(*AXES, F.coalesce("n", F.lit(0.0)).alias("v")), dtype="int32")
 
