@@ -122,3 +122,25 @@ def test_local_maxima_read_neighbours_within_blocks(spark, monkeypatch):
             number += top
             region |= dict.fromkeys(part, float(number) if top else 0.0)
         assert got == {p: region.get(p, 0.0) for p in np.ndindex(dims)}
+
+
+def test_hulls_and_balls_of_many_labels_are_measured_side_by_side():
+    rng = np.random.default_rng(9)
+    box = np.array(list(np.ndindex(3, 3, 3)))
+    parts = [rng.integers(0, size, (n, 3)) for n in (1, 2, 3, 4, 5, 9, 40) for size in ((1, 1, 9), (2, 1, 3), (3, 3, 3), (8, 8, 500), (9, 1, 9)) for _ in range(6)]
+    parts += [box, box[box[:, 0] == 1], np.array([(x, x * x if x < 30 else -900, 0) for x in range(31)]), np.array([(0, 0, 0), (5, 3, 0), (0, 0, 2000), (1, 7, 1999)]) + [0, 0, 600_000]]
+    start = np.cumsum([0] + [len(p) for p in parts[:-1]])
+    points = np.concatenate(parts)
+    areas, perimeters = analyzers.hulls_measures(points[:, :2], start)
+    centres, radii = analyzers.bounding_balls(points, start)
+    for p, area, perimeter, centre, radius in zip(parts, areas, perimeters, centres, radii, strict=True):
+        c = analyzers.hull(np.vstack([p[:, :2] + d for d in ((0, 0), (1, 0), (0, 1), (1, 1))]))
+        after = np.roll(c, -1, 0)
+        assert np.isclose(area, abs((c[:, 0] * after[:, 1] - c[:, 1] * after[:, 0]).sum()) / 2)
+        assert np.isclose(perimeter, np.sqrt(((after - c) ** 2).sum(1)).sum())
+        d = np.linalg.norm(p - centre, axis=1)
+        assert d.max() <= radius + 1e-8
+        # A ball is the smallest if the points on it surround its centre: no direction leads nearer to all of them.
+        on = (p - centre)[d >= radius - 1e-7 * (1 + radius)]
+        steps = np.vstack([rng.normal(size=(300, 3)), on, -on])
+        assert radius == 0 or ((steps @ on.T).min(1) <= 1e-6 * (1 + radius) * np.linalg.norm(steps, axis=1)).all()

@@ -24,8 +24,6 @@ COLUMNS: dict[str, list[str]] = {
     "pca2d": ["cx2", "cy2", "e2", "l1_2", "l2_2", "alpha", "rmax2", "d1_2", "d2_2", "bounding_scale2"],
     "convexhull2d": ["convex_area", "convex_perimeter"], "boundingsphere": ["sphere_x", "sphere_y", "sphere_z", "sphere_r"], "value": ["value"], "surfacearea": ["surface_area"],
 }
-#: Shapes whose hull or ball a task remembers.
-SHAPES = 20_000
 _SHAPED = ("pca", "pca2d", "convexhull2d", "boundingsphere")
 
 
@@ -58,42 +56,107 @@ def hull(points: np.ndarray) -> np.ndarray:
     return np.array(chain(points) + chain(points[::-1]))
 
 
+def chains(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the corners of each label's lower hull, of points in order of label and x with one y for each.
+
+    A point that isn't below the line between its neighbours is no corner, so all such are left out at once, again and again.
+    """
+    kept = np.arange(len(label))
+    while len(kept) > 2:
+        a, b, c = kept[:-2], kept[1:-1], kept[2:]
+        lost = (label[a] == label[c]) & ((x[b] - x[a]) * (y[c] - y[a]) <= (y[b] - y[a]) * (x[c] - x[a]))
+        if not lost.any():
+            break
+        kept = np.delete(kept, np.flatnonzero(lost) + 1)
+    return kept
+
+
+def hulls_measures(points: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Areas and perimeters (2 x labels) of the convex hulls of plane pixels, which reach from their place to the next, of the labels whose points begin at start."""
+    n = len(start)
+    label = np.repeat(np.arange(n), np.diff(np.r_[start, len(points)]))
+    label, x, y = (np.r_[c, d] for c, d in ((label, label), (points[:, 0], points[:, 0] + 1), (points[:, 1], points[:, 1])))
+    order = np.lexsort((y, x, label))
+    label, x, y = label[order], x[order], y[order]
+    first = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (x[1:] != x[:-1])])
+    label, x, low, high = label[first], x[first], np.minimum.reduceat(y, first), np.maximum.reduceat(y, first) + 1
+    area, around = np.zeros(n), np.zeros(n)
+    for side, sign in ((low, 1), (high, -1)):
+        at = chains(label, x, sign * side)
+        a, b = at[:-1], at[1:]
+        a, b = a[label[a] == label[b]], b[label[a] == label[b]]
+        area -= sign * np.bincount(label[a], (x[b] - x[a]) * (side[a] + side[b]) / 2, n)
+        around += np.bincount(label[a], np.hypot(x[b] - x[a], side[b] - side[a]), n)
+    ends = np.flatnonzero(np.r_[True, label[1:] != label[:-1]] | np.r_[label[1:] != label[:-1], True])
+    return np.stack([area, around + np.bincount(label[ends], high[ends] - low[ends], n)])
+
+
 def hull_measures(points: np.ndarray) -> list[float]:
     """Area and perimeter of the convex hull of plane pixels, which reach from their place to the next."""
-    corners = hull(np.vstack([points + c for c in ((0, 0), (1, 0), (0, 1), (1, 1))]))
-    after = np.roll(corners, -1, 0)
-    return [abs((corners[:, 0] * after[:, 1] - corners[:, 1] * after[:, 0]).sum()) / 2, np.sqrt(((after - corners) ** 2).sum(1)).sum()]
+    return list(hulls_measures(np.asarray(points), np.array([0]))[:, 0])
+
+
+def smallest_balls(support: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centres, radii, bits of the points on it) of the smallest ball around each row of support (rows x at most 5 x 3), which passes through the last point."""
+    rows, k, _ = support.shape
+    best, centre, bits = np.full((2, rows), np.inf), np.zeros((rows, 3)), np.zeros(rows, int)
+    origin = support[:, -1]
+    for mask in sorted(range(1, 1 << (k - 1)), key=int.bit_count):
+        if mask.bit_count() > 3:
+            continue
+        rest = [support[:, i] - origin for i in range(k - 1) if mask >> i & 1]
+        half = [(r * r).sum(1, keepdims=True) / 2 for r in rest]
+        if len(rest) == 1:
+            over, under = rest[0], np.full((rows, 1), 2.0)
+        elif len(rest) == 2:
+            n = np.cross(*rest)
+            over, under = half[0] * np.cross(rest[1], n) + half[1] * np.cross(n, rest[0]), (n * n).sum(1, keepdims=True)
+        else:
+            n = [np.cross(rest[i - 2], rest[i - 1]) for i in range(3)]
+            over, under = sum(h * c for h, c in zip(half, n, strict=True)), (rest[0] * n[0]).sum(1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            c = origin + over / under  # points in a line or plane too few for them have no ball, which others then have
+        d = np.linalg.norm(support - c[:, None], axis=2)
+        reach = np.where(under[:, 0] == 0, np.inf, d.max(1))
+        # Balls through their points come before those that leave some out by rounding alone.
+        found = np.stack([np.where(reach <= d[:, -1] + 1e-9 * (1 + d[:, -1]), reach, np.finfo(float).max), reach])
+        better = (found[0] < best[0] * (1 - 1e-12)) | ((found[0] == best[0]) & (found[1] < best[1]))
+        best[:, better], centre[better], bits[better] = found[:, better], c[better], mask | 1 << (k - 1)
+    return centre, best[1], bits
+
+
+def bounding_balls(points: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, radii) of the smallest balls around the labels whose points begin at start: balls of few supporting points, to which the farthest point is added until none is outside."""
+    points = points.astype(float)
+    centres, radii = points[start], np.zeros(len(start))
+    support, count = np.zeros((len(start), 5, 3)), np.ones(len(start), int)
+    support[:, 0] = centres
+    live, size = np.arange(len(start)), np.diff(np.r_[start, len(points)])
+    while len(live):
+        d = np.linalg.norm(points - np.repeat(centres[live], size, 0), axis=1)
+        top = np.maximum.reduceat(d, start)
+        outside = top > radii[live] * (1 + 1e-12) + 1e-9
+        far = np.flatnonzero(d == np.repeat(top, size))
+        far = far[np.searchsorted(far, start)][outside]
+        support[live[outside], count[live[outside]]] = points[far]
+        points = points[np.repeat(outside, size)]
+        live, size = live[outside], size[outside]
+        start = np.cumsum(size) - size
+        count[live] += 1
+        for k in range(2, 6):
+            who = live[count[live] == k]
+            if len(who):
+                centres[who], radii[who], bits = smallest_balls(support[who, :k])
+                on = bits[:, None] >> np.arange(k) & 1
+                support[who, :k] = np.take_along_axis(support[who, :k], np.argsort(-on, axis=1, kind="stable")[:, :, None], 1)
+                count[who] = on.sum(1)
+    return centres, radii
 
 
 def bounding_ball(points: np.ndarray) -> tuple[np.ndarray, float]:
-    """(centre, radius) of the smallest ball: the ball of few supporting points, to which the farthest point is added until none is outside."""
-
-    def through(support: np.ndarray) -> tuple[np.ndarray, float]:
-        if len(support) == 1:
-            return support[0], 0.0
-        rest = support[1:] - support[0]
-        x = np.linalg.lstsq(2 * rest, (rest * rest).sum(1), rcond=None)[0]
-        return support[0] + x, float(np.linalg.norm(x))
-
-    def smallest(support: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-        best = None
-        for mask in range(1, 1 << len(support)):
-            part = support[[i for i in range(len(support)) if mask >> i & 1]]
-            if len(part) > 4:
-                continue
-            c, r = through(part)
-            if (np.linalg.norm(support - c, axis=1) <= r * (1 + 1e-12) + 1e-9).all() and (best is None or r < best[1]):
-                best = c, r, part
-        return best
-
-    points = np.unique(points, axis=0).astype(float)
-    support = points[:1]
-    while True:
-        c, r, support = smallest(support)
-        d = np.linalg.norm(points - c, axis=1)
-        if d.max() <= r * (1 + 1e-12) + 1e-9:
-            return c, r
-        support = np.vstack([support, points[np.argmax(d)]])
+    """(centre, radius) of the smallest ball around points."""
+    centres, radii = bounding_balls(np.asarray(points), np.array([0]))
+    return centres[0], float(radii[0])
 
 
 def principal_axes(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,25 +210,10 @@ def corners(labelled: DataFrame) -> DataFrame:
 
 
 def measured(labelled: DataFrame, moments: DataFrame, shaped: list[str]) -> DataFrame:
-    """label and the columns of the analysers of shapes; many labels are measured side by side. Shapes that a task has met before, hulls and balls of which cost most, are remembered up to SHAPES of them."""
+    """label and the columns of the analysers of shapes; many labels are measured side by side."""
     added = [c for n in shaped for c in COLUMNS[n]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple[str, bytes], list[float]] = {}
-
-        def remembered(name: str, points: np.ndarray) -> list[float]:
-            low = points.min(0)
-            points = np.unique(points - low, axis=0)
-            if (result := known.get(key := (name, points.tobytes()))) is None:
-                if name == "convexhull2d":
-                    result = hull_measures(points)
-                else:
-                    centre, radius = bounding_ball(points)
-                    result = [*centre, radius]
-                if len(known) < SHAPES and len(points) < 100:
-                    known[key] = result
-            return [*(low + result[:3]), result[3]] if name == "boundingsphere" else result
-
         for f in whole_labels(frames):
             label = np.repeat(f["label"].to_numpy(), 2)
             start = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
@@ -184,13 +232,15 @@ def measured(labelled: DataFrame, moments: DataFrame, shaped: list[str]) -> Data
                     else:
                         angles = [np.arctan2(axes[:, 0, 1], axes[:, 0, 0])]
                     result = [*centre.T, eccentricity(values), *np.sqrt(values).T, *angles, *extents(points[:, : len(used)], start, centre, axes, np.sqrt(values))]
+                elif name == "convexhull2d":
+                    result = hulls_measures(points[:, :2], start)
                 else:
-                    parts = np.split(points[:, :2] if name == "convexhull2d" else points, start[1:])
-                    result = np.array([remembered(name, p) for p in parts]).T
+                    centre, radius = bounding_balls(points, start)
+                    result = [*centre.T, radius]
                 new |= dict(zip(COLUMNS[name], result, strict=True))
             yield pd.DataFrame({"label": label[start]} | {c: new[c] for c in added})
 
-    points = corners(labelled).join(moments, "label").repartition("label").sortWithinPartitions("label")
+    points = corners(labelled).join(moments, "label").repartition("label").sortWithinPartitions("label", "x", "y")
     return points.mapInPandas(run, "label bigint" + "".join(f", {c} double" for c in added))
 
 
