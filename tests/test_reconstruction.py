@@ -186,3 +186,33 @@ def test_commands(spark):
     session.run("fbppreprocess(p, q)\nfbp(q, r, false)")
     want = reconstruction.back_project(reconstruction.preprocess(image_of(spark, a), s), s)
     assert np.allclose(array_of(session.images["r"]), array_of(want))
+
+
+def test_blocks_see_rows_in_proportion_to_a_long_volume():
+    """The pixels that blocks of a volume along z see grow no faster than its voxels, though the cone's rays are oblique there."""
+    s = Settings(source_to_ra=200.0, propagation_distance=50.0, angles=tuple(30.0 * i for i in range(12)), center_shift=0.5)
+    g, each = reconstruction.geometry(s, 14), []
+    for depth in (50_000, 600_000, 4_000_000):
+        dims = (8, 8, depth)
+        shape = reconstruction.fitted_block(g, dims, s.roi_center, 14, depth)
+        grid = reconstruction.Grid(dims, s.roi_center, shape)
+        assert math.prod(shape) <= math.prod(reconstruction.BLOCK)
+        box = reconstruction.footprints(g, 1, grid.corners(), 14, depth)
+        each.append(((box[:, 1] - box[:, 0] + 1) * (box[:, 3] - box[:, 2] + 1)).sum() / depth)
+    assert max(each) < 100, each
+    assert min(reconstruction.fitted_block(g, (512, 512, 512), s.roi_center, 512, 512)) >= 16
+
+
+def test_lines_are_filtered_and_cut_in_bounded_groups(spark, monkeypatch):
+    """A group of lines is bounded by its pixels, and few pieces leave a task at once; the volume is the same for all bounds."""
+    w, h, n = 9, 40, 6
+    s = Settings(source_to_ra=30.0, propagation_distance=10.0, rec_as_180_deg_scan=False, angles=tuple(60.0 * i for i in range(n)), roi_size=(6, 6, 40))
+    im = image_of(spark, np.random.default_rng(3).uniform(0.2, 0.9, (w, h, n)), "float32")
+    found = []
+    for pixels, values in ((reconstruction.PIXELS, reconstruction.VALUES), (1, 1), (200, 50)):
+        monkeypatch.setattr(reconstruction, "PIXELS", pixels)
+        monkeypatch.setattr(reconstruction, "VALUES", values)
+        lines = reconstruction.preprocess(im, s)
+        assert np.allclose(array_of(lines), found[0][0] if found else array_of(lines))
+        found += [(array_of(lines), array_of(reconstruction.back_project(lines, s, block))) for block in (None, (4, 3, 5))]
+    assert all(np.allclose(a, found[0][1]) for _, a in found)

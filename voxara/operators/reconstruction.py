@@ -9,12 +9,13 @@ projection's piece of it, whatever the number of projections and the size of the
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, fields, replace
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +25,16 @@ from voxara.operators.tomography import projection_filter, remove_dead_pixels
 from voxara.raster import AXES, Image, new_image, pix
 
 Vector = tuple[float, float, float]
-#: Detector lines of one group while they are filtered.
-LINES = 16
+#: Pixels, padding included, of the detector lines of one group while they are filtered, unless one line has more.
+PIXELS = 131_072
+#: Values of the pieces of lines that leave a task at once.
+VALUES = 1_000_000
 #: Transmissions are kept this far from 0 and 1.
 MARGIN = 0.00001
 #: Pixels of padding at each side of a line, at least.
 LEAST_PADDING = 10
+#: Blocks that a shape of blocks is judged by, and how many pixels a piece of a line costs beside its own.
+JUDGED, PIECE = 500, 8
 #: A volume of fewer blocks than this is summed in up to PARTS parts a block, so that its projections are shared out.
 FEW_BLOCKS, PARTS = 64, 8
 
@@ -257,6 +262,7 @@ def filtered_lines(im: Image, s: Settings) -> DataFrame:
     """angle, row, line of every detector line of -log projections: hardening corrected, weighted and filtered."""
     width, dims = im.dims[0], im.dims
     pad = max(LEAST_PADDING, round(min(max(s.pad_size, 0.0), 1.0) * width))
+    group = max(1, PIXELS // (width + 2 * pad))
     response = projection_filter((width + 2 * pad) // 2 + 1, s.filter_type, s.filter_cut_off)
     mode = "symmetric" if s.pad_type == "Mirror" else "edge"
 
@@ -272,7 +278,7 @@ def filtered_lines(im: Image, s: Settings) -> DataFrame:
         out = np.fft.irfft(np.fft.rfft(lines, axis=1) * response, lines.shape[1], axis=1)[:, pad : pad + width]
         return pd.DataFrame({"angle": projection, "row": rows, "line": list(out)})
 
-    return im.df.groupBy("z", F.floor(F.col("y") / LINES).alias("_rows")).applyInPandas(run, "angle bigint, row bigint, line array<double>")
+    return im.df.groupBy("z", F.floor(F.col("y") / group).alias("_rows")).applyInPandas(run, "angle bigint, row bigint, line array<double>")
 
 
 def preprocess(projections: Image, s: Settings) -> Image:
@@ -369,9 +375,9 @@ class Grid:
         """Indices (n x 3) of a block's voxels."""
         return np.stack(np.meshgrid(*self.ranges(number), indexing="ij"), axis=-1).reshape(-1, 3)
 
-    def corners(self) -> np.ndarray:
-        """Points of the 8 outermost voxels of every block (blocks x 8 x 3)."""
-        ends = [[(r[0], r[-1]) for r in self.ranges(n)] for n in range(math.prod(self.shape))]
+    def corners(self, numbers: Iterable[int] | None = None) -> np.ndarray:
+        """Points of the 8 outermost voxels of blocks, every one without numbers (blocks x 8 x 3)."""
+        ends = [[(r[0], r[-1]) for r in self.ranges(int(n))] for n in (range(math.prod(self.shape)) if numbers is None else numbers)]
         return self.points(np.array([[[x, y, z] for x in e[0] for y in e[1] for z in e[2]] for e in ends]))
 
 
@@ -388,34 +394,62 @@ def footprints(g: Geometry, i: int, corners: np.ndarray, width: int, height: int
     return np.clip(box, [0, -1, 0, -1], [width, width - 1, height, height - 1]).astype(int)
 
 
-def back_project(projections: Image, s: Settings, block: tuple[int, int, int] = BLOCK) -> Image:
-    """The volume of preprocessed projections, whose settings are s (of the scan before binning)."""
+def fitted_block(g: Geometry, dims: tuple[int, int, int], center: Vector, width: int, height: int) -> tuple[int, int, int]:
+    """The shape of blocks, of at most as many voxels as BLOCK has, that together see the fewest pixels, judged by a few blocks and projections.
+
+    Far from the middle along z rays are oblique, so that a flat block sees rows in proportion to its distance and not to its voxels.
+    """
+    most, shapes = math.prod(BLOCK), {}
+    for edge in (BLOCK[0] >> i for i in range(BLOCK[0].bit_length())):
+        x, y = min(edge, dims[0]), min(edge, dims[1])
+        shape = (x, y, min(dims[2], most // (x * y)))
+        grid = Grid(dims, center, shape)
+        count = math.prod(grid.shape)
+        numbers = np.unique(np.linspace(0, count - 1, min(count, JUDGED)).astype(int))
+        corners = grid.corners(numbers)
+        boxes = np.concatenate([footprints(g, int(i), corners, width, height) for i in np.unique(np.linspace(0, len(g.source) - 1, 8).astype(int))])
+        columns, rows = (np.maximum(boxes[:, i + 1] - boxes[:, i] + 1, 0) for i in (0, 2))
+        shapes.setdefault(shape, ((columns + PIECE) * rows).sum() * count / len(numbers))
+    return min(shapes, key=shapes.get)
+
+
+def back_project(projections: Image, s: Settings, block: tuple[int, int, int] | None = None) -> Image:
+    """The volume of preprocessed projections, whose settings are s (of the scan before binning), by blocks of a shape or, without it, of the fitting one."""
     s = s.binned()
     checked(projections, s)
     width, height, count = projections.dims
     dims = tuple(int(c) if c > 0 else n for c, n in zip(s.roi_size, (width, width, height), strict=True))
-    g, grid, factor = geometry(s, width), Grid(dims, s.roi_center, block), mean_factor(s)
+    g, factor = geometry(s, width), mean_factor(s)
+    grid = Grid(dims, s.roi_center, block or fitted_block(g, dims, s.roi_center, width, height))
     blocks = math.prod(grid.shape)
     share = -(-count // min(PARTS, count, -(-FEW_BLOCKS // blocks)))
     lines = projections.df.groupBy(F.col("z").alias("angle"), F.col("y").alias("row")).agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda p: p["v"]).alias("line"))
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corners, known = grid.corners(), {}
-        for pdf in batches:
-            out = []
-            for angle, row, line in zip(pdf["angle"], pdf["row"], pdf["line"], strict=True):
+        for batch in batches:
+            angles, rows = (batch.column(i).to_numpy() for i in range(2))
+            offsets, values = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
+            order = np.lexsort((rows, angles))
+            for mine in np.split(order, np.flatnonzero(np.diff(angles[order])) + 1) if len(order) else []:
+                angle = int(angles[mine[0]])
                 if angle not in known:
                     if len(known) > 64:
                         known.clear()
                     known[angle] = footprints(g, angle, corners, width, height)
                 box = known[angle]
-                for b in np.flatnonzero((box[:, 2] <= row) & (row <= box[:, 3]) & (box[:, 0] <= box[:, 1])):
-                    out.append((b, angle // share, angle, row, box[b, 0], line[box[b, 0] : box[b, 1] + 1]))
-                if len(out) > 2_000:
-                    yield pd.DataFrame(out, columns=["block", "part", "angle", "row", "start", "piece"])
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=["block", "part", "angle", "row", "start", "piece"])
+                low, high = np.searchsorted(rows[mine], box[:, 2]), np.searchsorted(rows[mine], box[:, 3], "right")
+                seen = np.where(box[:, 0] <= box[:, 1], np.maximum(high - low, 0), 0)
+                number = np.repeat(np.arange(blocks), seen)
+                line = mine[np.arange(len(number)) - np.repeat(np.cumsum(seen) - seen - low, seen)]
+                most = max(1, VALUES // width)
+                for at in range(0, len(number), most):
+                    n, i = number[at : at + most], line[at : at + most]
+                    size = box[n, 1] - box[n, 0] + 1
+                    ends = np.r_[0, np.cumsum(size)]
+                    piece = values[np.arange(ends[-1]) + np.repeat(offsets[i] + box[n, 0] - ends[:-1], size)]
+                    columns = [pa.array(c, pa.int64()) for c in (n, np.full(len(n), angle // share), np.full(len(n), angle), rows[i], box[n, 0])]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(piece))], names=["block", "part", "angle", "row", "start", "piece"])
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (row for pdf in batches for row in zip(*(pdf[c] for c in ("block", "part", "angle", "row", "start", "piece")), strict=True))
@@ -445,7 +479,7 @@ def back_project(projections: Image, s: Settings, block: tuple[int, int, int] =
         total = np.sum(pdf.sort_values("part")["total"].to_list(), axis=0) * factor
         return pd.DataFrame({"x": x, "y": y, "z": z, "v": (total - s.range_min) / (s.range_max - s.range_min)})
 
-    pieces = lines.mapInPandas(route, "block bigint, part bigint, angle bigint, row bigint, start bigint, piece array<double>")
+    pieces = lines.mapInArrow(route, "block bigint, part bigint, angle bigint, row bigint, start bigint, piece array<double>")
     named = projections.df.sparkSession.range(blocks).selectExpr("id AS block", "0L AS part", "-1L AS angle", "0L AS row", "0L AS start", "cast(array() AS array<double>) AS piece")
     ordered = pieces.union(named).repartition("block", "part").sortWithinPartitions("block", "part", "angle", "row")
     found = ordered.mapInPandas(sums, "block bigint, part bigint, total array<double>").groupBy("block").applyInPandas(volume, "x bigint, y bigint, z bigint, v double")
