@@ -484,3 +484,21 @@ def test_toxicity_finds_held_out(spark):
     assert {r.doc_id for r in toxicity.accepted(docs, labels).collect()} >= {1, 2, 3, 900, 901}
     none = toxicity.train(docs, labels.limit(0))
     assert all(r.score < 0.5 for r in toxicity.score(docs, none).collect())
+
+
+def test_bpe_words_of_different_chunks_are_merged_once(monkeypatch):
+    """Chunks that differ in their punctuation alone share their words, and short words have the tokens that a heap gives."""
+    texts = [f"{a}underestimated{b} ça{b} don't {'ab' * 60}{a}" for a in ("", "(", '"', "[[") for b in ("", ".", "!?", ",")]
+    model, merged = bpe.Bpe(bpe.tokenizer_path()), []
+    word = model.word
+    monkeypatch.setattr(model, "word", lambda w: merged.append(w) or word(w))
+    got = [model.encode(t) for t in texts]
+    assert len(merged) == len(set(merged))
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert [bpe.Bpe(bpe.tokenizer_path()).encode(t) for t in texts] == got
+    monkeypatch.setattr(bpe, "SHORT", 40)
+    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 3)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 2)
+    small = bpe.Bpe(bpe.tokenizer_path())
+    assert [small.encode(t) for t in texts] == got
+    assert len(small.young_words) <= 2 and len(small.old_words) <= 2 and len(small.young) <= 3

@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a given merge table (word-end BPE over byte characters).
 
-A word is a doubly linked list of symbols. A heap holds the possible merges by (rank, position); a popped entry is
-skipped when one of its symbols is gone or has grown since (a stale entry). Decoding concatenates vocabulary strings,
+A long word is a doubly linked list of symbols. A heap holds the possible merges by (rank, position); a popped entry is
+skipped when one of its symbols is gone or has grown since (a stale entry). A short one has a list of its pairs' ranks. Decoding concatenates vocabulary strings,
 with a space between tokens where the file names no decoder.
 
 Whitespace never lies inside a token, so a text is the sequence of its blank-separated chunks and each worker keeps
@@ -16,6 +16,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 
 from voxara.llm.common import read_table, tidy
 
-#: Chunks in each of the two generations of a worker's cache.
-CACHE_CHUNKS = 100_000
+#: Chunks, and words, in each of the two generations of a worker's caches.
+CACHE_CHUNKS, CACHE_WORDS = 60_000, 60_000
 #: Hashes that tell whether a chunk was met before.
 MET = 1 << 21
+#: Pairs of a word that does without a heap, and the rank of a pair that doesn't merge.
+SHORT, NONE = 40, 1 << 32
 _SPACE = regex.compile(r"\s+")
 #: Python's split() takes these for blanks, the tokenizer's \s doesn't.
 _NOT_BLANK = re.compile("[\x1c-\x1f]")
@@ -71,6 +74,8 @@ class Bpe:
         self.end = [ids[c + self.suffix] for c in byte_alphabet()]
         self.young: dict[str, tuple[str, int, str]] = {}
         self.old: dict[str, tuple[str, int, str]] = {}
+        self.young_words: dict[str, tuple[str, int, str]] = {}
+        self.old_words: dict[str, tuple[str, int, str]] = {}
         #: Marks of the hashes of chunks met: one is cached when it is met again.
         self.met = bytearray(MET)
 
@@ -83,6 +88,19 @@ class Bpe:
         if last == 0:
             return symbol
         rank_of, made = self.merges.get, self.made
+        if last <= SHORT:  # the pairs of a short word are searched faster than kept in a heap
+            ranks = [rank_of(a << 20 | b, NONE) for a, b in pairwise(symbol)]
+            while (rank := min(ranks)) != NONE:
+                i = ranks.index(rank)
+                symbol[i] = new = made[rank]
+                del symbol[i + 1], ranks[i]
+                if not ranks:
+                    break
+                if i:
+                    ranks[i - 1] = rank_of(symbol[i - 1] << 20 | new, NONE)
+                if i < len(ranks):
+                    ranks[i] = rank_of(new << 20 | symbol[i + 1], NONE)
+            return symbol
         heap = []
         for i in range(last):
             if (r := rank_of(symbol[i] << 20 | symbol[i + 1])) is not None:
@@ -107,11 +125,23 @@ class Bpe:
                 push(heap, r << 32 | h)
         return [s for s in symbol if s >= 0]
 
+    def _word(self, word: str) -> tuple[str, int, str]:
+        """What pieces has of a word; most chunks that are met once are made of words that are met again."""
+        found = self.old_words.get(word)
+        if found is None:
+            ids = self.word(word)
+            found = (" ".join(map(str, ids)), len(ids), " ".join([self.names[i] for i in ids]))
+        if len(self.young_words) >= CACHE_WORDS:
+            self.old_words, self.young_words = self.young_words, {}
+        self.young_words[word] = found
+        return found
+
     def _chunk(self, chunk: str) -> tuple[str, int, str]:
         found = self.old.get(chunk)
         if found is None:
-            ids = [i for w in self.split.findall(chunk) for i in self.word(w)]
-            found = (" ".join(map(str, ids)), len(ids), " ".join([self.names[i] for i in ids]))
+            known = self.young_words.get
+            parts = [known(w) or self._word(w) for w in self.split.findall(chunk)]
+            found = parts[0] if len(parts) == 1 else (" ".join([p[0] for p in parts]), sum([p[1] for p in parts]), " ".join([p[2] for p in parts]))
         if not self.met[at := hash(chunk) & MET - 1]:  # most chunks never come again
             self.met[at] = 1
             return found
